@@ -10,6 +10,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once per row and hand it to `body` (a lambda would repeat it per element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def py_round(c: Column | str, digits: int) -> Column:
     """Half-even rounding, as the source data was rounded."""
     return F.bround(col(c), digits)

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clipmine import lexicon
-from clipmine.functions.spans import col
+from clipmine.functions.spans import col, let
 
 DEFAULT_TITLE = "精華片段"
 
@@ -91,13 +91,19 @@ WORD_CHARS = lexicon.CJK + r"\p{IsAlphabetic}\p{N}"
 def bigrams(c, *, char_class: str | None = None, keep_single: bool = False) -> Column:
     """Distinct adjacent character pairs; `keep_single` keeps a one-character text as its own element."""
     s = only_chars(c, char_class) if char_class else F.coalesce(col(c), F.lit(""))
-    n = F.length(s)
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(s, i, F.lit(2))))
-    empty = F.array().cast("array<string>")
-    out = F.when(n >= 2, pairs)
-    if keep_single:
-        out = out.when(n == 1, F.array(s))
-    return out.otherwise(empty)
+    pairs = let(
+        characters(s),
+        lambda ch: F.when(
+            F.size(ch) >= 2,
+            F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(ch) - 2), lambda i: F.concat(F.get(ch, i), F.get(ch, i + 1)))),
+        ).otherwise(ch if keep_single else F.array().cast("array<string>")),
+    )
+    return pairs
+
+
+def characters(c) -> Column:
+    """The text as an array of its characters."""
+    return F.filter(F.split(col(c), ""), lambda ch: ch != "")
 
 
 def alignment_bigrams(c) -> Column:
@@ -132,11 +138,13 @@ def front_loaded(words, start, end, frac: float = 0.30) -> Column:
     cutoff = s + F.greatest(F.lit(0.05), col(end) - s) * frac
     length = lambda w: F.greatest(w["start"], w["end"]) - w["start"]
     middle = lambda w: (w["start"] + F.greatest(w["start"], w["end"])) * 0.5
-    total = F.aggregate(kept, F.lit(0.0), lambda a, w: a + length(w))
-    front = F.aggregate(
-        kept, F.lit(0.0), lambda a, w: a + F.when(middle(w) <= cutoff, length(w)).otherwise(0.0)
-    )
-    return (F.size(kept) >= 4) & (total > 1e-6) & (F.try_divide(front, total) >= 0.75)
+
+    def test(ws):
+        total = F.aggregate(ws, F.lit(0.0), lambda a, w: a + length(w))
+        front = F.aggregate(ws, F.lit(0.0), lambda a, w: a + F.when(middle(w) <= cutoff, length(w)).otherwise(0.0))
+        return (F.size(ws) >= 4) & (total > 1e-6) & (F.try_divide(front, total) >= 0.75)
+
+    return F.coalesce(let(kept, test), F.lit(False))
 
 
 def is_noise(c) -> Column:
@@ -245,10 +253,7 @@ def parse_markup(text) -> Column:
             tokens,
             lambda t: F.when(
                 marked(t),
-                F.transform(
-                    F.filter(F.split(F.substr(t, F.lit(3), F.length(t) - 4), ""), lambda ch: ch != ""),
-                    lambda ch: _mark(ch, F.lit(True)),
-                ),
+                F.transform(characters(F.substr(t, F.lit(3), F.length(t) - 4)), lambda ch: _mark(ch, F.lit(True))),
             ).otherwise(F.array(_mark(t, F.lit(False)))),
         )
     )
@@ -258,20 +263,24 @@ def parse_markup(text) -> Column:
 def to_markup(words) -> Column:
     """Inverse of `parse_markup`: `**` around each run of flagged words."""
     kept = F.filter(F.coalesce(col(words), F.array()), lambda w: F.coalesce(w["text"], F.lit("")) != "")
-    flagged = lambda i: F.coalesce(F.get(kept, i)["is_kw"] & (F.get(kept, i)["text"] != "\n"), F.lit(False))
-    return F.array_join(
-        F.transform(
-            kept,
-            lambda w, i: F.when(w["text"] == "\n", F.lit("\\n")).otherwise(
-                F.concat(
-                    F.when(flagged(i) & ((i == 0) | ~flagged(i - 1)), F.lit("**")).otherwise(""),
-                    w["text"],
-                    F.when(flagged(i) & ~flagged(i + 1), F.lit("**")).otherwise(""),
-                )
+
+    def render(ws):
+        flagged = lambda i: F.coalesce(F.get(ws, i)["is_kw"] & (F.get(ws, i)["text"] != "\n"), F.lit(False))
+        return F.array_join(
+            F.transform(
+                ws,
+                lambda w, i: F.when(w["text"] == "\n", F.lit("\\n")).otherwise(
+                    F.concat(
+                        F.when(flagged(i) & ((i == 0) | ~flagged(i - 1)), F.lit("**")).otherwise(""),
+                        w["text"],
+                        F.when(flagged(i) & ~flagged(i + 1), F.lit("**")).otherwise(""),
+                    )
+                ),
             ),
-        ),
-        "",
-    )
+            "",
+        )
+
+    return let(kept, render)
 
 
 def words_text(words) -> Column:
@@ -280,18 +289,35 @@ def words_text(words) -> Column:
 
 def mark_keywords(words, keywords: Sequence[str]) -> Column:
     """Flag every word that touches a keyword occurrence (occurrences of one keyword do not overlap)."""
-    w_arr = col(words)
-    plain = words_text(w_arr)
-    masks = [F.replace(plain, F.lit(k), F.lit("\u0001" * len(k))) for k in longest_first(k for k in keywords if k)]
-    if not masks:
-        return w_arr
-    texts = F.transform(w_arr, lambda w: F.coalesce(w["text"], F.lit("")))
-
-    def touched(w, i):
-        offset = F.length(F.array_join(F.slice(texts, F.lit(1), i), ""))
-        return _any(F.contains(F.substr(m, offset + 1, F.length(w["text"])), F.lit("\u0001")) for m in masks)
+    needles = longest_first(k for k in keywords if k)
+    if not needles:
+        return col(words)
+
+    def mark(ws):
+        plain = words_text(ws)
+        # One character per position: U+0001 where any keyword occurrence lies, else a blank.
+        masks = F.array(*[characters(F.replace(plain, F.lit(k), F.lit("\u0001" * len(k)))) for k in needles])
+        hits = F.transform(F.get(masks, F.lit(0)), lambda ch, i: F.exists(masks, lambda m: F.get(m, i) == "\u0001"))
+        size = lambda w: F.length(F.coalesce(w["text"], F.lit("")))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(
+            ws, zero,
+            lambda a, w: F.struct((a["at"] + size(w)).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")),
+            lambda a: a["starts"],
+        )
+        return let(
+            F.struct(hits.alias("hits"), starts.alias("starts")),
+            lambda v: F.transform(
+                ws,
+                lambda w, i: _mark(
+                    w["text"],
+                    w["is_kw"] | F.exists(F.slice(v["hits"], F.get(v["starts"], i) + 1, size(w)), lambda h: h),
+                    w["color"],
+                ),
+            ),
+        )
 
-    return F.transform(w_arr, lambda w, i: _mark(w["text"], w["is_kw"] | touched(w, i), w["color"]))
+    return let(col(words), mark)
 
 
 def strip_tags(c) -> Column:
@@ -311,21 +337,24 @@ def wrap_span(payload, offset, frag, open_tag: str, close_tag: str) -> Column:
 
     Breaks (`\\N` or a newline) stay where they are, also inside the fragment.
     """
-    units = F.regexp_extract_all(col(payload), F.lit(r"(?s)(\\N|.)"), 1)
     is_break = lambda u: (u == "\\N") | (u == "\n")
-    before = lambda i: F.size(F.filter(F.slice(units, F.lit(1), i), lambda u: ~is_break(u)))
     first, last = col(offset), col(offset) + F.length(col(frag)) - 1
-    return F.array_join(
-        F.transform(
-            units,
-            lambda u, i: F.concat(
-                F.when(~is_break(u) & (before(i) == first), F.lit(open_tag)).otherwise(""),
-                u,
-                F.when(~is_break(u) & (before(i) == last), F.lit(close_tag)).otherwise(""),
+
+    def render(units):
+        before = lambda i: F.size(F.filter(F.slice(units, F.lit(1), i), lambda u: ~is_break(u)))
+        return F.array_join(
+            F.transform(
+                units,
+                lambda u, i: F.concat(
+                    F.when(~is_break(u) & (before(i) == first), F.lit(open_tag)).otherwise(""),
+                    u,
+                    F.when(~is_break(u) & (before(i) == last), F.lit(close_tag)).otherwise(""),
+                ),
             ),
-        ),
-        "",
-    )
+            "",
+        )
+
+    return let(F.regexp_extract_all(col(payload), F.lit(r"(?s)(\\N|.)"), 1), render)
 
 
 # --- titles, errors, urls ------------------------------------------------------------------------

@@ -36,9 +36,9 @@ def _span_pairs(segments: DataFrame, spans: DataFrame, span_id: str, char_class:
     flat = pairs.select("vod_id", F.col("w_" + span_id).alias(span_id), "seg_id", "chars")
     order = Window.partitionBy("vod_id", span_id).orderBy("seg_id")
     lead_in = F.coalesce(F.right(F.lag("chars").over(order), F.lit(1)), F.lit(""))
-    text = flat.withColumn("chars", F.concat(lead_in, "chars")).where(F.length("chars") >= 2)
+    text = flat.withColumn("chars", tx.characters(F.concat(lead_in, "chars"))).where(F.size("chars") >= 2)
     grams = F.transform(
-        F.sequence(F.lit(1), F.length("chars") - 1), lambda i: F.substr(F.col("chars"), i, F.lit(2))
+        F.sequence(F.lit(0), F.size("chars") - 2), lambda i: F.concat(F.get("chars", i), F.get("chars", i + 1))
     )
     return text.select("vod_id", span_id, "seg_id", F.posexplode(grams).alias("pos", "gram")).select(
         "vod_id", span_id, "gram", F.struct("seg_id", "pos").alias("ord")

@@ -51,27 +51,23 @@ def subtitle_quality(events: DataFrame, keys: Sequence[str] = ("vod_id", "clip_i
 def mid_word_cuts(events: DataFrame, tokens: str, keys: Sequence[str] = ("vod_id", "clip_id")) -> DataFrame:
     """Tokens (of the text without breaks) that a line break falls into, per clip."""
     parts = F.filter(F.transform(F.split(tx.strip_tags("text"), r"\\N"), tx.strip), lambda p: p != "")
-    sizes = F.transform(parts, lambda p: F.length(p))
-    total = lambda arr: F.aggregate(arr, F.lit(0), lambda a, x: a + x)
-    breaks = F.transform(F.sequence(F.lit(1), F.size("_n") - 1), lambda i: total(F.slice("_n", F.lit(1), i)))
-    lens = F.transform(F.filter(F.col(tokens), lambda t: tx.strip(t) != ""), lambda t: F.length(t))
+    ends = lambda arr: F.aggregate(
+        arr, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x)))
+    )
+    words = F.filter(F.col(tokens), lambda t: tx.strip(t) != "")
+    inner = F.slice("_lines", F.lit(2), F.size("_lines") - 2)
     cut = F.size(
         F.filter(
-            F.transform(
-                "_l",
-                lambda x, i: F.exists(
-                    "_b", lambda b: (b > total(F.slice(F.col("_l"), F.lit(1), i))) & (b < total(F.slice(F.col("_l"), F.lit(1), i)) + x)
-                ),
-            ),
-            lambda hit: hit,
+            F.sequence(F.lit(0), F.size("_words") - 2),
+            lambda i: F.exists("_inner", lambda b: (b > F.get("_words", i)) & (b < F.get("_words", i + 1))),
         )
     )
     return (
         events.where(F.col("text").contains("\\N"))
-        .withColumn("_n", sizes)
-        .where(F.size("_n") >= 2)
-        .withColumn("_b", breaks)
-        .withColumn("_l", lens)
+        .withColumn("_lines", ends(parts))
+        .withColumn("_words", ends(words))
+        .where((F.size("_lines") >= 3) & (F.size("_words") >= 2))
+        .withColumn("_inner", inner)
         .groupBy(*keys)
         .agg(F.sum(cut).alias("mid_word_cuts"))
     )
