@@ -103,17 +103,15 @@ class Tables:
     @cached_property
     def turn_words(self) -> DataFrame:
         """Turns with word times: each blank-separated word lasts its share of the turn."""
-        parts = F.split("text", " ")
-        step = (F.col("end") - F.col("start")) / F.size(parts)
-        return self.turns.withColumn(
+        parts = self.turns.withColumn("_p", F.split("text", " ")).withColumn("_step", (F.col("end") - F.col("start")) / F.size("_p"))
+        at = lambda i: F.col("start") + i * F.col("_step")
+        return parts.withColumn(
             "words",
             F.transform(
-                parts,
-                lambda w, i: F.struct(
-                    (F.col("start") + i * step).alias("start"), (F.col("start") + i * step + step * 0.9).alias("end"), w.alias("text")
-                ),
+                "_p",
+                lambda w, i: F.struct(at(i).alias("start"), (at(i) + F.col("_step") * 0.9).alias("end"), w.alias("text")),
             ),
-        )
+        ).drop("_p", "_step")
 
     @cached_property
     def lines(self) -> DataFrame:

@@ -40,7 +40,7 @@ def _span_pairs(segments: DataFrame, spans: DataFrame, span_id: str, char_class:
     grams = F.transform(
         F.sequence(F.lit(0), F.size("chars") - 2), lambda i: F.concat(F.get("chars", i), F.get("chars", i + 1))
     )
-    return text.select("vod_id", span_id, "seg_id", F.posexplode(grams).alias("pos", "gram")).select(
+    return text.select("vod_id", span_id, "seg_id", F.posexplode_outer(grams).alias("pos", "gram")).where(F.col("gram").isNotNull()).select(
         "vod_id", span_id, "gram", F.struct("seg_id", "pos").alias("ord")
     )
 

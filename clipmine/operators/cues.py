@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from clipmine.functions import text as tx
 from clipmine.functions.spans import overlap_len, py_round
 from clipmine.operators import lines
-from clipmine.operators.intervals import to_short, to_vod
+from clipmine.operators.intervals import short_pieces, vod_time, with_axis
 from clipmine.operators.joins import overlapping_spans, points_in_windows
 
 CLIP = ("vod_id", "clip_id")
@@ -233,40 +233,27 @@ def slice_cues(cues: DataFrame, *, t0: float, dur: float) -> DataFrame:
     )
 
 
-def _onto_axis(spans: DataFrame, axis: DataFrame, *, s: str, e: str, ids: Sequence[str], keys: Sequence[str] = CLIP) -> DataFrame:
-    """Pieces of VOD spans on the clip time line: `keys, ids, j, a, b` (three decimals, `j` from 0)."""
-    ax = axis.select(*keys, "ord", "vod_start", "vod_end", "short_start")
-    q = spans.select(*keys, *ids, F.col(s).alias("_a"), F.col(e).alias("_b")).where(F.col("_b") > F.col("_a"))
-    lo, hi = F.greatest("_a", "vod_start"), F.least("_b", "vod_end")
-    order = Window.partitionBy(*keys, *ids).orderBy("ord")
-    return (
-        q.join(ax, list(keys))
-        .where(hi - lo >= 0.05)
-        .select(
-            *keys, *ids, "ord",
-            py_round(F.col("short_start") + (lo - F.col("vod_start")), 3).alias("a"),
-            py_round(F.col("short_start") + (hi - F.col("vod_start")), 3).alias("b"),
-        )
-        .withColumn("j", F.row_number().over(order) - 1)
-        .drop("ord")
-    )
-
-
 def project_cues(cues: DataFrame, axis: DataFrame, keys: Sequence[str] = CLIP) -> DataFrame:
     """Clip times from recording times; cues inside a cut vanish, cues across a cut split (`_1`, …)."""
+    return _projected(with_axis(cues, axis, keys), cues.columns)
+
+
+def _projected(c: DataFrame, columns: Sequence[str], *, pinned_only: bool = False) -> DataFrame:
+    """Explode each cue into its pieces; unpinned cues stay as they are, or drop out if `pinned_only`."""
     pinned = F.col("vod_start").isNotNull() & F.col("vod_end").isNotNull()
-    pieces = _onto_axis(cues.where(pinned), axis, s="vod_start", e="vod_end", ids=["cue_id"], keys=keys)
-    moved = (
-        cues.where(pinned)
-        .join(pieces, [*keys, "cue_id"])
-        .withColumn("cue_id", F.when(F.col("j") > 0, F.concat("cue_id", F.lit("_"), F.col("j").cast("string"))).otherwise(F.col("cue_id")))
-        .withColumn("start", py_round("a", 2))
-        .withColumn("end", py_round("b", 2))
-        .withColumn("vod_start", py_round("vod_start", 3))
-        .withColumn("vod_end", py_round("vod_end", 3))
-        .drop("a", "b", "j")
-    )
-    return moved.unionByName(cues.where(~pinned))
+    as_is = F.array(F.struct(F.col("start").alias("a"), F.col("end").alias("b")))
+    if pinned_only:
+        as_is = F.slice(as_is, 1, 0)
+    pieces = F.when(pinned, short_pieces(F.col("vod_start"), F.col("vod_end"), F.col("_axis"))).otherwise(as_is)
+    c = c.withColumn("_pinned", pinned).select("*", F.posexplode_outer(pieces).alias("_j", "_p")).where(F.col("_p").isNotNull())
+    suffix = F.when(F.col("_j") > 0, F.concat(F.lit("_"), F.col("_j").cast("string"))).otherwise("")
+    two = lambda x: F.when(F.col("_pinned"), py_round(x, 2)).otherwise(F.col(x))
+    return c.withColumns(
+        {
+            "cue_id": F.concat("cue_id", suffix), "start": two("_p.a"), "end": two("_p.b"),
+            "vod_start": py_round("vod_start", 3), "vod_end": py_round("vod_end", 3),
+        }
+    ).select(*columns)
 
 
 def ingest_cues(cues: DataFrame, old_axis: DataFrame, new_axis: DataFrame, keys: Sequence[str] = CLIP) -> DataFrame:
@@ -275,28 +262,26 @@ def ingest_cues(cues: DataFrame, old_axis: DataFrame, new_axis: DataFrame, keys:
     A cue the user moved by more than 0.08 s on the old axis is pinned anew from its clip times. A
     clip without an old axis uses the new one.
     """
-    missing = new_axis.join(old_axis.select(*keys).distinct(), list(keys), "left_anti")
-    use = old_axis.unionByName(missing)
-    shown = _onto_axis(cues, use, s="vod_start", e="vod_end", ids=["cue_id"], keys=keys).where("j = 0").select(*keys, "cue_id", F.col("a").alias("_shown"))
-    as_vod = lambda df, ax, c, out: to_vod(df, ax, ids=["cue_id"], keys=keys, t=c, out=out)
-    c = cues.join(shown, [*keys, "cue_id"], "left")
-    for axis, tag in ((use, "u"), (new_axis, "n")):
-        c = as_vod(as_vod(c, axis, "start", f"_{tag}s"), axis, "end", f"_{tag}e")
-    pinned = F.col("vod_start").isNotNull() & F.col("vod_end").isNotNull()
-    shifted = pinned & F.coalesce(F.abs(F.col("_shown") - F.col("start")) > 0.08, F.lit(False))
-    fresh = ~pinned
-    vs = F.when(shifted, F.col("_us")).when(fresh, F.coalesce("_us", "_ns")).otherwise(F.col("vod_start"))
-    ve = F.when(shifted, F.col("_ue")).when(fresh, F.when(F.col("_us").isNull(), F.col("_ne")).otherwise(F.col("_ue"))).otherwise(F.col("vod_end"))
-    lost = vs.isNull() | ve.isNull()
-    out = (
-        c.withColumn("_vs", F.when(lost, F.col("vod_start")).otherwise(vs))
-        .withColumn("_ve", F.when(lost, F.col("vod_end")).otherwise(ve))
-        .where(F.col("_ve") > F.col("_vs"))
-        .withColumn("vod_start", py_round("_vs", 3))
-        .withColumn("vod_end", py_round("_ve", 3))
-        .select(*cues.columns)
+    c = with_axis(with_axis(cues, old_axis, keys, out="_old"), new_axis, keys)
+    c = c.withColumn("_use", F.coalesce("_old", "_axis"))
+    vs, ve = F.col("vod_start"), F.col("vod_end")
+    c = c.withColumns(
+        {
+            "_shown": F.get(short_pieces(vs, ve, F.col("_use")), F.lit(0))["a"],
+            "_us": vod_time(F.col("start"), F.col("_use")), "_ue": vod_time(F.col("end"), F.col("_use")),
+            "_ns": vod_time(F.col("start"), F.col("_axis")), "_ne": vod_time(F.col("end"), F.col("_axis")),
+        }
     )
-    return project_cues(out, new_axis, keys)
+    pinned = vs.isNotNull() & ve.isNotNull()
+    shifted = F.coalesce(F.abs(F.col("_shown") - F.col("start")) > 0.08, F.lit(False))
+    known = F.col("_us").isNotNull()
+    a = F.when(pinned & shifted, F.col("_us")).when(pinned, vs).otherwise(F.coalesce("_us", "_ns"))
+    b = F.when(pinned & shifted, F.col("_ue")).when(pinned, ve).otherwise(F.when(known, F.col("_ue")).otherwise(F.col("_ne")))
+    c = c.withColumns({"_a": a, "_b": b})
+    lost = F.col("_a").isNull() | F.col("_b").isNull()
+    c = c.withColumns({"vod_start": F.when(lost, vs).otherwise(F.col("_a")), "vod_end": F.when(lost, ve).otherwise(F.col("_b"))})
+    # A span without length has no pieces on the axis, so it drops out below.
+    return _projected(c, cues.columns, pinned_only=True)
 
 
 def cues_from_transcript(
@@ -307,27 +292,20 @@ def cues_from_transcript(
     A clip none of whose segments touches its axis takes the times as clip times already.
     """
     seg = segments.select("vod_id", F.col("ord").alias("i"), "start", "end", tx.strip("text").alias("text")).where(F.col("text") != "")
-    spans = axis.select(*keys, F.col("vod_start").alias("start"), F.col("vod_end").alias("end"), "ord", "short_start")
-    pairs = overlapping_spans(seg, spans)
+    hull = axis.groupBy(*keys).agg(F.min("vod_start").alias("start"), F.max("vod_end").alias("end"))
+    pairs = overlapping_spans(seg, hull)
     ids = [F.col("w_" + k).alias(k) for k in keys if k != "vod_id"]
-    lo, hi = F.greatest("start", "w_start"), F.least("end", "w_end")
-    order = Window.partitionBy(*keys, "i").orderBy("_ord")
-    hits = (
-        pairs.where(hi - lo >= 0.05)
-        .select(
-            "vod_id", *ids, "i", F.col("w_ord").alias("_ord"), "text",
-            F.col("start").alias("_s0"), F.col("end").alias("_e0"),
-            py_round(F.col("w_short_start") + (lo - F.col("w_start")), 3).alias("a"),
-            py_round(F.col("w_short_start") + (hi - F.col("w_start")), 3).alias("b"),
-        )
-        .withColumn("j", F.row_number().over(order) - 1)
-        .withColumn("cue_id", F.concat(F.lit("t"), F.col("i").cast("string"), F.lit("_"), F.col("j").cast("string")))
-    )
-    hits = to_vod(to_vod(hits, axis, ids=["cue_id"], keys=keys, t="a", out="_va"), axis, ids=["cue_id"], keys=keys, t="b", out="_vb")
+    hits = with_axis(pairs.select("vod_id", *ids, "i", "start", "end", "text"), axis, keys)
+    hits = hits.select(
+        *keys, "i", "text", "_axis", F.col("start").alias("_s0"), F.col("end").alias("_e0"),
+        F.posexplode_outer(short_pieces(F.col("start"), F.col("end"), F.col("_axis"))).alias("j", "p"),
+    ).where(F.col("p").isNotNull())
     words = tx.mark_keywords(tx.parse_markup("text"), keywords)
     mapped = hits.select(
-        *keys, "cue_id", py_round("a", 2).alias("start"), py_round("b", 2).alias("end"),
-        py_round(F.coalesce("_va", "_s0"), 3).alias("vod_start"), py_round(F.coalesce("_vb", "_e0"), 3).alias("vod_end"),
+        *keys, F.concat(F.lit("t"), F.col("i").cast("string"), F.lit("_"), F.col("j").cast("string")).alias("cue_id"),
+        py_round("p.a", 2).alias("start"), py_round("p.b", 2).alias("end"),
+        py_round(F.coalesce(vod_time(F.col("p.a"), F.col("_axis")), "_s0"), 3).alias("vod_start"),
+        py_round(F.coalesce(vod_time(F.col("p.b"), F.col("_axis")), "_e0"), 3).alias("vod_end"),
         words.alias("words"),
     )
     dur = axis.groupBy(*keys).agg(F.max_by("short_end", "ord").alias("dur"))

@@ -4,136 +4,137 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipmine.functions.spans import py_round
-from clipmine.operators.intervals import merge_intervals
-from clipmine.operators.joins import overlapping_spans, speech_coverage
+from clipmine.functions.spans import let, py_round
+from clipmine.operators.joins import BIN_SEC, coverage, gather_spans, snapped_start
 
 CLIP = ("vod_id", "clip_id")
 
 
-def _voice_in(clips: DataFrame, speech: DataFrame, keys: Sequence[str] = CLIP) -> DataFrame:
-    """Voice inside each clip, clipped to it: `keys, c_start, c_end, start, end`."""
-    pairs = overlapping_spans(speech.select("vod_id", "start", "end"), clips.select(*keys, "start", "end"))
-    return pairs.select(
-        "vod_id", *[F.col("w_" + k).alias(k) for k in keys if k != "vod_id"],
-        F.col("w_start").alias("c_start"), F.col("w_end").alias("c_end"),
-        F.greatest("start", "w_start").alias("start"), F.least("end", "w_end").alias("end"),
-        F.col("start").alias("v_start"), F.col("end").alias("v_end"),
-    )
+def _with_voice(clips: DataFrame, speech: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
+    """Each clip with its (merged) voice intervals as one short array: one join serves every step."""
+    return gather_spans(clips, speech, ids=[k for k in keys if k != "vod_id"], out="_v", **kw)
+
+
+def _pair(a: Column, b: Column) -> Column:
+    return F.struct(a.alias("start"), b.alias("end"))
+
+
+def _clipped(voice: Column, start: Column, end: Column) -> Column:
+    """Voice inside `[start, end]`, pieces over 0.05 s."""
+    inside = F.transform(voice, lambda x: _pair(F.greatest(start, x["start"]), F.least(end, x["end"])))
+    return F.filter(inside, lambda x: x["end"] - x["start"] > 0.05)
+
+
+def _refined(c: DataFrame, *, lead: float, trail: float, max_sec: float) -> DataFrame:
+    s, e = F.col("start"), F.col("end")
+    hull = F.filter("_v", lambda x: (x["end"] > s) & (x["start"] < e))
+    c = c.withColumn("_h", hull)
+    lo = F.greatest(s, F.get("_h", F.lit(0))["start"] - lead)
+    hi = F.least(e, F.array_max(F.transform("_h", lambda x: x["end"])) + trail)
+    cap = F.greatest(F.lit(max_sec), e - s)
+    c = c.withColumn("_lo", lo).withColumn("_hi", F.when(hi - lo > cap, lo + cap).otherwise(hi))
+    plain = (F.size("_h") == 0) | (F.col("_hi") <= F.col("_lo"))
+    new_start = F.when((e <= s) | plain, s).otherwise(F.col("_lo"))
+    new_end = F.when(e <= s, e).when(plain, F.least(s + cap, e)).otherwise(F.col("_hi"))
+    return c.withColumns({"_s": new_start, "_e": new_end}).drop("_h", "_lo", "_hi", "start", "end").withColumnsRenamed({"_s": "start", "_e": "end"})
 
 
 def refine_bounds(
     clips: DataFrame, speech: DataFrame, *, lead: float = 0.08, trail: float = 0.35, max_sec: float = 120.0, keys: Sequence[str] = CLIP
 ) -> DataFrame:
     """Snap each clip to the voice it overlaps; clips without voice are only capped."""
-    hull = _voice_in(clips, speech, keys).groupBy(*keys).agg(F.min("v_start").alias("_v0"), F.max("v_end").alias("_v1"))
-    s, e = F.col("start"), F.col("end")
-    cap = F.greatest(F.lit(max_sec), e - s)
-    lo = F.greatest(s, F.col("_v0") - lead)
-    hi = F.least(e, F.col("_v1") + trail)
-    hi = F.when(hi - lo > cap, lo + cap).otherwise(hi)
-    plain = F.col("_v0").isNull() | (hi <= lo)
-    new_start = F.when((e <= s) | plain, s).otherwise(lo)
-    new_end = F.when(e <= s, e).when(plain, F.least(s + cap, e)).otherwise(hi)
-    return (
-        clips.join(hull, list(keys), "left")
-        .withColumn("_s", new_start)
-        .withColumn("_e", new_end)
-        .drop("_v0", "_v1", "start", "end")
-        .withColumnsRenamed({"_s": "start", "_e": "end"})
+    return _refined(_with_voice(clips, speech, keys), lead=lead, trail=trail, max_sec=max_sec).drop("_v")
+
+
+def _pieces(voice: Column, *, silence_min: float, pad: float) -> Column:
+    """Keep pieces as an array: voice padded on both sides, silences dropped."""
+    start, end = F.col("start"), F.col("end")
+
+    def step(acc, x):
+        lo, hi = x["start"] - pad, F.least(end, x["end"] + pad)
+        last = F.element_at(acc, -1)
+        head = F.when(x["start"] - start >= silence_min, F.greatest(start, lo)).otherwise(start)
+        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(_pair(last["start"], F.greatest(last["end"], hi))))
+        return (
+            F.when(F.size(acc) == 0, F.array(_pair(head, hi)))
+            .when(lo > last["end"] + 0.05, F.concat(acc, F.array(_pair(lo, hi))))
+            .otherwise(grown)
+        )
+
+    cut = F.aggregate(_clipped(voice, start, end), F.array().cast("array<struct<start:double,end:double>>"), step)
+    return let(cut, lambda a: F.when(F.size(a) > 0, a).when(end > start, F.array(_pair(start, end))).otherwise(a))
+
+
+def _exploded(c: DataFrame, pieces: str, keys: Sequence[str], *extra: str) -> DataFrame:
+    # The plain explode would push "not empty" down and compute the array once more for it.
+    return c.select(*keys, F.posexplode_outer(pieces).alias("pos", "p"), *extra).where(F.col("p").isNotNull()).select(
+        *keys, (F.col("pos") + 1).alias("ord"), "p.start", "p.end", *extra
     )
 
 
 def jump_cuts(
     clips: DataFrame, speech: DataFrame, *, silence_min: float = 0.45, pad: float = 0.12, keys: Sequence[str] = CLIP
 ) -> DataFrame:
-    """Pieces to keep: voice padded on both sides, silences dropped.
+    """Pieces to keep of each clip.
 
     A new piece starts where the padded voice leaves more than 0.05 s; `silence_min` only decides
     whether the first piece begins with the clip or with its voice. A clip without voice stays whole.
     """
-    inside = _voice_in(clips, speech, keys).where(F.col("end") - F.col("start") > 0.05)
-    merged = merge_intervals(inside.select(*keys, "start", "end"), 0.05 + 2 * pad, keys)
-    order = Window.partitionBy(*keys).orderBy("start")
-    c = clips.select(*keys, F.col("start").alias("c_start"), F.col("end").alias("c_end"))
-    first = F.col("ord") == 1
-    silent_head = F.col("start") - F.col("c_start") >= silence_min
-    pieces = merged.withColumn("ord", F.row_number().over(order)).join(c, list(keys))
-    voiced = pieces.select(
-        *keys, "ord",
-        F.when(first & ~silent_head, F.col("c_start")).otherwise(F.greatest("c_start", F.col("start") - pad)).alias("start"),
-        F.least("c_end", F.col("end") + pad).alias("end"),
-    )
-    whole = (
-        clips.where(F.col("end") > F.col("start"))
-        .join(inside.select(*keys).distinct(), list(keys), "left_anti")
-        .select(*keys, F.lit(1).alias("ord"), "start", "end")
-    )
-    return voiced.unionByName(whole)
-
-
-def choose_cuts(
-    clips: DataFrame, speech: DataFrame, *, silence_min: float = 0.45, force_silence: float = 0.25,
-    force_pad: float = 0.1, coverage_force: float = 0.85, keys: Sequence[str] = CLIP,
-) -> DataFrame:
-    """Jump cuts; a single sparse piece is cut again with tighter settings if that splits it."""
-    plan = jump_cuts(clips, speech, silence_min=silence_min, keys=keys)
-    forced = jump_cuts(clips, speech, silence_min=force_silence, pad=force_pad, keys=keys)
-    n = lambda df, out: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
-    sparse = speech_coverage(speech, clips.select(*keys, "start", "end"), ids=[k for k in keys if k != "vod_id"])
-    use_forced = (
-        sparse.select(*keys, "speech_ratio")
-        .join(n(plan, "n1"), list(keys))
-        .join(n(forced, "n2"), list(keys))
-        .where((F.col("n1") == 1) & (F.col("speech_ratio") < coverage_force) & (F.col("n2") > 1))
-        .select(*keys)
-    )
-    return plan.join(use_forced, list(keys), "left_anti").unionByName(forced.join(use_forced, list(keys), "left_semi"))
-
-
-def trim_cuts(
-    cuts: DataFrame, speech: DataFrame, *, lead: float = 0.08, trail: float = 0.35, keys: Sequence[str] = CLIP
-) -> DataFrame:
-    """Snip silence before the first and after the last voice; adds `lead_trim`, `trail_trim`."""
-    hull = cuts.groupBy(*keys).agg(F.min_by("start", "ord").alias("start"), F.max_by("end", "ord").alias("end"))
-    voice = (
-        _voice_in(hull, speech, keys)
-        .where(F.col("end") - F.col("start") > 0.05)
-        .groupBy(*keys)
-        .agg(F.min("start").alias("_f"), F.max("end").alias("_l"))
-    )
-    t = hull.join(voice, list(keys), "left").select(
-        *keys, F.col("start").alias("_ws"), F.col("end").alias("_we"),
-        F.greatest("start", F.coalesce(F.col("_f") - lead, "start")).alias("_ts"),
-        F.least("end", F.coalesce(F.col("_l") + trail, "end")).alias("_te"),
-        F.col("_f").isNotNull().alias("_voiced"),
-    )
-    lo, hi = F.greatest("start", "_ts"), F.least("end", "_te")
-    trimmed = cuts.join(t, list(keys)).withColumn("_a", F.when(F.col("_voiced"), lo).otherwise(F.col("start"))).withColumn(
-        "_b", F.when(F.col("_voiced"), hi).otherwise(F.col("end"))
+    c = _with_voice(clips.select(*keys, "start", "end"), speech, keys)
+    return _exploded(c.withColumn("_p", _pieces(F.col("_v"), silence_min=silence_min, pad=pad)), "_p", keys)
+
+
+def _chosen(c: DataFrame, *, silence_min: float = 0.45, force_silence: float = 0.25, force_pad: float = 0.1, coverage_force: float = 0.85) -> DataFrame:
+    """A single sparse piece is cut again with tighter settings, if that splits it."""
+    c = c.withColumns(
+        {
+            "_p1": _pieces(F.col("_v"), silence_min=silence_min, pad=0.12),
+            "_p2": _pieces(F.col("_v"), silence_min=force_silence, pad=force_pad),
+            "_cover": coverage("_v"),
+        }
+    )
+    sparse = (F.size("_p1") == 1) & (F.col("_cover") < coverage_force) & (F.size("_p2") > 1)
+    return c.withColumn("_p", F.when(sparse, F.col("_p2")).otherwise(F.col("_p1"))).drop("_p1", "_p2", "_cover")
+
+
+def _trimmed(c: DataFrame, *, lead: float = 0.08, trail: float = 0.35) -> DataFrame:
+    """Snip silence before the first and after the last voice of the pieces `_p`."""
+    c = c.withColumns({"_ws": F.get("_p", F.lit(0))["start"], "_we": F.element_at("_p", -1)["end"]})
+    c = c.withColumn("_in", _clipped(F.col("_v"), F.col("_ws"), F.col("_we")))
+    first = F.get("_in", F.lit(0))["start"]
+    last = F.array_max(F.transform("_in", lambda x: x["end"]))
+    voiced = F.size("_in") > 0
+    c = c.withColumns(
+        {
+            "_ts": F.when(voiced, F.greatest("_ws", first - lead)).otherwise(F.col("_ws")),
+            "_te": F.when(voiced, F.least("_we", last + trail)).otherwise(F.col("_we")),
+        }
+    )
+    cut = F.filter(
+        F.transform("_p", lambda x: _pair(F.greatest(x["start"], F.col("_ts")), F.least(x["end"], F.col("_te")))),
+        lambda x: x["end"] - x["start"] > 0.05,
+    )
+    whole = F.array(_pair(F.col("_ts"), F.greatest(F.col("_ts") + 0.05, F.col("_te"))))
+    return c.withColumns(
+        {
+            "_p": F.when(voiced, let(cut, lambda a: F.when(F.size(a) > 0, a).otherwise(whole))).otherwise(F.col("_p")),
+            "lead_trim": F.greatest(F.lit(0.0), F.col("_ts") - F.col("_ws")),
+            "trail_trim": F.greatest(F.lit(0.0), F.col("_we") - F.col("_te")),
+        }
     )
-    trims = [
-        F.greatest(F.lit(0.0), F.col("_ts") - F.col("_ws")).alias("lead_trim"),
-        F.greatest(F.lit(0.0), F.col("_we") - F.col("_te")).alias("trail_trim"),
-    ]
-    kept = trimmed.where(~F.col("_voiced") | (F.col("_b") - F.col("_a") > 0.05)).select(
-        *keys, "ord", F.col("_a").alias("start"), F.col("_b").alias("end"), *trims
-    )
-    lost = t.join(kept.select(*keys).distinct(), list(keys), "left_anti").select(
-        *keys, F.lit(1).alias("ord"), F.col("_ts").alias("start"),
-        F.greatest(F.col("_ts") + 0.05, F.col("_te")).alias("end"), *trims,
-    )
-    w = Window.partitionBy(*keys).orderBy("start")
-    return kept.unionByName(lost).withColumn("ord", F.row_number().over(w))
 
 
 def plan_cuts(clips: DataFrame, speech: DataFrame, *, max_sec: float = 120.0, keys: Sequence[str] = CLIP) -> DataFrame:
-    """Refine, cut, trim: `keys, ord, start, end, lead_trim, trail_trim`."""
-    refined = refine_bounds(clips.select(*keys, "start", "end"), speech, max_sec=max_sec, keys=keys)
-    return trim_cuts(choose_cuts(refined, speech, keys=keys), speech, keys=keys)
+    """Refine, cut, trim: `keys, ord, start, end, lead_trim, trail_trim`.
+
+    One join brings each clip its voice; the rest are column expressions over that short array.
+    """
+    c = _with_voice(clips.select(*keys, "start", "end"), speech, keys)
+    c = _trimmed(_chosen(_refined(c, lead=0.08, trail=0.35, max_sec=max_sec)))
+    return _exploded(c, "_p", keys, "lead_trim", "trail_trim")
 
 
 def cut_statistics(cuts: DataFrame, keys: Sequence[str] = ("vod_id",)) -> DataFrame:
@@ -159,79 +160,56 @@ def suggested_bounds(
 
     Needs `reaction_peak_t` (NULL without reactions).
     """
-    from clipmine.operators.joins import nearest_onset
-
     keys = ["vod_id", *ids]
-    w = spans.select(*keys, "start", "end")
-    voice = _voice_in(w, speech, keys)
-    order = Window.partitionBy(*keys).orderBy("v_start", "v_end")
-    voice = voice.withColumn("_next", F.lead("v_start").over(order))
-    mid = F.col("c_start") + (F.col("c_end") - F.col("c_start")) * 0.5
-    after_pause = F.when((F.col("_next") - F.col("v_end") >= pause) & (F.col("_next") <= mid), F.col("_next") - 0.08)
-    env = voice.groupBy(*keys).agg(
-        F.min("v_start").alias("_v0"), F.max("v_end").alias("_v1"), F.max(after_pause).alias("_pause")
-    )
-    closing = segments.where(_ends_sentence("text", ends)).select("vod_id", "start", F.col("end"))
-    # `start < seg.end <= end`: a sentence end is a point, met from the other side.
-    points = closing.select("vod_id", (-F.col("end")).alias("t"))
-    mirrored = w.select(*keys, (-F.col("end")).alias("start"), (-F.col("start")).alias("end"))
-    from clipmine.operators.joins import points_in_windows
-
-    hits = points_in_windows(points, mirrored).select(
-        "vod_id", *[F.col("w_" + k).alias(k) for k in ids], (-F.col("t")).alias("_se")
-    )
     s, e = F.col("start"), F.col("end")
-    base = (
-        w.join(env, keys, "left")
-        .withColumn("_s", F.when(F.col("_v0").isNull(), s).otherwise(F.greatest(s, F.col("_v0") - 0.08, F.col("_pause"))))
-        .withColumn("_e", F.when(F.col("_v0").isNull(), e).otherwise(F.least(e, F.col("_v1") + 0.15)))
-        .drop("_v0", "_v1", "_pause")
-    )
-    last = (
-        hits.join(base.select(*keys, "_e"), keys)
-        .where(F.col("_se") <= F.col("_e") + 0.5)
-        .groupBy(*keys)
-        .agg(F.max("_se").alias("_last"))
-    )
-    out = base.join(last, keys, "left").withColumn(
-        "_e", F.when(F.col("_last").isNotNull(), F.greatest(F.col("_s") + 5.0, F.col("_last"))).otherwise(F.col("_e"))
-    )
+    # Snapping below may look up to five seconds past the span.
+    c = _with_voice(spans, speech, keys, after=5.0).withColumn("_h", F.filter("_v", lambda x: (x["end"] > s) & (x["start"] < e)))
+    mid = s + (e - s) * 0.5
+    nxt = lambda i: F.get("_h", i + 1)["start"]
+    pauses = F.transform(
+        "_h", lambda x, i: F.when((nxt(i) - x["end"] >= pause) & (nxt(i) <= mid), nxt(i) - 0.08)
+    )
+    voiced = F.size("_h") > 0
+    c = c.withColumns(
+        {
+            "_s": F.when(voiced, F.greatest(s, F.get("_h", F.lit(0))["start"] - 0.08, F.array_max(pauses))).otherwise(s),
+            "_e": F.when(voiced, F.least(e, F.array_max(F.transform("_h", lambda x: x["end"])) + 0.15)).otherwise(e),
+        }
+    ).drop("_h")
+    c = _last_sentence_end(c, segments, keys, upto=F.least(e, F.col("_e") + 0.5), ends=ends)
+    c = c.withColumn("_e", F.when(F.col("_last").isNotNull(), F.greatest(F.col("_s") + 5.0, F.col("_last"))).otherwise(F.col("_e")))
     if with_chat:
-        out = out.join(spans.select(*keys, "reaction_peak_t"), keys)
         peak = F.col("reaction_peak_t")
-        out = out.withColumn("_e", F.when(peak.isNotNull(), F.greatest("_e", F.least(e, peak + 2.0))).otherwise(F.col("_e")))
-        centre = out.where(peak.isNotNull()).select(
-            *keys, F.greatest(s, peak - lag).alias("start"), F.col("_e").alias("end")
-        )
-        snapped = nearest_onset(speech, centre, ids=ids, lookback=6.0).select(*keys, F.col("start").alias("_snap"))
-        moved = (s <= F.col("_snap")) & (F.col("_snap") <= F.col("_e") - 5.0)
-        out = out.join(snapped, keys, "left").withColumn("_s", F.when(moved, F.greatest(s, F.col("_snap"))).otherwise(F.col("_s")))
+        c = c.withColumn("_e", F.when(peak.isNotNull(), F.greatest("_e", F.least(e, peak + 2.0))).otherwise(F.col("_e")))
+        c = c.withColumn("_snap", snapped_start("_v", F.greatest(s, peak - lag), F.col("_e"), lookback=6.0))
+        moved = peak.isNotNull() & (s <= F.col("_snap")) & (F.col("_snap") <= F.col("_e") - 5.0)
+        c = c.withColumn("_s", F.when(moved, F.greatest(s, F.col("_snap"))).otherwise(F.col("_s"))).drop("_snap")
     bad = F.col("_e") <= F.col("_s") + 1.0
-    out = out.select(
-        *keys,
-        F.when(bad, s).otherwise(F.col("_s")).alias("suggested_start"),
-        F.when(bad, e).otherwise(F.col("_e")).alias("suggested_end"),
-    )
-    return spans.join(out, keys)
+    return c.withColumns(
+        {"suggested_start": F.when(bad, s).otherwise(F.col("_s")), "suggested_end": F.when(bad, e).otherwise(F.col("_e"))}
+    ).drop("_s", "_e", "_v", "_last")
+
+
+def _last_sentence_end(spans: DataFrame, segments: DataFrame, keys: Sequence[str], *, upto: Column, ends: Sequence[str]) -> DataFrame:
+    """Add `_last`: the last segment end `t` with `start < t <= upto` whose text closes a sentence.
+
+    Equal ends are dropped before the join; the spans' other columns ride along.
+    """
+    points = segments.where(_ends_sentence("text", ends)).select("vod_id", F.col("end").alias("_t")).distinct()
+    w = spans.withColumn("_upto", upto)
+    lo, hi = F.floor(F.col("start") / BIN_SEC), F.floor(F.col("_upto") / BIN_SEC)
+    w = w.withColumn("_bin", F.explode(F.sequence(lo, F.greatest(lo, hi))))
+    p = points.withColumn("_bin", F.floor(F.col("_t") / BIN_SEC))
+    rest = [c for c in spans.columns if c not in keys]
+    hit = F.when((F.col("_t") > F.col("start")) & (F.col("_t") <= F.col("_upto")), F.col("_t"))
+    return w.join(p, ["vod_id", "_bin"], "left").groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest], F.max(hit).alias("_last"))
 
 
 def clamp_to_sentence(spans: DataFrame, segments: DataFrame, *, ids: Sequence[str], max_sec: float, ends: Sequence[str]) -> DataFrame:
     """Shorten over-long spans to the last sentence end within `max_sec`, else to `max_sec`."""
-    from clipmine.operators.joins import points_in_windows
-
     keys = ["vod_id", *ids]
-    long = spans.where(F.col("end") - F.col("start") > max_sec).select(
-        *keys, (-(F.col("start") + max_sec + 1e-6)).alias("start"), (-F.col("start")).alias("end")
-    )
-    points = segments.where(_ends_sentence("text", ends)).select("vod_id", (-F.col("end")).alias("t"))
-    last = (
-        points_in_windows(points, long)
-        .groupBy("vod_id", *[F.col("w_" + k).alias(k) for k in ids])
-        .agg(F.max(-F.col("t")).alias("_last"))
-    )
+    c = _last_sentence_end(spans, segments, keys, upto=F.col("start") + max_sec + 1e-6, ends=ends)
     too_long = F.col("end") - F.col("start") > max_sec
-    return (
-        spans.join(last, keys, "left")
-        .withColumn("end", F.when(too_long, F.coalesce("_last", F.col("start") + max_sec)).otherwise(F.col("end")))
-        .drop("_last")
-    )
+    return c.withColumn(
+        "end", F.when(too_long, F.coalesce("_last", F.col("start") + max_sec)).otherwise(F.col("end"))
+    ).drop("_last")

@@ -98,7 +98,7 @@ def signal_features(loudness: DataFrame, emotion: DataFrame, windows: DataFrame,
     """Mean loudness z and strongest emotion per window; 0 where nothing falls in."""
     w = windows.select(*ids, "start", "end")
     keep = [F.col("vod_id")] + [F.col("w_" + c).alias(c) for c in ids if c != "vod_id"]
-    z = points_in_windows(loudness.select("vod_id", "t", "zscore"), w, **kw).groupBy(*keep).agg(F.avg("zscore").alias("_z"))
+    z = points_in_windows(loudness.select("vod_id", "t", "zscore"), w, spread=("t", "zscore"), **kw).groupBy(*keep).agg(F.avg("zscore").alias("_z"))
     e = points_in_windows(emotion.select("vod_id", "t", "score"), w, **kw).groupBy(*keep).agg(F.max("score").alias("_e"))
     return (
         w.join(z, list(ids), "left")
@@ -119,7 +119,7 @@ def score_windows(
     w = windows.select(*IDS, "start", "end")
     text = window_text(segments, w, ids=["win_id"], **kw)
     out = (
-        speech_coverage(speech, windows, ids=["win_id"], **kw)
+        speech_coverage(speech, windows, ids=["win_id"])
         .join(chat_features(marked, w, **kw), list(IDS), "left")
         .join(signal_features(loudness, emotion, w, **kw), list(IDS), "left")
         .join(text, list(IDS), "left")

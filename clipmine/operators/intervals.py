@@ -171,34 +171,68 @@ def slice_transcript(segments: DataFrame, windows: DataFrame, *, ids: Sequence[s
     ).where(F.col("end") > F.col("start"))
 
 
-def _axis_hit(t: Column, lo: Column, hi: Column, is_last: Column) -> Column:
-    return (lo - 1e-6 <= t) & F.when(is_last, t <= hi + 1e-6).otherwise(t < hi - 1e-9)
+def with_axis(df: DataFrame, axis: DataFrame, keys: Sequence[str] = ("vod_id", "clip_id"), *, out: str = "_axis") -> DataFrame:
+    """Attach each clip's keep axis as one short array: one join serves every mapping of the row."""
+    piece = F.struct("ord", "vod_start", "vod_end", "short_start", "short_end")
+    per_clip = axis.groupBy(*keys).agg(F.array_sort(F.collect_list(piece)).alias(out))
+    return df.join(per_clip, list(keys), "left")
+
+
+def _first_hit(axis: Column, t: Column, lo: str, hi: str, value) -> Column:
+    """`value(piece)` of the first piece holding `t`; only the last piece includes its end."""
+    n = F.size(axis)
+    hits = F.filter(
+        F.transform(
+            axis,
+            lambda p, i: F.when(
+                (p[lo] - 1e-6 <= t) & F.when(i == n - 1, t <= p[hi] + 1e-6).otherwise(t < p[hi] - 1e-9), py_round(value(p), 3)
+            ),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    return F.get(hits, F.lit(0))
 
 
-def to_short(points: DataFrame, axis: DataFrame, *, ids: Sequence[str], keys=("vod_id", "clip_id"), t: str = "t", out: str = "short_t") -> DataFrame:
-    """Recording time to clip time on a keep axis; NULL inside a cut."""
-    hits = points.select(*keys, *ids, F.col(t).alias("_t")).join(axis, list(keys)).where(
-        _axis_hit(F.col("_t"), F.col("vod_start"), F.col("vod_end"), F.col("is_last"))
-    )
-    best = hits.groupBy(*keys, *ids).agg(
-        F.min_by(py_round(F.col("short_start") + (F.col("_t") - F.col("vod_start")), 3), "ord").alias(out)
-    )
-    return points.join(best, [*keys, *ids], "left")
+def short_time(t: Column, axis: Column) -> Column:
+    """Recording time to clip time on an axis array; NULL inside a cut."""
+    return _first_hit(axis, t, "vod_start", "vod_end", lambda p: p["short_start"] + (t - p["vod_start"]))
 
 
-def to_vod(points: DataFrame, axis: DataFrame, *, ids: Sequence[str], keys=("vod_id", "clip_id"), t: str = "t", out: str = "vod_t") -> DataFrame:
+def vod_time(t: Column, axis: Column) -> Column:
     """Clip time to recording time; past the end it is the end of the last piece."""
-    tt = F.greatest(F.lit(0.0), F.col("_t"))
-    cand = points.select(*keys, *ids, F.col(t).alias("_t")).join(axis, list(keys))
-    inside = _axis_hit(tt, F.col("short_start"), F.col("short_end"), F.col("is_last"))
-    best = cand.groupBy(*keys, *ids).agg(
-        F.min_by(
-            F.when(inside, py_round(F.col("vod_start") + (tt - F.col("short_start")), 3)),
-            F.when(inside, F.col("ord")),
-        ).alias("_in"),
-        F.max(F.when(F.col("is_last") & (tt > F.col("short_end")), F.col("vod_end"))).alias("_past"),
-    )
-    return points.join(best, [*keys, *ids], "left").withColumn(out, F.coalesce("_in", "_past")).drop("_in", "_past")
+    at = F.greatest(F.lit(0.0), t)
+    inside = _first_hit(axis, at, "short_start", "short_end", lambda p: p["vod_start"] + (at - p["short_start"]))
+    last = F.get(axis, F.size(axis) - 1)
+    return F.when(t.isNotNull(), F.coalesce(inside, F.when(at > last["short_end"], last["vod_end"])))
+
+
+def short_pieces(start: Column, end: Column, axis: Column) -> Column:
+    """A recording span on the clip time line: array of `(a, b)`, pieces of at least 0.05 s."""
+    kept = F.filter(axis, lambda p: F.least(end, p["vod_end"]) - F.greatest(start, p["vod_start"]) >= 0.05)
+    place = lambda p, t: py_round(p["short_start"] + (t - p["vod_start"]), 3)
+    return F.when(
+        end > start,
+        F.transform(
+            kept,
+            lambda p: F.struct(
+                place(p, F.greatest(start, p["vod_start"])).alias("a"), place(p, F.least(end, p["vod_end"])).alias("b")
+            ),
+        ),
+    ).otherwise(F.array().cast("array<struct<a:double,b:double>>"))
+
+
+def to_short(points: DataFrame, axis: DataFrame, *, keys=("vod_id", "clip_id"), t: str = "t", out: str = "short_t") -> DataFrame:
+    return with_axis(points, axis, keys).withColumn(out, short_time(F.col(t), F.col("_axis"))).drop("_axis")
+
+
+def to_vod(points: DataFrame, axis: DataFrame, *, keys=("vod_id", "clip_id"), t: str = "t", out: str = "vod_t") -> DataFrame:
+    return with_axis(points, axis, keys).withColumn(out, vod_time(F.col(t), F.col("_axis"))).drop("_axis")
+
+
+def remap_between(points: DataFrame, old_axis: DataFrame, new_axis: DataFrame, *, keys=("vod_id", "clip_id"), t: str = "t", out: str = "new_t") -> DataFrame:
+    """Clip time on the old axis to clip time on the new one."""
+    both = with_axis(with_axis(points, old_axis, keys, out="_old"), new_axis, keys, out="_new")
+    return both.withColumn("_vod", vod_time(F.col(t), F.col("_old"))).withColumn(out, short_time(F.col("_vod"), F.col("_new"))).drop("_old", "_new", "_vod")
 
 
 def padded_window(spans: DataFrame, *, pad_max: float = 60.0) -> DataFrame:

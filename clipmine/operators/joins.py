@@ -32,6 +32,39 @@ def _prefixed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
     return df.select(*[F.col(c) if c in keys else F.col(c).alias(prefix + c) for c in df.columns])
 
 
+def _join_bins(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[str] | None, **skew) -> DataFrame:
+    if spread is None:
+        return big.join(small, list(keys))
+    return balanced_join(big, small, keys, spread=spread, **skew)
+
+
+def gather_spans(
+    windows: DataFrame,
+    spans: DataFrame,
+    *,
+    ids: Sequence[str],
+    out: str = "inside",
+    keys: Sequence[str] = ("vod_id",),
+    before: float = 0.0,
+    after: float = 0.0,
+    bin_sec: float = BIN_SEC,
+) -> DataFrame:
+    """Add `out`: the sorted `(start, end)` spans overlapping each window, as an array.
+
+    For merged (disjoint) spans only: their number in a window is bounded by its length. The window's
+    other columns ride along, so nothing is joined back and the windows are read once.
+    """
+    s = _explode_bins(spans.select(*keys, "start", "end"), F.col("start"), F.col("end"), bin_sec)
+    s = _prefixed(s, [*keys, "_bin"], "s_").withColumnRenamed("s__first", "_sf")
+    w = _explode_bins(windows, F.col("start") - before, F.col("end") + after, bin_sec).withColumnRenamed("_first", "_wf")
+    hit = (F.col("s_end") > F.col("start") - before) & (F.col("s_start") < F.col("end") + after) & (F.col("_bin") == F.greatest("_sf", "_wf"))
+    rest = [c for c in windows.columns if c not in (*keys, *ids)]
+    found = F.when(hit, F.struct(F.col("s_start").alias("start"), F.col("s_end").alias("end")))
+    return w.join(s, [*keys, "_bin"], "left").groupBy(*keys, *ids).agg(
+        *[F.first(c).alias(c) for c in rest], F.array_sort(F.collect_list(found)).alias(out)
+    )
+
+
 def points_in_windows(
     points: DataFrame,
     windows: DataFrame,
@@ -45,12 +78,14 @@ def points_in_windows(
 ) -> DataFrame:
     """Every (point, window) pair with `start <= t < end` (`<= end` when `closed`).
 
-    Window columns come back with the prefix `w_`.
+    Window columns come back with the prefix `w_`. With `spread` (columns of `points` that tell its
+    rows apart) hot bins are found beforehand and split; raw tables are joined that way. Derived
+    tables have bounded bins and leave the rest to adaptive skew handling.
     """
     p = points.withColumn("_bin", _bin(F.col(t), bin_sec))
     w = _explode_bins(windows, F.col("start"), F.col("end"), bin_sec).drop("_first")
     w = _prefixed(w, [*keys, "_bin"], "w_")
-    joined = balanced_join(p, w, [*keys, "_bin"], spread=spread or [c for c in points.columns], **skew)
+    joined = _join_bins(p, w, [*keys, "_bin"], spread, **skew)
     upper = (F.col(t) <= F.col("w_end")) if closed else (F.col(t) < F.col("w_end"))
     return joined.where((F.col(t) >= F.col("w_start")) & upper).drop("_bin")
 
@@ -65,11 +100,14 @@ def overlapping_spans(
     spread: Sequence[str] | None = None,
     **skew,
 ) -> DataFrame:
-    """Every (span, window) pair with `span.end > start - pad and span.start < end + pad`."""
+    """Every (span, window) pair with `span.end > start - pad and span.start < end + pad`.
+
+    `spread` as for `points_in_windows`.
+    """
     s = _explode_bins(spans, F.col("start"), F.col("end"), bin_sec)
     w = _explode_bins(windows, F.col("start") - pad, F.col("end") + pad, bin_sec)
     w = _prefixed(w, [*keys, "_bin"], "w_")
-    joined = balanced_join(s, w, [*keys, "_bin"], spread=spread or list(spans.columns), **skew)
+    joined = _join_bins(s, w, [*keys, "_bin"], spread, **skew)
     return joined.where(
         (F.col("_bin") == F.greatest("_first", "w__first"))
         & (F.col("end") > F.col("w_start") - pad)
@@ -92,6 +130,7 @@ def window_text(
     from clipmine.functions.text import strip
 
     s = segments.select(*keys, "seg_id", "start", "end", strip("text").alias("text")).where(F.col("text") != "")
+    kw.setdefault("spread", ("seg_id",))
     pairs = overlapping_spans(s, windows.select(*keys, *ids, "start", "end"), keys=keys, **kw)
     parts = F.array_sort(F.collect_list(F.struct("seg_id", "text")))
     return pairs.groupBy(*keys, *_id_columns(windows, ids)).agg(
@@ -99,21 +138,19 @@ def window_text(
     )
 
 
+def coverage(inside, start="start", end="end") -> Column:
+    """Share of `[start, end)` covered by the disjoint spans of an array column, at most 1."""
+    s, e = F.col(start) if isinstance(start, str) else start, F.col(end) if isinstance(end, str) else end
+    total = F.aggregate(inside, F.lit(0.0), lambda a, x: a + overlap_len(x["start"], x["end"], s, e))
+    return F.when(e <= s, 0.0).otherwise(F.least(F.lit(1.0), F.try_divide(total, e - s)))
+
+
 def speech_coverage(
     speech: DataFrame, windows: DataFrame, *, ids: Sequence[str], keys: Sequence[str] = ("vod_id",), **kw
 ) -> DataFrame:
     """Share of each window covered by voice, at most 1; windows without voice are 0."""
-    pairs = overlapping_spans(
-        speech.select(*keys, "start", "end"), windows.select(*keys, *ids, "start", "end"), keys=keys, **kw
-    )
-    covered = pairs.groupBy(*keys, *_id_columns(windows, ids)).agg(
-        F.sum(overlap_len("start", "end", "w_start", "w_end")).alias("_covered")
-    )
-    length = F.col("end") - F.col("start")
-    ratio = F.when(length <= 0, 0.0).otherwise(
-        F.least(F.lit(1.0), F.try_divide(F.coalesce("_covered", F.lit(0.0)), length))
-    )
-    return windows.join(covered, [*keys, *ids], "left").withColumn("speech_ratio", ratio).drop("_covered")
+    g = gather_spans(windows, speech, ids=ids, out="_voice", keys=keys, **kw)
+    return g.withColumn("speech_ratio", coverage("_voice")).drop("_voice")
 
 
 def iou_semi_join(
@@ -159,16 +196,16 @@ def nearest_onset(
     Only intervals that overlap the window and begin at most `lookback` before it count; the earlier
     one wins a tie. Windows without one, and empty windows, stay as they are.
     """
-    pairs = overlapping_spans(
-        speech.select(*keys, "start", "end"), windows.select(*keys, *ids, "start", "end"), keys=keys, **kw
-    ).where(F.col("start") >= F.greatest(F.lit(0.0), F.col("w_start") - lookback))
-    best = pairs.groupBy(*keys, *_id_columns(windows, ids)).agg(
-        F.min_by("start", F.struct(F.abs(F.col("start") - F.col("w_start")), F.col("start"))).alias("_onset")
-    )
-    moved = F.when(
-        F.col("_onset").isNotNull() & (F.col("end") > F.col("start")), F.greatest(F.lit(0.0), F.col("_onset") - lead)
-    ).otherwise(F.col("start"))
-    return windows.join(best, [*keys, *ids], "left").withColumn("start", moved).drop("_onset")
+    g = gather_spans(windows, speech, ids=ids, out="_voice", keys=keys, **kw)
+    return g.withColumn("start", snapped_start("_voice", "start", "end", lookback=lookback, lead=lead)).drop("_voice")
+
+
+def snapped_start(inside, start, end, *, lookback: float = 8.0, lead: float = 0.08) -> Column:
+    """`start` moved to the nearest onset among the spans of an array column (see `nearest_onset`)."""
+    s, e = F.col(start) if isinstance(start, str) else start, F.col(end) if isinstance(end, str) else end
+    near = F.filter(inside, lambda x: (x["end"] > s) & (x["start"] < e) & (x["start"] >= F.greatest(F.lit(0.0), s - lookback)))
+    best = F.array_min(F.transform(near, lambda x: F.struct(F.abs(x["start"] - s).alias("d"), x["start"].alias("t"))))
+    return F.when(best.isNotNull() & (e > s), F.greatest(F.lit(0.0), best["t"] - lead)).otherwise(s)
 
 
 def containing_or_next(
@@ -200,23 +237,18 @@ def best_overlap(
     **kw,
 ) -> DataFrame:
     """The part of each window inside the interval it overlaps most; NULL below `min_overlap`."""
-    pairs = overlapping_spans(
-        speech.select(*keys, "start", "end"), windows.select(*keys, *ids, "start", "end"), keys=keys, **kw
-    )
-    amount = overlap_len("start", "end", "w_start", "w_end")
-    best = pairs.groupBy(*keys, *_id_columns(windows, ids)).agg(
-        F.max(amount).alias("overlap"),
-        F.max_by(
-            F.struct(F.greatest("start", "w_start").alias("lo"), F.least("end", "w_end").alias("hi")),
-            F.struct(amount, -F.col("start")),
-        ).alias("_iv"),
+    g = gather_spans(windows, speech, ids=ids, out="_voice", keys=keys, **kw)
+    parts = F.transform(
+        "_voice",
+        lambda x: F.struct(
+            (F.least(x["end"], F.col("end")) - F.greatest(x["start"], F.col("start"))).alias("amount"), (-x["start"]).alias("first"),
+            F.greatest(x["start"], F.col("start")).alias("lo"), F.least(x["end"], F.col("end")).alias("hi"),
+        ),
     )
-    ok = F.col("overlap") >= min_overlap
+    g = g.withColumn("_best", F.array_max(parts))
+    ok = F.col("_best.amount") >= min_overlap
     return (
-        windows.join(best, [*keys, *ids], "left")
-        .withColumn("in_start", F.when(ok, F.col("_iv.lo")))
-        .withColumn("in_end", F.when(ok, F.col("_iv.hi")))
-        .drop("_iv", "overlap")
+        g.withColumn("in_start", F.when(ok, F.col("_best.lo"))).withColumn("in_end", F.when(ok, F.col("_best.hi"))).drop("_best", "_voice")
     )
 
 

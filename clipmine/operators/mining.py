@@ -41,7 +41,7 @@ def top_tokens(
 ) -> DataFrame:
     """The `n` most frequent tokens of short messages; equal counts in token order."""
     short = _texts(chat).where(F.length("message") <= max_len)
-    tokens = short.select(*keys, F.explode(F.regexp_extract_all("message", F.lit(pattern), 0)).alias("token"))
+    tokens = short.select(*keys, F.explode_outer(F.regexp_extract_all("message", F.lit(pattern), 0)).alias("token")).where(F.col("token").isNotNull())
     counts = tokens.groupBy(*keys, F.lower("token").alias("token")).agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy(*keys).orderBy(F.col("n").desc(), "token")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
@@ -70,9 +70,9 @@ def align_reference(
     )
     text = window_text(segments, starts, ids=["ref_id", "i"])
     grams = text.select("vod_id", "ref_id", "i", tx.alignment_bigrams("text").alias("g"))
-    sized = grams.select("vod_id", "ref_id", "i", F.size("g").alias("size"), F.explode("g").alias("gram"))
+    sized = grams.select("vod_id", "ref_id", "i", F.size("g").alias("size"), F.explode_outer("g").alias("gram")).where(F.col("gram").isNotNull())
     ref = references.select("vod_id", "ref_id", tx.alignment_bigrams("ref_text").alias("g"))
-    ref = ref.select("vod_id", "ref_id", F.size("g").alias("ref_size"), F.explode("g").alias("gram"))
+    ref = ref.select("vod_id", "ref_id", F.size("g").alias("ref_size"), F.explode_outer("g").alias("gram")).where(F.col("gram").isNotNull())
     shared = (
         sized.join(ref, ["vod_id", "ref_id", "gram"])
         .groupBy("vod_id", "ref_id", "i", "size", "ref_size")
