@@ -1 +1,322 @@
-"""Registered queries."""
+"""Registered queries: words, subtitle events, cues, event picks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from clipmine.catalog import query
+from clipmine.catalog.intervals import CHOOSE, KEEP, axis
+from clipmine.catalog.tables import DAY, with_
+from clipmine.operators import cues as cu
+from clipmine.operators import edit as ed
+from clipmine.operators import events as ev
+from clipmine.operators import joins as jn
+from clipmine.plans.clips import edit_plan, rebuild_cues, reproject_cues, subtitle_plan
+
+r6 = lambda c: F.round(c, 6)
+TRIM = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+WORDS = r"""tw AS (SELECT *, i * 1e0 AS pos, s + i * st AS ws, s + i * st + st * 0.9e0 AS we FROM (
+    SELECT *, (e - s) / len(string_split(text, ' ')) AS st, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM turns))"""
+
+
+@query(
+    "cu_words_in_windows",
+    with_(
+        "turns",
+        body=rf"""SELECT w.vod_id, w.seg_id AS win_id, count(*) AS words, round(sum(tw.ws), 4) AS starts FROM turns w JOIN tw ON tw.vod_id = w.vod_id AND (ws + we) / 2 >= w.s + 5 AND (ws + we) / 2 < w.s + 20
+                 WHERE {TRIM.format(c='tw.w')} <> '' AND tw.seg_id % 2 = 0 GROUP BY ALL
+                 UNION ALL SELECT w.vod_id, w.seg_id, count(*), round(sum(greatest(t.s, w.s + 5)), 4) FROM turns w JOIN turns t ON t.vod_id = w.vod_id AND t.seg_id % 2 = 1 AND t.e > w.s + 5 AND t.s < w.s + 20 GROUP BY ALL""",
+        recursive=WORDS,
+    ),
+)
+def _(t):
+    none = F.array().cast(cu.NO_WORDS)
+    seg = t.turn_words.withColumn("words", F.when(F.col("seg_id") % 2 == 0, F.col("words")).otherwise(none))
+    w = t.turns.select("vod_id", F.col("seg_id").alias("win_id"), (F.col("start") + 5.0).alias("start"), (F.col("start") + 20.0).alias("end"))
+    out = cu.words_in_windows(seg, w, ids=["win_id"])
+    return out.groupBy("vod_id", "win_id").agg(F.count(F.lit(1)).alias("words"), F.round(F.sum("start"), 4).alias("starts"))
+
+
+@query(
+    "cu_flat_words",
+    with_(
+        "turns",
+        body=rf"""SELECT vod_id, seg_id, count(*) AS n, round(max(we), 4) AS last FROM tw WHERE seg_id % 2 = 0 AND NOT regexp_matches({TRIM.format(c='w')}, '^[\s.,!?]*$') GROUP BY ALL
+                 UNION ALL SELECT vod_id, seg_id, length(regexp_replace(text, '\s+', '', 'g')), round(e, 4) FROM turns WHERE seg_id % 2 = 1""",
+        recursive=WORDS,
+    ),
+)
+def _(t):
+    seg = t.turn_words.withColumn("words", F.when(F.col("seg_id") % 2 == 0, F.col("words")))
+    out = cu.flat_words(seg, keys=["vod_id"])
+    return out.groupBy("vod_id", "seg_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("end"), 4).alias("last"))
+
+
+RATE = r"length(replace(replace({c}, ' ', ''), chr(10), ''))"
+
+
+@query(
+    "cu_repair_timing",
+    with_(
+        "turns",
+        body=f"""SELECT vod_id, seg_id, bad AS repaired, round(CASE WHEN bad THEN greatest(greatest(s + 0.05e0, e), least(s + n / 4.5e0, coalesce(nx - 0.06e0, s + n / 4.5e0))) ELSE e END, 6) AS "end"
+                 FROM (SELECT *, n / greatest(0.05e0, e - s) > 8 AS bad, lead(s) OVER (PARTITION BY vod_id ORDER BY s) AS nx FROM (SELECT *, {RATE.format(c=TRIM.format(c='text'))} AS n FROM turns))""",
+    ),
+)
+def _(t):
+    seg = t.turns.withColumn("words", F.array().cast(cu.NO_WORDS))
+    return cu.repair_timing(seg, keys=["vod_id"]).select("vod_id", "seg_id", "repaired", r6("end").alias("end"))
+
+
+QUALITY = f"""cl AS (SELECT vod_id, max(s) + 30 AS dur FROM turns GROUP BY vod_id),
+  q AS (SELECT cl.vod_id, coalesce(sum(greatest(0e0, t.e - t.s)), 0e0) / dur AS cover, count(t.vod_id) = 0 OR coalesce(sum(CASE WHEN t.vod_id IS NULL THEN 0e0 ELSE greatest(0e0, t.e - t.s) END), 0e0) / dur < 0.55
+          OR coalesce(bool_or({RATE.format(c='t.text')} >= 14 AND {RATE.format(c='t.text')} / greatest(0.05e0, t.e - t.s) > 16), false) AS bad
+        FROM cl LEFT JOIN (SELECT * FROM turns WHERE role <> 'user') t ON t.vod_id = cl.vod_id GROUP BY cl.vod_id, dur)"""
+
+
+def _clip_tables(t):
+    clips = t.turns.groupBy("vod_id").agg((F.max("start") + 30.0).alias("dur"))
+    slow = t.turns.withColumn("end", F.col("end"))
+    return clips, slow.where(F.col("role") != "user"), slow.where(F.col("role") == "user")
+
+
+@query(
+    "ag_timing_quality",
+    with_("turns", body="SELECT vod_id, round(CASE WHEN cover IS NULL THEN 0e0 ELSE cover END, 6) AS coverage, bad AS needs_fallback FROM q", recursive=QUALITY.replace("> 16", "> 8").replace("coalesce(sum(greatest(0e0, t.e - t.s)), 0e0) / dur AS cover", "sum(CASE WHEN t.vod_id IS NULL THEN 0e0 ELSE greatest(0e0, t.e - t.s) END) / dur AS cover")),
+)
+def _(t):
+    clips, asr, _edit = _clip_tables(t)
+    return cu.timing_quality(asr, clips, keys=["vod_id"]).select("vod_id", r6("coverage").alias("coverage"), "needs_fallback")
+
+
+@query(
+    "jn_choose_transcript",
+    with_(
+        "turns",
+        body="""SELECT vod_id, seg_id, role FROM turns WHERE role <> 'user' AND (vod_id IN (SELECT vod_id FROM q WHERE NOT bad) OR vod_id NOT IN (SELECT vod_id FROM turns WHERE role = 'user'))
+                UNION ALL SELECT vod_id, seg_id, role FROM turns WHERE role = 'user' AND vod_id IN (SELECT vod_id FROM q WHERE bad)""",
+        recursive=QUALITY.replace("> 16", "> 8"),
+    ),
+)
+def _(t):
+    clips, asr, edit = _clip_tables(t)
+    return cu.choose_transcript(asr, edit, clips, keys=["vod_id"]).select("vod_id", "seg_id", "role")
+
+
+# --- cues of the day recordings --------------------------------------------------------------------
+
+
+def clip_cues(t):
+    """The transcript segments of each clip as cues; every third is unpinned, every fifth was moved."""
+    p = jn.overlapping_spans(t.segments.select("vod_id", "seg_id", "start", "end", "text"), t.clips)
+    i = F.col("seg_id")
+    moved = F.when(i % 5 == 0, 2.5).otherwise(0.0)
+    pin = lambda c: F.when(i % 3 != 0, F.col(c))
+    from clipmine.functions import text as tx
+
+    return p.select(
+        "vod_id", F.col("w_clip_id").alias("clip_id"), F.concat(F.lit("c"), i.cast("string")).alias("cue_id"),
+        (F.greatest("start", "w_start") - F.col("w_start") + moved).alias("start"), (F.least("end", "w_end") - F.col("w_start") + moved).alias("end"),
+        pin("start").alias("vod_start"), pin("end").alias("vod_end"), "text", tx.parse_markup("text").alias("words"),
+    )
+
+
+CUES = """cue AS (SELECT c.vod_id, c.clip_id, seg_id, 'c' || seg_id AS cue_id, greatest(x.s, c.s) - c.s + CASE WHEN seg_id % 5 = 0 THEN 2.5e0 ELSE 0e0 END AS a,
+          least(x.e, c.e) - c.s + CASE WHEN seg_id % 5 = 0 THEN 2.5e0 ELSE 0e0 END AS b, CASE WHEN seg_id % 3 <> 0 THEN x.s END AS vs, CASE WHEN seg_id % 3 <> 0 THEN x.e END AS ve, text
+        FROM seg x JOIN clips c ON c.vod_id = x.vod_id AND x.e > c.s AND x.s < c.e)"""
+PROJECT = """pj AS (SELECT cue.clip_id, cue_id, row_number() OVER (PARTITION BY cue.clip_id, cue_id ORDER BY o) - 1 AS j, round_even(s0 + (greatest(vs, v0) - v0), 3) AS pa, round_even(s0 + (least(ve, v1) - v0), 3) AS pb
+          FROM cue JOIN ax ON ax.clip_id = cue.clip_id WHERE vs IS NOT NULL AND ve > vs AND least(ve, v1) - greatest(vs, v0) >= 0.05)"""
+
+
+@query(
+    "cu_project",
+    with_(
+        "clips", "speech", "seg",
+        body="""SELECT clip_id, cue_id || CASE WHEN j > 0 THEN '_' || j ELSE '' END AS cue_id, round(round_even(pa, 2), 2) AS start, round(round_even(pb, 2), 2) AS "end" FROM pj
+                UNION ALL SELECT clip_id, cue_id, round(a, 2), round(b, 2) FROM cue WHERE vs IS NULL""",
+        recursive=", ".join((CHOOSE, KEEP, CUES, PROJECT)),
+    ),
+)
+def _(t):
+    p = cu.project_cues(clip_cues(t), axis(t))
+    return p.select("clip_id", "cue_id", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"))
+
+
+@query(
+    "cu_clamp",
+    with_(
+        "clips", "seg",
+        body="""SELECT clip_id, cue_id, round(x, 2) AS start, round(y, 2) AS "end" FROM (SELECT *, least(greatest(0e0, round_even(a, 2)), 60e0) AS x, least(greatest(0e0, round_even(b, 2)), 60e0) AS y FROM cue) WHERE y - x >= 0.05""",
+        recursive=CUES,
+    ),
+)
+def _(t):
+    dur = t.clips.select("vod_id", "clip_id", F.lit(60.0).alias("dur"))
+    c = cu.clamp_cues(clip_cues(t), dur)
+    return c.select("clip_id", "cue_id", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"))
+
+
+@query(
+    "cu_slice",
+    with_(
+        "clips", "seg",
+        body="""SELECT clip_id, cue_id, round(round_even(greatest(a, 20) - 20, 2), 2) AS start, round(round_even(least(b, 65) - 20, 2), 2) AS "end" FROM cue WHERE least(b, 65) - greatest(a, 20) >= 0.05""",
+        recursive=CUES,
+    ),
+)
+def _(t):
+    c = cu.slice_cues(clip_cues(t), t0=20.0, dur=45.0)
+    return c.select("clip_id", "cue_id", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"))
+
+
+@query(
+    "cu_missing",
+    with_(
+        "clips", "speech", "seg",
+        body="""SELECT f.clip_id, f.cue_id FROM fr f LEFT JOIN cue x ON x.clip_id = f.clip_id AND x.vs IS NOT NULL AND x.seg_id % 2 = 0 AND x.ve > f.vs AND x.vs < f.ve GROUP BY f.clip_id, f.cue_id, f.vs, f.ve
+                HAVING sum(CASE WHEN x.vs IS NULL THEN 0e0 ELSE least(x.ve, f.ve) - greatest(x.vs, f.vs) END) / (f.ve - f.vs) < 0.35""",
+        recursive=CUES + ", fr AS (SELECT * FROM cue WHERE vs IS NOT NULL)",
+    ),
+)
+def _(t):
+    c = clip_cues(t).where(F.col("vod_start").isNotNull())
+    old = c.where(F.substring("cue_id", 2, 20).cast("long") % 2 == 0)
+    return cu.missing_cues(c, old).select("clip_id", "cue_id")
+
+
+@query(
+    "cu_from_transcript",
+    with_(
+        "clips", "speech", "seg",
+        body="""SELECT clip_id, cue_id, round(start, 2) AS start, round(e2, 2) AS "end" FROM (
+                SELECT ax.clip_id, 't' || seg_id || '_' || (row_number() OVER (PARTITION BY ax.clip_id, seg_id ORDER BY o) - 1) AS cue_id,
+                       round_even(round_even(s0 + (greatest(s, v0) - v0), 3), 2) AS start, round_even(round_even(s0 + (least(e, v1) - v0), 3), 2) AS e2
+                FROM seg JOIN ax ON ax.vod_id = seg.vod_id WHERE least(e, v1) - greatest(s, v0) >= 0.05)
+                UNION ALL SELECT clip_id, cue_id, x, y FROM (SELECT d.clip_id, 's' || seg_id AS cue_id, least(greatest(0e0, round_even(s, 2)), dur) AS x, least(greatest(0e0, round_even(least(e, dur), 2)), dur) AS y
+                  FROM (SELECT vod_id, clip_id, arg_max(s1, o) AS dur FROM ax GROUP BY ALL) d JOIN seg ON seg.vod_id = d.vod_id AND e <= dur + 0.5 AND s < dur
+                  WHERE clip_id NOT IN (SELECT ax.clip_id FROM seg JOIN ax ON ax.vod_id = seg.vod_id WHERE least(e, v1) - greatest(s, v0) >= 0.05)) WHERE y - x >= 0.05""",
+        recursive=", ".join((CHOOSE, KEEP)),
+    ),
+)
+def _(t):
+    seg = t.segments.withColumn("ord", F.col("seg_id"))
+    c = cu.cues_from_transcript(seg, axis(t), DAY.flourish_keywords)
+    return c.select("clip_id", "cue_id", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"))
+
+
+@query("cu_ingest")
+def _(t):
+    """Cues carried from the planned cuts to the untrimmed clip."""
+    from clipmine.operators.intervals import keep_axis
+
+    whole = keep_axis(t.clips.withColumn("ord", F.lit(1)))
+    c = cu.ingest_cues(clip_cues(t), axis(t), whole)
+    return c.select("clip_id", "cue_id", "start", "end", "vod_start", "vod_end")
+
+
+@query("flow_reproject_cues")
+def _(t):
+    from clipmine.operators.intervals import keep_axis
+
+    whole = keep_axis(t.clips.withColumn("ord", F.lit(1)))
+    seg = t.segments.withColumn("ord", F.col("seg_id"))
+    return reproject_cues(clip_cues(t), axis(t), whole, seg, DAY.flourish_keywords).select("clip_id", "cue_id", "start", "end", "text")
+
+
+@query("flow_rebuild_cues")
+def _(t):
+    seg = t.segments.withColumn("ord", F.col("seg_id"))
+    return rebuild_cues(clip_cues(t), axis(t), seg, DAY.flourish_keywords).select("clip_id", "cue_id", "start", "end", "text")
+
+
+# --- subtitle events -------------------------------------------------------------------------------
+
+
+def turn_clips(t):
+    seg = t.turn_words.withColumn("clip_id", F.lit(1).cast("long"))
+    speech = t.turns.select("vod_id", F.lit(1).cast("long").alias("clip_id"), "start", "end")
+    return seg, speech
+
+
+@query("cu_subtitle_events")
+def _(t):
+    seg, speech = turn_clips(t)
+    return cu.subtitle_events(seg, speech).select("vod_id", "ord", r6("start").alias("start"), r6("end").alias("end"), "text")
+
+
+@query("flow_subtitles_of_cuts")
+def _(t):
+    plan = edit_plan(t.clips, t.speech, t.segments)
+    return subtitle_plan(plan).select("vod_id", "clip_id", "ord", r6("start").alias("start"), r6("end").alias("end"), "text")
+
+
+@query("cu_split_lines")
+def _(t):
+    return t.lines.select("vod_id", "seg_id", F.array_join(cu.split_lines_udf(14)("text"), "|").alias("split"))
+
+
+@query("cu_karaoke")
+def _(t):
+    w = t.turns.select("vod_id", F.col("seg_id").alias("win_id"), "start", "end")
+    words = cu.words_in_windows(t.turn_words, w, ids=["win_id"])
+    return cu.karaoke_lines(words, ["vod_id", "win_id"])
+
+
+# --- event picks -----------------------------------------------------------------------------------
+
+
+def wide_clips(t):
+    """Every event's neighbourhood as one cut, so that most hold a loudness peak."""
+    return t.clips.select("vod_id", "clip_id", F.lit(1).alias("ord"), F.greatest(F.lit(0.0), F.col("start") - 1800.0).alias("start"), (F.col("end") + 1800.0).alias("end"))
+
+
+@query(
+    "ev_punch_window",
+    with_(
+        "clips", "emo",
+        body="""SELECT clip_id, round(greatest(a, h - 1.7e0), 6) AS start, round(h, 6) AS "end" FROM (
+                  SELECT clip_id, a, b, CASE WHEN pt IS NULL THEN b ELSE least(b, greatest(a, pt - 0.85e0) + 1.7e0) END AS h FROM (
+                    SELECT clip_id, a, b, arg_max(t, score * 1e6 - t / 1e6) AS pt FROM (SELECT vod_id, clip_id, greatest(0e0, s - 1800) AS a, e + 1800 AS b FROM clips) c
+                    LEFT JOIN emo ON emo.vod_id = c.vod_id AND t >= a AND t <= b GROUP BY ALL))""",
+    ),
+)
+def _(t):
+    p = ev.punch_window(t.emotion, wide_clips(t))
+    return p.select("clip_id", r6("start").alias("start"), r6("end").alias("end"))
+
+
+@query("ev_punch_windows")
+def _(t):
+    return ev.punch_windows(t.emotion, wide_clips(t)).select("clip_id", r6("start").alias("start"), r6("end").alias("end"))
+
+
+@query(
+    "ev_shakes",
+    with_(
+        "clips", "emo",
+        recursive="""pk AS (SELECT c.clip_id, t - a AS t, score, kind, greatest(1e0, greatest(0.55e0, least(1.4e0, 0.5e0 + 0.15e0 * score)) * 0.9e0) AS gap FROM (SELECT vod_id, clip_id, greatest(0e0, s - 1800) AS a, e + 1800 AS b FROM clips) c
+            JOIN emo ON emo.vod_id = c.vod_id AND emo.t >= a AND emo.t <= b WHERE kind <> 'burst'),
+          rk AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY score DESC, t) AS k FROM pk),
+          sh AS (SELECT clip_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(t DOUBLE, s DOUBLE)[]) AS c FROM rk GROUP BY clip_id
+            UNION ALL SELECT sh.clip_id, rk.k, CASE WHEN len(c) < 3 AND len(list_filter(c, lambda x: abs(rk.t - x.t) < rk.gap)) = 0 THEN list_append(c, {'t': rk.t, 's': rk.score}) ELSE c END
+            FROM sh JOIN rk ON rk.clip_id = sh.clip_id AND rk.k = sh.k + 1)""",
+        body="SELECT clip_id, round(x.t, 3) AS t, round(x.s, 3) AS score FROM (SELECT clip_id, unnest(c) AS x FROM (SELECT clip_id, arg_max(c, k) AS c FROM sh GROUP BY clip_id))",
+    ),
+)
+def _(t):
+    return ev.plan_shakes(t.emotion, wide_clips(t)).select("clip_id", F.round("t", 3).alias("t"), F.round("score", 3).alias("score"))
+
+
+@query("ev_emphasis_words")
+def _(t):
+    w = t.turn_words.select("vod_id", F.posexplode("words").alias("pos", "w"), "seg_id").select(
+        "vod_id", (F.col("seg_id") * 10000 + F.col("pos")).alias("ord"), "w.start", "w.end", "w.text"
+    )
+    return ev.emphasis_from_words(w, ("tion", "the", "ement", "des"), keys=["vod_id"])
+
+
+@query("ev_emphasis_events")
+def _(t):
+    e = t.turns.select("vod_id", F.col("seg_id").alias("ord"), "start", "end", F.concat(F.lit("{\\q2}"), F.replace("text", F.lit("\n"), F.lit("\\N"))).alias("text"))
+    kept = ev.emphasis_from_events(e, ("tion", "the", "ement", "des"), keys=["vod_id"])
+    return ev.emphasised_text(kept, open_tag="{\\b1}", close_tag="{\\r}").select("vod_id", "t", "frag", "span", "reason", "styled")

@@ -1 +1,129 @@
-"""Registered queries."""
+"""Registered queries: whole flows over the day recordings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from clipmine.catalog import query
+from clipmine.catalog.signals import HIST, THIN
+from clipmine.catalog.tables import DAY, with_
+from clipmine.plans import queue as qu
+from clipmine.plans.candidates import enrich_candidates, score_candidates, softban
+
+r6 = lambda c: F.round(c, 6)
+
+
+def snap(src: str, name: str, lookback: int) -> str:
+    """`name`: rows of `src(vod_id, key, s, e)` with `s` moved to the nearest voice onset."""
+    return f"""{name} AS (SELECT vod_id, key, CASE WHEN o IS NOT NULL AND e > s THEN greatest(0e0, o - 0.08e0) ELSE s END AS s, e FROM (
+      SELECT w.vod_id, w.key, w.s, w.e, arg_min(v.s, abs(v.s - w.s) * 1e6 + v.s / 1e9) AS o FROM {src} w
+      LEFT JOIN speech v ON v.vod_id = w.vod_id AND v.e > w.s AND v.s < w.e AND v.s >= greatest(0e0, w.s - {lookback}) GROUP BY ALL))"""
+
+
+def around(n: int) -> str:
+    return f"""a{n} AS (SELECT vod_id, t AS key, greatest(0e0, least(86400e0, greatest(0e0, t - {n} / 2e0) + {n}) - {n}) AS s, least(86400e0, greatest(0e0, t - {n} / 2e0) + {n}) AS e FROM seeds),
+  {snap(f'a{n}', f'b{n}', 8)},
+  c{n} AS (SELECT vod_id, key, s, least(86400e0, s + {n}) AS e FROM b{n}),
+  d{n} AS (SELECT vod_id, key, greatest(0e0, e - {n}) AS s, e FROM c{n} WHERE e - s < {n} AND s > 0),
+  {snap(f'd{n}', f'f{n}', 4)},
+  g{n} AS (SELECT * FROM c{n} WHERE NOT (e - s < {n} AND s > 0) UNION ALL SELECT * FROM f{n})"""
+
+
+SCORED = ",\n".join(
+    (
+        HIST, THIN, around(600), around(300), "sl AS (SELECT vod_id, win_id * 1e0 AS key, s, e FROM win)", snap("sl", "sn", 8),
+        """al AS (SELECT vod_id, 0 AS source, key, 600 AS wlen, s, e FROM g600 UNION ALL SELECT vod_id, 0, key, 300, s, e FROM g300 UNION ALL SELECT vod_id, 1, key, 0, s, e FROM sn),
+  al2 AS (SELECT *, row_number() OVER () AS id, e - s AS len FROM al),
+  fc AS (SELECT id, count(*) AS n, count(*) FILTER (message = 'purchase') AS la, count(*) FILTER (message = 'error') AS co, count(*) FILTER (message = 'signup') AS cu,
+           sum(CASE WHEN message = 'click' THEN 1 WHEN message IN ('purchase', 'error', 'view') THEN 1 ELSE 0 END) AS kw FROM al2 JOIN ev ON ev.vod_id = al2.vod_id AND t >= s AND t < e GROUP BY id),
+  fz AS (SELECT id, avg(z) AS z FROM al2 JOIN loud l ON l.vod_id = al2.vod_id AND t >= s AND t < e GROUP BY id),
+  fe AS (SELECT id, max(score) AS em FROM al2 JOIN emo l ON l.vod_id = al2.vod_id AND t >= s AND t < e GROUP BY id),
+  fs AS (SELECT id, least(1e0, sum(least(al2.e, v.e) - greatest(al2.s, v.s)) / any_value(len)) AS sp FROM al2 JOIN speech v ON v.vod_id = al2.vod_id AND v.e > al2.s AND v.s < al2.e GROUP BY id),
+  ftx AS (SELECT id, string_agg(trim(text), '' ORDER BY seg_id) AS x FROM al2 JOIN seg v ON v.vod_id = al2.vod_id AND v.e > al2.s AND v.s < al2.e GROUP BY id),
+  sc AS (SELECT al2.*, coalesce(z, 0e0) AS z, coalesce(em, 0e0) AS em, coalesce(sp, 0e0) AS sp, coalesce(x, '') AS x, CAST(coalesce(kw, 0) AS BIGINT) AS kw,
+      coalesce(n, 0) / len AS den, least(2e0, coalesce(la, 0) / len) + 0.7e0 * least(2e0, coalesce(co, 0) / len) AS react, least(3e0, coalesce(cu, 0) * 1.5e0) AS cue,
+      CAST((length(coalesce(x, '')) - length(replace(coalesce(x, ''), 'u1', ''))) // 2 + (length(coalesce(x, '')) - length(replace(coalesce(x, ''), 'k7', ''))) // 2 AS BIGINT) AS hits
+    FROM al2 LEFT JOIN fc USING (id) LEFT JOIN fz USING (id) LEFT JOIN fe USING (id) LEFT JOIN fs USING (id) LEFT JOIN ftx USING (id)),
+  sv AS (SELECT *, 2e0 * den + 0.8e0 * greatest(0e0, z) + 1.4e0 * hits + 1.2e0 * kw + 1.6e0 * react + 2.5e0 * cue + em + 0.5e0 * sp AS score FROM sc),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vod_id, source, key ORDER BY score DESC, wlen DESC) AS rn FROM sv) WHERE rn = 1)""",
+    )
+)
+
+
+@query(
+    "flow_score_candidates",
+    with_(
+        "ev", "loud", "emo", "vods", "speech", "seg", "win",
+        body="""SELECT vod_id, CAST(source AS INTEGER) AS source, round(key, 3) AS place, round(s, 5) AS start, round(e, 5) AS "end", round(score, 5) AS score, hits AS keyword_hits, kw AS chat_kw_hits, round(sp, 5) AS speech_ratio, round(em, 5) AS emotion_score FROM best""",
+        recursive=SCORED,
+    ),
+)
+def _(t):
+    c = score_candidates(t.recordings, DAY)
+    r5 = lambda x: F.round(x, 5).alias(x)
+    return c.select("vod_id", "source", F.round("place", 3).alias("place"), r5("start"), r5("end"), r5("score"), "keyword_hits", "chat_kw_hits", r5("speech_ratio"), r5("emotion_score"))
+
+
+def ban(o: float, i: float) -> str:
+    return f"""least(CASE WHEN outro THEN {max(0.05, o)}e0 WHEN s >= 86400 * 0.92e0 THEN 0.55e0 ELSE 1e0 END,
+      CASE WHEN intro AND s < 86400 * 0.08e0 THEN {max(0.05, i)}e0 WHEN intro THEN {max(0.12, i * 1.2):.2f}e0 WHEN s < 86400 * 0.08e0 THEN 0.65e0 ELSE 1e0 END)"""
+
+
+@query(
+    "fn_softban",
+    with_(
+        "win", "seg",
+        body=f"""SELECT vod_id, CAST(win_id AS BIGINT) AS win_id, intro AS is_intro, outro AS is_outro, round({ban(0.15, 0.15)}, 6) AS multiplier FROM (
+                   SELECT *, contains(x, 'k12') OR contains(x, 'u33') AS intro, contains(x, 'k9') OR contains(x, 'u44') AS outro FROM (
+                     SELECT w.vod_id, win_id, w.s, coalesce(string_agg(text, '' ORDER BY seg_id), '') AS x FROM win w LEFT JOIN seg g ON g.vod_id = w.vod_id AND g.e > w.s AND g.s < w.e GROUP BY ALL))""",
+    ),
+)
+def _(t):
+    from clipmine.catalog.signals import windows
+    from clipmine.operators.joins import window_text
+
+    w = windows(t)
+    x = w.join(window_text(t.segments, w, ids=["win_id"]), ["vod_id", "win_id"], "left").withColumns(
+        {"duration_sec": F.lit(86400.0), "content_type": F.lit("talk")}
+    )
+    return softban(x, DAY, text="text").select("vod_id", "win_id", "is_intro", "is_outro", r6("multiplier").alias("multiplier"))
+
+
+@query("flow_enriched_candidates")
+def _(t):
+    e = enrich_candidates(score_candidates(t.recordings, DAY), t.recordings, DAY)
+    return e.select("vod_id", "source", "place", "start", "end", r6("score").alias("score"), "multiplier", "is_intro", "is_outro", "suggested_start", "suggested_end")
+
+
+@query("flow_review_queue")
+def _(t):
+    ranked = qu.ranked_candidates(t.recordings, DAY)
+    return qu.review_queue(ranked, DAY).select("vod_id", "rank", "start", "end", r6("rank_score").alias("rank_score"), "title", "action")
+
+
+@query("sink_review_view")
+def _(t):
+    from clipmine.operators.reports import review_view
+
+    ranked = qu.ranked_candidates(t.recordings, DAY)
+    return review_view(qu.review_queue(ranked, DAY))
+
+
+@query("flow_arc_highlights")
+def _(t):
+    return qu.highlights(t.recordings, DAY, auto_arcs=True).select("vod_id", "id", "start", "end", "title", "reason", r6("score").alias("score"), "chapter_id")
+
+
+@query("flow_reviewed_highlights")
+def _(t):
+    """Reviewers follow the suggested actions."""
+    from clipmine.session import cut_lineage
+
+    ranked = cut_lineage(qu.ranked_candidates(t.recordings, DAY))
+    queue = cut_lineage(qu.review_queue(ranked, DAY))
+    none = F.lit(None)
+    d = queue.select(
+        "vod_id", F.col("rank").alias("candidate_id"), "action", F.col("rank").alias("ord"), none.cast("double").alias("start"),
+        none.cast("double").alias("end"), none.cast("string").alias("title"), none.cast("string").alias("hook"),
+    )
+    return qu.reviewed_highlights(ranked, queue, d, DAY).select("vod_id", "id", "start", "end", "title", "start_display", "end_display")

@@ -1 +1,173 @@
-"""Registered queries."""
+"""Registered queries: ingest, normalisation, configuration, sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from clipmine.catalog import query
+from clipmine.catalog.tables import with_
+from clipmine.functions import text as tx
+from clipmine.operators import reports as rp
+from clipmine.operators.review import best_artifact
+from clipmine.sources import artifacts, chat, config, sinks
+
+
+def dumps(t):
+    """Every event as a one-line dump: half flat items, half nested replay actions, with a bad line."""
+    ms = F.rint(F.col("t") * 1000).cast("long")
+    flat = F.to_json(F.struct((ms / 1000.0).alias("time_in_seconds"), F.struct(F.col("author").alias("name")).alias("author"), F.col("message").alias("message")))
+    runs = F.struct(F.array(F.struct(F.col("message").alias("text")), F.struct(F.lit("!").alias("text"))).alias("runs"))
+    body = F.struct(runs.alias("message"), F.struct(F.col("author").alias("simpleText")).alias("authorName"))
+    item = F.struct(F.struct(F.lit("x").alias("a")).alias("liveChatPlaceholderItemRenderer"), body.alias("liveChatTextMessageRenderer"))
+    action = F.struct(ms.cast("string").alias("videoOffsetTimeMsec"), F.array(F.struct(F.struct(item.alias("item")).alias("addChatItemAction"))).alias("actions"))
+    nested = F.to_json(F.struct(action.alias("replayChatItemAction")))
+    line = F.when(F.col("seq") % 2 == 0, flat).otherwise(nested)
+    value = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("not json\n"), line)).when(F.col("seq") % 3 == 1, F.concat(F.lit("["), line, F.lit("]"))).otherwise(
+        F.concat(F.lit('{"events": ['), line, F.lit("]}"))
+    )
+    return t.events.select("vod_id", F.col("seq").cast("string").alias("file"), value.alias("value"))
+
+
+@query(
+    "src_chat_dump",
+    with_("ev", body="""SELECT vod_id, CAST(seq AS VARCHAR) AS file, round_even(t * 1000, 0) / 1000e0 AS t, author, message || CASE WHEN seq % 2 = 0 THEN '' ELSE '!' END AS message FROM ev"""),
+)
+def _(t):
+    return chat.normalise(chat.parse_dumps(dumps(t))).select("vod_id", F.col("seq.file").alias("file"), "t", "author", "message")
+
+
+@query(
+    "src_chat_dedupe",
+    with_("ev", body="SELECT vod_id, min(seq) AS seq, message FROM ev GROUP BY vod_id, author, message, floor(t / 3600)"),
+)
+def _(t):
+    hourly = t.chat.withColumn("t", F.floor(F.col("t") / 3600) * 1.0)
+    copies = hourly.unionByName(hourly.withColumn("seq", F.col("seq") + 10_000_000))
+    return chat.deduplicate(copies).select("vod_id", "seq", "message")
+
+
+@query(
+    "src_chat_error",
+    """SELECT event_id, CASE event_type WHEN 'purchase' THEN 'http' WHEN 'error' THEN 'timeout' WHEN 'signup' THEN 'members' WHEN 'click' THEN 'cookies' ELSE 'parse' END AS kind,
+              CASE event_type WHEN 'purchase' THEN 'http;hint=set_YTDLP_COOKIES_or_YTDLP_BROWSER=chrome+prefer_Cursor_review' WHEN 'error' THEN 'timeout;hint=set_YTDLP_COOKIES_or_YTDLP_BROWSER=chrome'
+                WHEN 'signup' THEN 'members;hint=set_YTDLP_COOKIES_or_YTDLP_BROWSER=chrome' WHEN 'click' THEN 'cookies;hint=set_YTDLP_COOKIES_or_YTDLP_BROWSER=chrome+prefer_Cursor_review'
+                ELSE 'parse;hint=set_YTDLP_COOKIES_or_YTDLP_BROWSER=chrome+install_node_for_ytdlp_js+prefer_Cursor_review' END AS hint FROM events""",
+)
+def _(t):
+    raw = F.create_map(
+        *[F.lit(x) for p in {"purchase": "HTTP 403 Forbidden", "error": "Read timed out (json)", "signup": "Members only content", "click": "bad Cookie file", "view": "cannot decode body"}.items() for x in p]
+    )
+    e = t.read("events").select("event_id", tx.chat_error_kind(raw[F.col("event_type")]).alias("kind"))
+    return e.withColumn("hint", tx.chat_error_hint("kind"))
+
+
+@query(
+    "src_metadata",
+    """SELECT CAST(doc_id AS VARCHAR) AS vod_id, source AS channel, n_chars * 1e0 AS duration_sec, CASE doc_id % 4 WHEN 0 THEN 'game' WHEN 1 THEN 'talk' WHEN 2 THEN 'game' ELSE 'unknown' END AS stream_type,
+              lang AS channel_id, CASE doc_id % 3 WHEN 0 THEN '20240102' WHEN 1 THEN '20231130' END AS upload_date FROM documents""",
+)
+def _(t):
+    d = t.read("documents")
+    mod = lambda n, k: F.col("doc_id") % n == k
+    info = d.select(
+        F.col("doc_id").cast("string").alias("vod_id"),
+        F.when(mod(4, 0), "Minecraft 日").when(mod(4, 1), "深夜雜談").when(mod(4, 2), "radio GAME").otherwise("42").alias("title"),
+        F.when(mod(2, 0), F.col("source")).alias("channel"), F.col("source").alias("uploader"), F.col("n_chars").cast("double").alias("duration"),
+        F.lit("").alias("channel_id"), F.col("lang").alias("uploader_id"), F.when(mod(3, 0), "20240102").when(mod(3, 2), "2024").alias("upload_date"),
+        F.when(mod(3, 1), "20231130").alias("release_date"),
+    )
+    return artifacts.normalise_metadata(info).select("vod_id", "channel", "duration_sec", "stream_type", "channel_id", "upload_date")
+
+
+@query(
+    "src_video_id",
+    r"""SELECT page_id, CASE WHEN regexp_extract(url, '[?&]v=([^&#]*)', 1) <> '' THEN regexp_extract(url, '[?&]v=([^&#]*)', 1)
+               WHEN regexp_extract(regexp_replace(regexp_extract(url, '^[a-zA-Z][\w+.-]*://[^/?#]*([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1) <> ''
+               THEN regexp_extract(regexp_replace(regexp_extract(url, '^[a-zA-Z][\w+.-]*://[^/?#]*([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1) ELSE 'unknown' END AS video_id FROM pages""",
+)
+def _(t):
+    return t.read("pages").select("page_id", tx.video_id("url").alias("video_id"))
+
+
+@query(
+    "src_alias",
+    r"""SELECT p.page_id, arg_min(b.host, b.page_id) AS alias FROM pages p LEFT JOIN (SELECT page_id, regexp_extract(url, '//([^/.?#]{6,})', 1) AS host FROM pages WHERE page_id % 10 = 0) b
+        ON b.host <> '' AND list_contains(regexp_extract_all(p.url, '[A-Za-z0-9_-]{6,}'), b.host) GROUP BY p.page_id""",
+)
+def _(t):
+    p = t.read("pages")
+    known = p.where(F.col("page_id") % 10 == 0).select(F.col("page_id").alias("ord"), F.regexp_extract("url", r"//([^/.?#]{6,})", 1).alias("video_id"))
+    known = known.where(F.col("video_id") != "").withColumn("alias", F.col("video_id"))
+    return config.alias_of(p.select("page_id", "url"), known).select("page_id", "alias")
+
+
+@query(
+    "src_channel_config",
+    """SELECT CAST(doc_id AS VARCHAR) AS vod_id, CASE WHEN lang IN ('fr') THEN 'fr' WHEN source IN ('src1', 'src2') THEN source ELSE 'default' END AS channel_config,
+              CAST(CASE WHEN lang IN ('fr') THEN 10 WHEN source IN ('src1') THEN 1 WHEN source IN ('src2') THEN 2 ELSE 0 END AS INTEGER) AS zoom FROM documents""",
+)
+def _(t):
+    ch = t.spark.createDataFrame([("fr", 10), ("src1", 1), ("src2", 2), ("default", 0)], "name string, zoom int")
+    v = t.read("documents").select(
+        F.col("doc_id").cast("string").alias("vod_id"), F.when(F.col("lang") == "fr", " FR ").otherwise("").alias("channel_id"), F.col("source").alias("channel")
+    )
+    return config.channel_overrides(v, ch)
+
+
+@query(
+    "sink_first_candidates",
+    with_("ranked", body="SELECT vod_id, CAST(win_id AS BIGINT) AS win_id FROM ranked WHERE candidate_id <= 200"),
+)
+def _(t):
+    from clipmine.catalog.selection import ranked
+
+    return sinks.first_candidates(ranked(t), 200).select("vod_id", "win_id")
+
+
+STAMP = "printf('%02d:%02d:%02d,%03d', {m} // 3600000, {m} % 3600000 // 60000, {m} % 60000 // 1000, {m} % 1000)"
+
+
+@query(
+    "sink_srt",
+    with_(
+        "turns",
+        body=rf"""SELECT vod_id, seg_id, seg_id || chr(10) || {STAMP.format(m='a')} || ' --> ' || {STAMP.format(m='b')} || chr(10) || regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10) AS block
+                 FROM (SELECT *, CAST(round_even(s * 1000, 0) AS BIGINT) AS a, CAST(round_even(e * 1000, 0) AS BIGINT) AS b FROM turns)""",
+    ),
+)
+def _(t):
+    return sinks.srt_blocks(t.turns)
+
+
+@query(
+    "src_latest_job",
+    r"""SELECT alias, arg_max(url, page_id) AS path, max(page_id) AS modified FROM (SELECT *, regexp_extract(url, '//([^/]*)', 1) AS alias FROM pages) GROUP BY alias""",
+)
+def _(t):
+    f = t.read("pages").select(F.regexp_extract("url", "//([^/]*)", 1).alias("alias"), F.col("url").alias("path"), F.col("page_id").alias("modified"))
+    return rp.latest_job(f)
+
+
+@query(
+    "src_log_marker",
+    with_(
+        "doclines",
+        body=r"""SELECT vod_id AS job_id, CASE WHEN count(DISTINCT nullif(regexp_extract(text, 'th([a-m])', 1), '')) > 0 THEN count(DISTINCT nullif(regexp_extract(text, 'th([a-m])', 1), ''))
+                 ELSE CAST(sum((length(text) - length(replace(text, 'ou', ''))) // 2) AS BIGINT) END AS marked FROM doclines WHERE contains(text, 'ou') GROUP BY vod_id""",
+    ),
+)
+def _(t):
+    return rp.marker_count(t.lines.select(F.col("vod_id").alias("job_id"), F.col("text").alias("value")), "ou", "th([a-m])")
+
+
+@query(
+    "fn_best_artifact",
+    """SELECT job_id, CASE r WHEN 0 THEN 'final' WHEN 1 THEN 'styled' ELSE 'sub' END AS kind, first FROM (
+         SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY r) AS rn FROM (
+           SELECT source AS job_id, doc_id % 4 AS r, min(doc_id) AS first FROM documents WHERE doc_id % 4 < 3 GROUP BY source, doc_id % 4)) WHERE rn = 1""",
+)
+def _(t):
+    kind = F.when(F.col("doc_id") % 4 == 0, "final").when(F.col("doc_id") % 4 == 1, "styled").when(F.col("doc_id") % 4 == 2, "sub").otherwise("other")
+    a = t.read("documents").select(F.col("source").alias("job_id"), kind.alias("kind"), F.col("doc_id").alias("path"))
+    first = a.groupBy("job_id", "kind").agg(F.min("path").alias("path"))
+    return best_artifact(first, ["final", "styled", "sub"], keys=["job_id"]).select("job_id", "kind", F.col("path").alias("first"))

@@ -1 +1,147 @@
-"""Registered queries."""
+"""Registered queries: streaming operators replayed over the events table.
+
+Each reads `events` as a stream, runs until the data is used up, and returns what the sink holds.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from clipmine.catalog import query
+from clipmine.catalog.reports import review_events
+from clipmine.catalog.tables import DAY, with_
+from clipmine.session import shared_dir
+from clipmine.streaming import chat as sc
+from clipmine.streaming import progress, stateful
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+EPOCH = "TIMESTAMP '1970-01-01 00:00:00'"
+
+
+def source(t, name: str = "events") -> DataFrame:
+    schema = t.read(name).schema
+    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.dir)
+
+
+def chat_stream(t) -> DataFrame:
+    return source(t).select(
+        F.to_date("ts").cast("string").alias("vod_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("user_id").cast("string").alias("author"), F.col("event_type").alias("message"),
+    )
+
+
+def drain(df: DataFrame, mode: str = "append") -> DataFrame:
+    """Run the stream to its end into files of the shared folder and read them back."""
+    base = f"{shared_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    q = (
+        df.writeStream.outputMode(mode).format("parquet").option("path", base + "/out").option("checkpointLocation", base + "/cp")
+        .trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(base + "/out")
+
+
+def seconds(c: str):
+    return F.expr(f"timestampdiff(SECOND, {EPOCH}, {c})")
+
+
+CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+
+
+@query(
+    "st_chat_bins",
+    f"""SELECT strftime(b, '%Y-%m-%d') AS vod_id, CAST(epoch(b) AS BIGINT) AS start, n, round(react, 6) AS react FROM (
+          SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS b, count(*) AS n, sum(CASE event_type WHEN 'purchase' THEN 1e0 WHEN 'error' THEN 0.8e0 WHEN 'signup' THEN 2.5e0 ELSE 0e0 END) AS react FROM events GROUP BY ALL)
+        WHERE b + INTERVAL 5 MINUTE <= {CLOSED}""",
+)
+def _(t):
+    out = drain(sc.bins(sc.mark(chat_stream(t), DAY), width="5 minutes"))
+    return out.select("vod_id", seconds("start").alias("start"), "n", F.round("react", 6).alias("react"))
+
+
+@query(
+    "st_sliding_features",
+    f"""SELECT vod_id, CAST(epoch(b) AS BIGINT) AS start, round(n / 600e0, 6) AS chat_density, round(least(3e0, cu * 1.5e0), 6) AS chat_cue FROM (
+          SELECT strftime(ts, '%Y-%m-%d') AS vod_id, time_bucket(INTERVAL 5 MINUTE, ts) - i * INTERVAL 5 MINUTE AS b, count(*) AS n, count(*) FILTER (event_type = 'signup') AS cu FROM events, (SELECT unnest([0, 1]) AS i) GROUP BY ALL)
+        WHERE b + INTERVAL 10 MINUTE <= {CLOSED}""",
+)
+def _(t):
+    out = drain(sc.sliding_features(sc.mark(chat_stream(t), DAY), width_sec=600, step_sec=300))
+    return out.select("vod_id", seconds("start").alias("start"), F.round("chat_density", 6).alias("chat_density"), F.round("chat_cue", 6).alias("chat_cue"))
+
+
+@query(
+    "st_reaction_sessions",
+    f"""SELECT vod_id, CAST(epoch_ms(min(ts)) AS BIGINT) AS start_ms, count(*) AS n FROM (
+          SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 5 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY vod_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (
+            SELECT strftime(ts, '%Y-%m-%d') AS vod_id, ts, lag(ts) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts) AS p FROM events WHERE event_type IN ('purchase', 'error', 'signup')))
+        GROUP BY vod_id, g HAVING max(ts) + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events WHERE event_type IN ('purchase', 'error', 'signup'))""",
+)
+def _(t):
+    out = drain(sc.reaction_sessions(sc.mark(chat_stream(t), DAY), gap="5 minutes"))
+    return out.select("vod_id", F.expr(f"timestampdiff(MILLISECOND, {EPOCH}, start)").alias("start_ms"), "n")
+
+
+@query("st_deduplicate", with_("ev", body="SELECT vod_id, seq FROM ev"))
+def _(t):
+    c = chat_stream(t)
+    twice = c.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+    return drain(sc.deduplicated(twice)).select("vod_id", "seq")
+
+
+def _rocks(t):
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+
+
+@query("st_burst_seeds")
+def _(t):
+    _rocks(t)
+    bins = sc.mark(chat_stream(t), DAY).withWatermark("ts", "10 minutes").groupBy("vod_id", F.window("ts", "5 minutes").alias("w")).agg(
+        F.sum(sc._strength()).alias("react")
+    )
+    rows = bins.select("vod_id", F.window_time("w").alias("ts"), (seconds("w.start") % 86400).cast("double").alias("t"), "react").where(F.col("react") > 0)
+    return drain(stateful.burst_seeds(rows, lag=30.0, gap=600.0))
+
+
+@query("st_review_states")
+def _(t):
+    """The change log of clip states, reduced to the last state per clip."""
+    _rocks(t)
+
+    class Stream:
+        def read(self, name):
+            return source(t, name)
+
+    from clipmine.operators.review import total_score
+
+    e = review_events(Stream()).select("reviewer", "seq", "kind", "job_id", "n", total_score().alias("total"))
+    base = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        # Rows arrive in change order within a reviewer's partition.
+        batch.withColumn("change", F.monotonically_increasing_id()).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{base}/out/b={batch_id}")
+
+    q = stateful.review_states(e).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", base + "/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    log = t.spark.read.parquet(base + "/out")
+    last = log.groupBy("reviewer", "job_id", "n").agg(F.max_by(F.struct("total", "status", "submitted"), F.struct("batch", "change")).alias("s"))
+    return last.select("reviewer", "job_id", "n", "s.total", "s.status", "s.submitted")
+
+
+@query("st_job_progress")
+def _(t):
+    from clipmine.operators.reports import STEPS
+
+    name = F.get(F.array(*[F.lit(s) for s in STEPS]), (F.col("event_id") % 8).cast("int"))
+    e = source(t).select(
+        F.concat(F.lit("j"), F.col("user_id").cast("string")).alias("job_id"), name.alias("step"),
+        F.when(F.col("event_type") == "purchase", "done").otherwise("running").alias("status"), F.lit(None).cast("string").alias("error"), F.col("event_id").alias("ts"),
+    )
+    base = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    q = e.writeStream.foreachBatch(progress.upsert_progress(base)).option("checkpointLocation", base + "/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = q.lastProgress["batchId"] if q.lastProgress else 0
+    return t.spark.read.parquet(f"{base}/jobs/v{last}")

@@ -341,17 +341,14 @@ def wrap_span(payload, offset, frag, open_tag: str, close_tag: str) -> Column:
     first, last = col(offset), col(offset) + F.length(col(frag)) - 1
 
     def render(units):
-        before = lambda i: F.size(F.filter(F.slice(units, F.lit(1), i), lambda u: ~is_break(u)))
-        return F.array_join(
-            F.transform(
-                units,
-                lambda u, i: F.concat(
-                    F.when(~is_break(u) & (before(i) == first), F.lit(open_tag)).otherwise(""),
-                    u,
-                    F.when(~is_break(u) & (before(i) == last), F.lit(close_tag)).otherwise(""),
-                ),
+        text = F.filter(F.sequence(F.lit(0), F.size(units) - 1), lambda i: ~is_break(F.get(units, i)))
+        part = lambda lo, n: F.array_join(F.slice(units, lo + 1, n), "")
+        return let(
+            F.struct(F.get(text, first).alias("a"), F.get(text, last).alias("b")),
+            lambda at: F.concat(
+                part(F.lit(0), at["a"]), F.lit(open_tag), part(at["a"], at["b"] - at["a"] + 1), F.lit(close_tag),
+                part(at["b"] + 1, F.greatest(F.lit(0), F.size(units) - at["b"] - 1)),
             ),
-            "",
         )
 
     return let(F.regexp_extract_all(col(payload), F.lit(r"(?s)(\\N|.)"), 1), render)

@@ -52,24 +52,15 @@ def topic_chapters(
     """`vod_id, id, start, end`: chapters cut at topic changes and split at `max_sec`.
 
     A block without text takes over its predecessor's pairs, so only neighbouring blocks *with* text
-    are compared, and the cut lies right before the later one. Similarity comes from an equi-join on
-    the pair itself; no block's set is collected.
+    are compared, and the cut lies right before the later one.
     """
     blocks = _blocks(vods, block_sec)
-    grams = _span_pairs(segments, blocks, "block", char_class).select("vod_id", "block", "gram").distinct()
-    sizes = grams.groupBy("vod_id", "block").agg(F.count(F.lit(1)).alias("size"))
+    # The rows of a block are together already (for the pair across segments), so its set needs no
+    # further shuffle; a set is bounded by the alphabet's pairs, not by the rows.
+    sets = _span_pairs(segments, blocks, "block", char_class).groupBy("vod_id", "block").agg(F.collect_set("gram").alias("g"))
     order = Window.partitionBy("vod_id").orderBy("block")
-    steps = sizes.withColumn("prev", F.lag("block").over(order)).withColumn("prev_size", F.lag("size").over(order))
-    steps = steps.where(F.col("prev").isNotNull())
-    later = grams.join(steps.select("vod_id", "block", "prev"), ["vod_id", "block"])
-    earlier = grams.withColumnRenamed("block", "prev")
-    common = later.join(earlier, ["vod_id", "prev", "gram"]).groupBy("vod_id", "block").agg(F.count(F.lit(1)).alias("both"))
-    both = F.coalesce("both", F.lit(0))
-    cuts = (
-        steps.join(common, ["vod_id", "block"], "left")
-        .where(both / (F.col("size") + F.col("prev_size") - both) < threshold)
-        .select("vod_id", F.col("block"), F.lit(1).alias("cut"))
-    )
+    steps = sets.withColumn("_prev", F.lag("g").over(order)).withColumn("_sim", tx.jaccard("g", "_prev"))
+    cuts = steps.where(F.col("_prev").isNotNull() & (F.col("_sim") < threshold)).select("vod_id", "block", F.lit(1).alias("cut"))
     short = vods.select("vod_id", (F.col("duration_sec") <= min_sec).alias("_short"))
     chained = (
         blocks.join(cuts, ["vod_id", "block"], "left")

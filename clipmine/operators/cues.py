@@ -153,7 +153,7 @@ def subtitle_events(segments: DataFrame, speech: DataFrame, *, tokenize: lines.T
     schema = f"vod_id string, clip_id {dict(segments.dtypes)['clip_id']}, ord int, start double, end double, text string"
     return (
         repaired.groupBy(*CLIP)
-        .cogroup(speech.select(*CLIP, "start", "end").groupBy(*CLIP))
+        .cogroup(_renamed(speech.select(*CLIP, "start", "end")).groupBy(*CLIP))
         .applyInPandas(fold, schema)
     )
 
@@ -356,13 +356,19 @@ def merge_cue_edits(old: DataFrame, fresh: DataFrame, keys: Sequence[str] = CLIP
     """
     from clipmine.operators.cue_edits import merge_clip
 
-    types = dict(fresh.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in fresh.columns)
+    types, columns = dict(fresh.dtypes), list(fresh.columns)
+    schema = ", ".join(f"{c} {types[c]}" for c in columns)
 
     def fold(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         rows = merge_clip(a.to_dict("records"), b.to_dict("records"))
         for r in rows:
             r.update(zip(keys, key))
-        return pd.DataFrame(rows, columns=fresh.columns)
+        return pd.DataFrame(rows, columns=columns)
 
-    return old.select(*fresh.columns).groupBy(*keys).cogroup(fresh.groupBy(*keys)).applyInPandas(fold, schema)
+    other = _renamed(old.select(*columns))
+    return other.groupBy(*keys).cogroup(fresh.groupBy(*keys)).applyInPandas(fold, schema)
+
+
+def _renamed(df: DataFrame) -> DataFrame:
+    """The same columns as new attributes, so that both sides of a co-group may share their origin."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])

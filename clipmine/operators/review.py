@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Iterable, Iterator, Sequence
+from typing import Any, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -78,7 +78,7 @@ def clip_states(events: DataFrame) -> DataFrame:
     One group is one reviewing session of a person; it is read in batches, not as one frame.
     """
 
-    def fold(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(batches, ignore_index=True).sort_values("seq", kind="stable")
         session, states = Session(), {}
         for kind, job, n, total in zip(rows["kind"], rows["job_id"], rows["n"], rows["total"]):

@@ -15,6 +15,7 @@ from clipmine.operators import signals as sg
 from clipmine.operators.edit import suggested_bounds
 from clipmine.operators.joins import nearest_onset
 from clipmine.operators.select import best_per_seed
+from clipmine.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -62,7 +63,7 @@ def score_candidates(rec: Recordings, profile: Profile) -> DataFrame:
     All windows meet each signal table once. `gen_order` numbers candidates as generated.
     """
     marked = sg.mark_reactions(rec.chat, profile)
-    seeds = seed_times(rec, marked, profile)
+    seeds = cut_lineage(seed_times(rec, marked, profile))
     lengths = sorted({profile.clip_max_sec, min(profile.short_window_sec, profile.clip_max_sec)}, reverse=True)
     around = seed_windows(seeds, rec, profile, length=lengths[0])
     for length in lengths[1:]:
@@ -81,12 +82,13 @@ def score_candidates(rec: Recordings, profile: Profile) -> DataFrame:
             F.col("slide").cast("double").alias("place"), F.lit(0.0).alias("wlen"), "start", "end",
         )
     )
-    windows = windows.withColumn("end", F.greatest("start", "end"))
+    # A few windows per hour of recording: written once, then met by every signal table.
+    windows = cut_lineage(windows.withColumn("end", F.greatest("start", "end")))
     scored = ft.score_windows(
         windows, marked=marked, loudness=rec.loudness, emotion=rec.emotion, segments=rec.segments,
         speech=rec.speech, profile=profile, weak=ft.chat_weakness(rec.vods, rec.chat),
     )
-    best = best_per_seed(scored, keys=("vod_id", "source", "place"))
+    best = cut_lineage(best_per_seed(scored, keys=("vod_id", "source", "place")))
     return best.withColumn("chat_lag_sec", F.lit(profile.chat_lag_sec)).withColumn("gen_order", F.struct("source", "place"))
 
 
