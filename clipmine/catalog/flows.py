@@ -54,14 +54,14 @@ SCORED = ",\n".join(
     "flow_score_candidates",
     with_(
         "ev", "loud", "emo", "vods", "speech", "seg", "win",
-        body="""SELECT vod_id, CAST(source AS INTEGER) AS source, round(key, 3) AS place, round(s, 5) AS start, round(e, 5) AS "end", round(score, 5) AS score, hits AS keyword_hits, kw AS chat_kw_hits, round(sp, 5) AS speech_ratio, round(em, 5) AS emotion_score FROM best""",
+        body="""SELECT vod_id, CAST(source AS INTEGER) AS source, round(key, 3) AS place, round(s, 6) AS start, round(e, 6) AS "end", round(score, 8) AS score, hits AS keyword_hits, kw AS chat_kw_hits, round(sp, 6) AS speech_ratio, round(em, 6) AS emotion_score FROM best""",
         recursive=SCORED,
     ),
 )
 def _(t):
     c = score_candidates(t.recordings, DAY)
-    r5 = lambda x: F.round(x, 5).alias(x)
-    return c.select("vod_id", "source", F.round("place", 3).alias("place"), r5("start"), r5("end"), r5("score"), "keyword_hits", "chat_kw_hits", r5("speech_ratio"), r5("emotion_score"))
+    r5 = lambda x: F.round(x, 6).alias(x)
+    return c.select("vod_id", "source", F.round("place", 3).alias("place"), r5("start"), r5("end"), F.round("score", 8).alias("score"), "keyword_hits", "chat_kw_hits", r5("speech_ratio"), r5("emotion_score"))
 
 
 def ban(o: float, i: float) -> str:

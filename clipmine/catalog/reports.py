@@ -57,9 +57,9 @@ BACKLOG = f"""hl AS (SELECT 'j' || user_id AS job_id, count(*) AS n, avg(greates
          LEFT JOIN have h ON h.job_id = j.job_id AND h.step = s.step LEFT JOIN have e ON e.job_id = j.job_id AND e.step = '04_edit')"""
 
 
-@query("ag_step_percent", f"WITH {STEPS} SELECT job_id, round_even(100 * sum(CASE status WHEN 'done' THEN {WEIGHT} * 1e0 WHEN 'running' THEN {WEIGHT} * 0.35e0 ELSE 0e0 END) / 100, 1) AS pct FROM steps GROUP BY job_id")
+@query("ag_step_percent", f"WITH {STEPS} SELECT job_id, round(100 * sum(CASE status WHEN 'done' THEN {WEIGHT} * 1e0 WHEN 'running' THEN {WEIGHT} * 0.35e0 ELSE 0e0 END) / 100, 6) AS pct FROM steps GROUP BY job_id")
 def _(t):
-    return rp.step_percent(steps(t)).select("job_id", F.round("pct", 1).alias("pct"))
+    return rp.step_percent(steps(t), digits=6)
 
 
 @query("ag_stage_backlog", f"WITH {JOBS}, {BACKLOG} SELECT job_id, step, done, total, round(mean, 6) AS mean_sec FROM bl")
@@ -71,7 +71,7 @@ def _(t):
     "flow_job_progress",
     f"""WITH {JOBS}, {STEPS}, {BACKLOG},
         w AS (SELECT job_id, {', '.join(f"bool_or(step = '{s}' AND status = 'done') AS d{i}" for i, s in enumerate(rp.STEPS))}, min(CASE WHEN status = 'running' THEN step END) AS run, count(*) FILTER (status = 'done') AS nd,
-                round_even(100 * sum(CASE status WHEN 'done' THEN {WEIGHT} * 1e0 WHEN 'running' THEN {WEIGHT} * 0.35e0 ELSE 0e0 END) / 100, 1) AS pct, bool_or(status = 'failed') AS anyf FROM steps GROUP BY job_id),
+                round(100 * sum(CASE status WHEN 'done' THEN {WEIGHT} * 1e0 WHEN 'running' THEN {WEIGHT} * 0.35e0 ELSE 0e0 END) / 100, 6) AS pct, bool_or(status = 'failed') AS anyf FROM steps GROUP BY job_id),
         rs AS (SELECT job_id, sum((total - done) * mean * CASE step WHEN '04_edit' THEN CASE WHEN cpu THEN 1.2e0 ELSE 0.5e0 END WHEN '05_subtitle' THEN CASE WHEN cpu THEN 1.8e0 ELSE 0.45e0 END WHEN '06_effects' THEN 0.45e0 WHEN '07_flourish' THEN 0.35e0 ELSE 0.4e0 END) AS r FROM bl GROUP BY job_id),
         l AS (SELECT *, CASE WHEN status = 'running' AND 9000 - last > 180 THEN 'stale' WHEN status = 'completed' THEN 'done' ELSE status END AS live FROM jobs)
         SELECT job_id, live AS status, pct, CASE WHEN live = 'running' THEN round_even(CASE WHEN d0 THEN 0e0 ELSE 90e0 END + CASE WHEN d1 THEN 0e0 ELSE dur * CASE WHEN cpu THEN 0.85e0 ELSE 0.18e0 END END + CASE WHEN d2 THEN 0e0 ELSE 45e0 END
@@ -80,7 +80,7 @@ def _(t):
         FROM l JOIN w USING (job_id) JOIN rs USING (job_id)""",
 )
 def _(t):
-    return rp.job_progress(jobs(t), steps(t), highlights(t), outputs(t), now=9000.0)
+    return rp.job_progress(jobs(t), steps(t), highlights(t), outputs(t), now=9000.0, digits=6)
 
 
 @query(

@@ -75,7 +75,7 @@ def _(t):
 
 @query(
     "st_reaction_sessions",
-    f"""SELECT vod_id, CAST(epoch_ms(min(ts)) AS BIGINT) AS start_ms, count(*) AS n FROM (
+    f"""SELECT vod_id, CAST(epoch_us(min(ts)) // 1000 AS BIGINT) AS start_ms, count(*) AS n FROM (
           SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 5 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY vod_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (
             SELECT strftime(ts, '%Y-%m-%d') AS vod_id, ts, lag(ts) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts) AS p FROM events WHERE event_type IN ('purchase', 'error', 'signup')))
         GROUP BY vod_id, g HAVING max(ts) + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events WHERE event_type IN ('purchase', 'error', 'signup'))""",

@@ -83,12 +83,12 @@ def quality_rollup(per_clip: DataFrame, keys: Sequence[str] = ("vod_id",)) -> Da
 # --- progress ------------------------------------------------------------------------------------
 
 
-def step_percent(steps: DataFrame) -> DataFrame:
+def step_percent(steps: DataFrame, *, digits: int = 1) -> DataFrame:
     """Weighted share of done steps; a running one counts 35 %."""
     weight = F.create_map(*[x for k, v in STEP_WEIGHTS.items() for x in (F.lit(k), F.lit(float(v)))])
     w = F.coalesce(F.try_element_at(weight, "step"), F.lit(0.0))
     share = F.when(F.col("status") == "done", w).when(F.col("status") == "running", w * 0.35).otherwise(0.0)
-    return steps.groupBy("job_id").agg(py_round(100.0 * F.sum(share) / float(sum(STEP_WEIGHTS.values())), 1).alias("pct"))
+    return steps.groupBy("job_id").agg(py_round(100.0 * F.sum(share) / float(sum(STEP_WEIGHTS.values())), digits).alias("pct"))
 
 
 def stage_backlog(jobs: DataFrame, highlights: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def stage_backlog(jobs: DataFrame, highlights: DataFrame, outputs: DataFrame) ->
     )
 
 
-def job_progress(jobs: DataFrame, steps: DataFrame, highlights: DataFrame, outputs: DataFrame, *, now) -> DataFrame:
+def job_progress(jobs: DataFrame, steps: DataFrame, highlights: DataFrame, outputs: DataFrame, *, now, digits: int = 1) -> DataFrame:
     """Live status, percent done and remaining seconds per job.
 
     `jobs`: `job_id, status, duration_sec, allow_cpu, last_activity` (seconds); `now` is a parameter.
@@ -144,7 +144,7 @@ def job_progress(jobs: DataFrame, steps: DataFrame, highlights: DataFrame, outpu
         + F.when(any_late, F.col("render_sec")).otherwise(0.0)
     )
     return (
-        jobs.join(wide, "job_id", "left").join(step_percent(steps), "job_id", "left").join(render, "job_id", "left")
+        jobs.join(wide, "job_id", "left").join(step_percent(steps, digits=digits), "job_id", "left").join(render, "job_id", "left")
         .withColumn("live", live)
         .select(
             "job_id", F.col("live").alias("status"), F.coalesce("pct", F.lit(0.0)).alias("pct"),

@@ -80,11 +80,12 @@ def clip_states(events: DataFrame) -> DataFrame:
 
     def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(batches, ignore_index=True).sort_values("seq", kind="stable")
-        session, states = Session(), {}
+        session, states, changed = Session(), {}, set()
         for kind, job, n, total in zip(rows["kind"], rows["job_id"], rows["n"], rows["total"]):
-            session.apply(kind, (job, int(n)), int(total), states)
+            changed.update(session.apply(kind, (job, int(n)), int(total), states))
+        kept = [(clip, states[clip]) for clip in sorted(changed)]
         yield pd.DataFrame(
-            [(key[0], job, n, s["total"], s["status"], s["submitted"]) for (job, n), s in states.items()],
+            [(key[0], job, n, s["total"], s["status"], s["submitted"]) for (job, n), s in kept],
             columns=["reviewer", "job_id", "n", "total", "status", "submitted"],
         )
 

@@ -1,0 +1,85 @@
+"""Clip folds without Spark: line breaks, event timing, cue edits, arcs, review sessions."""
+
+import random
+
+import pandas as pd
+
+from clipmine.operators import lines as ln
+from clipmine.operators.arcs import arcs_of_hour
+from clipmine.operators.cue_edits import merge_clip
+from clipmine.operators.review import Session
+
+
+def test_split_lines():
+    assert ln.split_lines("一二三四五六七八九十") == ["一二三四五六七", "八九十"]
+    assert ln.split_lines("一二三，四五六七八") == ["一二三，", "四五六七八"]
+    assert ln.split_lines("一二三四五六七") == ["一二三四五六七"] and ln.split_lines(" ") == []
+    assert "".join(ln.split_lines("abc" * 30)) == "abc" * 30
+
+
+def test_group_words_by_pause_and_size():
+    words = [ln.Word(i * 0.1, i * 0.1 + 0.1, c) for i, c in enumerate("一二三四五六七八九十甲乙丙丁戊己")]
+    groups = ln.group_words(words)
+    assert all(sum(len(w.text) for w in g) <= 14 for g in groups)
+    assert [w for g in groups for w in g] == words
+    assert len(ln.group_words([ln.Word(0, 0.2, "a"), ln.Word(1.0, 1.2, "b")])) == 2
+
+
+def test_event_timing_invariants():
+    rng = random.Random(2)
+    for _ in range(200):
+        t, pieces = 0.0, []
+        for i in range(12):
+            t += rng.uniform(0.05, 2.0)
+            pieces.append(ln.Event(t, t + rng.uniform(0.05, 4.0), f"字{i}"))
+        voice = ln.Voice([(k * 3.0, k * 3.0 + rng.uniform(0.2, 2.5)) for k in range(10)])
+        out = ln.time_events(pieces, voice)
+        assert len(out) == len(pieces)  # nothing is dropped for lack of voice
+        for a, b in zip(out, out[1:]):
+            assert b.start >= a.end + ln.GAP_PAD - 1e-9
+        for ev in out:
+            assert ln.FLASH_SEC - 1e-9 <= ev.end - ev.start <= ln.MAX_SEC + 1e-9
+
+
+def _cue(i, a, b, text, marks=(), color=None):
+    words = [{"text": c, "is_kw": k in marks, "color": color if k in marks else None} for k, c in enumerate(text)]
+    return {"cue_id": f"c{i}", "start": a, "end": b, "vod_start": a, "vod_end": b, "text": text, "words": words}
+
+
+def test_cue_edits_carry_marks_once():
+    old = [_cue(1, 0.0, 2.0, "abcd", (1, 2), "#f00")]
+    fresh = [_cue(2, 0.1, 2.0, "abcd"), _cue(3, 0.0, 2.0, "wxyz!!!!!")]
+    out = {c["cue_id"]: c for c in merge_clip(old, fresh)}
+    carried = [c for c in out.values() if any(w["is_kw"] for w in c["words"])]
+    assert len(carried) <= 1
+    out = merge_clip(old, [_cue(2, 0.1, 2.0, "abcd")])
+    assert [w["is_kw"] for w in out[0]["words"]] == [False, True, True, False]
+    assert out[0]["words"][1]["color"] == "#f00" and out[0]["text"] == "a**bc**d"
+
+
+def _candidate(i, start, text="同題材同題材", **kw):
+    return {
+        "vod_id": "v", "hour_bucket": 0, "candidate_id": i, "start": start, "end": start + 50.0, "score": 10.0 - i, "speech_ratio": 0.6,
+        "title": text, "reason": "", "transcript_excerpt": text, "keyword_hits": 2, "chapter_id": 1, "is_intro": False, "is_outro": False, **kw,
+    }
+
+
+ARC = dict(speech_min=0.45, story_min=45.0, story_max=120.0, gap_max=25.0, per_hour=4, continuity_min=0.5)
+
+
+def test_arcs():
+    far = pd.DataFrame([_candidate(i, 500.0 * i, f"話題{i}") for i in range(6)])
+    assert len(arcs_of_hour(far, **ARC)) == 4
+    near = pd.DataFrame([_candidate(1, 0.0), _candidate(2, 60.0)])
+    (arc,) = arcs_of_hour(near, **ARC)
+    assert arc[1:3] == (0.0, 110.0) and arc[-1] == [1, 2]
+
+
+def test_review_session():
+    s, states = Session(), {}
+    for n in range(4):
+        s.apply("score", ("j", n), 9, states)
+    assert states[("j", 0)]["status"] == "purged" and len(s.recent) == 3
+    s.apply("score", ("j", 1), 12, states)
+    assert states[("j", 1)]["status"] == "kept"
+    assert s.apply("score", ("j", 0), 30, states) == []
