@@ -26,7 +26,7 @@ def read_dump(spark: SparkSession, path: str, *, depth: int = 2) -> DataFrame:
     """
     opts = {"recursiveFileLookup": "true", "pathGlobFilter": "*live*chat*"}
     vod = path_part(depth).alias("vod_id")
-    whole = spark.read.options(**opts).option("wholetext", True).text(path).select(vod, F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.options(**opts).text(path, wholetext=True).select(vod, F.col("_metadata.file_path").alias("file"), "value")
     return parse_dumps(whole)
 
 
@@ -42,9 +42,12 @@ def parse_dumps(files: DataFrame) -> DataFrame:
         ),
         F.coalesce(F.try_variant_get("doc", "$.segments", "array<variant>"), F.array().cast("array<variant>")),
     )
-    lines = F.transform(F.split("value", r"\r?\n"), lambda ln: F.try_parse_json(F.trim(ln)))
+    filled = F.filter(F.split("value", r"\r?\n"), lambda ln: F.trim(ln) != "")
+    lines = F.transform(filled, lambda ln: F.try_parse_json(F.trim(ln)))
+    # The parser stops after the first value: a whole value in the first of several lines means lines.
+    by_line = F.col("doc").isNull() | ((F.size(filled) > 1) & F.try_parse_json(F.trim(F.get(filled, F.lit(0)))).isNotNull())
     items = (
-        F.when(F.col("doc").isNull(), lines)
+        F.when(by_line, lines)
         .when(F.col("_list").isNotNull(), F.col("_list"))
         .otherwise(F.flatten(lists))
     )
