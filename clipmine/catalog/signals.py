@@ -168,9 +168,10 @@ def _(t):
 
 @query("iv_thinned_seeds", with_("ev", "loud", "emo", "vods", body="SELECT vod_id, round(t, 3) AS t FROM seeds", recursive=HIST + ",\n" + THIN))
 def _(t):
-    from clipmine.plans.candidates import seed_times
+    from clipmine.plans.candidates import Recordings, seed_times
 
-    s = seed_times(t.recordings, sg.mark_reactions(t.chat, DAY), DAY)
+    rec = Recordings(t.vods, t.chat, t.segments, t.loudness, t.emotion, t.speech)
+    s = seed_times(rec, sg.mark_reactions(t.chat, DAY), DAY)
     return s.select("vod_id", F.round("t", 3).alias("t"))
 
 

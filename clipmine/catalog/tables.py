@@ -16,6 +16,7 @@ from clipmine.lexicon import TALK
 from clipmine.operators import signals as sg
 from clipmine.operators.intervals import merge_intervals
 from clipmine.plans.candidates import Recordings
+from clipmine.session import cut_lineage
 
 # Events are sparse (hundreds a day), so windows are wider than for real chat.
 DAY = TALK.with_(
@@ -89,7 +90,12 @@ class Tables:
 
     @cached_property
     def recordings(self) -> Recordings:
-        return Recordings(self.vods, self.chat, self.segments, self.loudness, self.emotion, self.speech)
+        """Derived tables are stored once, as a pipeline would have them."""
+        loudness = cut_lineage(self.loudness.select("vod_id", "t", "rms", "zscore"))
+        emotion = loudness.where(F.col("zscore") >= 2.5).select(
+            "vod_id", "t", F.col("zscore").alias("score"), sg.emotion_kind(F.col("zscore")).alias("kind")
+        )
+        return Recordings(cut_lineage(self.vods), self.chat, self.segments, loudness, cut_lineage(emotion), cut_lineage(self.speech))
 
     @cached_property
     def turns(self) -> DataFrame:
