@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +25,23 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in _DEFAULTS.items():
         if not _is_explicit(spark, key):
             spark.conf.set(key, value)
+    _ship_package(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def _ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever the driver imported it from."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/clipmine", "zip", root, "clipmine")
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
+
+
 def _is_explicit(spark: SparkSession, key: str) -> bool:
     return any(k == key for k, _ in spark.sparkContext.getConf().getAll())
 

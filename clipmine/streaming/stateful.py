@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from typing import Any, Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from clipmine.operators import review
 from clipmine.operators.review import STATE_SCHEMA, Session
 
+# The process that sets up stateful operators does not see files added to the session, so these
+# classes travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(review)
+
 SEED_SCHEMA = "vod_id string, t double, react double"
 
 
