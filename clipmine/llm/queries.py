@@ -77,3 +77,10 @@ def chats(spark: SparkSession, table) -> DataFrame:
     )
     turns = table("conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return read_back(formatted(turns))
+
+
+@_query("op9_anchor_substring_dedup")
+def passages(spark: SparkSession, table) -> DataFrame:
+    from clipmine.llm.substring_dedup import report
+
+    return report(table("documents"))
