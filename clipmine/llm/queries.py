@@ -84,3 +84,10 @@ def passages(spark: SparkSession, table) -> DataFrame:
     from clipmine.llm.substring_dedup import report
 
     return report(table("documents"))
+
+
+@_query("op8_icws_near_dedup")
+def near(spark: SparkSession, table) -> DataFrame:
+    from clipmine.llm.near_dedup import classes
+
+    return classes(table("documents"))
