@@ -91,3 +91,19 @@ def near(spark: SparkSession, table) -> DataFrame:
     from clipmine.llm.near_dedup import classes
 
     return classes(table("documents"))
+
+
+@_query("op5_trie_token_counts")
+def counts(spark: SparkSession, table) -> DataFrame:
+    from clipmine.llm.pieces import model_file
+    from clipmine.llm.token_counts import token_counts
+
+    return token_counts(table("documents"), model_file())
+
+
+@_query("op4_relational_lattice")
+def lattice(spark: SparkSession, table) -> DataFrame:
+    from clipmine.llm.lattice import encoded
+    from clipmine.llm.pieces import model_file
+
+    return encoded(table("documents"), model_file(), keep_ids=False)
