@@ -14,21 +14,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS = 1024
+#: The column of a chunk's number, named so that it meets no column of a table.
+CHUNK = "_chunk"
 
 
 def with_chunk(docs: DataFrame, columns: list[str], rows: int = ROWS) -> DataFrame:
-    """`columns` of `docs` and `chunk` (long)."""
+    """`columns` of `docs` and `CHUNK` (long)."""
     try:
         place = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / rows))
-        return docs.select(place.alias("chunk"), *columns)
+        return docs.select(place.alias(CHUNK), *columns)
     except AnalysisException:
         n = max(1, -(-docs.count() // rows))
-        return docs.select(F.pmod(F.xxhash64(*columns), F.lit(n)).alias("chunk"), *columns)
+        return docs.select(F.pmod(F.xxhash64(*columns), F.lit(n)).alias(CHUNK), *columns)
 
 
 def by_chunk(batch: pa.RecordBatch):
     """The chunks of a batch, and the rows of each."""
-    keys = batch.column("chunk").to_numpy()
+    keys = batch.column(CHUNK).to_numpy()
     order = np.argsort(keys, kind="stable")
     cuts = np.flatnonzero(np.diff(keys[order])) + 1
     for part in np.split(order, cuts) if len(keys) else []:
@@ -51,17 +53,17 @@ def gathered(batches):
 
 
 def boxed(rows: DataFrame) -> DataFrame:
-    """(`chunk`, `box`): the other columns of a chunk's rows, compressed, so that a text is shuffled at a third of its size."""
+    """(`CHUNK`, `box`): the other columns of a chunk's rows, compressed, so that a text is shuffled at a third of its size."""
 
     def pack(batches):
         for key, table in gathered(batches):
             sink = pa.BufferOutputStream()
-            table = table.drop_columns(["chunk"])
+            table = table.drop_columns([CHUNK])
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(table)
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "box"])
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], [CHUNK, "box"])
 
-    return rows.mapInArrow(pack, "chunk long, box binary")
+    return rows.mapInArrow(pack, f"{CHUNK} long, box binary")
 
 
 def unboxed(boxes: list[bytes]) -> pa.Table:

@@ -130,11 +130,15 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
 def kept(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns; of rows that repeat a doc_id and text, one."""
-    keep = duplicates(docs).where("kept").select("doc_id", "text_sha256")
-    digest = F.sha2(F.translate(text_or_empty(), SPACE.decode(), ""), 256)
-    return (
-        docs.withColumn("text_sha256", digest)
-        .dropDuplicates(["doc_id", "text_sha256"])
-        .join(keep.withColumnRenamed("doc_id", "kept_id").withColumnRenamed("text_sha256", "kept_sha"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_sha256") == F.col("kept_sha")), "left_semi")
-        .drop("text_sha256")
-    )
+    found = stored(duplicates(docs).select(F.col("doc_id").alias("_exact_id"), F.col("text_sha256").alias("_exact_sha"), "kept"))
+    stay = found.where("kept").select(F.col("_exact_id").alias("stay_id"), F.col("_exact_sha").alias("stay_sha"))
+    here = F.col("_exact_id").eqNullSafe(F.col("stay_id")) & (F.col("_exact_sha") == F.col("stay_sha"))
+    gone = found.where(~F.col("kept")).select("_exact_id", "_exact_sha").distinct()
+    out, repeated = stored(gone.join(stay, here, "left_anti")), stored(gone.join(stay, here, "left_semi"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_exact_id")) & (F.sha2(F.translate(text_or_empty(), SPACE.decode(), ""), 256) == F.col("_exact_sha"))
+    rows = docs.join(sized(out, out.count(), 96), same, "left_anti")
+    if not (n := repeated.count()):
+        return rows
+    twice = sized(repeated, n, 96)
+    one = rows.join(twice, same, "inner").dropDuplicates(["_exact_id", "_exact_sha"]).select(*docs.columns)
+    return rows.join(twice, same, "left_anti").unionByName(one)

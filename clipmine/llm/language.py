@@ -199,23 +199,24 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(langs, {r["name"]: (np.frombuffer(r["w"], np.float32), r["b"]) for r in fitted.collect()})
 
 
-def predicted(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """`docs` (the columns `keep`, by default doc_id) with lang_pred and score, from the text alone."""
+def predicted(docs: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`docs` (the columns `keep`, by default doc_id) with the language and its score, called `names`, from the text alone."""
     keep = keep or ["doc_id"]
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"), has_letter(F.col("text")).alias("_letters"))
+    own = "text" if "text" in keep else "_text"
+    rows = docs.select(*keep, *([] if own in keep else [F.col("text").cast("string").alias(own)]), has_letter(F.col("text")).alias("_letters"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(parts):
         for batch in parts:
-            letters, texts = batch.column("_letters").to_pylist(), batch.column("_text").to_pylist()
+            letters, texts = batch.column("_letters").to_pylist(), batch.column(own).to_pylist()
             found: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
             for group in batches([(i, t) for i, t in enumerate(texts) if letters[i]], 1 << 19):
                 for (i, _), hit in zip(group, shared.value.predict([t for _, t in group]), strict=True):
                     found[i] = hit
             out = batch.select(keep)
-            yield out.append_column("lang_pred", pa.array([a for a, _ in found], pa.string())).append_column("score", pa.array([b for _, b in found], pa.float64()))
+            yield out.append_column(names[0], pa.array([a for a, _ in found], pa.string())).append_column(names[1], pa.array([b for _, b in found], pa.float64()))
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes) + f", `{names[0]}` string, `{names[1]}` double"
     return rows.mapInArrow(scan, schema)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipmine.llm import pieces as sp
-from clipmine.llm.chunks import boxed, gathered, unboxed, with_chunk
+from clipmine.llm.chunks import CHUNK, boxed, gathered, unboxed, with_chunk
 
 LONG = 128
 
@@ -45,7 +45,7 @@ def chunk_words(rows: DataFrame) -> DataFrame:
                 distinct.update(sp.words(text or ""))
             yield pa.RecordBatch.from_arrays([pa.array([key] * len(distinct), pa.int64()), pa.array(list(distinct), pa.string())], ["chunk", "word"])
 
-    return rows.select("chunk", "text").mapInArrow(scan, "chunk long, word string")
+    return rows.select(CHUNK, "text").mapInArrow(scan, "chunk long, word string")
 
 
 def _fold(edges: Column, longest: int) -> Column:
@@ -126,7 +126,7 @@ def encoded(docs: DataFrame, model: str, keep_ids: bool = True) -> DataFrame:
         return pa.table(made if keep_ids else {n: c for n, c in made.items() if n != "ids"})
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, decoded_chars long, round_trip boolean" + ", ids array<int>" * keep_ids
-    return boxed(rows).groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(assemble, schema)
+    return boxed(rows).groupBy(CHUNK).cogroup(replies.groupBy("chunk")).applyInArrow(assemble, schema)
 
 
 def decoded(rows: DataFrame, model: str) -> DataFrame:

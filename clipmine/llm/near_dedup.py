@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipmine.llm.tables import sized, stored
+from clipmine.llm.tables import sized, sorted_groups, stored
 from clipmine.llm.words import batches, mix, runs, split
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -192,29 +192,6 @@ def sketches(docs: DataFrame, counts: Counts) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, d1 long, d2 long, sig binary, bands array<long>")
 
 
-def _groups(parts, keys: list[str]):
-    """Runs of rows with equal keys in a sorted partition, as tables."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in parts:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy() for k in keys]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            key = tuple(c[a] for c in columns)
-            if key != last and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = key
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def candidates(reps: DataFrame) -> DataFrame:
     """Pairs a < b of representatives (`row`) that share a band and whose signatures can mean a similarity above the threshold."""
     postings = reps.select("row", F.posexplode("bands").alias("band", "key"))
@@ -229,7 +206,7 @@ def candidates(reps: DataFrame) -> DataFrame:
     least = THRESHOLD - MARGIN
 
     def compare(parts):
-        for table in _groups(parts, keys):
+        for table in sorted_groups(parts, keys):
             row, own = table.column("row").to_numpy(), table.column("own").to_numpy()
             if len(row) < 2:
                 continue
@@ -350,6 +327,9 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """One row of `docs` for each class, with all columns. Rows that share a doc_id stay or go together."""
-    keep = classes(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of `docs` for each class, with all columns. Rows that share a doc_id stay if one of them does."""
+    found = stored(classes(docs).select("doc_id", "kept"))
+    stay = found.where("kept").select(F.col("doc_id").alias("_near_stay"))
+    gone = found.where(~F.col("kept")).join(stay, F.col("doc_id").eqNullSafe(F.col("_near_stay")), "left_anti").select(F.col("doc_id").alias("_near_gone")).distinct()
+    gone = stored(gone)
+    return docs.join(sized(gone, gone.count(), 16), F.col("doc_id").eqNullSafe(F.col("_near_gone")), "left_anti")

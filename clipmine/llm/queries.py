@@ -107,3 +107,10 @@ def lattice(spark: SparkSession, table) -> DataFrame:
     from clipmine.llm.pieces import model_file
 
     return encoded(table("documents"), model_file(), keep_ids=False)
+
+
+@_query("op3_cross_polytope_nearest")
+def neighbours(spark: SparkSession, table) -> DataFrame:
+    from clipmine.llm.nearest import nearest
+
+    return nearest(table("embeddings"), F.col("id") % 20 == 0, k=20)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipmine.llm import rice, words
-from clipmine.llm.chunks import boxed, gathered, unboxed, with_chunk
+from clipmine.llm.chunks import CHUNK, boxed, gathered, unboxed, with_chunk
 from clipmine.llm.tables import parts_for
 
 BLOCK, WINDOW = 10, 20
@@ -196,12 +196,12 @@ def removed_words(docs: DataFrame, columns: list[str], emit, schema: str) -> Dat
         return emit(part, np.cumsum(edge)[:-1] > 0)
 
     texts = boxed(rows)
-    probes = rows.select("chunk", "doc_id", "text").mapInArrow(send_probes, MESSAGE)
+    probes = rows.select(CHUNK, "doc_id", "text").mapInArrow(send_probes, MESSAGE)
     hits = probes.groupBy("owner").applyInArrow(_probe_answer, ANSWER)
-    windows = texts.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(send_windows, MESSAGE)
+    windows = texts.groupBy(CHUNK).cogroup(hits.groupBy("chunk")).applyInArrow(send_windows, MESSAGE)
     firsts = windows.groupBy("owner").applyInArrow(_window_answer, ANSWER)
     both = hits.withColumn("round", F.lit(1)).unionByName(firsts.withColumn("round", F.lit(2)))
-    return texts.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(remove, schema)
+    return texts.groupBy(CHUNK).cogroup(both.groupBy("chunk")).applyInArrow(remove, schema)
 
 
 def _kept_text(part: Chunk, gone: np.ndarray, doc: int, a: int, b: int) -> bytes:
@@ -228,8 +228,8 @@ def report(docs: DataFrame) -> DataFrame:
     return removed_words(rows, ["doc_id", "text"], emit, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """`docs` with the repeated passages taken out of `text`, and `n_removed`.
+def deduplicated(docs: DataFrame, count_as: str = "n_removed") -> DataFrame:
+    """`docs` with the repeated passages taken out of `text`, and how many words each lost as `count_as`.
 
     A text that loses nothing stays as it is; of another the kept words remain, joined by one space.
     """
@@ -241,7 +241,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             if n:
                 texts[d] = text.decode("utf-8", "surrogatepass")
         at = part.table.schema.get_field_index("text")
-        return part.table.set_column(at, "text", pa.array(texts, pa.string())).append_column("n_removed", pa.array(counts, pa.int64()))
+        return part.table.set_column(at, "text", pa.array(texts, pa.string())).append_column(count_as, pa.array(counts, pa.int64()))
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", n_removed long"
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{count_as}` long"
     return removed_words(docs, docs.columns, emit, schema)
