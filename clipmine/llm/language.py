@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipmine.llm.tables import sized, stored
 from clipmine.llm.words import batches, mix
 
 UNDETERMINED = "und"
@@ -163,8 +164,13 @@ def has_letter(text: Column) -> Column:
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on rows of doc_id, text, lang (all given). The bound on rows is `per_language` a language."""
     usable = labelled.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).select("lang", "text", F.xxhash64("doc_id", "text").alias("order"))
-    first = usable.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).where(F.col("rank") <= per_language)
-    langs = sorted(r[0] for r in usable.select("lang").distinct().toLocalIterator())
+    # The cut is found on the hashes alone, so that no task gathers texts of a language.
+    ranked = usable.select("lang", "order")
+    for part in (["lang", F.pmod("order", F.lit(64))], ["lang"]):  # a language may hold a third of all rows
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy("order"))).where(F.col("rank") <= per_language).drop("rank")
+    cuts = stored(ranked.groupBy("lang").agg(F.max("order").alias("cut")).select(F.col("lang").alias("of_lang"), "cut"))
+    langs = sorted(r[0] for r in cuts.select("of_lang").toLocalIterator())
+    first = usable.join(sized(cuts, len(langs), 256), F.col("lang") == F.col("of_lang")).where(F.col("order") <= F.col("cut"))
     by_family: dict[str, list[str]] = {}
     for lang in langs:
         by_family.setdefault(family_of(lang), []).append(lang)
@@ -179,9 +185,10 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         for batch in batches:
             rows = [vector(t) for t in batch.column("text").to_pylist()]
             packed = [(np.flatnonzero(v).astype("<u2").tobytes(), v[v > 0].astype("<f4").tobytes()) for v in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([a for a, _ in packed], pa.binary()), pa.array([b for _, b in packed], pa.binary())], ["lang", "cols", "freqs"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("order"), pa.array([a for a, _ in packed], pa.binary()), pa.array([b for _, b in packed], pa.binary())], ["lang", "order", "cols", "freqs"])
 
     def train(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("order", "ascending"), ("side", "ascending")])  # sums then don't depend on the shuffle
         x = np.zeros((len(table), WIDTH), np.float32)
         for i, (a, b) in enumerate(zip(table.column("cols").to_pylist(), table.column("freqs").to_pylist(), strict=True)):
             x[i, np.frombuffer(a, "<u2")] = np.frombuffer(b, "<f4")
@@ -194,8 +201,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
     spark = labelled.sparkSession
     plan = F.broadcast(spark.createDataFrame(tasks, "name string, task_lang string, side int"))
-    vectors = first.select("lang", "text").mapInArrow(features, "lang string, cols binary, freqs binary")
-    fitted = vectors.join(plan, F.col("lang") == F.col("task_lang")).select("name", "side", "cols", "freqs").groupBy("name").applyInArrow(train, "name string, w binary, b double")
+    vectors = first.select("lang", "order", "text").mapInArrow(features, "lang string, order long, cols binary, freqs binary")
+    fitted = vectors.join(plan, F.col("lang") == F.col("task_lang")).select("name", "side", "order", "cols", "freqs").groupBy("name").applyInArrow(train, "name string, w binary, b double")
     return Model(langs, {r["name"]: (np.frombuffer(r["w"], np.float32), r["b"]) for r in fitted.collect()})
 
 
