@@ -2,7 +2,8 @@
 
 A chunk is a run of rows of one file, named by the file's path and the rows' numbers in it. Splitting the file
 differently doesn't change it, and a task sees a chunk's rows one after the other, so it can combine them before
-anything is shuffled. Tables that don't come from files are dealt into chunks by a hash of their rows.
+anything is shuffled. A split of the file may cut through a chunk; what needs the whole chunk groups by `CHUNK`.
+Tables that don't come from files are dealt into chunks by a hash of their rows.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ places that share such a passage share a probe that hits a block. Three rounds:
    its words go.
 
 A passage held by a third of all documents is one number from each chunk in either round. Texts are shuffled once,
-compressed. Windows are told apart by 64-bit hashes of their word sequence.
+compressed, and all rounds read that shuffle. Windows are told apart by 64-bit hashes of their word sequence.
 
 Words are `[^\\x20\\x09-\\x0D]+`. Earlier means a smaller doc_id, or the same document and an earlier start; of rows
 that repeat a doc_id the one in the smaller chunk comes first, a null doc_id comes last. A null text has no words.
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipmine.llm import rice, words
-from clipmine.llm.chunks import CHUNK, boxed, gathered, unboxed, with_chunk
+from clipmine.llm.chunks import CHUNK, boxed, unboxed, with_chunk
 from clipmine.llm.tables import parts_for
 
 BLOCK, WINDOW = 10, 20
@@ -166,13 +166,12 @@ def removed_words(docs: DataFrame, columns: list[str], emit, schema: str) -> Dat
     bits = parts_for(docs.count(), ROWS_PER_OWNER, 1 << 22).bit_length() - 1
     rows = with_chunk(docs, columns)
 
-    def send_probes(batches):
-        for key, table in gathered(batches):
-            h, _, block = Chunk(table).probes()
-            values, inverse = np.unique(h, return_inverse=True)
-            is_block = np.zeros(len(values), bool)
-            is_block[inverse[block]] = True
-            yield from _messages(key, _cuts(values, PROBE_BITS, bits), lambda a, b: _pair(rice.encode(values[a:b]), rice.bitmap(is_block[a:b]))).to_batches()  # noqa: B023
+    def send_probes(key: tuple, boxes: pa.Table) -> pa.Table:
+        h, _, block = Chunk(unboxed(boxes.column("box").to_pylist())).probes()
+        values, inverse = np.unique(h, return_inverse=True)
+        is_block = np.zeros(len(values), bool)
+        is_block[inverse[block]] = True
+        return _messages(key[0].as_py(), _cuts(values, PROBE_BITS, bits), lambda a, b: _pair(rice.encode(values[a:b]), rice.bitmap(is_block[a:b])))
 
     def send_windows(key: tuple, boxes: pa.Table, answers: pa.Table) -> pa.Table:
         part = Chunk(unboxed(boxes.column("box").to_pylist()))
@@ -196,7 +195,7 @@ def removed_words(docs: DataFrame, columns: list[str], emit, schema: str) -> Dat
         return emit(part, np.cumsum(edge)[:-1] > 0)
 
     texts = boxed(rows)
-    probes = rows.select(CHUNK, "doc_id", "text").mapInArrow(send_probes, MESSAGE)
+    probes = texts.groupBy(CHUNK).applyInArrow(send_probes, MESSAGE)
     hits = probes.groupBy("owner").applyInArrow(_probe_answer, ANSWER)
     windows = texts.groupBy(CHUNK).cogroup(hits.groupBy("chunk")).applyInArrow(send_windows, MESSAGE)
     firsts = windows.groupBy("owner").applyInArrow(_window_answer, ANSWER)
