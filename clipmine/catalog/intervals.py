@@ -124,13 +124,13 @@ def _(t):
         "clips", "speech",
         body="""SELECT clip_id, round(a, 6) AS iv_start, round(b, 6) AS iv_end FROM clips LEFT JOIN (
                   SELECT clip_id, v.s AS a, v.e AS b, row_number() OVER (PARTITION BY clip_id ORDER BY NOT (v.s - 1e-6 <= c.s AND c.s < v.e + 1e-6), v.s) AS rn
-                  FROM clips c JOIN speech v ON v.vod_id = c.vod_id AND v.s < c.s + 3600 AND ((v.s - 1e-6 <= c.s AND c.s < v.e + 1e-6) OR v.s >= c.s)) x USING (clip_id)
+                  FROM clips c JOIN speech v ON v.vod_id = c.vod_id AND ((v.s - 1e-6 <= c.s AND c.s < v.e + 1e-6) OR v.s >= c.s)) x USING (clip_id)
                 WHERE coalesce(rn, 1) = 1""",
     ),
 )
 def _(t):
     p = t.clips.select("vod_id", "clip_id", F.col("start").alias("t"))
-    return jn.containing_or_next(t.speech, p, ids=["clip_id"], horizon=3600.0).select("clip_id", r6("iv_start").alias("iv_start"), r6("iv_end").alias("iv_end"))
+    return jn.containing_or_next(t.speech, p, ids=["clip_id"]).select("clip_id", r6("iv_start").alias("iv_start"), r6("iv_end").alias("iv_end"))
 
 
 @query(

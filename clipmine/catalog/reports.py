@@ -142,17 +142,20 @@ def _(t):
 
 @query(
     "ag_mid_word_cuts",
-    r"""SELECT CAST(doc_id AS VARCHAR) AS vod_id, CAST(1 AS BIGINT) AS mid_word_cuts FROM documents
-        WHERE contains(text, chr(10)) AND NOT contains(text, '{') AND NOT regexp_matches(text, '\n\s|\s\n|\n\n|\n$|^\s|\s$')""",
+    r"""WITH d AS (SELECT doc_id, replace(replace(replace(text, '{', '('), ' ', ''), chr(9), '') AS x FROM documents WHERE contains(text, chr(10))),
+        lines AS (SELECT doc_id, i, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
+                    SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(list_transform(p, lambda l: length(l))) AS n FROM (SELECT doc_id, list_filter(string_split(x, chr(10)), lambda l: l <> '') AS p FROM d))),
+        inner_stops AS (SELECT doc_id, stop, count(*) OVER (PARTITION BY doc_id) AS lines, max(i) OVER (PARTITION BY doc_id) = i AS last FROM lines)
+        SELECT CAST(doc_id AS VARCHAR) AS vod_id, CAST(count(DISTINCT CASE WHEN stop % 7 <> 0 THEN stop // 7 END) AS BIGINT) AS mid_word_cuts
+        FROM inner_stops WHERE NOT last GROUP BY doc_id""",
 )
 def _(t):
-    """One token over the whole text: it is cut once, however many breaks fall into it."""
-    d = t.read("documents").where(
-        F.col("text").contains("\n") & ~F.col("text").contains("{") & ~F.col("text").rlike(r"\n\s|\s\n|\n\n|\n$|^\s|\s$")
-    )
+    """Tokens of seven characters each: a break cuts one unless it falls on a multiple of seven."""
+    d = t.read("documents").where(F.col("text").contains("\n"))
+    bare = F.translate("text", "{ \t", "(")
     e = d.select(
-        F.col("doc_id").cast("string").alias("vod_id"), F.lit(1).alias("clip_id"), F.replace("text", F.lit("\n"), F.lit("\\N")).alias("text"),
-        F.array(F.replace("text", F.lit("\n"), F.lit(""))).alias("tok"),
+        F.col("doc_id").cast("string").alias("vod_id"), F.lit(1).alias("clip_id"), F.replace(bare, F.lit("\n"), F.lit("\\N")).alias("text"),
+        F.regexp_extract_all(F.replace(bare, F.lit("\n"), F.lit("")), F.lit("(?s).{1,7}"), F.lit(0)).alias("tok"),
     )
     return rp.mid_word_cuts(e, "tok").select("vod_id", "mid_word_cuts")
 

@@ -50,14 +50,14 @@ def _(t):
     "ag_chat_samples",
     with_(
         "ev", "win",
-        body="""SELECT vod_id, CAST(win_id AS BIGINT) AS win_id, string_agg(message, '|' ORDER BY seq) AS samples FROM (
+        body="""SELECT vod_id, CAST(win_id AS BIGINT) AS win_id, coalesce(string_agg(message, '|' ORDER BY seq), '') AS samples FROM (
                   SELECT w.vod_id, win_id, seq, message, row_number() OVER (PARTITION BY w.vod_id, win_id ORDER BY seq) AS rn
-                  FROM win w JOIN ev ON ev.vod_id = w.vod_id AND ev.t >= w.s AND ev.t < w.e WHERE message IN ('purchase', 'error', 'signup'))
+                  FROM win w LEFT JOIN ev ON ev.vod_id = w.vod_id AND ev.t >= w.s AND ev.t < w.e AND message IN ('purchase', 'error', 'signup'))
                 WHERE rn <= 3 GROUP BY vod_id, win_id""",
     ),
 )
 def _(t):
-    f = ft.chat_features(sg.mark_reactions(t.chat, DAY), windows(t)).where(F.size("chat_samples") > 0)
+    f = ft.chat_features(sg.mark_reactions(t.chat, DAY), windows(t))
     return f.select("vod_id", "win_id", F.array_join(F.transform("chat_samples", lambda s: s["message"]), "|").alias("samples"))
 
 

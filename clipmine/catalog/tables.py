@@ -202,7 +202,7 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "win": (
         ("vods",),
         """SELECT vod_id, h * 1000 + i AS win_id, h, i, (h * 3600 + i * 180) * 1e0 AS s, (h * 3600 + i * 180 + 600) * 1e0 AS e
-           FROM vods, (SELECT unnest(range(24)) AS h), (SELECT unnest(range(16)) AS i)""",
+           FROM vods, (SELECT unnest(range(24)) AS h), (SELECT unnest(range(17)) AS i)""",
     ),
     "chatf": (
         ("ev", "win"),

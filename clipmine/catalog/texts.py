@@ -234,15 +234,14 @@ def _(t):
     with_(
         "doclines",
         body="""SELECT vod_id, seg_id, CAST(length(text) AS INTEGER) AS chars,
-                       CAST(length(text) - length(replace(replace(text, 'tion', ''), 'anan', '')) AS INTEGER) AS marked
-                FROM doclines WHERE length(text) <= 60 AND NOT contains(text, '*') AND NOT contains(text, 'tionanan') AND NOT contains(text, 'anantion')""",
+                       CAST(len(list_filter(list_zip(string_split(replace(text, 'tion', repeat(chr(1), 4)), ''), string_split(replace(text, 'anan', repeat(chr(1), 4)), '')),
+                                            lambda z: z[1] = chr(1) OR z[2] = chr(1))) AS INTEGER) AS marked
+                FROM doclines""",
     ),
 )
 def _(t):
-    short = t.lines.where(
-        (F.length("text") <= 60) & ~F.col("text").contains("*") & ~F.col("text").contains("tionanan") & ~F.col("text").contains("anantion")
-    )
-    m = short.withColumn("m", tx.mark_keywords(tx.parse_markup("text"), ["tion", "anan"]))
+    words = F.transform(tx.characters("text"), lambda ch: F.struct(ch.alias("text"), F.lit(False).alias("is_kw"), F.lit(None).cast("string").alias("color")))
+    m = t.lines.withColumn("m", tx.mark_keywords(words, ["tion", "anan"]))
     return m.select("vod_id", "seg_id", F.size("m").alias("chars"), F.size(F.filter("m", lambda w: w["is_kw"])).alias("marked"))
 
 
@@ -250,13 +249,13 @@ def _(t):
     "fn_markup",
     with_(
         "doclines",
-        body="""SELECT vod_id, seg_id, replace(text, 'tion', '**tion**') AS marked, CAST((length(text) - length(replace(text, 'tion', ''))) AS INTEGER) AS flagged
-                FROM doclines WHERE length(text) <= 80 AND NOT contains(text, '*') AND NOT contains(text, 'tiontion')""",
+        body="""SELECT vod_id, seg_id, regexp_replace(replace(text, '*', '+'), '((tion)+)', '**\\1**', 'g') AS marked, CAST((length(text) - length(replace(text, 'tion', ''))) AS INTEGER) AS flagged
+                FROM doclines""",
     ),
 )
 def _(t):
-    short = t.lines.where((F.length("text") <= 80) & ~F.col("text").contains("*") & ~F.col("text").contains("tiontion"))
-    m = short.withColumn("m", tx.parse_markup(F.replace("text", F.lit("tion"), F.lit("**tion**"))))
+    plain = F.replace("text", F.lit("*"), F.lit("+"))
+    m = t.lines.withColumn("m", tx.parse_markup(F.regexp_replace(plain, "((?:tion)+)", "**$1**")))
     return m.select("vod_id", "seg_id", tx.to_markup("m").alias("marked"), F.size(F.filter("m", lambda w: w["is_kw"])).alias("flagged"))
 
 
@@ -289,12 +288,12 @@ def _(t):
         "doclines",
         body=r"""SELECT vod_id, seg_id, text AS plain, '{\a}{b}' AS lead,
                         '{\a}{b}' || CASE WHEN contains(text, 'tion') THEN left(text, strpos(text, 'tion') - 1) || '<b>tion</b>' || substr(text, strpos(text, 'tion') + 4) ELSE text END AS styled
-                 FROM doclines WHERE length(text) <= 80 AND text NOT LIKE '%{%'""",
+                 FROM (SELECT vod_id, seg_id, replace(text, '{', '(') AS text FROM doclines)""",
     ),
 )
 def _(t):
-    short = t.lines.where((F.length("text") <= 80) & ~F.col("text").contains("{"))
-    raw = short.withColumn("raw", F.concat(F.lit("{\\a}{b}"), "text")).withColumn("at", F.instr("text", "tion") - 1)
+    lines = t.lines.withColumn("text", F.replace("text", F.lit("{"), F.lit("(")))
+    raw = lines.withColumn("raw", F.concat(F.lit("{\\a}{b}"), "text")).withColumn("at", F.instr("text", "tion") - 1)
     wrapped = tx.wrap_span(tx.without_leading_tags("raw"), "at", F.lit("tion"), "<b>", "</b>")
     return raw.select(
         "vod_id", "seg_id", tx.strip_tags("raw").alias("plain"), tx.leading_tags("raw").alias("lead"),

@@ -91,14 +91,9 @@ WORD_CHARS = lexicon.CJK + r"\p{IsAlphabetic}\p{N}"
 def bigrams(c, *, char_class: str | None = None, keep_single: bool = False) -> Column:
     """Distinct adjacent character pairs; `keep_single` keeps a one-character text as its own element."""
     s = only_chars(c, char_class) if char_class else F.coalesce(col(c), F.lit(""))
-    pairs = let(
-        characters(s),
-        lambda ch: F.when(
-            F.size(ch) >= 2,
-            F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(ch) - 2), lambda i: F.concat(F.get(ch, i), F.get(ch, i + 1)))),
-        ).otherwise(ch if keep_single else F.array().cast("array<string>")),
-    )
-    return pairs
+    # A look-ahead takes a pair at every character, in one pass of the pattern engine.
+    pairs = F.array_distinct(F.regexp_extract_all(s, F.lit("(?s)(?=(..))"), F.lit(1)))
+    return F.when(F.length(s) == 1, F.array(s)).otherwise(pairs) if keep_single else pairs
 
 
 def characters(c) -> Column:
@@ -299,11 +294,13 @@ def mark_keywords(words, keywords: Sequence[str]) -> Column:
         masks = F.array(*[characters(F.replace(plain, F.lit(k), F.lit("\u0001" * len(k)))) for k in needles])
         hits = F.transform(F.get(masks, F.lit(0)), lambda ch, i: F.exists(masks, lambda m: F.get(m, i) == "\u0001"))
         size = lambda w: F.length(F.coalesce(w["text"], F.lit("")))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-        starts = F.aggregate(
-            ws, zero,
-            lambda a, w: F.struct((a["at"] + size(w)).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")),
-            lambda a: a["starts"],
+        # A word fills its characters and one slot more; its first slot, less the words before, is where it starts.
+        slots = F.flatten(F.transform(ws, lambda w, i: F.array_repeat(i, size(w) + 1)))
+        starts = let(
+            slots,
+            lambda o: F.when(F.size(o) > 0, F.transform(
+                F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda p: (p == 0) | (F.get(o, p) != F.get(o, p - 1))), lambda p, i: p - i
+            )).otherwise(F.array().cast("array<int>")),
         )
         return let(
             F.struct(hits.alias("hits"), starts.alias("starts")),

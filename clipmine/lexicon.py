@@ -113,7 +113,7 @@ class Profile:
     prefilter_top_n: int = 20
     clips_per_hour: int = 4
     window_step_sec: float = 15.0
-    bucket_slide_cap: int = 16
+    bucket_slide_cap: int | None = None  # slides of an hour, from its start; None: all
     seed_dedupe_sec: float = 8.0
     short_window_sec: float = 45.0
     diversity_min_gap_sec: float = 90.0

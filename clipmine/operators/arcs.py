@@ -77,13 +77,14 @@ class _Hour:
 
 def arcs_of_hour(
     pdf: pd.DataFrame, *, speech_min: float, story_min: float, story_max: float, gap_max: float, per_hour: int,
-    continuity_min: float,
+    continuity_min: float, unvoiced: int | None = None, seeds: int | None = None,
 ) -> list[tuple]:
+    """Arcs of one hour. `unvoiced`: how many candidates stand in where none has enough speech; `seeds`: how many may begin an arc (None: all)."""
     hour = _Hour(pdf.sort_values("candidate_id", kind="stable"), gap_max)
     per_hour = max(1, int(per_hour))
     plain = [r for r in hour.rows if not r["is_intro"] and not r["is_outro"]] or hour.rows
     voiced = [r for r in plain if r["speech_ratio"] >= speech_min]
-    pool = voiced or sorted(plain, key=lambda r: -r["speech_ratio"])[:12]
+    pool = voiced or sorted(plain, key=lambda r: -r["speech_ratio"])[:unvoiced]
     by_score = sorted(pool, key=lambda r: -r["score"])
 
     def arc(seed: dict) -> tuple:
@@ -99,7 +100,7 @@ def arcs_of_hour(
         )
 
     chosen: list[tuple] = []
-    for seed in by_score[: max(8, per_hour * 3)]:
+    for seed in by_score[:seeds]:
         if len(chosen) >= per_hour:
             break
         grown = arc(seed)

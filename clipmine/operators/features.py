@@ -16,7 +16,7 @@ IDS = ("vod_id", "win_id")
 
 
 def hourly_windows(vods: DataFrame, profile: Profile, *, step: float | None = None) -> DataFrame:
-    """Sliding windows per hour, at most `bucket_slide_cap`; one whole-hour window if the hour is short."""
+    """Sliding windows over each hour, the first `bucket_slide_cap` if that is set; one whole-hour window if the hour is short."""
     step = max(5.0, profile.window_step_sec) if step is None else step
     h = F.col("h")
     b0, b1 = h * 3600.0, F.least((h + 1) * 3600.0, F.col("duration_sec"))
@@ -32,7 +32,7 @@ def hourly_windows(vods: DataFrame, profile: Profile, *, step: float | None = No
     return (
         hours.where(span > 0)
         .withColumn("_len", F.when(span <= length, span).otherwise(length))
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.least(n, F.lit(profile.bucket_slide_cap)) - 1)))
+        .withColumn("i", F.explode(F.sequence(F.lit(0), (n if profile.bucket_slide_cap is None else F.least(n, F.lit(profile.bucket_slide_cap))) - 1)))
         .select(
             "vod_id", "h", "i",
             (b0 + i * step).alias("start"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipmine.functions.spans import iou, overlap_len
@@ -209,22 +209,39 @@ def snapped_start(inside, start, end, *, lookback: float = 8.0, lead: float = 0.
 
 
 def containing_or_next(
-    speech: DataFrame, points: DataFrame, *, ids: Sequence[str], keys: Sequence[str] = ("vod_id",), horizon: float = 600.0, **kw
+    speech: DataFrame, points: DataFrame, *, ids: Sequence[str], keys: Sequence[str] = ("vod_id",), bin_sec: float = 60.0, **kw
 ) -> DataFrame:
-    """The interval that contains `t`, else the first one that begins after it within `horizon`."""
+    """The interval that contains `t`, else the first one that begins at or after it, however far ahead.
+
+    The next beginning is looked up in the point's own bin and, failing that, in the next bin that has one: bins with
+    a beginning are put in order once per recording, a row per bin, so no point meets more than one bin of intervals.
+    """
     eps = 1e-6
-    w = points.select(*keys, *ids, (F.col("t") - eps).alias("start"), (F.col("t") + horizon).alias("end"), F.col("t").alias("t"))
-    pairs = overlapping_spans(speech.select(*keys, "start", "end"), w, keys=keys, **kw)
-    contains = (F.col("start") - eps <= F.col("w_t")) & (F.col("w_t") < F.col("end") + eps)
-    ahead = F.col("start") >= F.col("w_t")
-    best = (
-        pairs.where(contains | ahead)
+    group, iv = [*keys, *ids], F.struct("start", "end")
+    spans = speech.select(*keys, "start", "end").withColumn("_bin", F.floor(F.col("start") / bin_sec))
+    at = points.select(*group, "t").withColumn("_bin", F.floor(F.col("t") / bin_sec))
+    around = at.select(*group, (F.col("t") - eps).alias("start"), (F.col("t") + eps).alias("end"), "t")
+    holds = (F.col("start") - eps <= F.col("w_t")) & (F.col("w_t") < F.col("end") + eps)
+    inside = (
+        overlapping_spans(spans.drop("_bin"), around, keys=keys, pad=eps, **kw)
+        .where(holds)
         .groupBy(*keys, *_id_columns(points, ids))
-        .agg(F.min_by(F.struct("start", "end"), F.struct((~contains).cast("int"), F.col("start"))).alias("_iv"))
+        .agg(F.min(iv).alias("_in"))
+    )
+    same = at.join(spans, [*keys, "_bin"]).where(F.col("start") >= F.col("t")).groupBy(*group).agg(F.min(iv).alias("_same"))
+    first = spans.groupBy(*keys, "_bin").agg(F.min(iv).alias("_first"))
+    asked = at.select(*keys, "_bin").distinct().withColumn("_asked", F.lit(True))
+    later = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(1, Window.unboundedFollowing)
+    line = first.join(asked, [*keys, "_bin"], "full").withColumn("_later", F.min("_first").over(later))
+    ahead = at.join(line.where("_asked").select(*keys, "_bin", "_later"), [*keys, "_bin"]).select(*group, "_later")
+    found = F.coalesce("_in", "_same", "_later")
+    return (
+        points.join(inside, group, "left").join(same, group, "left").join(ahead, group, "left")
+        .withColumn("_iv", found)
+        .drop("_in", "_same", "_later")
+        .select("*", F.col("_iv.start").alias("iv_start"), F.col("_iv.end").alias("iv_end"))
+        .drop("_iv")
     )
-    return points.join(best, [*keys, *ids], "left").select(
-        "*", F.col("_iv.start").alias("iv_start"), F.col("_iv.end").alias("iv_end")
-    ).drop("_iv")
 
 
 def best_overlap(
@@ -273,8 +290,6 @@ def first_in_window(
     points: DataFrame, windows: DataFrame, n: int, *, ids: Sequence[str], keys: Sequence[str] = ("vod_id",), **kw
 ) -> DataFrame:
     """The first `n` points (by time) of each window, both ends included."""
-    from pyspark.sql import Window
-
     pairs = points_in_windows(points, windows.select(*keys, *ids, "start", "end"), keys=keys, closed=True, **kw)
     flat = pairs.select(*keys, *_id_columns(windows, ids), *[c for c in points.columns if c not in keys])
     order = Window.partitionBy(*keys, *ids).orderBy("t", *[c for c in points.columns if c not in (*keys, "t")])

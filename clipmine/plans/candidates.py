@@ -119,7 +119,7 @@ def enrich_candidates(scored: DataFrame, rec: Recordings, profile: Profile) -> D
         *(["content_type"] if "content_type" in rec.vods.columns else [F.lit(profile.content_type).alias("content_type")]),
     )
     c = scored.join(v, "vod_id").withColumn("transcript_excerpt", tx.excerpt("text"))
-    c = softban(c.withColumn("_hay", F.concat("transcript_excerpt", "title")), profile)
+    c = softban(c.withColumn("_hay", F.concat(F.coalesce("text", F.lit("")), "title")), profile)
     loud_only = F.col("chat_weak") & (F.col("chat_react") <= 0) & (F.col("chat_cue") <= 0)
     c = (
         c.withColumn("raw_score", F.col("score"))

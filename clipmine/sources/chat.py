@@ -18,6 +18,12 @@ def _get(v: Column | str, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v if isinstance(v, Column) else F.col(v), path, kind)
 
 
+def _filled(path: str) -> Column:
+    """The list at `path`; an empty one counts as missing, so that the next place is tried."""
+    found = F.try_variant_get("doc", path, "array<variant>")
+    return F.when(F.size(found) > 0, found)
+
+
 def read_dump(spark: SparkSession, path: str, *, depth: int = 2) -> DataFrame:
     """Chat events of every dump below `path`: `vod_id, file, seq, item` (VARIANT).
 
@@ -36,8 +42,8 @@ def parse_dumps(files: DataFrame) -> DataFrame:
     as_list = doc.withColumn("_list", F.try_variant_get("doc", "$", "array<variant>"))
     lists = F.array(
         F.coalesce(
-            F.try_variant_get("doc", "$.events", "array<variant>"),
-            F.try_variant_get("doc", "$.replayChatEvents", "array<variant>"),
+            _filled("$.events"),
+            _filled("$.replayChatEvents"),
             F.array().cast("array<variant>"),
         ),
         F.coalesce(F.try_variant_get("doc", "$.segments", "array<variant>"), F.array().cast("array<variant>")),
