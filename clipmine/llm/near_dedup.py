@@ -294,18 +294,26 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, counts: Counts)
 def components(links: DataFrame) -> DataFrame:
     """(`row`, `root`): the smallest row that each linked row is connected with. `links` must be stored.
 
-    Each round takes the smallest label among a row's neighbours and then its label's label; rounds are written down.
+    Each round points every row at the smallest of itself and its neighbours, follows the pointers twice and contracts
+    the links to links between targets, each once. What is joined shrinks with every round, so a group in which
+    most rows are linked with each other is read once in full, not in every round. Rounds are written down.
     """
-    edges = links.select("a", "b").union(links.select("b", "a"))
-    labels = stored(edges.groupBy(F.col("a").alias("row")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    edges = stored(links.select("a", "b").where("a <> b").distinct())
+    labels = None
     while True:
-        near = edges.join(labels, F.col("b") == F.col("row")).groupBy("a").agg(F.min("root").alias("near"))
-        lower = labels.join(near, F.col("row") == F.col("a"), "left").select("row", "root", F.least("root", "near").alias("low"))
-        jump = lower.select(F.col("row").alias("via"), F.col("low").alias("lowest"))
-        after = stored(lower.join(jump, F.col("low") == F.col("via"), "left").select("row", F.least("low", "lowest").alias("new"), "root"))
-        if after.where("new <> root").limit(1).count() == 0:
+        ends = edges.select("a", "b").union(edges.select("b", "a"))
+        to = stored(ends.groupBy(F.col("a").alias("row")).agg(F.least(F.min("b"), F.first("a")).alias("to")))
+        for _ in range(2):
+            jump = to.select(F.col("row").alias("via"), F.col("to").alias("further"))
+            to = stored(to.join(jump, F.col("to") == F.col("via"), "left").select("row", F.coalesce("further", "to").alias("to")))
+        step = to.select(F.col("row").alias("root"), "to")
+        labels = to.withColumnRenamed("to", "root") if labels is None else labels.join(step, "root", "left").select("row", F.coalesce("to", "root").alias("root"))
+        labels = stored(labels)
+        left = edges.join(to.select(F.col("row").alias("a"), F.col("to").alias("x")), "a")
+        both = left.join(to.select(F.col("row").alias("b"), F.col("to").alias("y")), "b").where("x <> y")
+        edges = stored(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if edges.limit(1).count() == 0:
             return labels
-        labels = after.select("row", F.col("new").alias("root"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
