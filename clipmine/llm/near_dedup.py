@@ -193,10 +193,12 @@ def sketches(docs: DataFrame, counts: Counts) -> DataFrame:
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """Pairs a < b of representatives (`row`) that share a band and whose signatures can mean a similarity above the threshold."""
+    """Pairs a < b of representatives (`row`), each once, that share a band and whose signatures can mean a similarity above the threshold."""
     postings = reps.select("row", F.posexplode("bands").alias("band", "key"))
     sizes = postings.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = postings.join(sizes, ["band", "key"]).join(reps.select("row", "sig"), "row")
+    every = F.transform("bands", lambda k: F.unhex(F.lpad(F.hex(k), 16, "0")))
+    packed = F.aggregate(every, F.lit(b"").cast("binary"), lambda a, k: F.concat(a, k))
+    met = postings.join(sizes, ["band", "key"]).join(reps.select("row", F.concat("sig", packed).alias("sig")), "row")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("row"), blocks.cast("long")).cast("int")
     dealt = met.select("band", "key", "row", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select(
@@ -210,8 +212,9 @@ def candidates(reps: DataFrame) -> DataFrame:
             row, own = table.column("row").to_numpy(), table.column("own").to_numpy()
             if len(row) < 2:
                 continue
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, SAMPLES)
-            lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+            both = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(row), -1)
+            sig, band = both[:, :SAMPLES], np.ascontiguousarray(both[:, SAMPLES:]).view(np.int64)
+            lo, hi, t = (table.column(c)[0].as_py() for c in ("lo", "hi", "band"))
             left = np.flatnonzero(own == lo)
             right = left if lo == hi else np.flatnonzero(own == hi)
             a, b = [], []
@@ -219,13 +222,13 @@ def candidates(reps: DataFrame) -> DataFrame:
                 agree = (sig[right] == sig[i]).mean(1)
                 ok = right[(agree - 1 / 256) / (1 - 1 / 256) >= least]
                 ok = ok[row[ok] != row[i]] if lo != hi else ok[row[ok] > row[i]]
+                ok = ok[~(band[ok, :t] == band[i, :t]).any(1)]  # a pair comes out of the first band that it shares
                 a.append(np.minimum(row[ok], row[i]))
                 b.append(np.maximum(row[ok], row[i]))
             if a and len(pairs := np.concatenate(a)):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
 
-    found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
-    return found.distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
 
 
 def _vectors(docs: DataFrame, counts: Counts) -> DataFrame:

@@ -15,7 +15,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _RUN = 0xD1342543DE82EF95 | 1
-_SEGMENT = 1 << 22
+_SEGMENT = 1 << 20
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
