@@ -17,6 +17,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join side even where the split costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows that a Python worker gets at once: texts are long, and a worker's memory never shrinks again.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
 }
 
 
@@ -47,13 +49,15 @@ def _is_explicit(spark: SparkSession, key: str) -> bool:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (`spark.checkpoint.dir`); a new local one only if unset."""
+    """The cluster's shared folder (`spark.checkpoint.dir`); where it is unset, a new local one in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
