@@ -169,7 +169,7 @@ def sketches(docs: DataFrame, counts: Counts) -> DataFrame:
 
     def scan(parts):
         for batch in parts:
-            for group in batches(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), 1 << 20):
+            for group in batches(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), 1 << 18):
                 texts = [t or "" for _, t in group]
                 doc, h, tf, digest = shingles(texts)
                 sig, full = signatures(len(texts), doc, h, shared.value.weights(h, tf))
@@ -236,7 +236,7 @@ def _vectors(docs: DataFrame, counts: Counts) -> DataFrame:
 
     def scan(parts):
         for batch in parts:
-            for group in batches(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), 1 << 20):
+            for group in batches(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), 1 << 18):
                 texts = [t or "" for _, t in group]
                 doc, h, tf, digest = shingles(texts)
                 w = shared.value.weights(h, tf)

@@ -88,7 +88,7 @@ def runs(hashes: np.ndarray, doc: np.ndarray, n: int, seed: int = 0) -> tuple[np
     return mix(out[whole[: len(out)]], seed + n), whole
 
 
-def batches(rows, size: int = 1 << 21):
+def batches(rows, size: int = 1 << 19):
     """Groups of rows (tuples that end with a text or None) of about `size` characters; a longer text is alone."""
     group, held = [], 0
     for row in rows:
