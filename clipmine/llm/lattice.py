@@ -1,11 +1,13 @@
 """SentencePiece encoding and decoding with the lattice as a relation.
 
-1. The distinct words of every chunk of documents are taken (`(chunk, word)`), so a frequent word travels once per chunk.
-2. Distinct words are exploded into their substrings of up to the longest piece's length and equi-joined to the piece
-   table; the rows that match are the lattice's edges. Edges are grouped by word and folded from left to right with
-   `aggregate`: the fold keeps, for the last positions of a piece's length, the best score and its ids (Viterbi).
-3. Every chunk gets the ids of its words back, and its documents are put together from them. Texts are shuffled once,
-   compressed; a word's ids never go to the driver.
+1. Every chunk of documents asks the owners of words (by a hash of the word) for its distinct words, packed and
+   compressed, so a frequent word travels once per chunk.
+2. The owners' distinct words are exploded into their substrings of up to the longest piece's length and equi-joined to
+   the piece table; the rows that match are the lattice's edges. Edges are grouped by word, where they already are, and
+   folded from left to right with `aggregate`: the fold keeps, for the last positions of a piece's length, the best
+   score and its ids (Viterbi).
+3. An owner answers each chunk with the ids of its words, in the order they were asked in, and the chunk's documents are
+   put together from them. Texts are shuffled once, compressed; a word's ids never go to the driver.
 
 The piece table is broadcast: its size is that of the model file. Words longer than `LONG` characters would make the
 fold's work grow with the square of their length; they are segmented by the same recurrence in a task, exactly.
@@ -19,15 +21,22 @@ are ignored.
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipmine.llm import pieces as sp
-from clipmine.llm.chunks import CHUNK, boxed, gathered, unboxed, with_chunk
+from clipmine.llm.chunks import CHUNK, boxed, unboxed, with_chunk
+from clipmine.llm.tables import parts_for
 
 LONG = 128
+ROWS_PER_OWNER = 4096
+#: A word of its own that every text may hold; its ids are known without asking.
+NEW_LINE = "\n"
 
 
 def piece_table(spark: SparkSession, pieces: sp.Pieces) -> DataFrame:
@@ -35,17 +44,24 @@ def piece_table(spark: SparkSession, pieces: sp.Pieces) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double")
 
 
-def chunk_words(rows: DataFrame) -> DataFrame:
-    """(`chunk`, `word`), each once for each run of a chunk that a task reads."""
+def _packed(data: bytes) -> bytes:
+    return struct.pack("<Q", len(data)) + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=struct.unpack_from("<Q", data)[0], codec="zstd", asbytes=True)
 
-    def scan(batches):
-        for key, table in gathered(batches):
-            distinct: set[str] = set()
-            for text in table.column("text").to_pylist():
-                distinct.update(sp.words(text or ""))
-            yield pa.RecordBatch.from_arrays([pa.array([key] * len(distinct), pa.int64()), pa.array(list(distinct), pa.string())], ["chunk", "word"])
 
-    return rows.select(CHUNK, "text").mapInArrow(scan, "chunk long, word string")
+def _by_owner(texts: list[str | None], owners: int) -> list[tuple[int, list[str]]]:
+    """The distinct words of the texts, sorted, by their owner."""
+    distinct: set[str] = set()
+    for text in texts:
+        distinct.update(sp.words(text or ""))
+    distinct.discard(NEW_LINE)
+    of: dict[int, list[str]] = {}
+    for word in sorted(distinct):
+        of.setdefault(zlib.crc32(word.encode()) % owners, []).append(word)
+    return sorted(of.items())
 
 
 def _fold(edges: Column, longest: int) -> Column:
@@ -71,7 +87,8 @@ def _fold(edges: Column, longest: int) -> Column:
 
 
 def encoded_words(words: DataFrame, pieces: sp.Pieces) -> DataFrame:
-    """(`word`, `ids`) of distinct words, by the relational lattice."""
+    """(`owner`, `word`, `ids`) of distinct words (`owner`, `word`), by the relational lattice."""
+    words = words.repartition("word")  # the edges of a word are then together as they are made
     spark = words.sparkSession
     n = F.length("word")
     # The bytes of a character that no piece covers: UTF-8 as hex digits, looked up one by one.
@@ -80,40 +97,68 @@ def encoded_words(words: DataFrame, pieces: sp.Pieces) -> DataFrame:
     spelled = F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(2)), lambda i: F.element_at(table, F.conv(hexed.substr(i, F.lit(2)), 16, 10).cast("int") + 1))
     spans = (
         words.where(n <= LONG)
-        .select("word", F.explode(F.sequence(F.lit(1), n)).alias("at"))
-        .select("word", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("word") - F.col("at") + 1))).alias("size"))
-        .select("word", (F.col("at") - 1).alias("start"), (F.col("at") + F.col("size") - 1).alias("end"), F.col("word").substr(F.col("at"), F.col("size")).alias("piece"))
+        .select("owner", "word", F.explode(F.sequence(F.lit(1), n)).alias("at"))
+        .select("owner", "word", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("word") - F.col("at") + 1))).alias("size"))
+        .select("owner", "word", (F.col("at") - 1).alias("start"), (F.col("at") + F.col("size") - 1).alias("end"), F.col("word").substr(F.col("at"), F.col("size")).alias("piece"))
     )
     edges = spans.join(F.broadcast(piece_table(spark, pieces)), "piece", "left").where(F.col("id").isNotNull() | (F.col("end") - F.col("start") == 1))
     edge = F.struct("end", "start", F.coalesce("score", F.lit(pieces.unknown)).alias("score"), F.when(F.col("id").isNotNull(), F.array("id")).otherwise(spelled).alias("ids"))
-    folded = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges")).select("word", _fold(F.col("edges"), pieces.longest).alias("ids"))
+    folded = edges.groupBy("owner", "word").agg(F.array_sort(F.collect_list(edge)).alias("edges")).select("owner", "word", _fold(F.col("edges"), pieces.longest).alias("ids"))
 
     def long(batches):
         for batch in batches:
-            ids = [sp.viterbi(w, pieces) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            ids = [sp.viterbi(w, pieces) for w in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["owner", "word", "ids"])
 
-    return folded.unionByName(words.where(n > LONG).select("word").mapInArrow(long, "word string, ids array<int>"))
+    return folded.unionByName(words.where(n > LONG).select("owner", "word").mapInArrow(long, "owner int, word string, ids array<int>"))
 
 
 def encoded(docs: DataFrame, model: str, keep_ids: bool = True) -> DataFrame:
     """Per row: doc_id, n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids), n_chars of the decoded text, round_trip, and `ids`."""
-    import zlib
-
     pieces = sp.load(model)
     if not sp.splits_cleanly(pieces):
         raise ValueError("a piece reaches over the end of a word")
-    rows = with_chunk(docs, ["doc_id", "text"])
-    wanted = chunk_words(rows)
-    found = encoded_words(wanted.select("word").distinct(), pieces)
-    replies = wanted.distinct().join(found, "word").select("chunk", "word", "ids")
+    owners = parts_for(docs.count(), ROWS_PER_OWNER, 1 << 22)
+
+    def ask(key: tuple, boxes: pa.Table) -> pa.Table:
+        asked = _by_owner(unboxed(boxes.column("box").to_pylist()).column("text").to_pylist(), owners)
+        return pa.table(
+            {
+                "owner": pa.array([o for o, _ in asked], pa.int32()),
+                "chunk": pa.array([key[0].as_py()] * len(asked), pa.int64()),
+                "words": pa.array([_packed("\n".join(w).encode()) for _, w in asked], pa.binary()),
+            }
+        )
+
+    def unique(key: tuple, requests: pa.Table) -> pa.Table:
+        distinct: set[str] = set()
+        for data in requests.column("words").to_pylist():
+            distinct.update(_unpacked(data).decode().split("\n"))
+        return pa.table({"owner": pa.array([key[0].as_py()] * len(distinct), pa.int32()), "word": pa.array(sorted(distinct), pa.string())})
+
+    def answer(key: tuple, requests: pa.Table, found: pa.Table) -> pa.Table:
+        lists = found.column("ids").combine_chunks()
+        flat, edge = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
+        ids_of = {w: flat[a:b] for w, a, b in zip(found.column("word").to_pylist(), edge[:-1], edge[1:], strict=True)}
+        replies = []
+        for data in requests.column("words").to_pylist():
+            parts = [ids_of[w] for w in _unpacked(data).decode().split("\n")]
+            sizes = np.array([len(p) for p in parts], "<u4")
+            replies.append(_packed(struct.pack("<Q", len(parts)) + sizes.tobytes() + np.concatenate(parts).tobytes()))
+        return pa.table({"chunk": requests.column("chunk"), "owner": requests.column("owner"), "ids": pa.array(replies, pa.binary())})
 
     def assemble(key: tuple, boxes: pa.Table, replies: pa.Table) -> pa.Table:
-        words = replies.column("word").to_pylist()
-        lists = replies.column("ids").combine_chunks()
-        flat, edge = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
-        ids_of = {w: flat[a:b].tobytes() for w, a, b in zip(words, edge[:-1], edge[1:], strict=True)}
         part, text_of = unboxed(boxes.column("box").to_pylist()), pieces.text_of()
+        ids_of = {NEW_LINE: np.array(sp.viterbi(NEW_LINE, pieces), "<u4").tobytes()}
+        answers = dict(zip(replies.column("owner").to_pylist(), replies.column("ids").to_pylist(), strict=True))
+        for owner, asked in _by_owner(part.column("text").to_pylist(), owners):
+            data = _unpacked(answers[owner])
+            n = struct.unpack_from("<Q", data)[0]
+            ends = 8 + 4 * n + 4 * np.cumsum(np.frombuffer(data, "<u4", n, 8), dtype=np.int64)
+            at = 8 + 4 * n
+            for word, end in zip(asked, ends.tolist(), strict=True):
+                ids_of[word] = data[at:end]
+                at = end
         out = []
         for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
             data = b"".join(map(ids_of.__getitem__, sp.words(text or "")))
@@ -126,7 +171,11 @@ def encoded(docs: DataFrame, model: str, keep_ids: bool = True) -> DataFrame:
         return pa.table(made if keep_ids else {n: c for n, c in made.items() if n != "ids"})
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, decoded_chars long, round_trip boolean" + ", ids array<int>" * keep_ids
-    return boxed(rows).groupBy(CHUNK).cogroup(replies.groupBy("chunk")).applyInArrow(assemble, schema)
+    boxes = boxed(with_chunk(docs, ["doc_id", "text"]))
+    requests = boxes.groupBy(CHUNK).applyInArrow(ask, "owner int, chunk long, words binary")
+    found = encoded_words(requests.groupBy("owner").applyInArrow(unique, "owner int, word string"), pieces)
+    replies = requests.groupBy("owner").cogroup(found.groupBy("owner")).applyInArrow(answer, "chunk long, owner int, ids binary")
+    return boxes.groupBy(CHUNK).cogroup(replies.groupBy("chunk")).applyInArrow(assemble, schema)
 
 
 def decoded(rows: DataFrame, model: str) -> DataFrame:
