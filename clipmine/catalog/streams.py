@@ -26,8 +26,17 @@ def source(t, name: str = "events") -> DataFrame:
     return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.dir)
 
 
-def chat_stream(t) -> DataFrame:
-    return source(t).select(
+def chat_stream(t, *, ends: bool = True) -> DataFrame:
+    """The events as a chat stream. `ends`: a last row far in the future closes every window and session of the others."""
+    rows = source(t)
+    if ends:
+        path = f"{shared_dir(t.spark)}/end-{uuid.uuid4().hex}"
+        last = {"ts": F.lit("2200-01-01").cast("timestamp"), "event_type": F.lit("purchase"), "user_id": F.lit(-1), "event_id": F.lit(-1)}
+        names = [F.col(n).cast(k) for n, k in t.read("events").dtypes]
+        blank = t.spark.range(1).select(*[last.get(n, F.lit(None)).cast(k).alias(n) for n, k in t.read("events").dtypes])
+        blank.write.parquet(path)
+        rows = rows.unionByName(t.spark.readStream.schema(blank.schema).parquet(path).select(*names))
+    return rows.select(
         F.to_date("ts").cast("string").alias("vod_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
         F.col("user_id").cast("string").alias("author"), F.col("event_type").alias("message"),
     )
@@ -48,14 +57,10 @@ def seconds(c: str):
     return F.expr(f"timestampdiff(SECOND, {EPOCH}, {c})")
 
 
-CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
-
-
 @query(
     "st_chat_bins",
-    f"""SELECT strftime(b, '%Y-%m-%d') AS vod_id, CAST(epoch(b) AS BIGINT) AS start, n, round(react, 6) AS react FROM (
-          SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS b, count(*) AS n, sum(CASE event_type WHEN 'purchase' THEN 1e0 WHEN 'error' THEN 0.8e0 WHEN 'signup' THEN 2.5e0 ELSE 0e0 END) AS react FROM events GROUP BY ALL)
-        WHERE b + INTERVAL 5 MINUTE <= {CLOSED}""",
+    """SELECT strftime(b, '%Y-%m-%d') AS vod_id, CAST(epoch(b) AS BIGINT) AS start, n, round(react, 6) AS react FROM (
+          SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS b, count(*) AS n, sum(CASE event_type WHEN 'purchase' THEN 1e0 WHEN 'error' THEN 0.8e0 WHEN 'signup' THEN 2.5e0 ELSE 0e0 END) AS react FROM events GROUP BY ALL)""",
 )
 def _(t):
     out = drain(sc.bins(sc.mark(chat_stream(t), DAY), width="5 minutes"))
@@ -64,9 +69,8 @@ def _(t):
 
 @query(
     "st_sliding_features",
-    f"""SELECT vod_id, CAST(epoch(b) AS BIGINT) AS start, round(n / 600e0, 6) AS chat_density, round(least(3e0, cu * 1.5e0), 6) AS chat_cue FROM (
-          SELECT strftime(ts, '%Y-%m-%d') AS vod_id, time_bucket(INTERVAL 5 MINUTE, ts) - i * INTERVAL 5 MINUTE AS b, count(*) AS n, count(*) FILTER (event_type = 'signup') AS cu FROM events, (SELECT unnest([0, 1]) AS i) GROUP BY ALL)
-        WHERE b + INTERVAL 10 MINUTE <= {CLOSED}""",
+    """SELECT vod_id, CAST(epoch(b) AS BIGINT) AS start, round(n / 600e0, 6) AS chat_density, round(least(3e0, cu * 1.5e0), 6) AS chat_cue FROM (
+          SELECT strftime(ts, '%Y-%m-%d') AS vod_id, time_bucket(INTERVAL 5 MINUTE, ts) - i * INTERVAL 5 MINUTE AS b, count(*) AS n, count(*) FILTER (event_type = 'signup') AS cu FROM events, (SELECT unnest([0, 1]) AS i) GROUP BY ALL)""",
 )
 def _(t):
     out = drain(sc.sliding_features(sc.mark(chat_stream(t), DAY), width_sec=600, step_sec=300))
@@ -75,10 +79,10 @@ def _(t):
 
 @query(
     "st_reaction_sessions",
-    f"""SELECT vod_id, CAST(epoch_us(min(ts)) // 1000 AS BIGINT) AS start_ms, count(*) AS n FROM (
+    """SELECT vod_id, CAST(epoch_us(min(ts)) // 1000 AS BIGINT) AS start_ms, count(*) AS n FROM (
           SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 5 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY vod_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (
             SELECT strftime(ts, '%Y-%m-%d') AS vod_id, ts, lag(ts) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts) AS p FROM events WHERE event_type IN ('purchase', 'error', 'signup')))
-        GROUP BY vod_id, g HAVING max(ts) + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events WHERE event_type IN ('purchase', 'error', 'signup'))""",
+        GROUP BY vod_id, g""",
 )
 def _(t):
     out = drain(sc.reaction_sessions(sc.mark(chat_stream(t), DAY), gap="5 minutes"))
@@ -87,7 +91,7 @@ def _(t):
 
 @query("st_deduplicate", with_("ev", body="SELECT vod_id, seq FROM ev"))
 def _(t):
-    c = chat_stream(t)
+    c = chat_stream(t, ends=False)
     twice = c.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
     return drain(sc.deduplicated(twice)).select("vod_id", "seq")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clipmine.functions.spans import py_round
 from clipmine.functions.text import keyword_hits, strip
 from clipmine.lexicon import Profile
 
@@ -29,7 +30,7 @@ def _strength() -> Column:
 
 def deduplicated(chat: DataFrame, *, delay: str = DELAY) -> DataFrame:
     """Drop repeated (time to 0.01 s, author, message) that arrive within the watermark delay."""
-    t2 = F.round(F.col("ts").cast("double"), 2)
+    t2 = py_round(F.col("ts").cast("double"), 2)
     return (
         chat.withColumn("_t2", t2).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["vod_id", "_t2", "author", "message"]).drop("_t2")
     )
