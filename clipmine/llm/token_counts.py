@@ -4,7 +4,8 @@ The distinct pre-tokens of the texts a task reads are inserted into a trie. A no
 best forward score of that prefix and the number of tokens on its best path, computed once from the nodes above it
 when it is made; pre-tokens that share a prefix share the work. The count at a pre-token's last node is kept
 with the pre-token. A text's count is the sum over its pre-tokens. Nothing is shuffled. A trie of `NODES` nodes is
-emptied and begun anew, which changes no result, so memory is bounded whatever a task reads.
+emptied and begun anew, and so are the counts of `WORDS` pre-tokens, which changes no result: memory is bounded
+whatever a task reads.
 
 Defined cases: a null or empty text has no tokens; rows may repeat; an empty table gives an empty table; extra
 columns are ignored.
@@ -18,38 +19,50 @@ from pyspark.sql import functions as F
 
 from clipmine.llm.pieces import Pieces, load, words
 
-NODES = 400_000
+NODES, WORDS = 400_000, 500_000
 _tries: dict[str, "Trie"] = {}
 
 
+class _Counts(dict):
+    """Number of tokens by pre-token; one that isn't known yet is inserted into the trie."""
+
+    def __init__(self, trie: "Trie"):
+        super().__init__()
+        self.trie = trie
+
+    def __missing__(self, word: str) -> int:
+        return self.trie.insert(word)
+
+
 class Trie:
-    """Forward scores and token counts by prefix; `trie[word]` is the word's number of tokens."""
+    """Forward scores and token counts by prefix; `trie.counts[word]` is the word's number of tokens."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
+        #: How long a piece can be that ends with these two characters.
+        self.reach: dict[str, int] = {}
+        for p in pieces.scores:
+            self.reach[p[-2:]] = max(self.reach.get(p[-2:], 1), len(p))
+        self.counts = _Counts(self)
         self.clear()
 
     def clear(self) -> None:
+        """Forget the nodes; the counts of pre-tokens stay."""
         self.child: dict[int, int] = {}
         self.score, self.tokens = [0.0], [0]
-        self.counts: dict[str, int] = {}
-
-    def __getitem__(self, word: str) -> int:
-        n = self.counts.get(word)
-        return self.insert(word) if n is None else n
 
     def insert(self, word: str) -> int:
         if len(self.score) > NODES:
             self.clear()
         child, score, tokens = self.child, self.score, self.tokens
-        known, longest = self.pieces.scores, self.pieces.longest
+        known, reach = self.pieces.scores, self.reach
         node, path = 0, [0]
         for i, ch in enumerate(word):
             key = node << 21 | ord(ch)
             node = child.get(key, -1)
             if node < 0:
                 end, best, n = i + 1, float("-inf"), 0
-                for start in range(max(0, end - longest), end):
+                for start in range(max(0, end - reach.get(word[max(0, i - 1) : end], 1)), end):
                     s = known.get(word[start:end])
                     if s is not None and score[path[start]] + s > best:
                         best, n = score[path[start]] + s, tokens[path[start]] + 1
@@ -59,6 +72,8 @@ class Trie:
                 score.append(best)
                 tokens.append(n)
             path.append(node)
+        if len(self.counts) >= WORDS:
+            self.counts.clear()
         self.counts[word] = tokens[node]
         return tokens[node]
 
@@ -73,7 +88,7 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
     """Per row: doc_id, n_pretokens, n_tokens."""
 
     def scan(batches):
-        counts = trie(model)
+        counts = trie(model).counts
         for batch in batches:
             split = [words(t or "") for t in batch.column(1).to_pylist()]
             totals = [sum(map(counts.__getitem__, w)) for w in split]
