@@ -137,8 +137,8 @@ class Tables:
 
     @cached_property
     def clips(self) -> DataFrame:
-        """Highlights to edit: a span around every fifth purchase or sign-up."""
-        return self.events.where(F.col("message").isin("purchase", "signup") & (F.col("seq") % 5 == 0)).select(
+        """Highlights to edit: a span around every purchase or sign-up."""
+        return self.events.where(F.col("message").isin("purchase", "signup")).select(
             "vod_id", F.col("seq").alias("clip_id"), F.greatest(F.lit(0.0), F.col("t") - 30.0).alias("start"),
             (F.col("t") + 60.0 + F.col("value")).alias("end"),
         )
@@ -197,7 +197,7 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "clips": (
         ("ev",),
         """SELECT vod_id, seq AS clip_id, greatest(0e0, t - 30e0) AS s, t + 60e0 + value AS e
-           FROM ev WHERE message IN ('purchase', 'signup') AND seq % 5 = 0""",
+           FROM ev WHERE message IN ('purchase', 'signup')""",
     ),
     "win": (
         ("vods",),
