@@ -174,12 +174,13 @@ def _(t):
     with_(
         "clips", "speech", "seg",
         body="""SELECT f.clip_id, f.cue_id FROM fr f LEFT JOIN cue x ON x.clip_id = f.clip_id AND x.vs IS NOT NULL AND x.seg_id % 2 = 0 AND x.ve > f.vs AND x.vs < f.ve GROUP BY f.clip_id, f.cue_id, f.vs, f.ve
-                HAVING sum(CASE WHEN x.vs IS NULL THEN 0e0 ELSE least(x.ve, f.ve) - greatest(x.vs, f.vs) END) / (f.ve - f.vs) < 0.35""",
+                HAVING sum(CASE WHEN x.vs IS NULL THEN 0e0 ELSE least(x.ve, f.ve) - greatest(x.vs, f.vs) END) / (f.ve - f.vs) < 0.35
+                UNION ALL SELECT clip_id, cue_id FROM cue f WHERE vs IS NULL AND NOT EXISTS (SELECT 1 FROM cue x WHERE x.clip_id = f.clip_id AND x.seg_id % 2 = 0 AND x.text = f.text)""",
         recursive=CUES + ", fr AS (SELECT * FROM cue WHERE vs IS NOT NULL)",
     ),
 )
 def _(t):
-    c = clip_cues(t).where(F.col("vod_start").isNotNull())
+    c = clip_cues(t)
     old = c.where(F.substring("cue_id", 2, 20).cast("long") % 2 == 0)
     return cu.missing_cues(c, old).select("clip_id", "cue_id")
 

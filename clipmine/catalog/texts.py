@@ -305,7 +305,7 @@ def _(t):
     "fn_parse_words",
     with_(
         "turns",
-        body="""SELECT vod_id, seg_id, CAST(len(w) AS INTEGER) AS words, array_to_string(w[1:3], '|') AS first3
+        body="""SELECT vod_id, seg_id, CAST(len(w) AS INTEGER) AS words, array_to_string(w, '|') AS texts
                 FROM (SELECT vod_id, seg_id, list_filter(list_transform(string_split(text, ' '), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS w FROM turns)""",
     ),
 )
@@ -314,4 +314,4 @@ def _(t):
         "p",
         F.transform("words", lambda w, i: F.struct(F.when(i % 2 == 0, w["text"]).otherwise("").alias("word"), w["text"].alias("text"), w["start"].alias("start"), F.when(i % 3 > 0, w["start"] - 1).alias("end"))),
     ).withColumn("p", tx.parse_words("p"))
-    return raw.select("vod_id", "seg_id", F.size("p").alias("words"), F.array_join(F.transform(F.slice("p", 1, 3), lambda w: w["text"]), "|").alias("first3"))
+    return raw.select("vod_id", "seg_id", F.size("p").alias("words"), F.array_join(F.transform("p", lambda w: w["text"]), "|").alias("texts"))
