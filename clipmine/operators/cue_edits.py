@@ -67,7 +67,8 @@ def carry_marks(base, old) -> list[dict]:
     return words
 
 
-def merge_clip(old: list[Cue], fresh: list[Cue]) -> list[Cue]:
+def merge_clip(old: list[Cue], fresh: list[Cue], styles: tuple[str, ...] = ()) -> list[Cue]:
+    """`styles`: columns that only old cues have; a matched cue takes them over."""
     order = lambda c: (c["start"], str(c["cue_id"]))
     old, fresh = sorted(old, key=order), sorted(fresh, key=order)
     if not old or not fresh:
@@ -77,6 +78,7 @@ def merge_clip(old: list[Cue], fresh: list[Cue]) -> list[Cue]:
     for cue in fresh:
         cue = dict(cue, words=[dict(w) for w in cue["words"]])
         match = _best(cue, free)
+        cue.update({c: match.get(c) if match else None for c in styles})
         if match is not None:
             free.remove(match)
             a, b = len(_shown(match)), len(_shown(cue))

@@ -356,16 +356,19 @@ def merge_cue_edits(old: DataFrame, fresh: DataFrame, keys: Sequence[str] = CLIP
     """
     from clipmine.operators.cue_edits import merge_clip
 
-    types, columns = dict(fresh.dtypes), list(fresh.columns)
+    styles = tuple(c for c in old.columns if c not in fresh.columns)
+    types, columns = dict(old.dtypes) | dict(fresh.dtypes), [*fresh.columns, *styles]
     schema = ", ".join(f"{c} {types[c]}" for c in columns)
 
     def fold(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = merge_clip(a.to_dict("records"), b.to_dict("records"))
+        rows = merge_clip(a.to_dict("records"), b.to_dict("records"), styles)
         for r in rows:
             r.update(zip(keys, key))
         return pd.DataFrame(rows, columns=columns)
 
-    other = _renamed(old.select(*columns))
+    # An old cue without words is read from its text, marks included.
+    marked = old.withColumn("words", F.coalesce("words", tx.parse_markup("text").cast(types["words"])))
+    other = _renamed(marked.select(*columns))
     return other.groupBy(*keys).cogroup(fresh.groupBy(*keys)).applyInPandas(fold, schema)
 
 

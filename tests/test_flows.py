@@ -114,3 +114,16 @@ def test_subtitle_quality_of_events(spark):
     e = spark.createDataFrame([("v", 1, 0.0, 0.4, "a"), ("v", 1, 1.0, 2.0, "b\\Nc")], "vod_id string, clip_id int, start double, end double, text string")
     r = subtitle_quality(e).first()
     assert (r.events, r.flashes, r.keeps_break) == (2, 1, 1) and r.max_gap == pytest.approx(0.6)
+
+
+def test_edits_keep_style_and_cues_without_words(spark):
+    from clipmine.operators.cues import merge_cue_edits
+
+    cue = "vod_id string, clip_id long, cue_id string, start double, end double, vod_start double, vod_end double, text string, words array<struct<text string, is_kw boolean, color string>>"
+    word = lambda s: [(ch, False, None) for ch in s]
+    old = spark.createDataFrame([("v", 1, "a", 0.0, 2.0, 10.0, 12.0, "**ab**c", None, 40)], cue + ", font_size int")
+    fresh = spark.createDataFrame([("v", 1, "n1", 0.0, 2.0, 10.0, 12.0, "abc", word("abc")), ("v", 1, "n2", 5.0, 6.0, 30.0, 31.0, "d", word("d"))], cue)
+    out = {r["cue_id"]: r for r in merge_cue_edits(old, fresh).collect()}
+    assert (out["n1"]["font_size"], out["n2"]["font_size"]) == (40, None)
+    assert [w["is_kw"] for w in out["n1"]["words"]] == [True, True, False]
+    assert out["n1"]["text"] == "**ab**c"
