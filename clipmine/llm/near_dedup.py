@@ -12,9 +12,11 @@ Sampling: a shingle belongs to one of `SAMPLES` bins by its hash; in each bin th
 tried in an order that only its number decides. So a shingle is drawn for once rather than for every sample. Bands of
 `ROWS` samples are the keys under which texts meet.
 
-Texts with the same words are one representative. Texts that meet are compared by their whole signatures, in blocks,
-and those that can be similar are verified: the weighted Jaccard similarity of their whole shingle vectors decides.
-Verified links are merged to classes by label propagation with pointer jumping.
+Texts with the same words are one representative. Texts that meet are compared by their whole signatures, in blocks;
+those that can be similar are connected to groups. In its group each such pair is verified, unless links found before
+connect it: the weighted Jaccard similarity of the whole shingle vectors decides. Both steps give spanning forests of
+what they find, so the rows grow with the texts and not with their pairs. Links are merged to classes by label
+propagation with pointer jumping.
 
 Defined cases: a null text has no words; texts without words are one class; rows may repeat; an empty table gives an
 empty table; extra columns are ignored.
@@ -38,8 +40,8 @@ DEPTH, WIDTH, SLICES = 3, 1 << 18, 16
 SAMPLES, ROWS = 128, 5
 #: A pair is verified if its signatures agree in at least this much less than the threshold (4 standard deviations).
 MARGIN = 0.15
-#: Members of a bucket that one task compares with each other or with as many others; links of a hub that it verifies.
-BLOCK, HUB = 1024, 512
+#: Members of a bucket, and of a group of candidates, that are compared with each other or as many others at once.
+BLOCK, GROUP = 1024, 2048
 _HALF = np.uint64(0xFFFFFFFF)
 
 
@@ -164,7 +166,7 @@ def signatures(n: int, doc: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[n
 
 
 def sketches(docs: DataFrame, counts: Counts) -> DataFrame:
-    """Per row: doc_id, d1 and d2 (a digest of its words), sig (a byte of each sample), bands (their keys; none without words)."""
+    """Per row: doc_id, d1 and d2 (a digest of its words), sig (a byte of each sample, then the band keys), bands (the keys; none without words)."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def scan(parts):
@@ -183,7 +185,7 @@ def sketches(docs: DataFrame, counts: Counts) -> DataFrame:
                         pa.array([i for i, _ in group], pa.int64()),
                         pa.array(digest[0].view(np.int64), pa.int64()),
                         pa.array(digest[1].view(np.int64), pa.int64()),
-                        pa.array([x.tobytes() for x in low], pa.binary()),
+                        pa.array([x.tobytes() + k.tobytes() for x, k in zip(low, key, strict=True)], pa.binary()),
                         pa.array([k if f else [] for k, f in zip(key.view(np.int64).tolist(), full, strict=True)], pa.list_(pa.int64())),
                     ],
                     ["doc_id", "d1", "d2", "sig", "bands"],
@@ -192,43 +194,78 @@ def sketches(docs: DataFrame, counts: Counts) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, d1 long, d2 long, sig binary, bands array<long>")
 
 
+def _bands(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return sig[:, :SAMPLES], np.ascontiguousarray(sig[:, SAMPLES:]).view(np.int64)
+
+
+def _alike(sig: np.ndarray, band: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Those of `others` that share a band with i and whose signatures can mean a similarity above the threshold."""
+    others = others[(band[others] == band[i]).any(1)]
+    agree = (sig[others] == sig[i]).mean(1)
+    return others[(agree - 1 / 256) / (1 - 1 / 256) >= THRESHOLD - MARGIN]
+
+
+class _Forest:
+    """Union-find over the members of one group."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def joined(self, i: int, j: int) -> bool:
+        """Join i and j; whether they were apart."""
+        a, b = self.root(i), self.root(j)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _in_blocks(members: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """`members` (with `members` rows for their keys) dealt to pairs of blocks of about `size`: lo, hi, own."""
+    blocks = F.ceil(F.col("members") / size).cast("int")
+    own = F.pmod(F.xxhash64("row"), blocks.cast("long")).cast("int")
+    rest = [c for c in members.columns if c != "members"]
+    dealt = members.select(*rest, own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select(*rest, "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    at = [*keys, "lo", "hi"]
+    return dealt.repartition(*at).sortWithinPartitions(*at, "row")
+
+
+def _sides(table: pa.Table) -> list[tuple[int, np.ndarray]]:
+    """Each member of the lower block with the members that it is to be compared with."""
+    own = table.column("own").to_numpy()
+    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    left = np.flatnonzero(own == lo)
+    right = left if lo == hi else np.flatnonzero(own == hi)
+    return [(int(i), right[right > i] if lo == hi else right) for i in left]
+
+
 def candidates(reps: DataFrame) -> DataFrame:
-    """Pairs a < b of representatives (`row`), each once, that share a band and whose signatures can mean a similarity above the threshold."""
+    """Links a - b between representatives (`row`) that may be similar: enough of them to connect all that may.
+
+    Members of a bucket are compared by their signatures. A task gives a spanning forest of the pairs that it finds,
+    so a bucket of n members makes less than n links.
+    """
     postings = reps.select("row", F.posexplode("bands").alias("band", "key"))
-    sizes = postings.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    every = F.transform("bands", lambda k: F.unhex(F.lpad(F.hex(k), 16, "0")))
-    packed = F.aggregate(every, F.lit(b"").cast("binary"), lambda a, k: F.concat(a, k))
-    met = postings.join(sizes, ["band", "key"]).join(reps.select("row", F.concat("sig", packed).alias("sig")), "row")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("row"), blocks.cast("long")).cast("int")
-    dealt = met.select("band", "key", "row", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select(
-        "band", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "row", "sig"
-    )
-    keys = ["band", "key", "lo", "hi"]
-    least = THRESHOLD - MARGIN
+    sizes = postings.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = postings.join(sizes, ["band", "key"]).join(reps.select("row", "sig"), "row")
 
     def compare(parts):
-        for table in sorted_groups(parts, keys):
-            row, own = table.column("row").to_numpy(), table.column("own").to_numpy()
-            if len(row) < 2:
+        for table in sorted_groups(parts, ["band", "key", "lo", "hi"]):
+            if len(table) < 2:
                 continue
-            both = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(row), -1)
-            sig, band = both[:, :SAMPLES], np.ascontiguousarray(both[:, SAMPLES:]).view(np.int64)
-            lo, hi, t = (table.column(c)[0].as_py() for c in ("lo", "hi", "band"))
-            left = np.flatnonzero(own == lo)
-            right = left if lo == hi else np.flatnonzero(own == hi)
-            a, b = [], []
-            for i in left:
-                agree = (sig[right] == sig[i]).mean(1)
-                ok = right[(agree - 1 / 256) / (1 - 1 / 256) >= least]
-                ok = ok[row[ok] != row[i]] if lo != hi else ok[row[ok] > row[i]]
-                ok = ok[~(band[ok, :t] == band[i, :t]).any(1)]  # a pair comes out of the first band that it shares
-                a.append(np.minimum(row[ok], row[i]))
-                b.append(np.maximum(row[ok], row[i]))
-            if a and len(pairs := np.concatenate(a)):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
+            row, forest = table.column("row").to_numpy(), _Forest(len(table))
+            sig, band = _bands(np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(row), -1))
+            found = [(i, int(j)) for i, others in _sides(table) for j in _alike(sig, band, i, others) if forest.joined(i, int(j))]
+            if found:
+                a, b = row[[i for i, _ in found]], row[[j for _, j in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+    return _in_blocks(met, ["band", "key"], BLOCK).mapInArrow(compare, "a long, b long").distinct()
 
 
 def _vectors(docs: DataFrame, counts: Counts) -> DataFrame:
@@ -264,34 +301,43 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
     return both / max(float(x[1].sum() + y[1].sum()) - both, 1e-300)
 
 
-def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, counts: Counts) -> DataFrame:
-    """The pairs whose weighted Jaccard similarity reaches the threshold, with it. `pairs` must be stored."""
-    rows = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    used = stored(reps.select("row", "doc_id", "d1", "d2").join(rows, "row"))
+def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame, counts: Counts) -> DataFrame:
+    """Links a - b of similarity above the threshold, enough of them to connect all that are linked.
+
+    `groups` (`row`, `root`; stored) are the candidates that are connected. The vector of each goes to its group once,
+    or once for each block of a large group. There every pair that `candidates` stands for is verified, unless
+    links found before connect it.
+    """
+    used = stored(reps.join(groups, "row").select("row", "root", "doc_id", "d1", "d2", "sig"))
     n = used.count()
-    keys = used.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(sized(keys, n, 16), "doc_id", "left_semi").unionByName(texts.where("doc_id IS NULL"))
+    texts = texts.join(sized(used.select("doc_id").distinct(), n, 16), "doc_id", "left_semi").unionByName(texts.where("doc_id IS NULL"))
     same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))
     ids = used.select("row", F.col("doc_id").alias("i"), F.col("d1").alias("e1"), F.col("d2").alias("e2"))
-    vectors = stored(_vectors(texts, counts).join(sized(ids, n, 40), same).select("row", "h", "w").dropDuplicates(["row"]))
-    splits = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB).alias("splits"))
-    spread = pairs.join(splits, "a").select("a", F.pmod(F.xxhash64("b"), F.col("splits")).alias("part"), F.col("b").alias("row"))
-    hubs = splits.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)).alias("part"), F.col("a").alias("row"))
-    work = spread.unionByName(hubs).join(vectors, "row").repartition("a", "part").sortWithinPartitions("a", "part", "row")
+    vectors = _vectors(texts, counts).join(sized(ids, n, 40), same).select("row", "h", "w").dropDuplicates(["row"])
+    sizes = used.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+    members = used.select("row", "root", "sig").join(sizes, "root").join(vectors, "row")
 
     def check(parts):
-        hub, at = None, None
-        for batch in parts:
-            out = []
-            for a, part, row, h, w in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "row", "h", "w")), strict=True):
-                if row == a:  # a is the smallest row of its part, so it comes first
-                    hub, at = _vector(h, w), (a, part)
-                elif (a, part) == at and (s := similarity(hub, _vector(h, w))) >= THRESHOLD:
-                    out.append((a, row, s))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
-
-    return work.mapInArrow(check, "a long, b long, similarity double")
+        for table in sorted_groups(parts, ["root", "lo", "hi"]):
+            row, forest = table.column("row").to_numpy(), _Forest(len(table))
+            sig, band = _bands(np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(row), -1))
+            h, w = table.column("h").to_pylist(), table.column("w").to_pylist()
+            a, b = [], []
+            for i, others in _sides(table):
+                own = None
+                for j in _alike(sig, band, i, others).tolist():
+                    if forest.root(i) == forest.root(j):
+                        continue
+                    own = own or _vector(h[i], w[i])
+                    if similarity(own, _vector(h[j], w[j])) >= THRESHOLD:
+                        forest.joined(i, j)
+                        a.append(row[i])
+                        b.append(row[j])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return _in_blocks(members, ["root"], GROUP).mapInArrow(check, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -320,21 +366,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs`: doc_id, class_id (the smallest doc_id of its class), class_size, links, kept, row.
-
-    links: how many other texts are verified to be similar to this one. kept: one row of each class.
-    """
+    """One row per row of `docs`: doc_id, class_id (the smallest doc_id of its class), class_size, kept (one of each class)."""
     counts = count_shingles(docs)
     sketched = stored(sketches(docs, counts), "row")
     texts = stored(sketched.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("m"), F.count(F.lit(1)).alias("copies")).select("d1", "d2", "m.doc_id", "m.row", "copies"))
-    reps = sketched.join(texts.select("row", "copies"), "row")
-    pairs = stored(candidates(reps))
-    links = stored(verified(docs, texts, pairs, counts))
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("row")).agg(F.count(F.lit(1)).alias("links"))
-    linked = texts.join(components(links), "row", "left").join(degree, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    reps = sketched.join(texts.select("row"), "row")
+    groups = components(stored(candidates(reps)))
+    links = stored(verified(docs, reps, groups, counts))
+    linked = texts.join(components(links), "row", "left").withColumn("root", F.coalesce("root", "row"))
     best = linked.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("best"), F.sum("copies").alias("class_size"))
-    of_text = linked.join(best, "root").select("d1", "d2", F.col("best.doc_id").alias("class_id"), F.col("best.row").alias("best_row"), "class_size", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-    return sketched.select("doc_id", "d1", "d2", "row").join(of_text, ["d1", "d2"]).select("doc_id", "class_id", "class_size", "links", (F.col("row") == F.col("best_row")).alias("kept"))
+    of_text = linked.join(best, "root").select("d1", "d2", F.col("best.doc_id").alias("class_id"), F.col("best.row").alias("best_row"), "class_size")
+    return sketched.select("doc_id", "d1", "d2", "row").join(of_text, ["d1", "d2"]).select("doc_id", "class_id", "class_size", (F.col("row") == F.col("best_row")).alias("kept"))
 
 
 def kept(docs: DataFrame) -> DataFrame:
