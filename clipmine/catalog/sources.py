@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from clipmine.catalog import query
@@ -9,6 +11,7 @@ from clipmine.catalog.tables import with_
 from clipmine.functions import text as tx
 from clipmine.operators import reports as rp
 from clipmine.operators.review import best_artifact
+from clipmine.session import shared_dir
 from clipmine.sources import artifacts, chat, config, sinks
 
 
@@ -171,3 +174,21 @@ def _(t):
     a = t.read("documents").select(F.col("source").alias("job_id"), kind.alias("kind"), F.col("doc_id").alias("path"))
     first = a.groupBy("job_id", "kind").agg(F.min("path").alias("path"))
     return best_artifact(first, ["final", "styled", "sub"], keys=["job_id"]).select("job_id", "kind", F.col("path").alias("first"))
+
+
+@query("sink_write_table", with_("ev", body="SELECT vod_id, seq, message FROM ev"))
+def _(t):
+    """Written by recording and read back."""
+    path = f"{shared_dir(t.spark)}/table-{uuid.uuid4().hex}"
+    sinks.write_table(t.chat.select("vod_id", "seq", "message"), path)
+    return t.spark.read.parquet(path).select("vod_id", "seq", "message")
+
+
+@query("sink_append_history", with_("ev", body="SELECT vod_id, run, count(*) AS messages FROM ev, (SELECT unnest([1, 2]) AS run) GROUP BY ALL"))
+def _(t):
+    """Two runs appended one after the other and read back."""
+    path = f"{shared_dir(t.spark)}/history-{uuid.uuid4().hex}"
+    counts = t.chat.groupBy("vod_id").agg(F.count(F.lit(1)).alias("messages"))
+    for run in (1, 2):
+        sinks.append_history(counts.withColumn("run", F.lit(run)), path)
+    return t.spark.read.schema("vod_id string, run int, messages long").json(path)

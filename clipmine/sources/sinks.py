@@ -9,9 +9,15 @@ from clipmine.functions.text import strip
 from clipmine.functions.timecode import srt_timestamp
 
 
-def write_table(df: DataFrame, path: str, *, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """One folder per recording; rows of a large recording may span several files."""
-    df.write.mode(mode).partitionBy("vod_id").format(fmt).save(path)
+def write_table(df: DataFrame, path: str, *, fmt: str = "parquet", mode: str = "overwrite", buckets: int = 64, files: int = 4) -> None:
+    """Folders by a hash of the recording, up to `files` files each, clustered by recording.
+
+    The number of folders and files doesn't depend on the number of recordings or tasks; a recording with a large
+    share of the rows is spread over the files of its folder.
+    """
+    bucket, part = F.pmod(F.xxhash64("vod_id"), F.lit(buckets)).cast("int"), F.pmod(F.xxhash64(*df.columns), F.lit(files))
+    placed = df.withColumn("vod_bucket", bucket).repartition(buckets * files, "vod_bucket", part).sortWithinPartitions("vod_bucket", "vod_id")
+    placed.write.mode(mode).partitionBy("vod_bucket").format(fmt).save(path)
 
 
 def first_candidates(candidates: DataFrame, n: int = 200) -> DataFrame:
