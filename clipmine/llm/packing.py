@@ -15,6 +15,7 @@ table gives an empty table; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 
 import numpy as np
@@ -29,9 +30,7 @@ END = 2
 #: Pieces of a block, islands of a block, packings of an island, epochs, generations of an epoch.
 BLOCK, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 2048, 3, 4, 2, 4
 #: Chunks of text whose ids a Python worker remembers before it starts over.
-REMEMBER = 400_000
-
-_encoders: dict[str, "Encoder"] = {}
+REMEMBER = 250_000
 
 
 class Encoder:
@@ -46,13 +45,13 @@ class Encoder:
         import re
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.file = Tokenizer.from_file(json_path)
-        self.specials = [t.content for t in self.file.get_added_tokens_decoder().values()]
+        with open(json_path, "rb") as f:
+            self.specials = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.json_path = json_path
         self.runs = re.compile(r" \s|\s ")
         self.known: dict[str, bytes] = {}
 
@@ -61,7 +60,9 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.specials):
-            return np.array(self.file.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            from tokenizers import Tokenizer
+
+            return np.array(Tokenizer.from_file(self.json_path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self.runs.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")
@@ -76,12 +77,6 @@ class Encoder:
         return b"".join(out)
 
 
-def encoder(paths: tuple[str, str, str]) -> Encoder:
-    if paths not in _encoders:
-        _encoders[paths] = Encoder(*paths)
-    return _encoders[paths]
-
-
 def tokenizer_files() -> tuple[str, str, str]:
     import public_tokenizers as public
 
@@ -93,7 +88,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, paths: tuple[str, str, str] |
     paths = paths or tokenizer_files()
 
     def scan(batches):
-        encode = encoder(paths)
+        encode = Encoder(*paths)  # let go at the end of the task: workers live on
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             out = []

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from clipmine.llm.pieces import Pieces, load, words
 
 NODES, WORDS = 400_000, 500_000
-_tries: dict[str, "Trie"] = {}
 
 
 class _Counts(dict):
@@ -78,17 +77,11 @@ class Trie:
         return tokens[node]
 
 
-def trie(path: str) -> Trie:
-    if path not in _tries:
-        _tries[path] = Trie(load(path))
-    return _tries[path]
-
-
 def token_counts(docs: DataFrame, model: str) -> DataFrame:
     """Per row: doc_id, n_pretokens, n_tokens."""
 
     def scan(batches):
-        counts = trie(model).counts
+        counts = Trie(load(model)).counts  # let go at the end of the task: workers live on
         for batch in batches:
             split = [words(t or "") for t in batch.column(1).to_pylist()]
             totals = [sum(map(counts.__getitem__, w)) for w in split]

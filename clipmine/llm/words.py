@@ -15,7 +15,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _RUN = 0xD1342543DE82EF95 | 1
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 19
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -26,7 +26,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(8)
+@lru_cache(4)
 def _powers(base: int, size: int) -> np.ndarray:
     out = np.full(size, base, np.uint64)
     out[0] = 1
