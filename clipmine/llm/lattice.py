@@ -35,6 +35,8 @@ from clipmine.llm.tables import parts_for
 
 LONG = 128
 ROWS_PER_OWNER = 4096
+WORDS_IN_MEMORY = 200_000
+_SORTS_AFTER = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 #: A word of its own that every text may hold; its ids are known without asking.
 NEW_LINE = "\n"
 
@@ -64,24 +66,34 @@ def _by_owner(texts: list[str | None], owners: int) -> list[tuple[int, list[str]
     return sorted(of.items())
 
 
-def _fold(edges: Column, longest: int) -> Column:
-    """The ids of the best path. `edges`: sorted structs of end, start, score, ids.
+def _fold(word: Column, edges: Column, pieces: sp.Pieces) -> Column:
+    """The ids of the best path. `edges`: sorted structs of `code` (end, start and id + 1 in bits) and `score`.
 
     The state is the list of best (score, ids) for the positions `at - size + 1` .. `at`, newest last. The edges of an
     end come with the earliest start first, and a later one has to be better.
     """
     cell = "struct<score: double, ids: array<int>>"
     first = F.struct(F.lit(0).alias("at"), F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")).cast(cell)).alias("last"))
+    table = F.array(*[F.lit(i) for i in pieces.byte_ids])
+
+    def spelled(char: Column) -> Column:
+        """The bytes of a character that no piece covers: UTF-8 as hex digits, looked up one by one."""
+        digits = F.hex(F.encode(char, "UTF-8"))
+        return F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.element_at(table, F.conv(digits.substr(i, F.lit(2)), 16, 10).cast("int") + 1))
 
     def step(state: Column, edge: Column) -> Column:
+        code = edge["code"]
+        end, start = F.shiftright(code, 40).cast("int"), F.shiftright(code, 24).bitwiseAND(0xFFFF).cast("int")
+        piece = code.bitwiseAND(0xFFFFFF).cast("int") - 1
+        ids = F.when(piece >= 0, F.array(piece)).otherwise(spelled(word.substr(start + 1, F.lit(1))))
         size = F.size(state["last"])
-        source = F.element_at(state["last"], size - (state["at"] - edge["start"]))
-        made = F.struct((source["score"] + edge["score"]).alias("score"), F.concat(source["ids"], edge["ids"]).alias("ids")).cast(cell)
-        window = F.slice(state["last"], F.greatest(F.lit(1), size - longest + 1), F.lit(longest))
-        fresh = F.struct(edge["end"].alias("at"), F.concat(window, F.array(made)).alias("last"))
-        better = F.struct(edge["end"].alias("at"), F.concat(F.slice(state["last"], F.lit(1), size - 1), F.array(made)).alias("last"))
+        source = F.element_at(state["last"], size - (state["at"] - start))
+        made = F.struct((source["score"] + edge["score"]).alias("score"), F.concat(source["ids"], ids).alias("ids")).cast(cell)
+        window = F.slice(state["last"], F.greatest(F.lit(1), size - pieces.longest + 1), F.lit(pieces.longest))
+        fresh = F.struct(end.alias("at"), F.concat(window, F.array(made)).alias("last"))
+        better = F.struct(end.alias("at"), F.concat(F.slice(state["last"], F.lit(1), size - 1), F.array(made)).alias("last"))
         newest = F.element_at(state["last"], -1)
-        return F.when(edge["end"] > state["at"], fresh).when(source["score"] + edge["score"] > newest["score"], better).otherwise(state)
+        return F.when(end > state["at"], fresh).when(source["score"] + edge["score"] > newest["score"], better).otherwise(state)
 
     return F.aggregate(edges, first, step, lambda s: F.element_at(s["last"], -1)["ids"])
 
@@ -90,11 +102,10 @@ def encoded_words(words: DataFrame, pieces: sp.Pieces) -> DataFrame:
     """(`owner`, `word`, `ids`) of distinct words (`owner`, `word`), by the relational lattice."""
     words = words.repartition("word")  # the edges of a word are then together as they are made
     spark = words.sparkSession
+    # A task groups a partition's words in memory; the default sorts all their edges on disk after 128 words.
+    if spark.conf.get(_SORTS_AFTER, "128") == "128":
+        spark.conf.set(_SORTS_AFTER, str(WORDS_IN_MEMORY))
     n = F.length("word")
-    # The bytes of a character that no piece covers: UTF-8 as hex digits, looked up one by one.
-    hexed = F.hex(F.encode("piece", "UTF-8"))
-    table = F.array(*[F.lit(i) for i in pieces.byte_ids])
-    spelled = F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(2)), lambda i: F.element_at(table, F.conv(hexed.substr(i, F.lit(2)), 16, 10).cast("int") + 1))
     spans = (
         words.where(n <= LONG)
         .select("owner", "word", F.explode(F.sequence(F.lit(1), n)).alias("at"))
@@ -102,8 +113,12 @@ def encoded_words(words: DataFrame, pieces: sp.Pieces) -> DataFrame:
         .select("owner", "word", (F.col("at") - 1).alias("start"), (F.col("at") + F.col("size") - 1).alias("end"), F.col("word").substr(F.col("at"), F.col("size")).alias("piece"))
     )
     edges = spans.join(F.broadcast(piece_table(spark, pieces)), "piece", "left").where(F.col("id").isNotNull() | (F.col("end") - F.col("start") == 1))
-    edge = F.struct("end", "start", F.coalesce("score", F.lit(pieces.unknown)).alias("score"), F.when(F.col("id").isNotNull(), F.array("id")).otherwise(spelled).alias("ids"))
-    folded = edges.groupBy("owner", "word").agg(F.array_sort(F.collect_list(edge)).alias("edges")).select("owner", "word", _fold(F.col("edges"), pieces.longest).alias("ids"))
+    long_of = lambda c, bits: F.shiftleft(F.col(c).cast("long"), bits)
+    code = long_of("end", 40) + long_of("start", 24) + F.coalesce(F.col("id") + 1, F.lit(0))
+    # Both lists are in the order of the rows, so they can be zipped.
+    lists = edges.select("owner", "word", code.alias("code"), F.coalesce("score", F.lit(pieces.unknown)).alias("score"))
+    grouped = lists.groupBy("owner", "word").agg(F.collect_list("code").alias("code"), F.collect_list("score").alias("score"))
+    folded = grouped.select("owner", "word", _fold(F.col("word"), F.array_sort(F.arrays_zip("code", "score")), pieces).alias("ids"))
 
     def long(batches):
         for batch in batches:
