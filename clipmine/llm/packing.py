@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipmine.llm.tables import stored
-from clipmine.llm.words import mix
+from clipmine.llm.words import mix, release
 
 END = 2
 #: Pieces of a block, islands of a block, packings of an island, epochs, generations of an epoch.
@@ -104,6 +104,8 @@ def pieces(docs: DataFrame, capacity: int = 1024, paths: tuple[str, str, str] |
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             keep = slice(0, 6 if with_ids else 5)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)][keep], names[keep])
+        del encode
+        release()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, schema)

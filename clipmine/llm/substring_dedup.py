@@ -171,13 +171,18 @@ def removed_words(docs: DataFrame, columns: list[str], emit, schema: str) -> Dat
         values, inverse = np.unique(h, return_inverse=True)
         is_block = np.zeros(len(values), bool)
         is_block[inverse[block]] = True
-        return _messages(key[0].as_py(), _cuts(values, PROBE_BITS, bits), lambda a, b: _pair(rice.encode(values[a:b]), rice.bitmap(is_block[a:b])))
+        out = _messages(key[0].as_py(), _cuts(values, PROBE_BITS, bits), lambda a, b: _pair(rice.encode(values[a:b]), rice.bitmap(is_block[a:b])))
+        del h, values, inverse
+        words.release()
+        return out
 
     def send_windows(key: tuple, boxes: pa.Table, answers: pa.Table) -> pa.Table:
         part = Chunk(unboxed(boxes.column("box").to_pylist()))
         h, at = _candidates(part, answers, bits)
         values, first = np.unique(h, return_index=True)  # the first place in the chunk: it is in order
         docs_of = part.ids[part.doc[at[first]]] if len(at) else np.zeros(0, np.int64)
+        del part, h, at
+        words.release()
         return _messages(key[0].as_py(), _cuts(values, 64, bits), lambda a, b: _pair(rice.encode(values[a:b]), zlib.compress(docs_of[a:b].astype("<i8").tobytes(), 1)))
 
     def remove(key: tuple, boxes: pa.Table, answers: pa.Table) -> pa.Table:
@@ -192,7 +197,10 @@ def removed_words(docs: DataFrame, columns: list[str], emit, schema: str) -> Dat
         edge = np.zeros(len(part.hash) + 1, np.int64)
         np.add.at(edge, at[repeat], 1)
         np.add.at(edge, at[repeat] + WINDOW, -1)
-        return emit(part, np.cumsum(edge)[:-1] > 0)
+        out = emit(part, np.cumsum(edge)[:-1] > 0)
+        del part, h, at, values, first, inverse
+        words.release()
+        return out
 
     texts = boxed(rows)
     probes = texts.groupBy(CHUNK).applyInArrow(send_probes, MESSAGE)
