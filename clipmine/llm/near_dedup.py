@@ -5,7 +5,9 @@ Its weight in a text is tf * idf, idf = ln(1 / max(df / n, RARE)) / ln(1 / RARE)
 fewer than the share `RARE` of the texts hold weigh 1, boilerplate weighs less. df comes from a count-min sketch of
 fixed size over all texts. Its error is a share of n that doesn't depend on n (about e * shingles per text / WIDTH),
 so weights behave alike at every size; they are a function of the shingle, so the similarity is the exact weighted
-Jaccard similarity for them.
+Jaccard similarity for them. A large family of near copies makes its own shingles common, and only the edits of its
+copies would keep their weight; so a pair is also similar if its Jaccard similarity with all idf at 1 reaches the
+threshold. A text that holds a common shingle has a second, plain signature for that; for all others both are the same.
 
 Sampling: a shingle belongs to one of `SAMPLES` bins by its hash; in each bin the shingle with the smallest ICWS value
 (r and c gamma, beta uniform, all from its hash) and its quantum t are the sample; an empty bin borrows from another,
@@ -14,7 +16,7 @@ tried in an order that only its number decides. So a shingle is drawn for once r
 
 Texts with the same words are one representative. Texts that meet are compared by their whole signatures, in blocks;
 those that can be similar are connected to groups. In its group each such pair is verified, unless links found before
-connect it: the weighted Jaccard similarity of the whole shingle vectors decides. Both steps give spanning forests of
+connect it: the larger of the weighted and the plain Jaccard similarity of the whole shingle vectors decides. Both steps give spanning forests of
 what they find, so the rows grow with the texts and not with their pairs. Links are merged to classes by label
 propagation with pointer jumping.
 
@@ -165,8 +167,31 @@ def signatures(n: int, doc: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[n
     return np.take_along_axis(sig, np.maximum(_borrowed(full), 0), 1), full.any(1)
 
 
+def _band_keys(sig: np.ndarray) -> np.ndarray:
+    count = SAMPLES // ROWS
+    key = np.zeros((len(sig), count), np.uint64)
+    for j in range(ROWS):
+        key = mix(key ^ sig[:, j : count * ROWS : ROWS], 50 + j)
+    return key
+
+
+def _signed(sig: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    key = _band_keys(sig)
+    low = (sig & np.uint64(255)).astype(np.uint8)
+    return [x.tobytes() + k.tobytes() for x, k in zip(low, key, strict=True)], key.view(np.int64)
+
+
+def _reweighted(doc: np.ndarray, w: np.ndarray, tf: np.ndarray) -> np.ndarray:
+    """The texts that hold a shingle whose weight isn't its tf."""
+    return np.unique(doc[w != tf])
+
+
 def sketches(docs: DataFrame, counts: Counts) -> DataFrame:
-    """Per row: doc_id, d1 and d2 (a digest of its words), sig (a byte of each sample, then the band keys), bands (the keys; none without words)."""
+    """Per row: doc_id, d1 and d2 (a digest of its words), sig, bands.
+
+    sig: a byte of each sample, then the band keys; of the weighted signature and, where it differs, of the plain one.
+    bands: the number of the band and the key, each once; none without words.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def scan(parts):
@@ -174,35 +199,53 @@ def sketches(docs: DataFrame, counts: Counts) -> DataFrame:
             for group in batches(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), 1 << 18):
                 texts = [t or "" for _, t in group]
                 doc, h, tf, digest = shingles(texts)
-                sig, full = signatures(len(texts), doc, h, shared.value.weights(h, tf))
-                count = SAMPLES // ROWS
-                key = np.zeros((len(texts), count), np.uint64)
-                for j in range(ROWS):
-                    key = mix(key ^ sig[:, j : count * ROWS : ROWS], 50 + j)
-                low = (sig & np.uint64(255)).astype(np.uint8)
+                w = shared.value.weights(h, tf)
+                sig, full = signatures(len(texts), doc, h, w)
+                coded, key = _signed(sig)
+                numbers = np.arange(key.shape[1])
+                bands = [list(zip(numbers.tolist(), k, strict=True)) if f else [] for k, f in zip(key.tolist(), full, strict=True)]
+                if len(two := _reweighted(doc, w, tf)):
+                    at = np.isin(doc, two)
+                    sig, _ = signatures(len(two), np.searchsorted(two, doc[at]), h[at], tf[at].astype(np.float32))
+                    for i, more, plain in zip(two.tolist(), *_signed(sig), strict=True):
+                        coded[i] += more
+                        new = plain != key[i]
+                        bands[i] += zip(numbers[new].tolist(), plain[new].tolist(), strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([i for i, _ in group], pa.int64()),
                         pa.array(digest[0].view(np.int64), pa.int64()),
                         pa.array(digest[1].view(np.int64), pa.int64()),
-                        pa.array([x.tobytes() + k.tobytes() for x, k in zip(low, key, strict=True)], pa.binary()),
-                        pa.array([k if f else [] for k, f in zip(key.view(np.int64).tolist(), full, strict=True)], pa.list_(pa.int64())),
+                        pa.array(coded, pa.binary()),
+                        pa.array([[{"band": j, "key": k} for j, k in b] for b in bands], pa.list_(pa.struct([("band", pa.int32()), ("key", pa.int64())]))),
                     ],
                     ["doc_id", "d1", "d2", "sig", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, d1 long, d2 long, sig binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, d1 long, d2 long, sig binary, bands array<struct<band: int, key: bigint>>")
+
+
+_SIDE = SAMPLES + SAMPLES // ROWS * 8
 
 
-def _bands(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return sig[:, :SAMPLES], np.ascontiguousarray(sig[:, SAMPLES:]).view(np.int64)
+class _Signatures:
+    """The weighted signatures of the members of a group and, if any member has a second one, the plain ones of all."""
 
+    def __init__(self, coded: list[bytes]):
+        sides = [b"".join(c[:_SIDE] for c in coded)]
+        if any(len(c) > _SIDE for c in coded):
+            sides.append(b"".join(c[-_SIDE:] for c in coded))
+        wide = [np.frombuffer(x, np.uint8).reshape(len(coded), _SIDE) for x in sides]
+        self.sides = [(x[:, :SAMPLES], np.ascontiguousarray(x[:, SAMPLES:]).view(np.int64)) for x in wide]
 
-def _alike(sig: np.ndarray, band: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
-    """Those of `others` that share a band with i and whose signatures can mean a similarity above the threshold."""
-    others = others[(band[others] == band[i]).any(1)]
-    agree = (sig[others] == sig[i]).mean(1)
-    return others[(agree - 1 / 256) / (1 - 1 / 256) >= THRESHOLD - MARGIN]
+    def alike(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of `others` that share a band with i and whose signatures can mean a similarity above the threshold."""
+        found = []
+        for sig, band in self.sides:
+            met = others[(band[others] == band[i]).any(1)]
+            agree = (sig[met] == sig[i]).mean(1)
+            found.append(met[(agree - 1 / 256) / (1 - 1 / 256) >= THRESHOLD - MARGIN])
+        return found[0] if len(found) == 1 else np.union1d(*found)
 
 
 class _Forest:
@@ -250,7 +293,7 @@ def candidates(reps: DataFrame) -> DataFrame:
     Members of a bucket are compared by their signatures. A task gives a spanning forest of the pairs that it finds,
     so a bucket of n members makes less than n links.
     """
-    postings = reps.select("row", F.posexplode("bands").alias("band", "key"))
+    postings = reps.select("row", F.explode("bands").alias("b")).select("row", "b.band", "b.key")
     sizes = postings.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = postings.join(sizes, ["band", "key"]).join(reps.select("row", "sig"), "row")
 
@@ -259,8 +302,8 @@ def candidates(reps: DataFrame) -> DataFrame:
             if len(table) < 2:
                 continue
             row, forest = table.column("row").to_numpy(), _Forest(len(table))
-            sig, band = _bands(np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(row), -1))
-            found = [(i, int(j)) for i, others in _sides(table) for j in _alike(sig, band, i, others) if forest.joined(i, int(j))]
+            signed = _Signatures(table.column("sig").to_pylist())
+            found = [(i, int(j)) for i, others in _sides(table) for j in signed.alike(i, others) if forest.joined(i, int(j))]
             if found:
                 a, b = row[[i for i, _ in found]], row[[j for _, j in found]]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -279,7 +322,9 @@ def _vectors(docs: DataFrame, counts: Counts) -> DataFrame:
                 w = shared.value.weights(h, tf)
                 edge = np.searchsorted(doc, np.arange(len(texts) + 1))
                 packed = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                vec = [(packed[a:b].tobytes(), zlib.compress(w[a:b].astype("<f4").tobytes(), 1)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+                both = np.stack([w, tf]).astype("<f4")
+                two = set(_reweighted(doc, w, tf).tolist())
+                vec = [(packed[a:b].tobytes(), zlib.compress(both[: 1 + (i in two), a:b].tobytes(), 1)) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([i for i, _ in group], pa.int64()), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array([a for a, _ in vec], pa.binary()), pa.array([b for _, b in vec], pa.binary())],
                     ["doc_id", "d1", "d2", "h", "w"],
@@ -289,16 +334,18 @@ def _vectors(docs: DataFrame, counts: Counts) -> DataFrame:
 
 
 def _vector(h: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a text, and their weights and frequencies (one row each)."""
     wide = np.zeros((len(h) // 6, 8), np.uint8)
     wide[:, :6] = np.frombuffer(h, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel(), np.frombuffer(zlib.decompress(w), "<f4").astype(np.float64)
+    both = np.frombuffer(zlib.decompress(w), "<f4").astype(np.float64).reshape(-1, len(wide))
+    return wide.view("<u8").ravel(), both[[0, -1]]
 
 
 def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two vectors with sorted keys."""
+    """The larger of the weighted and the plain Jaccard similarity of two vectors with sorted keys."""
     _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
-    both = float(np.minimum(x[1][i], y[1][j]).sum())
-    return both / max(float(x[1].sum() + y[1].sum()) - both, 1e-300)
+    both = np.minimum(x[1][:, i], y[1][:, j]).sum(1)
+    return float((both / np.maximum(x[1].sum(1) + y[1].sum(1) - both, 1e-300)).max())
 
 
 def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame, counts: Counts) -> DataFrame:
@@ -321,12 +368,12 @@ def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame, counts: Counts
     def check(parts):
         for table in sorted_groups(parts, ["root", "lo", "hi"]):
             row, forest = table.column("row").to_numpy(), _Forest(len(table))
-            sig, band = _bands(np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(row), -1))
+            signed = _Signatures(table.column("sig").to_pylist())
             h, w = table.column("h").to_pylist(), table.column("w").to_pylist()
             a, b = [], []
             for i, others in _sides(table):
                 own = None
-                for j in _alike(sig, band, i, others).tolist():
+                for j in signed.alike(i, others).tolist():
                     if forest.root(i) == forest.root(j):
                         continue
                     own = own or _vector(h[i], w[i])

@@ -180,6 +180,22 @@ def test_near_dedup_classes(docs, rows, clashing, empty):
     assert near_dedup.kept(clashing).columns == clashing.columns
 
 
+def test_near_copies_in_a_family_of_a_third_of_all_rows(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    base = [word() for _ in range(100)]
+    texts = [" ".join(base)]
+    for k in range(300):
+        copy = list(base)
+        for at in [rng.randrange(5, 45), rng.randrange(50, 95)][: 1 + k % 2]:
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    texts += [" ".join(word() for _ in range(60)) + f" {' '.join(base[:20])}" for _ in range(600)]
+    out = near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in out} == {i: 0 if i <= 300 else i for i in range(len(texts))}
+    assert sum(r["kept"] for r in out) == 601
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     rng = np.random.default_rng(4)
     agree = []
