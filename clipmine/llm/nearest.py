@@ -2,7 +2,8 @@
 
 A vector is scaled to length 1, padded to a power of two and rotated by three rounds of random signs and a fast
 Hadamard transform; its hash is the nearest signed axis. For inner products of vectors of different lengths one
-more coordinate makes the lengths equal: sqrt(M^2 - |x|^2) for rows, 0 for queries, M the largest length. A table's
+more coordinate makes the lengths equal: sqrt(M^2 - |x|^2) for rows, 0 for queries, M the largest length. Whether it is
+needed is decided once for all vectors with the same number of components, from their norms. A table's
 bucket joins as many hashes as make about `ROWS_PER_BUCKET` rows a bucket (the last hash over fewer axes), so the
 work of a query doesn't grow with the table but through its recall. Each of `TABLES` tables is probed in the
 `PROBES` buckets nearest to the query; candidates are scored exactly and the best of all tables kept.
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -88,15 +90,22 @@ def probes(x: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def _unit(x: np.ndarray, longest: float, query: bool) -> np.ndarray:
+class Shape(NamedTuple):
+    """What all vectors with the same number of components share: how many there are, the largest length, whether all have it."""
+
+    rows: int
+    longest: float
+    even: bool
+
+
+def _unit(x: np.ndarray, shape: Shape, query: bool) -> np.ndarray:
     """Rows as unit vectors, padded to a power of two, with the coordinate that makes their lengths equal if they differ."""
     norm = np.linalg.norm(x, axis=1, keepdims=True)
-    extra = np.zeros_like(norm) if query else np.sqrt(np.maximum(0, 1 - (norm / longest) ** 2))
-    unit = x / norm if query else x / longest
-    even = longest <= 0 or bool(np.all(np.abs(norm / longest - 1) < 1e-6))
+    extra = np.zeros_like(norm) if query else np.sqrt(np.maximum(0, 1 - (norm / shape.longest) ** 2))
+    unit = x / norm if query else x / shape.longest
     n = x.shape[1]
     width = 1 << max(0, (n - 1).bit_length())
-    out = np.zeros((len(x), width if width > n or even else 2 * width))
+    out = np.zeros((len(x), width if width > n or shape.even else 2 * width))
     out[:, :n] = unit
     if out.shape[1] > n:
         out[:, n] = extra[:, 0]
@@ -140,7 +149,13 @@ def _matrix(data: list[bytes], dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(data), kind).reshape(len(data), dim).astype(np.float64)
 
 
-def hashed(reps: DataFrame, rows: int, longest: float) -> DataFrame:
+def shapes_of(reps: DataFrame) -> dict[int, Shape]:
+    """The shape of the representatives of each number of components."""
+    found = reps.groupBy("dim").agg(F.count(F.lit(1)), F.max("norm"), F.min("norm")).collect()
+    return {dim: Shape(n, most, least >= most * (1 - 1e-6)) for dim, n, most, least in found}
+
+
+def hashed(reps: DataFrame, shapes: dict[int, Shape]) -> DataFrame:
     """`reps` with `codes` and, for those that are asked (`asked`), `visits`: TABLES x PROBES buckets."""
 
     def scan(batches):
@@ -150,15 +165,11 @@ def hashed(reps: DataFrame, rows: int, longest: float) -> DataFrame:
             visits: list = [None] * len(dims)
             for dim in set(dims):
                 at = [i for i, d in enumerate(dims) if d == dim]
-                x = _matrix([data[i] for i in at], dim)
-                for i, c in zip(at, codes(_unit(x, longest, False), rows), strict=True):
+                x, shape = _matrix([data[i] for i in at], dim), shapes[dim]
+                for i, c in zip(at, codes(_unit(x, shape, False), shape.rows), strict=True):
                     own[i] = c
                 if q := [j for j, i in enumerate(at) if asked[i]]:
-                    width = _unit(x[:1], longest, False).shape[1]
-                    y = np.zeros((len(q), width))
-                    z = _unit(x[q], longest, True)
-                    y[:, : min(width, z.shape[1])] = z[:, :width]
-                    for j, v in zip(q, probes(y, rows), strict=True):
+                    for j, v in zip(q, probes(_unit(x[q], shape, True), shape.rows), strict=True):
                         visits[at[j]] = v.ravel()
             out = batch.append_column("codes", pa.array(own, pa.list_(pa.int64())))
             yield out.append_column("visits", pa.array(visits, pa.list_(pa.int64())))
@@ -247,9 +258,11 @@ def nearest(rows: DataFrame, asked: Column, k: int, id_col: str = "vec_id", vect
     distinct = base.select("key", "id").distinct()
     some = distinct.withColumn("n", F.row_number().over(inner)).where(F.col("n") <= k + 1).drop("n")
     ids = stored(some.withColumn("n", F.row_number().over(outer)).where(F.col("n") <= k + 1).drop("n"))
-    one = base.groupBy("key").agg(F.min("id").alias("rep"), F.first("vec").alias("vec"), F.first("dim").alias("dim"), F.max(asked).alias("asked"))
-    total, reps_n, longest = base.agg(F.count(F.lit(1)), F.count_distinct("key"), F.coalesce(F.max("norm"), F.lit(1.0))).first()
-    reps = stored(hashed(one, reps_n, longest))
+    first = [F.first(c).alias(c) for c in ("vec", "dim", "norm")]
+    one = stored(base.groupBy("key").agg(F.min("id").alias("rep"), *first, F.max(asked).alias("asked")))
+    shapes = shapes_of(one)
+    reps_n = sum(s.rows for s in shapes.values())
+    reps = stored(hashed(one.drop("norm"), shapes))
     members = ids.join(reps.select("key", "rep"), "key").select("rep", "id")
     index = reps.select("dim", F.posexplode("codes").alias("tab", "bucket"), "rep", "vec")
     visits = reps.where("asked").select("dim", F.posexplode("visits").alias("n", "bucket"), "rep", "vec")

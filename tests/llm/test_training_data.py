@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,6 +311,23 @@ def test_neighbours_against_all(vectors, spark):
     assert nearest.nearest(df.where("vec_id < 0"), F.col("id") % 20 == 0, 10).count() == 0
 
 
+def recall(x, out, k):
+    got = defaultdict(set)
+    for r in out:
+        got[r["query_id"]].add(r["vec_id"])
+    best = {q: set(np.argsort(np.where(np.arange(len(x)) == q, -np.inf, x @ x[q]))[-k:].tolist()) for q in got}
+    return np.mean([len(got[q] & best[q]) / k for q in got])
+
+
+def test_neighbours_of_mixed_lengths(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((200, 64))[rng.integers(0, 200, 40_000)] + 0.6 * rng.standard_normal((40_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[rng.random(len(x)) < 0.03] *= 0.9
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    assert recall(x, nearest.nearest(df, F.col("id") % 400 == 0, 10).collect(), 10) >= 0.9
+
+
 def test_bucket_work_does_not_grow():
     for rows in (10, 10_000, 10**6, 10**9):
         buckets = math.prod(2 * a for a in nearest.axes_for(rows, 64))
