@@ -4,9 +4,10 @@ A vector is scaled to length 1, padded to a power of two and rotated by three ro
 Hadamard transform; its hash is the nearest signed axis. For inner products of vectors of different lengths one
 more coordinate makes the lengths equal: sqrt(M^2 - |x|^2) for rows, 0 for queries, M the largest length. Whether it is
 needed is decided once for all vectors with the same number of components, from their norms. A table's
-bucket joins as many hashes as make about `ROWS_PER_BUCKET` rows a bucket (the last hash over fewer axes), so the
-work of a query doesn't grow with the table but through its recall. Each of `TABLES` tables is probed in the
-`PROBES` buckets nearest to the query; candidates are scored exactly and the best of all tables kept.
+bucket joins as many hashes as make about `ROWS_PER_BUCKET` rows a bucket (the last hash over fewer axes). Each of
+`TABLES` tables is probed in the buckets nearest to the query; candidates are scored exactly and the best of all tables
+kept. The same number of probes finds a smaller part of a larger table, so it is measured: about `SAMPLE` queries are
+searched exactly, and from `PROBES` on the number is doubled until `RECALL` of their neighbours lie in probed buckets.
 
 Equal vectors are one representative with its `k + 1` smallest ids, which are all that a list of k can need. A bucket
 of more than `SPLIT` rows is split and its queries visit every part. A query that finds fewer rows than asked for is
@@ -33,6 +34,10 @@ from clipmine.llm.tables import sized, sorted_groups, stored
 
 TABLES, PROBES = 28, 8
 ROWS_PER_BUCKET, SPLIT = 64, 4096
+#: The share of neighbours to find, with a margin over the 0.9 asked for, and the queries it is measured on.
+RECALL, SAMPLE = 0.95, 256
+#: Ways to combine the hashes of a bucket that are looked at in one step, for all queries of the step.
+_WAYS = 1 << 21
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -71,20 +76,25 @@ def codes(x: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def probes(x: np.ndarray, rows: int) -> np.ndarray:
-    """The buckets to visit for each query in every table, nearest first: queries x tables x probes (-1: none)."""
+def probes(x: np.ndarray, rows: int, count: int = PROBES) -> np.ndarray:
+    """The `count` buckets to visit for each query in every table, nearest first: queries x tables x count (-1: none)."""
+    step = max(1, _WAYS // (count * min(count, 2 * x.shape[1])))
+    return np.concatenate([_probes(x[i : i + step], rows, count) for i in range(0, max(1, len(x)), step)])
+
+
+def _probes(x: np.ndarray, rows: int, count: int) -> np.ndarray:
     width = x.shape[1]
-    out = np.full((len(x), TABLES, PROBES), -1, np.int64)
+    out = np.full((len(x), TABLES, count), -1, np.int64)
     for t in range(TABLES):
         loss, code = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
         for part, axes in enumerate(axes_for(rows, width)):
             y = _rotated(x, t, part, width)[:, :axes]
             signed = np.stack([-y, y], 2).reshape(len(x), 2 * axes)
             own = (signed.max(1, keepdims=True) - signed) ** 2
-            near = np.argsort(own, 1, kind="stable")[:, :PROBES]
+            near = np.argsort(own, 1, kind="stable")[:, :count]
             loss = (loss[:, :, None] + np.take_along_axis(own, near, 1)[:, None, :]).reshape(len(x), -1)
             code = (code[:, :, None] * (2 * axes) + near[:, None, :]).reshape(len(x), -1)
-            best = np.argsort(loss, 1, kind="stable")[:, :PROBES]
+            best = np.argsort(loss, 1, kind="stable")[:, :count]
             loss, code = np.take_along_axis(loss, best, 1), np.take_along_axis(code, best, 1)
         out[:, t, : code.shape[1]] = code
     return out
@@ -96,6 +106,8 @@ class Shape(NamedTuple):
     rows: int
     longest: float
     even: bool
+    asked: int
+    probes: int = PROBES
 
 
 def _unit(x: np.ndarray, shape: Shape, query: bool) -> np.ndarray:
@@ -151,12 +163,74 @@ def _matrix(data: list[bytes], dim: int) -> np.ndarray:
 
 def shapes_of(reps: DataFrame) -> dict[int, Shape]:
     """The shape of the representatives of each number of components."""
-    found = reps.groupBy("dim").agg(F.count(F.lit(1)), F.max("norm"), F.min("norm")).collect()
-    return {dim: Shape(n, most, least >= most * (1 - 1e-6)) for dim, n, most, least in found}
+    asked = F.sum(F.coalesce(F.col("asked"), F.lit(False)).cast("long"))
+    found = reps.groupBy("dim").agg(F.count(F.lit(1)), F.max("norm"), F.min("norm"), asked).collect()
+    return {dim: Shape(n, most, least >= most * (1 - 1e-6), q) for dim, n, most, least, q in found}
+
+
+def probes_for(x: np.ndarray, best: np.ndarray, of: np.ndarray, shape: Shape) -> int:
+    """The probes that find `RECALL` of the neighbours `best` of the queries `x`; `of`: the query of each neighbour."""
+    own, query, count = codes(_unit(best, shape, False), shape.rows), _unit(x, shape, True), PROBES
+    buckets = math.prod(2 * a for a in axes_for(shape.rows, query.shape[1]))
+    while count < buckets:
+        visits = probes(query, shape.rows, count)
+        hits = [(visits[q] == c[:, None]).any() for q, c in zip(of, own, strict=True)]
+        if np.mean(hits) >= RECALL:
+            break
+        count *= 2
+    return count
+
+
+def measured(reps: DataFrame, shapes: dict[int, Shape], k: int) -> dict[int, Shape]:
+    """`shapes` with the probes that find enough of the k nearest of a sample of the queries, which is searched exactly.
+
+    Tables of fewer than PROBES x ROWS_PER_BUCKET rows are left out: the first probes cover them.
+    """
+    large = {d: s for d, s in shapes.items() if s.asked and s.rows > PROBES * ROWS_PER_BUCKET}
+    if not large:
+        return shapes
+    chosen = F.lit(False)
+    for dim, s in large.items():
+        chosen = chosen | ((F.col("dim") == dim) & (F.pmod(F.xxhash64("rep"), F.lit(s.asked)) < SAMPLE))
+    sample: dict[int, list] = {}
+    for r in reps.where("asked").where(chosen).select("dim", "rep", "vec").collect():
+        sample.setdefault(r["dim"], []).append((r["rep"], bytes(r["vec"])))
+    queries = {d: (np.array([i for i, _ in rows]), _matrix([v for _, v in rows], d)) for d, rows in sample.items()}
+    shared = reps.sparkSession.sparkContext.broadcast(queries)
+
+    def scan(batches):
+        for batch in batches:
+            dims, rep = batch.column("dim").to_numpy(), batch.column("rep").to_numpy()
+            for dim in set(dims.tolist()) & set(shared.value):
+                at, (ids, x) = np.flatnonzero(dims == dim), shared.value[dim]
+                score = x @ _matrix(batch.column("vec").take(pa.array(at)).to_pylist(), dim).T
+                score[ids[:, None] == rep[at]] = -np.inf
+                n = min(k, len(at))
+                top = np.argpartition(-score, n - 1, 1)[:, :n]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids, pa.int64()),
+                        pa.array([r.tobytes() for r in rep[at][top].astype("<i8")], pa.binary()),
+                        pa.array([r.tobytes() for r in np.take_along_axis(score, top, 1).astype("<f8")], pa.binary()),
+                    ],
+                    ["query", "ids", "scores"],
+                )
+
+    exact = merged(reps.select("dim", "rep", "vec").mapInArrow(scan, "query long, ids binary, scores binary"), k)
+    near: dict[int, list] = {}
+    for r in exact.join(reps.select("rep", "dim", "vec"), "rep").where("query <> rep").select("dim", "query", "vec").collect():
+        near.setdefault(r["dim"], []).append((r["query"], bytes(r["vec"])))
+    out = dict(shapes)
+    for dim, rows in near.items():
+        ids, x = queries[dim]
+        place = {i: n for n, i in enumerate(ids.tolist())}
+        of = np.array([place[q] for q, _ in rows])
+        out[dim] = shapes[dim]._replace(probes=probes_for(x, _matrix([v for _, v in rows], dim), of, shapes[dim]))
+    return out
 
 
 def hashed(reps: DataFrame, shapes: dict[int, Shape]) -> DataFrame:
-    """`reps` with `codes` and, for those that are asked (`asked`), `visits`: TABLES x PROBES buckets."""
+    """`reps` with `codes` and, for those that are asked (`asked`), `visits`: TABLES x the shape's probes."""
 
     def scan(batches):
         for batch in batches:
@@ -169,7 +243,7 @@ def hashed(reps: DataFrame, shapes: dict[int, Shape]) -> DataFrame:
                 for i, c in zip(at, codes(_unit(x, shape, False), shape.rows), strict=True):
                     own[i] = c
                 if q := [j for j, i in enumerate(at) if asked[i]]:
-                    for j, v in zip(q, probes(_unit(x[q], shape, True), shape.rows), strict=True):
+                    for j, v in zip(q, probes(_unit(x[q], shape, True), shape.rows, shape.probes), strict=True):
                         visits[at[j]] = v.ravel()
             out = batch.append_column("codes", pa.array(own, pa.list_(pa.int64())))
             yield out.append_column("visits", pa.array(visits, pa.list_(pa.int64())))
@@ -260,13 +334,13 @@ def nearest(rows: DataFrame, asked: Column, k: int, id_col: str = "vec_id", vect
     ids = stored(some.withColumn("n", F.row_number().over(outer)).where(F.col("n") <= k + 1).drop("n"))
     first = [F.first(c).alias(c) for c in ("vec", "dim", "norm")]
     one = stored(base.groupBy("key").agg(F.min("id").alias("rep"), *first, F.max(asked).alias("asked")))
-    shapes = shapes_of(one)
+    shapes = measured(one, shapes_of(one), k)
     reps_n = sum(s.rows for s in shapes.values())
     reps = stored(hashed(one.drop("norm"), shapes))
     members = ids.join(reps.select("key", "rep"), "key").select("rep", "id")
     index = reps.select("dim", F.posexplode("codes").alias("tab", "bucket"), "rep", "vec")
-    visits = reps.where("asked").select("dim", F.posexplode("visits").alias("n", "bucket"), "rep", "vec")
-    visits = visits.where("bucket >= 0").withColumn("tab", F.floor(F.col("n") / PROBES).cast("int")).drop("n")
+    visits = reps.where("asked").select("dim", F.size("visits").alias("size"), F.posexplode("visits").alias("n", "bucket"), "rep", "vec")
+    visits = visits.where("bucket >= 0").withColumn("tab", F.floor(F.col("n") * TABLES / F.col("size")).cast("int")).drop("n", "size")
     big = stored(index.groupBy("dim", "tab", "bucket").agg(F.ceil(F.count(F.lit(1)) / SPLIT).alias("parts")).where("parts > 1"))
     if n := big.count():
         big = sized(big, n, 32)

@@ -328,6 +328,27 @@ def test_neighbours_of_mixed_lengths(spark):
     assert recall(x, nearest.nearest(df, F.col("id") % 400 == 0, 10).collect(), 10) >= 0.9
 
 
+def test_probes_grow_until_recall_holds():
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((200_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    shape = nearest.Shape(len(x), 1.0, True, 10_000)
+
+    def neighbours(q):
+        score = x[q] @ x.T
+        score[np.arange(len(q)), q] = -1
+        return x[np.argpartition(-score, 20, 1)[:, :20].ravel()], np.repeat(np.arange(len(q)), 20)
+
+    def found(q, count):
+        best, of = neighbours(q)
+        visits, own = nearest.probes(x[q], shape.rows, count), nearest.codes(best, shape.rows)
+        return np.mean([(visits[i] == c[:, None]).any() for i, c in zip(of, own)])
+
+    asked, others = np.arange(0, 100), np.arange(100, 200)
+    count = nearest.probes_for(x[asked], *neighbours(asked), shape)
+    assert found(others, nearest.PROBES) < 0.9 <= found(others, count)
+
+
 def test_bucket_work_does_not_grow():
     for rows in (10, 10_000, 10**6, 10**9):
         buckets = math.prod(2 * a for a in nearest.axes_for(rows, 64))
