@@ -25,6 +25,15 @@ def test_group_words_by_pause_and_size():
     assert len(ln.group_words([ln.Word(0, 0.2, "a"), ln.Word(1.0, 1.2, "b")])) == 2
 
 
+def test_events_from_words_keep_text_past_the_second_line():
+    broken = [ln.Word(i * 0.1, i * 0.1 + 0.1, c) for i, c in enumerate("一二，三四五六七八九十甲乙丙")]
+    for words in (broken, [ln.Word(0.0, 2.0, "abcdefghijklmnopqrstuvw")]):
+        out = ln.events_from_words(words)
+        assert "".join(ev.text.replace(ln.BREAK, "") for ev in out) == "".join(w.text for w in words)
+        assert all(len(ev.text.split(ln.BREAK)) <= ln.MAX_LINES for ev in out) and len(out) > 1
+        assert all(a.end <= b.start for a, b in zip(out, out[1:])) and out[-1].end == words[-1].end
+
+
 def test_event_timing_invariants():
     rng = random.Random(2)
     for _ in range(200):
