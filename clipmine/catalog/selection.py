@@ -205,7 +205,7 @@ def placed(t):
     text = window_text(t.segments, r.select("vod_id", "win_id", "start", "end"), ids=["win_id"])
     return r.join(text, ["vod_id", "win_id"], "left").select(
         "vod_id", "hour_bucket", "candidate_id", "win_id", "start", "end", "score", tx.title("text").alias("title"), F.lit("r").alias("reason"),
-        tx.excerpt("text").alias("transcript_excerpt"), F.col("chat_kw_hits").alias("keyword_hits"), (F.floor(F.col("start") / 1200).cast("int") + 1).alias("chapter_id"),
+        tx.excerpt("text").alias("transcript_excerpt"), tx.bigrams("text").alias("transcript_bigrams"), F.col("chat_kw_hits").alias("keyword_hits"), (F.floor(F.col("start") / 1200).cast("int") + 1).alias("chapter_id"),
         (F.col("win_id") % 10 / 10.0).alias("speech_ratio"), (F.col("win_id") % 9 == 0).alias("is_intro"), (F.col("win_id") % 11 == 0).alias("is_outro"),
     )
 

@@ -12,8 +12,7 @@ def _pairs(text: str) -> frozenset[str]:
     return frozenset(a + b for a, b in zip(text, text[1:]))
 
 
-def _similar(a: str, b: str) -> float:
-    x, y = _pairs(a), _pairs(b)
+def _similar(x: frozenset[str], y: frozenset[str]) -> float:
     return len(x & y) / len(x | y) if x and y else 0.0
 
 
@@ -23,7 +22,9 @@ class _Hour:
         self.rows = pdf.to_dict("records")
         for r in self.rows:
             r["title"] = r["title"] or ""
-            r["body"] = r["transcript_excerpt"] or r["title"]
+            whole = r.get("transcript_bigrams")
+            spoken = r["transcript_excerpt"] or ""
+            r["body"] = _pairs(spoken or r["title"]) if whole is None or not spoken else frozenset(whole)
             r["chapter"] = None if pd.isna(r["chapter_id"]) else int(r["chapter_id"])
 
     def distance(self, a: tuple[float, float], r: dict) -> float:
@@ -36,7 +37,7 @@ class _Hour:
         step = None if chapter is None or other["chapter"] is None else abs(chapter - other["chapter"])
         if step is not None and step > 1:
             return 0.0
-        topic = max(_similar(text_of["title"], other["title"]), _similar(text_of["body"], other["body"]))
+        topic = max(_similar(_pairs(text_of["title"]), _pairs(other["title"])), _similar(text_of["body"], other["body"]))
         if step == 1:
             if topic < 0.18:
                 return 0.0

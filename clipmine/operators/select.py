@@ -203,20 +203,26 @@ def _gap(a0, a1, b0, b1):
     return F.greatest(F.lit(0.0), b0 - a1, a0 - b1)
 
 
+def _whole_bigrams(candidates: DataFrame):
+    """Bigrams of the whole transcript where they are carried, else of what there is of it."""
+    return F.col("transcript_bigrams") if "transcript_bigrams" in candidates.columns else tx.bigrams("transcript_excerpt")
+
+
 def continuity(candidates: DataFrame, *, gap_max: float, keys: Sequence[str] = ("vod_id", "hour_bucket")) -> DataFrame:
     """Continuity of every pair that is close enough to have one (others are 0 by definition).
 
     The time-binned join only meets candidates within `gap_max` of each other.
-    Needs `candidate_id, start, end, title, transcript_excerpt, keyword_hits, chapter_id`.
+    Needs `candidate_id, start, end, title, transcript_excerpt, keyword_hits, chapter_id`; topics are compared by
+    `transcript_bigrams` (of the whole text) if that is there.
     """
-    cols = ["candidate_id", "start", "end", "title", "transcript_excerpt", "keyword_hits", "chapter_id"]
-    c = candidates.select(*keys, *cols)
+    spoken = F.coalesce(F.col("transcript_excerpt"), F.lit("")) != ""
+    body = F.when(spoken, _whole_bigrams(candidates)).otherwise(tx.bigrams("title")).alias("body")
+    c = candidates.select(*keys, "candidate_id", "start", "end", "title", body, "keyword_hits", "chapter_id")
     pairs = overlapping_spans(c, c, keys=keys, pad=gap_max + 1e-6).where(F.col("candidate_id") != F.col("w_candidate_id"))
     gap = _gap(F.col("w_start"), F.col("w_end"), F.col("start"), F.col("end"))
-    text = lambda p: F.coalesce(F.nullif(p + "transcript_excerpt", F.lit("")), p + "title")
     topic = F.greatest(
         tx.jaccard(tx.bigrams("title"), tx.bigrams("w_title")),
-        tx.jaccard(tx.bigrams(text("")), tx.bigrams(text("w_"))),
+        tx.jaccard("body", "w_body"),
     )
     step = F.abs(F.col("chapter_id") - F.col("w_chapter_id"))
     near = (gap <= gap_max) | overlaps("start", "end", "w_start", "w_end")
@@ -265,4 +271,4 @@ def story_arcs(
         )
         return pd.DataFrame(rows, columns=["vod_id", "start", "end", "score", "title", "reason", "speech_ratio", "merged_from"])
 
-    return queue.select(*cols).groupBy("vod_id", "hour_bucket").applyInPandas(fold, schema)
+    return queue.select(*cols, _whole_bigrams(queue).alias("transcript_bigrams")).groupBy("vod_id", "hour_bucket").applyInPandas(fold, schema)

@@ -113,12 +113,12 @@ def softban(candidates: DataFrame, profile: Profile, *, text: str = "_hay") -> D
 
 
 def enrich_candidates(scored: DataFrame, rec: Recordings, profile: Profile) -> DataFrame:
-    """Excerpt, suggested bounds, intro / outro penalty and the damped score."""
+    """Excerpt, bigrams of the whole text, suggested bounds, intro / outro penalty and the damped score."""
     v = rec.vods.select(
         "vod_id", "duration_sec",
         *(["content_type"] if "content_type" in rec.vods.columns else [F.lit(profile.content_type).alias("content_type")]),
     )
-    c = scored.join(v, "vod_id").withColumn("transcript_excerpt", tx.excerpt("text"))
+    c = scored.join(v, "vod_id").withColumns({"transcript_excerpt": tx.excerpt("text"), "transcript_bigrams": tx.bigrams("text")})
     c = softban(c.withColumn("_hay", F.concat(F.coalesce("text", F.lit("")), "title")), profile)
     loud_only = F.col("chat_weak") & (F.col("chat_react") <= 0) & (F.col("chat_cue") <= 0)
     c = (

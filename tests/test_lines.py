@@ -84,6 +84,13 @@ def test_arcs():
     assert arc[1:3] == (0.0, 110.0) and arc[-1] == [1, 2]
 
 
+def test_arcs_compare_whole_texts():
+    whole = "後段同題材" * 3
+    pair = [_candidate(i, 60.0 * i, c * 20, title=c, transcript_bigrams=[c * 2, *{a + b for a, b in zip(whole, whole[1:])}]) for i, c in enumerate("甲乙")]
+    (arc,) = arcs_of_hour(pd.DataFrame(pair), **{**ARC, "per_hour": 1, "story_min": 60.0})
+    assert arc[-1] == [0, 1]
+
+
 def test_review_session():
     s, states = Session(), {}
     for n in range(4):
