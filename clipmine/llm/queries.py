@@ -137,3 +137,11 @@ def middles(spark: SparkSession, table) -> DataFrame:
     from clipmine.llm.fill_middle import read_back, transformed
 
     return read_back(transformed(table("documents")))
+
+
+@_query("op11_integer_weight_repair")
+def repairs(spark: SparkSession, table) -> DataFrame:
+    from clipmine.llm.repair import damaged, repaired, report, with_empty
+
+    turns = table("conversations")
+    return with_empty(turns, report(repaired(damaged(turns))))
