@@ -145,3 +145,10 @@ def repairs(spark: SparkSession, table) -> DataFrame:
 
     turns = table("conversations")
     return with_empty(turns, report(repaired(damaged(turns))))
+
+
+@_query("op13_consensus_host_paths")
+def texts(spark: SparkSession, table) -> DataFrame:
+    from clipmine.llm.pages import main_texts
+
+    return main_texts(table("pages"))

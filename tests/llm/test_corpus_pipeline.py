@@ -11,7 +11,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_every_operator_has_a_query():
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
 
 
 def test_stages_keep_columns_and_take_effect(spark, clashing, tmp_path):  # noqa: F811
