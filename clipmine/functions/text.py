@@ -292,7 +292,8 @@ def mark_keywords(words, keywords: Sequence[str]) -> Column:
         plain = words_text(ws)
         # One character per position: U+0001 where any keyword occurrence lies, else a blank.
         masks = F.array(*[characters(F.replace(plain, F.lit(k), F.lit("\u0001" * len(k)))) for k in needles])
-        hits = F.transform(F.get(masks, F.lit(0)), lambda ch, i: F.exists(masks, lambda m: F.get(m, i) == "\u0001"))
+        # Bound, as the lambda would build the masks again for every character.
+        hits = let(masks, lambda ms: F.transform(F.get(ms, F.lit(0)), lambda ch, i: F.exists(ms, lambda m: F.get(m, i) == "\u0001")))
         size = lambda w: F.length(F.coalesce(w["text"], F.lit("")))
         # A word fills its characters and one slot more; its first slot, less the words before, is where it starts.
         slots = F.flatten(F.transform(ws, lambda w, i: F.array_repeat(i, size(w) + 1)))

@@ -54,6 +54,12 @@ def test_markup_round_trip(one):
     assert [w.is_kw for w in marked] == [False, True, True, True, False]
 
 
+def test_keywords_of_a_long_line(one):
+    line = F.repeat(F.lit("abcde草草x "), 6000)
+    marked = one(F.transform(tx.mark_keywords(tx.parse_markup(line), ["草草", "cd"]), lambda w: w["is_kw"]))
+    assert marked == [False, False, True, True, False, True, True, False, False] * 6000
+
+
 def test_spans_in_text(one):
     k = one(tx.key_span(F.lit("這個笑死"), ["笑死"]))
     assert (k.offset, k.frag, k.kind) == (2, "笑死", "tail")
