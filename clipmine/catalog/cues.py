@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clipmine.catalog import query
-from clipmine.catalog.intervals import CHOOSE, KEEP, axis
-from clipmine.catalog.tables import DAY, with_
+from clipmine.catalog import subtitle_sql as ss
+from clipmine.catalog.intervals import AXIS, CHOOSE, KEEP, axis
+from clipmine.catalog.tables import DAY, merge_sql, with_
+from clipmine.functions.tokens import dictionary_tokenizer
 from clipmine.operators import cues as cu
 from clipmine.operators import edit as ed
 from clipmine.operators import events as ev
 from clipmine.operators import joins as jn
+from clipmine.operators import subtitles as st
 from clipmine.plans.clips import edit_plan, rebuild_cues, reproject_cues, subtitle_plan
 
 r6 = lambda c: F.round(c, 6)
@@ -234,33 +237,91 @@ def _(t):
 
 
 def turn_clips(t):
-    seg = t.turn_words.withColumn("clip_id", F.lit(1).cast("long"))
-    speech = t.turns.select("vod_id", F.lit(1).cast("long").alias("clip_id"), "start", "end")
-    return seg, speech
+    """A conversation as one clip. Every other one is spoken four times slower, slow enough to keep its word times."""
+    f = F.when(F.col("vod_id").cast("long") % 2 == 0, 4.0).otherwise(1.0)
+    slow = t.turn_words.withColumn("start", F.col("start") * f).withColumn("end", F.col("end") * f)
+    words = F.transform("words", lambda w: F.struct((w["start"] * f).alias("start"), (w["end"] * f).alias("end"), w["text"]))
+    seg = slow.withColumn("words", words).withColumn("clip_id", F.lit(1).cast("long"))
+    return seg, slow.select("vod_id", F.lit(1).cast("long").alias("clip_id"), "start", "end")
 
 
-@query("cu_subtitle_events")
+SLOW = """tc AS (SELECT vod_id AS c, seg_id, s * f AS s, e * f AS e, text FROM (SELECT *, CASE WHEN CAST(vod_id AS BIGINT) % 2 = 0 THEN 4e0 ELSE 1e0 END AS f FROM turns)),
+  twc AS (SELECT vod_id AS c, seg_id, i, ws * f AS s, we * f AS e, w AS text FROM (SELECT *, CASE WHEN CAST(vod_id AS BIGINT) % 2 = 0 THEN 4e0 ELSE 1e0 END AS f FROM tw))"""
+
+
+@query(
+    "cu_subtitle_events",
+    with_(
+        "turns",
+        body='SELECT c AS vod_id, CAST(k AS INTEGER) AS ord, round(s, 6) AS start, round(e, 6) AS "end", text FROM timed WHERE k > 0',
+        recursive=", ".join((WORDS, SLOW, ss.events("tc", "tc", "twc"))),
+    ),
+)
 def _(t):
     seg, speech = turn_clips(t)
     return cu.subtitle_events(seg, speech).select("vod_id", "ord", r6("start").alias("start"), r6("end").alias("end"), "text")
 
 
-@query("flow_subtitles_of_cuts")
+CUTS_OF_CLIPS = f"""{CHOOSE}, {AXIS},
+  tr AS (SELECT clip_id AS c, row_number() OVER (PARTITION BY clip_id ORDER BY o, seg_id) AS seg_id, greatest(x.s, off.s) - off.s + f AS s, least(x.e, off.e) - off.s + f AS e, text
+    FROM seg x JOIN off ON off.vod_id = x.vod_id AND x.e > off.s AND x.s < off.e WHERE least(x.e, off.e) - greatest(x.s, off.s) >= 0.05),
+  rs AS (SELECT off.vod_id, clip_id, greatest(x.s, off.s) - off.s + f AS s, least(x.e, off.e) - off.s + f AS e
+    FROM speech x JOIN off ON off.vod_id = x.vod_id AND x.e > off.s AND x.s < off.e WHERE least(x.e, off.e) - greatest(x.s, off.s) >= 0.05),
+  sv AS (SELECT clip_id AS c, s, e FROM ({merge_sql("rs", "0.08e0", "vod_id, clip_id")}))"""
+
+
+@query(
+    "flow_subtitles_of_cuts",
+    with_(
+        "clips", "speech", "seg",
+        body='SELECT vod_id, clip_id, CAST(k AS INTEGER) AS ord, round(timed.s, 6) AS start, round(timed.e, 6) AS "end", text FROM timed JOIN clips ON clips.clip_id = c WHERE k > 0',
+        recursive=", ".join((CUTS_OF_CLIPS, ss.events("tr", "sv"))),
+    ),
+)
 def _(t):
     plan = edit_plan(t.clips, t.speech, t.segments)
     return subtitle_plan(plan).select("vod_id", "clip_id", "ord", r6("start").alias("start"), r6("end").alias("end"), "text")
 
 
-@query("cu_split_lines")
+SPLIT_LINES = """SELECT d.vod_id, d.seg_id, coalesce(x, '') AS split FROM doclines d LEFT JOIN (SELECT vod_id, seg_id, string_agg(line, '|' ORDER BY k) AS x FROM ln GROUP BY ALL) USING (vod_id, seg_id)"""
+
+
+@query("cu_split_lines", with_("doclines", body=SPLIT_LINES, recursive=ss.lines("ln", "doclines", "vod_id, seg_id", 14)))
 def _(t):
-    return t.lines.select("vod_id", "seg_id", F.array_join(cu.split_lines_udf(14)("text"), "|").alias("split"))
+    return t.lines.select("vod_id", "seg_id", F.array_join(st.split_lines("text", 14), "|").alias("split"))
+
 
+#: Words that a line must not be broken in.
+WORD_LIST = ("ment", "tion", "ation", "ver", "sch", "schau", "en", "the", "thing", "que", "eau")
 
-@query("cu_karaoke")
+
+@query(
+    "cu_split_tokens",
+    with_(
+        "doclines",
+        body=f"""SELECT vod_id, seg_id, len(t) AS tokens, t[1] AS first, CAST(coalesce(list_max(list_transform(t, lambda x: length(x))), 0) AS INTEGER) AS longest, len(list_filter(t, lambda x: x = 'ation')) AS found
+                 FROM (SELECT *, regexp_extract_all(text, '(?s){'|'.join(sorted(WORD_LIST, key=len, reverse=True))}|.') AS t FROM doclines)""",
+    ),
+)
+def _(t):
+    """Tokens by a dictionary; no line of the broken text cuts a word of it."""
+    tok = t.lines.withColumn("t", dictionary_tokenizer(WORD_LIST)("text"))
+    return tok.select("vod_id", "seg_id", F.size("t").cast("long").alias("tokens"), F.get("t", F.lit(0)).alias("first"), F.coalesce(F.array_max(F.transform("t", lambda x: F.length(x))), F.lit(0)).alias("longest"), F.size(F.filter("t", lambda x: x == "ation")).cast("long").alias("found"))
+
+
+@query(
+    "cu_karaoke",
+    with_(
+        "turns",
+        body="""SELECT vod_id, win_id, ord, round(arg_min(s, r), 6) AS start, round(arg_max(e, r), 6) AS "end", string_agg(text, '' ORDER BY r) AS text FROM kw JOIN kr USING (c, r) GROUP BY vod_id, win_id, ord""",
+        recursive=", ".join((WORDS, """kw AS (SELECT w.vod_id || ' ' || w.seg_id AS c, w.vod_id, w.seg_id AS win_id, row_number() OVER (PARTITION BY w.vod_id, w.seg_id ORDER BY ws, tw.seg_id) AS r, ws AS s, we AS e, x AS text, length(x) AS n
+          FROM turns w JOIN (SELECT *, """ + TRIM.format(c="w") + """ AS x FROM tw) tw ON tw.vod_id = w.vod_id AND (ws + we) / 2 >= w.s AND (ws + we) / 2 < w.e WHERE x <> '')""", ss.KARAOKE)),
+    ),
+)
 def _(t):
     w = t.turns.select("vod_id", F.col("seg_id").alias("win_id"), "start", "end")
     words = cu.words_in_windows(t.turn_words, w, ids=["win_id"])
-    return cu.karaoke_lines(words, ["vod_id", "win_id"])
+    return st.karaoke_chunks(words, ["vod_id", "win_id"]).select("vod_id", "win_id", "ord", r6("start").alias("start"), r6("end").alias("end"), "text")
 
 
 # --- event picks -----------------------------------------------------------------------------------

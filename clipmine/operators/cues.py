@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clipmine.functions import text as tx
 from clipmine.functions.spans import overlap_len, py_round
-from clipmine.operators import lines
+from clipmine.operators import subtitles as st
 from clipmine.operators.intervals import short_pieces, vod_time, with_axis
 from clipmine.operators.joins import overlapping_spans, points_in_windows
 
@@ -74,7 +74,7 @@ def flat_words(segments: DataFrame, keys: Sequence[str] = CLIP) -> DataFrame:
 
 
 def repair_timing(
-    segments: DataFrame, keys: Sequence[str] = CLIP, *, cps_max: float = lines.CPS_MAX, target_cps: float = lines.TARGET_CPS
+    segments: DataFrame, keys: Sequence[str] = CLIP, *, cps_max: float = st.CPS_MAX, target_cps: float = st.TARGET_CPS
 ) -> DataFrame:
     """Segments spoken impossibly fast, or with all words at the front, lose their word times and
     stretch toward the next segment; `repaired` tells which."""
@@ -85,7 +85,7 @@ def repair_timing(
     )
     start = F.greatest(F.lit(0.0), F.col("start"))
     end = F.greatest(start + 0.05, F.col("end"))
-    ideal = F.least(start + n / max(1.0, target_cps), F.col("_next") - lines.GAP_PAD)
+    ideal = F.least(start + n / max(1.0, target_cps), F.col("_next") - st.GAP_PAD)
     return (
         segments.withColumn("_next", F.lead("start").over(order))
         .withColumn("repaired", broken)
@@ -99,7 +99,7 @@ def repair_timing(
 
 def timing_quality(segments: DataFrame, clips: DataFrame, keys: Sequence[str] = CLIP, *, coverage_min: float = 0.55, min_chars: int = 14) -> DataFrame:
     """`needs_fallback` per clip (`dur`): no segments, little coverage, or a long segment far too fast."""
-    crushed = (tx.plain_chars("text") >= min_chars) & (tx.chars_per_second("text", "start", "end") > lines.CPS_MAX)
+    crushed = (tx.plain_chars("text") >= min_chars) & (tx.chars_per_second("text", "start", "end") > st.CPS_MAX)
     agg = segments.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum(F.greatest(F.lit(0.0), F.col("end") - F.col("start"))).alias("_total"),
@@ -126,79 +126,17 @@ def choose_transcript(clip_segments: DataFrame, edit_segments: DataFrame, clips:
 # --- events --------------------------------------------------------------------------------------
 
 
-def subtitle_events(segments: DataFrame, speech: DataFrame, *, tokenize: lines.Tokenizer = list) -> DataFrame:
+def subtitle_events(segments: DataFrame, speech: DataFrame, *, tokenize: st.Tokenizer | None = None) -> DataFrame:
     """`vod_id, clip_id, ord, start, end, text`: timed subtitle events of each clip.
 
-    Repair runs as column expressions. Grouping and timing read the event before, so they are folded
-    per clip; a clip is at most minutes long.
+    A clip with word times is grouped by words; another by its segments' text.
     """
-    repaired = repair_timing(segments.select(*CLIP, "seg_id", "start", "end", "text", "words"))
-
-    def fold(key, seg: pd.DataFrame, iv: pd.DataFrame) -> pd.DataFrame:
-        seg = seg.sort_values(["start", "seg_id"], kind="stable")
-        voice = lines.Voice(list(zip(iv["start"].astype(float), iv["end"].astype(float))))
-        pieces: list[lines.Event] = []
-        if any(w is not None and len(w) for w in seg["words"]):
-            pieces = lines.events_from_words(_words_of(seg), tokenize)
-        else:
-            for s, e, text in zip(seg["start"], seg["end"], seg["text"]):
-                if (text or "").strip():
-                    pieces += lines.events_from_text(float(s), float(e), text, tokenize)
-        events = lines.time_events(lines.merge_short(pieces, tokenize), voice)
-        return pd.DataFrame(
-            [(*key, i, *ev) for i, ev in enumerate(events, start=1)],
-            columns=["vod_id", "clip_id", "ord", "start", "end", "text"],
-        )
-
-    schema = f"vod_id string, clip_id {dict(segments.dtypes)['clip_id']}, ord int, start double, end double, text string"
-    return (
-        repaired.groupBy(*CLIP)
-        .cogroup(_renamed(speech.select(*CLIP, "start", "end")).groupBy(*CLIP))
-        .applyInPandas(fold, schema)
-    )
-
-
-def _words_of(seg: pd.DataFrame) -> list[lines.Word]:
-    out: list[lines.Word] = []
-    for s, e, text, words in zip(seg["start"], seg["end"], seg["text"], seg["words"]):
-        if words is not None and len(words):
-            for w in words:
-                t = (w["text"] or "").strip()
-                if t and not lines.is_noise(t):
-                    out.append(lines.Word(float(w["start"]), max(float(w["start"]), float(w["end"])), t))
-            continue
-        chars = [c for c in text or "" if not c.isspace()]
-        step = max(0.05, float(e) - float(s)) / max(1, len(chars))
-        out += [lines.Word(float(s) + i * step, float(s) + i * step + step, c) for i, c in enumerate(chars)]
-    return sorted(out, key=lambda w: w.start)
-
-
-def split_lines_udf(limit: int = lines.MAX_LINE, tokenize: lines.Tokenizer = list):
-    """Arrow-batched `string -> array<string>`."""
-
-    @F.pandas_udf("array<string>")
-    def split(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: lines.split_lines(t, limit, tokenize))
-
-    return split
-
-
-def karaoke_lines(words: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Chunks of at most two lines of seven characters, per window: `ord, start, end, text`."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "seg_id"], kind="stable")
-        ws = [lines.Word(float(s), float(e), t or "") for s, e, t in zip(pdf["start"], pdf["end"], pdf["text"])]
-        key = tuple(pdf[k].iloc[0] for k in keys)
-        rows = [
-            (*key, i, c[0].start, c[-1].end, "".join(w.text.strip() for w in c))
-            for i, c in enumerate(lines.karaoke_chunks(ws), start=1)
-        ]
-        return pd.DataFrame(rows, columns=[*keys, "ord", "start", "end", "text"])
-
-    types = dict(words.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", ord int, start double, end double, text string"
-    return words.groupBy(*keys).applyInPandas(fold, schema)
+    keys = list(CLIP)
+    repaired = repair_timing(segments.select(*keys, "seg_id", "start", "end", "text", "words"))
+    has = F.max(F.coalesce(F.size("words"), F.lit(0)) > 0).over(Window.partitionBy(*keys))
+    marked = repaired.withColumn("_has", has)
+    pieces = st.word_pieces(flat_words(marked.where("_has"), keys), keys, tokenize).unionByName(st.segment_pieces(marked.where("not _has"), keys, tokenize))
+    return st.timed(st.merged_short(pieces, keys), speech, keys)
 
 
 # --- cues ----------------------------------------------------------------------------------------

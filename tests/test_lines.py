@@ -1,55 +1,12 @@
-"""Clip folds without Spark: line breaks, event timing, cue edits, arcs, review sessions."""
-
-import random
+"""Clip folds without Spark: cue edits, arcs, review sessions."""
 
 import pandas as pd
 
-from clipmine.operators import lines as ln
 from clipmine.operators.arcs import arcs_of_hour
 from clipmine.operators.cue_edits import merge_clip
 from clipmine.operators.review import Session
 
 
-def test_split_lines():
-    assert ln.split_lines("一二三四五六七八九十") == ["一二三四五六七", "八九十"]
-    assert ln.split_lines("一二三，四五六七八") == ["一二三，", "四五六七八"]
-    assert ln.split_lines("一二三四五六七") == ["一二三四五六七"] and ln.split_lines(" ") == []
-    assert "".join(ln.split_lines("abc" * 30)) == "abc" * 30
-
-
-def test_group_words_by_pause_and_size():
-    words = [ln.Word(i * 0.1, i * 0.1 + 0.1, c) for i, c in enumerate("一二三四五六七八九十甲乙丙丁戊己")]
-    groups = ln.group_words(words)
-    assert all(sum(len(w.text) for w in g) <= 14 for g in groups)
-    assert [w for g in groups for w in g] == words
-    assert len(ln.group_words([ln.Word(0, 0.2, "a"), ln.Word(1.0, 1.2, "b")])) == 2
-
-
-def test_events_from_words_keep_text_past_the_second_line():
-    broken = [ln.Word(i * 0.1, i * 0.1 + 0.1, c) for i, c in enumerate("一二，三四五六七八九十甲乙丙")]
-    for words in (broken, [ln.Word(0.0, 2.0, "abcdefghijklmnopqrstuvw")]):
-        out = ln.events_from_words(words)
-        assert "".join(ev.text.replace(ln.BREAK, "") for ev in out) == "".join(w.text for w in words)
-        assert all(len(ev.text.split(ln.BREAK)) <= ln.MAX_LINES for ev in out) and len(out) > 1
-        assert all(a.end <= b.start for a, b in zip(out, out[1:])) and out[-1].end == words[-1].end
-
-
-def test_event_timing_invariants():
-    rng = random.Random(2)
-    for _ in range(200):
-        t, pieces = 0.0, []
-        for i in range(12):
-            t += rng.uniform(0.05, 2.0)
-            pieces.append(ln.Event(t, t + rng.uniform(0.05, 4.0), f"字{i}"))
-        voice = ln.Voice([(k * 3.0, k * 3.0 + rng.uniform(0.2, 2.5)) for k in range(10)])
-        out = ln.time_events(pieces, voice)
-        assert len(out) == len(pieces)  # nothing is dropped for lack of voice
-        for a, b in zip(out, out[1:]):
-            assert b.start >= a.end + ln.GAP_PAD - 1e-9
-        for ev in out:
-            assert ln.FLASH_SEC - 1e-9 <= ev.end - ev.start <= ln.MAX_SEC + 1e-9
-
-
 def _cue(i, a, b, text, marks=(), color=None):
     words = [{"text": c, "is_kw": k in marks, "color": color if k in marks else None} for k, c in enumerate(text)]
     return {"cue_id": f"c{i}", "start": a, "end": b, "vod_start": a, "vod_end": b, "text": text, "words": words}
