@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from clipmine.llm import rice
 from clipmine.llm.tables import parts_for, sized, stored, text_or_empty
+from clipmine.llm.words import release
 
 SPACE = b"\t\n\x0b\x0c\r "
 ROWS_PER_SENDER = 65_536
@@ -59,31 +60,34 @@ def suspects(rows: DataFrame, bits: int) -> DataFrame:
         values = _distinct(table)[0]
         cut = bounds(values)
         full = np.flatnonzero(np.diff(cut))
-        return pa.table(
+        out = pa.table(
             {
                 "owner": pa.array(full, pa.int32()),
                 "sender": pa.array([key[0].as_py()] * len(full), pa.int32()),
                 "coded": pa.array([rice.encode(values[cut[o] : cut[o + 1]]) for o in full], pa.binary()),
             }
         )
+        del values
+        release()
+        return out
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         lists = [rice.decode(x) for x in table.column("coded").to_pylist()]
         twice = rice.seen_twice(lists)
-        return pa.table(
-            {
-                "sender": table.column("sender"),
-                "owner": table.column("owner"),
-                "answer": pa.array([rice.bitmap(rice.member(x, twice)) for x in lists], pa.binary()),
-            }
-        )
+        found = pa.array([rice.bitmap(rice.member(x, twice)) for x in lists], pa.binary())
+        del lists, twice
+        release()
+        return pa.table({"sender": table.column("sender"), "owner": table.column("owner"), "answer": found})
 
     def mark(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         values, inverse, counts = _distinct(table)
         cut, found = bounds(values), counts > 1
         for o, data in zip(answers.column("owner").to_pylist(), answers.column("answer").to_pylist(), strict=True):
             found[cut[o] : cut[o + 1]] |= rice.flags(data, cut[o + 1] - cut[o])
-        return table.append_column("suspect", pa.array(found[inverse], pa.bool_()))
+        marks = pa.array(found[inverse], pa.bool_())
+        del values, inverse, counts, found
+        release()
+        return table.append_column("suspect", marks)
 
     messages = rows.select("sender", "fp").groupBy("sender").applyInArrow(send, "owner int, sender int, coded binary")
     answers = messages.groupBy("owner").applyInArrow(answer, "sender int, owner int, answer binary")

@@ -11,12 +11,14 @@ bound, so the models don't grow with the table. The models are fitted in paralle
 
 Defined cases: a text that is null or has no letter gets `und` and score 0; so does every text when no row is
 labelled; with one language every text gets it with score 1; the label may be any non-null string; rows may repeat;
-extra columns are ignored.
+a text of more than twice `PIECE` characters is read in parts, as if each were a text, and their sums are added; extra
+columns are ignored. A model is fitted in one task on at most `PER_LANGUAGE` rows of each of its languages.
 """
 
 from __future__ import annotations
 
 import itertools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipmine.llm.tables import sized, stored
-from clipmine.llm.words import batches, mix
+from clipmine.llm.words import batches, mix, release
 
 UNDETERMINED = "und"
 WIDTH = 1 << 14
 PER_LANGUAGE = 600
+#: Characters of a text that are read at once.
+PIECE = 1 << 18
+_SPACE = re.compile(r"\s+")
 #: Families of languages by their two-letter codes.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is fy af lb".split(),
@@ -77,30 +82,49 @@ def _gap(x: np.ndarray) -> np.ndarray:
     return ~letter
 
 
+def pieces(text: str) -> list[str]:
+    """A very long text in parts of `PIECE` characters or a little more, cut at white space where there is any."""
+    out = []
+    while len(text) > 2 * PIECE:
+        gap = _SPACE.search(text, PIECE, 2 * PIECE)
+        end = gap.end() if gap else PIECE
+        out.append(text[:end])
+        text = text[end:]
+    return [*out, text]
+
+
 def means(texts: list[str], weights: np.ndarray) -> np.ndarray:
-    """Per text and model the mean weight of its n-grams; `weights` has a row per column and one of zeros at its end."""
-    cols, counts = grams(texts)
-    starts = np.cumsum(counts) - counts
+    """Per text and model the mean weight of its n-grams; `weights` has a row per column and one of zeros at its end.
+
+    The parts of a very long text are read one after the other, so memory doesn't grow with it.
+    """
     total, n = np.zeros((len(texts), weights.shape[1])), np.zeros(len(texts))
-    for row in cols:
-        total += np.add.reduceat(weights[row], starts, axis=0)
-        n += np.add.reduceat((row >= 0).astype(np.int64), starts)
+    for group in batches([(i, part) for i, text in enumerate(texts) for part in pieces(text)], 2 * PIECE):
+        at = np.array([i for i, _ in group])
+        cols, counts = grams([part for _, part in group])
+        starts = np.cumsum(counts) - counts
+        for row in cols:
+            np.add.at(total, at, np.add.reduceat(weights[row], starts, axis=0))
+            np.add.at(n, at, np.add.reduceat((row >= 0).astype(np.int64), starts))
     return total / np.maximum(n, 1)[:, None]
 
 
 def vector(text: str) -> np.ndarray:
     """Relative frequencies of one text's n-grams."""
-    cols = grams([text])[0].ravel()
-    cols = cols[cols >= 0]
-    return (np.bincount(cols, minlength=WIDTH) / max(1, len(cols))).astype(np.float32)
+    total = np.zeros(WIDTH, np.int64)
+    for part in pieces(text):
+        cols = grams([part])[0].ravel()
+        total += np.bincount(cols[cols >= 0], minlength=WIDTH)
+    return (total / max(1, total.sum())).astype(np.float32)
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, rounds: int = 60, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
-    """A linear SVM with squared hinge loss by accelerated gradient steps; y is +1 or -1, both sides weigh the same."""
+    """A linear SVM with squared hinge loss by accelerated gradient steps; y is +1 or -1, both sides weigh the same. `x` is used up."""
     scale = 1 / np.sqrt(x.mean(0) + 1e-5)
-    z = x * scale
+    z = x
+    z *= scale  # in place: the rows are the largest thing in the task
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    step = 1 / (2 * float((share[:, None] * z * z).sum()) + penalty + 1e-12)
+    step = 1 / (2 * float((share * np.einsum("ij,ij->i", z, z)).sum()) + penalty + 1e-12)
     w = v = np.zeros(x.shape[1], np.float32)
     b = c = 0.0
     for k in range(rounds):
@@ -189,14 +213,16 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
     def train(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("order", "ascending"), ("side", "ascending")])  # sums then don't depend on the shuffle
-        x = np.zeros((len(table), WIDTH), np.float32)
-        for i, (a, b) in enumerate(zip(table.column("cols").to_pylist(), table.column("freqs").to_pylist(), strict=True)):
-            x[i, np.frombuffer(a, "<u2")] = np.frombuffer(b, "<f4")
-        used = x.any(0)
-        y = table.column("side").to_numpy().astype(np.float32)
-        w, b = fit_svm(x[:, used], y)
+        cols = [np.frombuffer(c, "<u2") for c in table.column("cols").to_pylist()]
+        used = np.unique(np.concatenate(cols))
+        x = np.zeros((len(table), len(used)), np.float32)
+        for i, (c, f) in enumerate(zip(cols, table.column("freqs").to_pylist(), strict=True)):
+            x[i, np.searchsorted(used, c)] = np.frombuffer(f, "<f4")
+        w, b = fit_svm(x, table.column("side").to_numpy().astype(np.float32))
         full = np.zeros(WIDTH, np.float32)
         full[used] = w
+        del x, cols
+        release()
         return pa.table({"name": [key[0].as_py()], "w": pa.array([full.tobytes()], pa.binary()), "b": [float(b)]})
 
     spark = labelled.sparkSession

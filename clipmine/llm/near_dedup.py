@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipmine.llm.tables import sized, sorted_groups, stored
-from clipmine.llm.words import batches, mix, runs, split
+from clipmine.llm.words import batches, mix, release, runs, split
 
 SHINGLE, THRESHOLD = 5, 0.8
 RARE, LEAST = 0.02, 0.05
@@ -307,6 +307,7 @@ def candidates(reps: DataFrame) -> DataFrame:
             if found:
                 a, b = row[[i for i, _ in found]], row[[j for _, j in found]]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        release()
 
     return _in_blocks(met, ["band", "key"], BLOCK).mapInArrow(compare, "a long, b long").distinct()
 
@@ -383,6 +384,7 @@ def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame, counts: Counts
                         b.append(row[j])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        release()
 
     return _in_blocks(members, ["root"], GROUP).mapInArrow(check, "a long, b long")
 

@@ -106,7 +106,10 @@ def _probe_answer(key: tuple, table: pa.Table) -> pa.Table:
         lists.append(rice.decode(values))
         blocks.append(lists[-1][rice.flags(is_block, len(lists[-1]))])
     twice, any_block = rice.seen_twice(lists), np.unique(np.concatenate(blocks))
-    return _answers(table, [zlib.compress(_pair(rice.bitmap(rice.member(x, twice)), rice.bitmap(rice.member(x, any_block))), 1) for x in lists])
+    out = _answers(table, [zlib.compress(_pair(rice.bitmap(rice.member(x, twice)), rice.bitmap(rice.member(x, any_block))), 1) for x in lists])
+    del lists, blocks, twice, any_block
+    words.release()
+    return out
 
 
 def _window_answer(key: tuple, table: pa.Table) -> pa.Table:
@@ -122,7 +125,10 @@ def _window_answer(key: tuple, table: pa.Table) -> pa.Table:
     order = np.lexsort((chunk, first, value))
     best = np.zeros(len(value), bool)
     best[order] = np.diff(value[order], prepend=value[order[:1]] + np.uint64(1)) != 0
-    return _answers(table, [rice.bitmap(x) for x in np.split(best, np.cumsum(size)[:-1])])
+    out = _answers(table, [rice.bitmap(x) for x in np.split(best, np.cumsum(size)[:-1])])
+    del lists, firsts, value, first, chunk, order, best
+    words.release()
+    return out
 
 
 def _read(answers: pa.Table, cuts: np.ndarray, take) -> np.ndarray:
