@@ -208,29 +208,128 @@ def _(t):
     return c.select("clip_id", "cue_id", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"))
 
 
-@query("cu_ingest")
+def half2(x: str) -> str:
+    """Half-even rounding to two decimals of a value that has three."""
+    n = f"CAST(round(({x}) * 1000) AS BIGINT)"
+    return f"(({n} // 10 + CASE WHEN {n} % 10 > 5 OR ({n} % 10 = 5 AND {n} // 10 % 2 = 1) THEN 1 ELSE 0 END) / 100e0)"
+
+
+def vod_at(x: str, ax: str) -> str:
+    """Recording time of clip time `x` of the row `p`; past the end that of the last piece."""
+    hit = f"SELECT arg_min(round_even(v0 + ({x} - s0), 3), o) FROM {ax} q WHERE q.clip_id = p.clip_id AND s0 - 1e-6 <= {x} AND CASE WHEN last THEN {x} <= s1 + 1e-6 ELSE {x} < s1 - 1e-9 END"
+    return f"coalesce(({hit}), (SELECT v1 FROM {ax} q WHERE q.clip_id = p.clip_id AND last AND {x} > s1))"
+
+
+def fresh_sql(ax: str) -> str:
+    """Cues of the transcript on an axis: `fc`(clip_id, cue_id, a, b, vs, ve, text) and `du`, the clips' lengths."""
+    return f"""tp AS (SELECT ax.clip_id, seg_id, s, e, text, row_number() OVER (PARTITION BY ax.clip_id, seg_id ORDER BY o) - 1 AS j, round_even(s0 + (greatest(s, v0) - v0), 3) AS pa, round_even(s0 + (least(e, v1) - v0), 3) AS pb
+      FROM seg JOIN {ax} AS ax ON ax.vod_id = seg.vod_id WHERE least(e, v1) - greatest(s, v0) >= 0.05),
+  du AS (SELECT vod_id, clip_id, arg_max(s1, o) AS dur, max(s1) AS longest FROM {ax} GROUP BY ALL),
+  fc AS (SELECT clip_id, 't' || seg_id || '_' || j AS cue_id, {half2('pa')} AS a, {half2('pb')} AS b, coalesce({vod_at('pa', ax)}, round_even(s, 3)) AS vs, coalesce({vod_at('pb', ax)}, round_even(e, 3)) AS ve, text FROM tp p
+    UNION ALL SELECT clip_id, cue_id, x, y, NULL, NULL, text FROM (SELECT du.clip_id, 's' || seg_id AS cue_id, least(greatest(0e0, round_even(s, 2)), dur) AS x, least(greatest(0e0, round_even(least(e, dur), 2)), dur) AS y, text
+      FROM du JOIN seg ON seg.vod_id = du.vod_id AND e <= dur + 0.5 AND s < dur WHERE clip_id NOT IN (SELECT clip_id FROM tp)) WHERE y - x >= 0.05)"""
+
+
+#: Cues of the cut clips laid on the whole clips: `ig`(clip_id, cue_id, a, b, vs, ve, text).
+INGEST = f"""wx AS (SELECT vod_id, clip_id, 1 AS o, round_even(s, 3) AS v0, round_even(e, 3) AS v1, 0e0 AS s0, round_even(e - s, 3) AS s1, true AS last FROM clips WHERE e - s >= 0.05),
+  ux AS (SELECT clip_id, o, v0, v1, s0, s1, last FROM ax UNION ALL SELECT clip_id, o, v0, v1, s0, s1, last FROM wx WHERE clip_id NOT IN (SELECT clip_id FROM ax)),
+  i1 AS (SELECT clip_id, cue_id, a, b, vs, ve, text, vs IS NOT NULL AND ve IS NOT NULL AS pinned,
+      (SELECT arg_min(round_even(s0 + (greatest(vs, v0) - v0), 3), o) FROM ux q WHERE q.clip_id = p.clip_id AND least(ve, v1) - greatest(vs, v0) >= 0.05) AS sh,
+      {vod_at('a', 'ux')} AS us, {vod_at('b', 'ux')} AS ue, {vod_at('a', 'wx')} AS ns, {vod_at('b', 'wx')} AS ne FROM cue p),
+  i2 AS (SELECT *, CASE WHEN pinned AND coalesce(abs(sh - a) > 0.08, false) THEN us WHEN pinned THEN vs ELSE coalesce(us, ns) END AS x,
+      CASE WHEN pinned AND coalesce(abs(sh - a) > 0.08, false) THEN ue WHEN pinned THEN ve WHEN us IS NOT NULL THEN ue ELSE ne END AS y FROM i1),
+  i3 AS (SELECT clip_id, cue_id, text, CASE WHEN x IS NULL OR y IS NULL THEN vs ELSE x END AS x, CASE WHEN x IS NULL OR y IS NULL THEN ve ELSE y END AS y FROM i2),
+  ig AS (SELECT i3.clip_id, cue_id, text, {half2('round_even(greatest(x, v0) - v0, 3)')} AS a, {half2('round_even(least(y, v1) - v0, 3)')} AS b, round_even(x, 3) AS vs, round_even(y, 3) AS ve
+      FROM i3 JOIN wx USING (clip_id) WHERE y > x AND least(y, v1) - greatest(x, v0) >= 0.05)"""
+
+
+@query(
+    "cu_ingest",
+    with_(
+        "clips", "speech", "seg",
+        body='SELECT clip_id, cue_id, round(a, 2) AS start, round(b, 2) AS "end", round(vs, 3) AS vod_start, round(ve, 3) AS vod_end FROM ig',
+        recursive=", ".join((CHOOSE, KEEP, CUES, INGEST)),
+    ),
+)
 def _(t):
     """Cues carried from the planned cuts to the untrimmed clip."""
     from clipmine.operators.intervals import keep_axis
 
     whole = keep_axis(t.clips.withColumn("ord", F.lit(1)))
     c = cu.ingest_cues(clip_cues(t), axis(t), whole)
-    return c.select("clip_id", "cue_id", "start", "end", "vod_start", "vod_end")
+    return c.select("clip_id", "cue_id", *[F.round(x, d).alias(x) for x, d in (("start", 2), ("end", 2), ("vod_start", 3), ("vod_end", 3))])
+
+
+FLAGGED = " OR ".join(f"substr(replace(text, '{k}', repeat(chr(1), {len(k)})), i, 1) = chr(1)" for k in DAY.flourish_keywords)
+#: A text with its keywords between `**`.
+MARKED = f"""array_to_string(list_transform(range(1, length(text) + 1), lambda i: CASE WHEN m[i] AND (i = 1 OR NOT m[i - 1]) THEN '**' ELSE '' END || substr(text, i, 1)
+      || CASE WHEN m[i] AND (i = length(text) OR NOT m[i + 1]) THEN '**' ELSE '' END), '')"""
+REPROJECT = f"""{fresh_sql('wx')},
+  fm AS (SELECT f.clip_id, f.cue_id, f.a, f.b, f.text, f.vs, f.ve FROM fc f LEFT JOIN ig x ON x.clip_id = f.clip_id AND x.ve > x.vs AND x.ve > f.vs AND x.vs < f.ve WHERE f.ve > f.vs GROUP BY ALL
+      HAVING sum(CASE WHEN x.vs IS NULL THEN 0e0 ELSE least(x.ve, f.ve) - greatest(x.vs, f.vs) END) / (f.ve - f.vs) < 0.35
+    UNION ALL SELECT clip_id, cue_id, a, b, text, vs, ve FROM fc f WHERE NOT coalesce(ve > vs, false) AND NOT EXISTS (SELECT 1 FROM ig x WHERE x.clip_id = f.clip_id AND x.text = f.text)),
+  al AS (SELECT clip_id, cue_id, a, b, text, vs, ve FROM ig UNION ALL SELECT clip_id, cue_id, a, b, {MARKED}, vs, ve FROM (SELECT *, list_transform(range(1, length(text) + 1), lambda i: {FLAGGED}) AS m FROM fm)),
+  pl AS (SELECT al.clip_id, cue_id, text, least(greatest(0e0, {half2('round_even(greatest(vs, v0) - v0, 3)')}), s1) AS x, least(greatest(0e0, {half2('round_even(least(ve, v1) - v0, 3)')}), s1) AS y
+      FROM al JOIN wx USING (clip_id) WHERE ve > vs AND least(ve, v1) - greatest(vs, v0) >= 0.05
+    UNION ALL SELECT clip_id, cue_id, text, least(greatest(0e0, round_even(a, 2)), s1), least(greatest(0e0, round_even(b, 2)), s1) FROM al JOIN wx USING (clip_id) WHERE vs IS NULL)"""
 
 
-@query("flow_reproject_cues")
+@query(
+    "flow_reproject_cues",
+    with_(
+        "clips", "speech", "seg",
+        body='SELECT clip_id, cue_id, round(x, 2) AS start, round(y, 2) AS "end", text FROM pl WHERE y - x >= 0.05',
+        recursive=", ".join((CHOOSE, KEEP, CUES, INGEST, REPROJECT)),
+    ),
+)
 def _(t):
     from clipmine.operators.intervals import keep_axis
 
     whole = keep_axis(t.clips.withColumn("ord", F.lit(1)))
     seg = t.segments.withColumn("ord", F.col("seg_id"))
-    return reproject_cues(clip_cues(t), axis(t), whole, seg, DAY.flourish_keywords).select("clip_id", "cue_id", "start", "end", "text")
+    out = reproject_cues(clip_cues(t), axis(t), whole, seg, DAY.flourish_keywords)
+    return out.select("clip_id", "cue_id", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), "text")
+
+
+def edited_cues(t):
+    """The cues as a user left them: some with another text, some with a flagged part."""
+    from clipmine.functions import text as tx
+
+    i = F.substring("cue_id", 2, 20).cast("long")
+    text = F.when(i % 7 == 0, F.concat("text", F.lit("?"))).when(i % 4 == 0, F.regexp_replace("text", r"(k\d)", "**$1**")).otherwise(F.col("text"))
+    return clip_cues(t).withColumn("text", text).withColumn("words", tx.parse_markup("text"))
+
+
+REBUILD = rf"""oc AS (SELECT clip_id, cue_id, a, b, vs, ve, CASE WHEN seg_id % 7 = 0 THEN text || '?' ELSE text END AS plain, CASE WHEN seg_id % 7 = 0 THEN text || '?' WHEN seg_id % 4 = 0 THEN regexp_replace(text, '(k\d)', '**\1**', 'g') ELSE text END AS text,
+      CASE WHEN seg_id % 7 <> 0 AND seg_id % 4 = 0 THEN regexp_extract(text, 'k\d') END AS frag FROM cue),
+  op AS (SELECT f.clip_id, f.cue_id AS f, f.a, list(o.cue_id ORDER BY least(o.ve, f.ve) - greatest(o.vs, f.vs) DESC, o.a, o.cue_id) AS l FROM fc f JOIN oc o ON o.clip_id = f.clip_id AND o.ve > o.vs AND f.ve > f.vs
+      AND o.ve > f.vs AND o.vs < f.ve AND least(o.ve, f.ve) - greatest(o.vs, f.vs) >= 0.15 GROUP BY ALL),
+  ok AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY a, f) AS k FROM op),
+  mt AS (SELECT clip_id, CAST(0 AS BIGINT) AS k, '' AS f, CAST(NULL AS VARCHAR) AS o, CAST([] AS VARCHAR[]) AS used FROM ok GROUP BY clip_id
+    UNION ALL SELECT clip_id, k, f, o, CASE WHEN o IS NULL THEN used ELSE list_append(used, o) END FROM (
+      SELECT ok.clip_id, ok.k, ok.f, list_filter(l, lambda x: NOT list_contains(used, x))[1] AS o, used FROM mt JOIN ok ON ok.clip_id = mt.clip_id AND ok.k = mt.k + 1)),
+  nf AS (SELECT clip_id, cue_id, text, row_number() OVER (PARTITION BY clip_id, text ORDER BY a, cue_id) AS n FROM fc WHERE NOT coalesce(ve > vs, false)),
+  no AS (SELECT clip_id, cue_id, plain, row_number() OVER (PARTITION BY clip_id, plain ORDER BY a, cue_id) AS n FROM oc WHERE NOT coalesce(ve > vs, false)),
+  mm AS (SELECT clip_id, f, o FROM mt WHERE o IS NOT NULL UNION ALL SELECT nf.clip_id, nf.cue_id, no.cue_id FROM nf JOIN no ON no.clip_id = nf.clip_id AND no.plain = nf.text AND no.n = nf.n),
+  mx AS (SELECT f.clip_id, f.cue_id, f.a, f.b, f.text, o.text AS other, frag, coalesce(o.plain <> f.text AND o.plain <> '' AND abs(length(o.plain) - length(f.text)) <= greatest(4, length(f.text) // 3), false) AS edited
+      FROM fc f LEFT JOIN mm ON mm.clip_id = f.clip_id AND mm.f = f.cue_id LEFT JOIN oc o ON o.clip_id = mm.clip_id AND o.cue_id = mm.o),
+  mk AS (SELECT *, list_transform(range(1, length(text) + 1), lambda i: {FLAGGED} OR coalesce(instr(text, frag) > 0 AND i >= instr(text, frag) AND i < instr(text, frag) + length(frag), false)) AS m FROM mx),
+  tx AS (SELECT clip_id, cue_id, a, b, CASE WHEN edited THEN other ELSE {MARKED} END AS text FROM mk
+    UNION ALL SELECT clip_id, cue_id, a, b, text FROM oc WHERE clip_id NOT IN (SELECT clip_id FROM fc))"""
 
 
-@query("flow_rebuild_cues")
+@query(
+    "flow_rebuild_cues",
+    with_(
+        "clips", "speech", "seg",
+        body="""SELECT clip_id, cue_id, round(x, 2) AS start, round(y, 2) AS "end", text FROM (SELECT tx.*, least(greatest(0e0, round_even(a, 2)), longest) AS x, least(greatest(0e0, round_even(b, 2)), longest) AS y FROM tx JOIN du USING (clip_id)) WHERE y - x >= 0.05""",
+        recursive=", ".join((CHOOSE, KEEP, CUES, fresh_sql("ax"), REBUILD)),
+    ),
+)
 def _(t):
     seg = t.segments.withColumn("ord", F.col("seg_id"))
-    return rebuild_cues(clip_cues(t), axis(t), seg, DAY.flourish_keywords).select("clip_id", "cue_id", "start", "end", "text")
+    out = rebuild_cues(edited_cues(t), axis(t), seg, DAY.flourish_keywords)
+    return out.select("clip_id", "cue_id", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), "text")
 
 
 # --- subtitle events -------------------------------------------------------------------------------

@@ -1,107 +1,130 @@
-"""Carrying edits between the cues of one clip (the body of a clip fold)."""
+"""A user's edits of old cues on freshly built ones: an exclusive assignment, then columns."""
 
 from __future__ import annotations
 
-import re
-from typing import Any
-
-Cue = dict[str, Any]
-
-
-def _plain(words) -> str:
-    return "".join(w["text"] or "" for w in words)
-
-
-def _shown(cue: Cue) -> str:
-    words = cue.get("words")
-    if words is not None and len(words):
-        return _plain(words).replace("\n", "")
-    return re.sub(r"\*\*(.+?)\*\*", r"\1", cue.get("text") or "").replace("\\n", "").replace("\n", "")
-
-
-def _span(cue: Cue) -> tuple[float, float] | None:
-    a, b = cue.get("vod_start"), cue.get("vod_end")
-    if a is None or b is None or a != a or b != b or b <= a:
-        return None
-    return float(a), float(b)
-
-
-def markup(words) -> str:
-    out, open_ = [], False
-    for w in words:
-        flag = bool(w["is_kw"]) and w["text"] != "\n"
-        if flag != open_:
-            out.append("**")
-            open_ = flag
-        out.append("\\n" if w["text"] == "\n" else w["text"])
-    return "".join(out) + ("**" if open_ else "")
-
-
-def _marks(words) -> list[tuple[bool, Any]]:
-    """(flag, colour) per character."""
-    return [(bool(w["is_kw"]), w["color"]) for w in words for _ in (w["text"] or "")]
-
-
-def carry_marks(base, old) -> list[dict]:
-    """Flags are or-ed and old colours win, matched by character; other text keeps flagged runs it still holds."""
-    words = [dict(w) for w in base]
-    if not words or not len(old):
-        return words
-    before, now = _plain(old), _plain(words)
-    marks = _marks(old)
-    carried: dict[int, tuple[bool, Any]] = {}
-    if before == now:
-        carried = dict(enumerate(marks))
-    else:
-        for run in re.finditer("1+", "".join("1" if m[0] else "0" for m in marks)):
-            at = now.find(before[run.start() : run.end()])
-            if at >= 0:
-                carried.update({at + k: marks[run.start() + k] for k in range(run.end() - run.start())})
-    pos = 0
-    for w in words:
-        for _ in w["text"] or "":
-            flag, colour = carried.get(pos, (False, None))
-            w["is_kw"] = bool(w["is_kw"]) or flag
-            w["color"] = colour or w["color"]
-            pos += 1
-    return words
-
-
-def merge_clip(old: list[Cue], fresh: list[Cue], styles: tuple[str, ...] = ()) -> list[Cue]:
-    """`styles`: columns that only old cues have; a matched cue takes them over."""
-    order = lambda c: (c["start"], str(c["cue_id"]))
-    old, fresh = sorted(old, key=order), sorted(fresh, key=order)
-    if not old or not fresh:
-        return fresh or old
-    free = list(old)
-    out = []
-    for cue in fresh:
-        cue = dict(cue, words=[dict(w) for w in cue["words"]])
-        match = _best(cue, free)
-        cue.update({c: match.get(c) if match else None for c in styles})
-        if match is not None:
-            free.remove(match)
-            a, b = len(_shown(match)), len(_shown(cue))
-            edited = _shown(match) != "" and _shown(match) != _shown(cue) and abs(a - b) <= max(4, b // 3)
-            words = carry_marks(match["words"] if edited else cue["words"], match["words"])
-            cue["words"] = words
-            cue["text"] = (match["text"] or cue["text"]) if edited else markup(words)
-        else:
-            cue["text"] = markup(cue["words"])
-        out.append(cue)
-    return out
-
-
-def _best(cue: Cue, pool: list[Cue]) -> Cue | None:
-    span, text = _span(cue), _shown(cue)
-    if span is None:
-        same = [c for c in pool if _span(c) is None and text and _shown(c) == text]
-        return same[0] if same else None
-    best, amount = None, 0.0
-    for c in pool:
-        other = _span(c)
-        if other is not None:
-            shared = min(span[1], other[1]) - max(span[0], other[0])
-            if shared > amount:
-                best, amount = c, shared
-    return best if amount >= 0.15 else None
+from typing import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from clipmine.functions import text as tx
+from clipmine.functions.spans import col, let, overlap_len
+from clipmine.operators.joins import overlapping_spans
+
+# Fixed values, begin: when a cue is the same one, and when its text was edited.
+MIN_SHARED_SEC = 0.15
+EDIT_CHARS = 4
+EDIT_SHARE = 3
+# Fixed values, end.
+
+
+def shown(words) -> Column:
+    """The text of words without line breaks."""
+    return F.replace(tx.words_text(words), F.lit("\n"), F.lit(""))
+
+
+def _size(w: Column) -> Column:
+    return F.length(F.coalesce(w["text"], F.lit("")))
+
+
+def carried_marks(base, old) -> Column:
+    """The words `base` with the flags and colours of the words `old`.
+
+    If both have the same text, every character keeps its mark. Otherwise each flagged run of `old` marks the first
+    place of `base` that has its text. A word is flagged if one of its characters is, and takes the last colour.
+    """
+
+    def placed(v: Column) -> Column:
+        """Runs of marks and where they begin in `base`."""
+        marks = F.flatten(F.transform(v["old"], lambda w: F.array_repeat(F.struct(w["is_kw"].alias("is_kw"), w["color"].alias("color")), _size(w))))
+        mask = F.array_join(F.transform(marks, lambda m: F.when(m["is_kw"], "1").otherwise("0")), "")
+        run = F.struct(F.lit(0).alias("at"), marks.alias("marks"))
+
+        def runs(m: Column) -> Column:
+            flagged = F.regexp_extract_all(m["mask"], F.lit("1+|0+"), 0)
+            # Where each run begins: the sizes of those before.
+            begins = F.transform(flagged, lambda r, i: F.aggregate(F.slice(flagged, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x)))
+            spans = F.filter(F.arrays_zip(flagged.alias("run"), begins.alias("from")), lambda z: z["run"].startswith("1"))
+            found = F.transform(
+                spans,
+                lambda z: F.struct(
+                    (F.position(F.substr(v["before"], z["from"] + 1, F.length(z["run"])), v["now"]) - 1).alias("at"),
+                    F.slice(m["marks"], z["from"] + 1, F.length(z["run"])).alias("marks"),
+                ),
+            )
+            return F.filter(found, lambda r: r["at"] >= 0)
+
+        return F.when(v["before"] == v["now"], F.array(run)).otherwise(let(F.struct(mask.alias("mask"), marks.alias("marks")), runs))
+
+    def mark(v: Column) -> Column:
+        begins = lambda i: F.aggregate(F.slice(v["base"], F.lit(1), i), F.lit(0), lambda n, w: n + _size(w))
+
+        def word(w: Column, at: Column) -> Column:
+            end = at + _size(w)
+            mine = lambda r: F.slice(r["marks"], F.greatest(at - r["at"], F.lit(0)) + 1, F.greatest(F.least(end, r["at"] + F.size(r["marks"])) - F.greatest(at, r["at"]), F.lit(0)))
+            own = F.flatten(F.transform(v["runs"], mine))
+            colour = F.get(F.reverse(F.filter(own, lambda m: m["color"].isNotNull())), F.lit(0))["color"]
+            return F.struct(w["text"].alias("text"), (w["is_kw"] | F.exists(own, lambda m: m["is_kw"])).alias("is_kw"), F.coalesce(colour, w["color"]).alias("color"))
+
+        return F.transform(v["base"], lambda w, i: let(begins(i), lambda at: word(w, at)))
+
+    both = F.struct(col(base).alias("base"), F.coalesce(col(old), F.slice(col(base), 1, 0)).alias("old"), tx.words_text(base).alias("now"), tx.words_text(old).alias("before"))
+    return let(let(both, lambda v: F.struct(v["base"].alias("base"), placed(v).alias("runs"))), mark)
+
+
+def _timed(cues: DataFrame) -> Column:
+    a, b = F.col("vod_start"), F.col("vod_end")
+    return F.coalesce(~F.isnan(a) & ~F.isnan(b) & (b > a), F.lit(False))
+
+
+def matches(old: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`keys, cue_id, old_id`: the old cue that each fresh one takes over; an old cue serves once.
+
+    In order of start and id a fresh cue takes the free old one that it shares the most recording time with. Shared
+    times come from an interval join; only the choice among them is a fold over a clip's cues. Cues without
+    recording times are matched by equal text, the k-th with the k-th.
+    """
+    span = lambda df: df.where(_timed(df)).select(*keys, "cue_id", F.col("start").alias("at"), F.col("vod_start").alias("start"), F.col("vod_end").alias("end"))
+    pairs = overlapping_spans(span(old), span(fresh), keys=keys)
+    shared = overlap_len("start", "end", "w_start", "w_end")
+    wanted = pairs.withColumn("_n", shared).where(F.col("_n") >= MIN_SHARED_SEC).groupBy(*keys, F.col("w_at").alias("at"), F.col("w_cue_id").alias("cue_id")).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("less"), "at", F.col("cue_id").alias("id")))).alias("wanted")
+    )
+    clips = wanted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "cue_id", F.col("wanted.id").alias("ids")))).alias("x"))
+    taken = "struct<used: array<string>, pairs: array<struct<cue_id: string, old_id: string>>>"
+
+    def choose(state: Column, f: Column) -> Column:
+        def take(o: Column) -> Column:
+            pair = F.struct(f["cue_id"].alias("cue_id"), o.alias("old_id"))
+            return F.when(o.isNull(), state).otherwise(F.struct(F.concat(state["used"], F.array(o)).alias("used"), F.concat(state["pairs"], F.array(pair)).alias("pairs")).cast(taken))
+
+        return let(F.get(F.filter(f["ids"], lambda i: ~F.array_contains(state["used"], i)), F.lit(0)), take)
+
+    none = F.struct(F.array().alias("used"), F.array().alias("pairs")).cast(taken)
+    by_time = clips.select(*keys, F.explode(F.aggregate("x", none, choose, lambda s: s["pairs"])).alias("p")).select(*keys, "p.cue_id", "p.old_id")
+    nth = F.row_number().over(Window.partitionBy(*keys, "_text").orderBy("start", "cue_id"))
+    ranked = lambda df, name: df.where(~_timed(df)).withColumn("_text", shown("words")).where(F.col("_text") != "").select(*keys, "_text", nth.alias("_nth"), F.col("cue_id").alias(name))
+    by_text = ranked(fresh, "cue_id").join(ranked(old, "old_id"), [*keys, "_text", "_nth"]).select(*keys, "cue_id", "old_id")
+    return by_time.unionByName(by_text)
+
+
+def merge_cue_edits(old: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Fresh cues with the edits of the old cues that they replace: flags and colours, edited texts, and style columns
+    that only old cues have. A clip without old cues keeps its fresh ones as they are, one without fresh cues its old ones."""
+    styles = [c for c in old.columns if c not in fresh.columns]
+    types = dict(fresh.dtypes)
+    # An old cue without words is read from its text, marks included.
+    old = old.withColumn("words", F.coalesce(F.when(F.size("words") > 0, F.col("words")), tx.parse_markup("text").cast(types["words"])))
+    taken = old.select(*keys, F.col("cue_id").alias("old_id"), F.col("words").alias("_words"), F.col("text").alias("_text"), *styles)
+    known = old.select(*keys, F.lit(True).alias("_known")).distinct()
+    rows = fresh.join(matches(old, fresh, keys), [*keys, "cue_id"], "left").join(taken, [*keys, "old_id"], "left").join(known, list(keys), "left")
+    before, now = F.length(shown("_words")), F.length(shown("words"))
+    edited = (before > 0) & (shown("_words") != shown("words")) & (F.abs(before - now) <= F.greatest(F.lit(EDIT_CHARS), F.floor(now / EDIT_SHARE)))
+    edited = F.coalesce(edited, F.lit(False))
+    words = F.when(edited, F.col("_words")).when(F.col("old_id").isNotNull(), carried_marks("words", "_words")).otherwise(F.col("words"))
+    out = rows.withColumn("_edited", edited).withColumn("words", words.cast(types["words"]))
+    own = F.when(F.col("_known"), tx.to_markup("words")).otherwise(F.col("text"))
+    text = F.when(F.col("_edited"), F.coalesce(F.nullif(F.col("_text"), F.lit("")), "text")).otherwise(own)
+    merged = out.withColumn("text", text).select(*fresh.columns, *styles)
+    alone = old.join(fresh.select(*keys).distinct(), list(keys), "left_anti").select(*fresh.columns, *styles)
+    return merged.unionByName(alone)

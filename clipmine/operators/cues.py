@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from typing import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -284,32 +283,3 @@ def missing_cues(fresh: DataFrame, existing: DataFrame, keys: Sequence[str] = CL
     seen = existing.select(*keys, cue_text().alias("_plain")).where(F.col("_plain") != "").distinct()
     untimed = fresh.where(~has()).withColumn("_plain", cue_text()).join(seen, [*keys, "_plain"], "left_anti").drop("_plain")
     return timed.unionByName(untimed)
-
-
-def merge_cue_edits(old: DataFrame, fresh: DataFrame, keys: Sequence[str] = CLIP) -> DataFrame:
-    """Carry user edits of old cues onto fresh ones: the best overlapping old cue, each used once.
-
-    The exclusive choice depends on the cues before, so it is folded per clip over the overlapping
-    pairs; marks and texts are then carried by that fold for the matched cue only.
-    """
-    from clipmine.operators.cue_edits import merge_clip
-
-    styles = tuple(c for c in old.columns if c not in fresh.columns)
-    types, columns = dict(old.dtypes) | dict(fresh.dtypes), [*fresh.columns, *styles]
-    schema = ", ".join(f"{c} {types[c]}" for c in columns)
-
-    def fold(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = merge_clip(a.to_dict("records"), b.to_dict("records"), styles)
-        for r in rows:
-            r.update(zip(keys, key))
-        return pd.DataFrame(rows, columns=columns)
-
-    # An old cue without words is read from its text, marks included.
-    marked = old.withColumn("words", F.coalesce("words", tx.parse_markup("text").cast(types["words"])))
-    other = _renamed(marked.select(*columns))
-    return other.groupBy(*keys).cogroup(fresh.groupBy(*keys)).applyInPandas(fold, schema)
-
-
-def _renamed(df: DataFrame) -> DataFrame:
-    """The same columns as new attributes, so that both sides of a co-group may share their origin."""
-    return df.select(*[F.col(c).alias(c) for c in df.columns])

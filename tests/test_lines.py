@@ -1,28 +1,11 @@
-"""Clip folds without Spark: cue edits, arcs, review sessions."""
+"""Folds without Spark: arcs, review sessions."""
 
 import pandas as pd
 
 from clipmine.operators.arcs import arcs_of_hour
-from clipmine.operators.cue_edits import merge_clip
 from clipmine.operators.review import Session
 
 
-def _cue(i, a, b, text, marks=(), color=None):
-    words = [{"text": c, "is_kw": k in marks, "color": color if k in marks else None} for k, c in enumerate(text)]
-    return {"cue_id": f"c{i}", "start": a, "end": b, "vod_start": a, "vod_end": b, "text": text, "words": words}
-
-
-def test_cue_edits_carry_marks_once():
-    old = [_cue(1, 0.0, 2.0, "abcd", (1, 2), "#f00")]
-    fresh = [_cue(2, 0.1, 2.0, "abcd"), _cue(3, 0.0, 2.0, "wxyz!!!!!")]
-    out = {c["cue_id"]: c for c in merge_clip(old, fresh)}
-    carried = [c for c in out.values() if any(w["is_kw"] for w in c["words"])]
-    assert len(carried) <= 1
-    out = merge_clip(old, [_cue(2, 0.1, 2.0, "abcd")])
-    assert [w["is_kw"] for w in out[0]["words"]] == [False, True, True, False]
-    assert out[0]["words"][1]["color"] == "#f00" and out[0]["text"] == "a**bc**d"
-
-
 def _candidate(i, start, text="同題材同題材", **kw):
     return {
         "vod_id": "v", "hour_bucket": 0, "candidate_id": i, "start": start, "end": start + 50.0, "score": 10.0 - i, "speech_ratio": 0.6,
