@@ -8,6 +8,7 @@ from clipmine.catalog import query
 from clipmine.catalog.signals import scored
 from clipmine.catalog.tables import with_
 from clipmine.functions import text as tx
+from clipmine.operators import arcs as ar
 from clipmine.operators import chapters as ch
 from clipmine.operators import features as ft
 from clipmine.operators import mining as mi
@@ -210,6 +211,13 @@ def placed(t):
     )
 
 
+WINDOW_TEXTS = r"""w0 AS (SELECT r.vod_id, r.hour_bucket, r.candidate_id, r.s, r.e, CAST(floor(r.s / 1200) AS INTEGER) + 1 AS ch, r.kw, coalesce(string_agg(text, '' ORDER BY seg_id), '') AS x
+    FROM ranked r LEFT JOIN seg ON seg.vod_id = r.vod_id AND seg.e > r.s AND seg.s < r.e GROUP BY ALL),
+  w1 AS (SELECT *, CASE WHEN x = '' THEN '精華片段' ELSE left(regexp_replace(x, '\s+', '', 'g'), 20) END AS ti FROM w0),
+  wt AS (SELECT *, list_distinct(list_transform(range(1, length(ti)), lambda i: substr(ti, i, 2))) AS g1,
+            list_distinct(list_transform(range(1, length(CASE WHEN x = '' THEN ti ELSE x END)), lambda i: substr(CASE WHEN x = '' THEN ti ELSE x END, i, 2))) AS g2 FROM w1)"""
+
+
 @query(
     "tk_continuity",
     with_(
@@ -221,21 +229,43 @@ def placed(t):
                               CASE WHEN len(a.g2) = 0 OR len(b.g2) = 0 THEN 0e0 ELSE len(list_intersect(a.g2, b.g2)) / (len(a.g2) + len(b.g2) - len(list_intersect(a.g2, b.g2))) END) AS topic
                        FROM (SELECT a.vod_id, a, b, greatest(0e0, b.s - a.e, a.s - b.e) AS gap FROM wt a JOIN wt b ON a.vod_id = b.vod_id AND a.hour_bucket = b.hour_bucket AND a.candidate_id <> b.candidate_id
                              WHERE greatest(0e0, b.s - a.e, a.s - b.e) <= 120))""",
-        recursive=r"""w0 AS (SELECT r.vod_id, r.hour_bucket, r.candidate_id, r.s, r.e, CAST(floor(r.s / 1200) AS INTEGER) + 1 AS ch, r.kw, coalesce(string_agg(text, '' ORDER BY seg_id), '') AS x
-            FROM ranked r LEFT JOIN seg ON seg.vod_id = r.vod_id AND seg.e > r.s AND seg.s < r.e GROUP BY ALL),
-          w1 AS (SELECT *, CASE WHEN x = '' THEN '精華片段' ELSE left(regexp_replace(x, '\s+', '', 'g'), 20) END AS ti FROM w0),
-          wt AS (SELECT *, list_distinct(list_transform(range(1, length(ti)), lambda i: substr(ti, i, 2))) AS g1,
-                    list_distinct(list_transform(range(1, length(CASE WHEN x = '' THEN ti ELSE x END)), lambda i: substr(CASE WHEN x = '' THEN ti ELSE x END, i, 2))) AS g2 FROM w1)""",
+        recursive=WINDOW_TEXTS,
     ),
 )
 def _(t):
-    c = sel.continuity(placed(t), gap_max=120.0)
+    c = ar.continuity(placed(t), gap_max=120.0)
     return c.select("vod_id", "seed_id", "other_id", r6("continuity").alias("continuity"))
 
 
-@query("tk_story_arcs")
+LINK = """CASE WHEN {gap} > 120 OR abs({step}) > 1 THEN 0e0 WHEN abs({step}) = 1 AND topic < 0.18 THEN 0e0 WHEN {step} = 0 AND topic < 0.12 THEN 0e0
+    ELSE CASE WHEN {step} = 0 THEN 1e0 ELSE 0.55e0 END * 0.45e0 + topic * 0.35e0 + least(1e0, kw / 4e0) * 0.1e0 + (1 - {gap} / 120e0) * 0.1e0 END >= 0.4"""
+SAME = "CASE WHEN len(a.{g}) = 0 OR len(b.{g}) = 0 THEN 0e0 ELSE len(list_intersect(a.{g}, b.{g})) / (len(a.{g}) + len(b.{g}) - len(list_intersect(a.{g}, b.{g}))) END"
+#: A row of `gw` is a seed after `k` looks at the candidates in its reach, best first, over and over until a round adds nothing.
+ARCS = rf"""{WINDOW_TEXTS},
+  q0 AS (SELECT wt.*, win_id % 10 / 10e0 AS sr, win_id % 9 <> 0 AND win_id % 11 <> 0 AS plain, score FROM wt JOIN ranked USING (vod_id, candidate_id)),
+  q1 AS (SELECT * FROM (SELECT *, bool_or(plain) OVER (PARTITION BY vod_id, hour_bucket) AS found FROM q0) WHERE plain OR NOT found),
+  q2 AS (SELECT vod_id, hour_bucket AS h, candidate_id AS id, s, e, ch, kw, ti, sr, score, g1, g2 FROM (SELECT *, bool_or(sr >= 0.3) OVER (PARTITION BY vod_id, hour_bucket) AS voiced FROM q1) WHERE sr >= 0.3 OR NOT voiced),
+  nr AS (SELECT a.vod_id, a.id, b.id AS oid, b.s AS os, b.e AS oe, b.ch AS och, a.kw + b.kw AS kw, greatest(0e0, b.s - a.e, a.s - b.e) AS gap, b.ch - a.ch AS step, greatest({SAME.format(g='g1')}, {SAME.format(g='g2')}) AS topic
+      FROM q2 a JOIN q2 b ON b.vod_id = a.vod_id AND b.h = a.h AND b.id <> a.id WHERE greatest(a.e, b.e) - least(a.s, b.s) <= 1500 + 1e-6),
+  lk AS (SELECT vod_id, oid, list(id) AS links FROM nr WHERE {LINK.format(gap='gap', step='step')} GROUP BY vod_id, oid),
+  rr AS (SELECT nr.*, row_number() OVER (PARTITION BY nr.vod_id, nr.id ORDER BY nr.oid) AS i, count(*) OVER (PARTITION BY nr.vod_id, nr.id) AS n, coalesce(links, []) AS links FROM nr LEFT JOIN lk ON lk.vod_id = nr.vod_id AND lk.oid = nr.oid),
+  gw AS (SELECT vod_id, id, CAST(0 AS BIGINT) AS k, CAST(1 AS BIGINT) AS i, s, e, ch, [id] AS mem, false AS grew FROM q2
+    UNION ALL SELECT vod_id, id, k + 1, CASE WHEN i < n THEN i + 1 WHEN ok OR grew THEN 1 ELSE n + 1 END, CASE WHEN ok THEN least(s, os) ELSE s END, CASE WHEN ok THEN greatest(e, oe) ELSE e END,
+      CASE WHEN ok AND os < s THEN och ELSE ch END, CASE WHEN ok THEN list_append(mem, oid) ELSE mem END, CASE WHEN i < n THEN ok OR grew ELSE false END FROM (
+        SELECT *, NOT list_contains(mem, oid) AND greatest(e, oe) - least(s, os) <= 1500 + 1e-6 AND ag <= 120 AND ({LINK.format(gap='ag', step='(och - ch)')} OR len(list_intersect(links, mem)) > 0) AS ok FROM (
+          SELECT gw.*, rr.* EXCLUDE (vod_id, id, i), greatest(0e0, os - gw.e, gw.s - oe) AS ag FROM gw JOIN rr ON rr.vod_id = gw.vod_id AND rr.id = gw.id AND rr.i = gw.i))),
+  ge AS (SELECT vod_id, id, arg_max(s, k) AS s, arg_max(e, k) AS e, arg_max(mem, k) AS mem FROM gw GROUP BY vod_id, id),
+  ac AS (SELECT vod_id, id, h, ti, mem, a, least(CASE WHEN e - s < 300 THEN a + 300 ELSE e END, a + 1500) AS b, row_number() OVER (PARTITION BY vod_id, h ORDER BY id) AS r FROM (
+      SELECT ge.*, h, ti, CASE WHEN ge.e - ge.s < 300 THEN greatest(0e0, (ge.s + ge.e) / 2 - 150) ELSE ge.s END AS a FROM ge JOIN q2 USING (vod_id, id))),
+  pk AS (SELECT vod_id, h, CAST(0 AS BIGINT) AS r, CAST([] AS STRUCT(a DOUBLE, b DOUBLE, id BIGINT)[]) AS c FROM ac GROUP BY vod_id, h
+    UNION ALL SELECT ac.vod_id, ac.h, ac.r, CASE WHEN len(c) < 2 AND len(list_filter(c, lambda x: ac.a < x.b AND x.a < ac.b)) = 0 THEN list_append(c, {{'a': ac.a, 'b': ac.b, 'id': ac.id}}) ELSE c END
+    FROM pk JOIN ac ON ac.vod_id = pk.vod_id AND ac.h = pk.h AND ac.r = pk.r + 1),
+  arc AS (SELECT ac.vod_id, ac.a AS s, ac.b AS e, ac.ti, mem, max(m.score) AS score FROM (SELECT vod_id, h, unnest(arg_max(c, r)).id AS id FROM pk GROUP BY vod_id, h) x JOIN ac USING (vod_id, h, id) JOIN q2 m ON m.vod_id = ac.vod_id AND list_contains(mem, m.id) GROUP BY ALL)"""
+
+
+@query("tk_story_arcs", with_("ranked", "seg", body='SELECT vod_id, s AS start, e AS "end", round(score, 6) AS score, ti AS title, CAST(len(mem) AS INTEGER) AS members FROM arc', recursive=ARCS))
 def _(t):
-    arcs = sel.story_arcs(placed(t), speech_min=0.3, story_min=300.0, story_max=1500.0, gap_max=120.0, per_hour=2, continuity_min=0.4)
+    arcs = ar.story_arcs(placed(t), speech_min=0.3, story_min=300.0, story_max=1500.0, gap_max=120.0, per_hour=2, continuity_min=0.4)
     return arcs.select("vod_id", "start", "end", r6("score").alias("score"), "title", F.size("merged_from").alias("members"))
 
 

@@ -18,7 +18,6 @@ from clipmine.functions import text as tx
 from clipmine.functions.spans import hour_of, overlaps, py_round
 from clipmine.functions.timecode import timestamp
 from clipmine.operators.intervals import islands
-from clipmine.operators.joins import overlapping_spans
 
 VOD = ("vod_id",)
 
@@ -194,81 +193,3 @@ def suggest_actions(queue: DataFrame, per_hour: int, *, keys: Sequence[str] = VO
         .withColumn("action", F.when(F.col("_ok") & (F.col("_rn") <= per_hour), "keep").otherwise("reject"))
         .drop("_ok", "_rn")
     )
-
-
-# --- story arcs ----------------------------------------------------------------------------------
-
-
-def _gap(a0, a1, b0, b1):
-    return F.greatest(F.lit(0.0), b0 - a1, a0 - b1)
-
-
-def _whole_bigrams(candidates: DataFrame):
-    """Bigrams of the whole transcript where they are carried, else of what there is of it."""
-    return F.col("transcript_bigrams") if "transcript_bigrams" in candidates.columns else tx.bigrams("transcript_excerpt")
-
-
-def continuity(candidates: DataFrame, *, gap_max: float, keys: Sequence[str] = ("vod_id", "hour_bucket")) -> DataFrame:
-    """Continuity of every pair that is close enough to have one (others are 0 by definition).
-
-    The time-binned join only meets candidates within `gap_max` of each other.
-    Needs `candidate_id, start, end, title, transcript_excerpt, keyword_hits, chapter_id`; topics are compared by
-    `transcript_bigrams` (of the whole text) if that is there.
-    """
-    spoken = F.coalesce(F.col("transcript_excerpt"), F.lit("")) != ""
-    body = F.when(spoken, _whole_bigrams(candidates)).otherwise(tx.bigrams("title")).alias("body")
-    c = candidates.select(*keys, "candidate_id", "start", "end", "title", body, "keyword_hits", "chapter_id")
-    pairs = overlapping_spans(c, c, keys=keys, pad=gap_max + 1e-6).where(F.col("candidate_id") != F.col("w_candidate_id"))
-    gap = _gap(F.col("w_start"), F.col("w_end"), F.col("start"), F.col("end"))
-    topic = F.greatest(
-        tx.jaccard(tx.bigrams("title"), tx.bigrams("w_title")),
-        tx.jaccard("body", "w_body"),
-    )
-    step = F.abs(F.col("chapter_id") - F.col("w_chapter_id"))
-    near = (gap <= gap_max) | overlaps("start", "end", "w_start", "w_end")
-    bonus = F.when(step == 0, 1.0).when(step == 1, 0.55).otherwise(0.0)
-    titled = (F.trim("title") != "") & (F.trim("w_title") != "")
-    value = (
-        bonus * 0.45 + topic * 0.35
-        + F.least(F.lit(1.0), (F.col("keyword_hits") + F.col("w_keyword_hits")) / 4.0) * 0.1
-        + F.greatest(F.lit(0.0), 1.0 - gap / max(gap_max, 1e-6)) * 0.1
-    )
-    adjacent = F.coalesce(step == 1, F.lit(False))
-    score = (
-        F.when(~near | F.coalesce(step > 1, F.lit(False)), 0.0)
-        .when(adjacent & (topic < 0.18), 0.0)
-        .when(~adjacent & (topic < 0.12) & titled, 0.0)
-        .otherwise(value)
-    )
-    return pairs.select(
-        *keys, F.col("w_candidate_id").alias("seed_id"), F.col("candidate_id").alias("other_id"), score.alias("continuity")
-    )
-
-
-def story_arcs(
-    queue: DataFrame, *, speech_min: float, story_min: float, story_max: float, gap_max: float, per_hour: int,
-    continuity_min: float = 0.5,
-) -> DataFrame:
-    """Grow up to `per_hour` arcs per (recording, hour) from its best candidates.
-
-    One group is one hour's candidates: at most the slide cap plus one per seed gap.
-    """
-    from clipmine.operators.arcs import arcs_of_hour
-
-    cols = [
-        "vod_id", "hour_bucket", "candidate_id", "start", "end", "score", "speech_ratio", "title", "reason",
-        "transcript_excerpt", "keyword_hits", "chapter_id", "is_intro", "is_outro",
-    ]
-    schema = (
-        "vod_id string, start double, end double, score double, title string, reason string, "
-        "speech_ratio double, merged_from array<int>"
-    )
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = arcs_of_hour(
-            pdf, speech_min=speech_min, story_min=story_min, story_max=story_max, gap_max=gap_max,
-            per_hour=per_hour, continuity_min=continuity_min,
-        )
-        return pd.DataFrame(rows, columns=["vod_id", "start", "end", "score", "title", "reason", "speech_ratio", "merged_from"])
-
-    return queue.select(*cols, _whole_bigrams(queue).alias("transcript_bigrams")).groupBy("vod_id", "hour_bucket").applyInPandas(fold, schema)

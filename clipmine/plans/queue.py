@@ -9,6 +9,7 @@ from clipmine.functions import text as tx
 from clipmine.functions.spans import hour_of
 from clipmine.functions.timecode import timestamp
 from clipmine.lexicon import Profile
+from clipmine.operators import arcs as ar
 from clipmine.operators import select as sel
 from clipmine.operators.chapters import chapter_titles, topic_chapters
 from clipmine.operators.edit import clamp_to_sentence, suggested_bounds
@@ -43,7 +44,7 @@ def reviewed_highlights(ranked: DataFrame, queue: DataFrame, decisions: DataFram
 def arc_highlights(ranked: DataFrame, chapters_df: DataFrame, rec: Recordings, profile: Profile) -> DataFrame:
     """Story arcs per hour with suggested bounds, cut at a sentence end when too long."""
     placed = chapter_of(ranked, chapters_df, ids=["candidate_id"])
-    arcs = sel.story_arcs(
+    arcs = ar.story_arcs(
         placed, speech_min=profile.speech_ratio_min, story_min=profile.story_min_sec, story_max=profile.story_max_sec,
         gap_max=profile.story_gap_max_sec, per_hour=profile.clips_per_hour, continuity_min=profile.continuity_min,
     )
