@@ -39,6 +39,60 @@ def _(t):
     return chat.normalise(chat.parse_dumps(dumps(t))).select("vod_id", F.col("seq.file").alias("file"), "t", "author", "message")
 
 
+@query(
+    "src_chat_files",
+    with_("ev", body="""SELECT vod_id, round_even(t * 1000, 0) / 1000e0 AS t, author, message || CASE WHEN seq % 2 = 0 THEN '' ELSE '!' END AS message FROM ev"""),
+)
+def _(t):
+    """Dumps written as files and read back: an object per line, with lines that are no JSON; documents of several lines."""
+    path = f"{shared_dir(t.spark)}/dumps-{uuid.uuid4().hex}"
+    hour = F.floor(F.col("t") / 3600).cast("int")
+    value = F.regexp_extract(F.regexp_replace("value", "(?s)^not json\\n", ""), r'(?s)^(?:\[|\{"events": \[)?(.*?)(?:\]|\]\})?$', 1)
+    rows = dumps(t).join(t.events.select(F.col("seq").cast("string").alias("file"), hour.alias("h")), "file").select("vod_id", "h", value.alias("line"))
+    text = F.array_join(F.collect_list("line"), "\n")
+    lines = rows.where("h % 3 > 0").groupBy("vod_id", "h").agg(F.concat(text, F.lit("\nno json\n")).alias("value"))
+    documents = rows.where("h % 3 = 0").groupBy("vod_id", "h").agg(F.concat(F.lit('{"events": [\n'), F.array_join(F.collect_list("line"), ",\n"), F.lit("\n]}")).alias("value"))
+    one_file = lines.unionByName(documents).repartition(64, "vod_id", "h").sortWithinPartitions("vod_id", "h")
+    one_file.write.partitionBy("vod_id", "h").text(path)
+    events = chat.read_dump(t.spark, path, depth=2, pattern="*.txt").withColumn("vod_id", F.regexp_replace("vod_id", "^vod_id=", ""))
+    return chat.normalise(events).select("vod_id", "t", "author", "message")
+
+
+@query(
+    "src_artifacts",
+    with_("turns", body="SELECT vod_id, seg_id, s AS start, e AS \"end\", text, CAST(len(string_split(text, ' ')) AS INTEGER) AS words FROM turns"),
+)
+def _(t):
+    """Transcript documents, one a recording, written as files and read back."""
+    path = f"{shared_dir(t.spark)}/transcripts-{uuid.uuid4().hex}"
+    seg = F.struct(F.col("seg_id").cast("int").alias("id"), "start", "end", "text", "words")
+    docs = t.turn_words.groupBy("vod_id").agg(F.array_sort(F.collect_list(seg)).alias("segments"))
+    docs.write.partitionBy("vod_id").json(path)
+    read = artifacts.read_segments(t.spark, path, depth=1)
+    return read.select(F.regexp_extract("vod_id", "^(?:vod_id=)?(.*)$", 1).alias("vod_id"), "seg_id", "start", "end", "text", F.size("words").alias("words"))
+
+
+@query(
+    "src_transcribe",
+    with_("turns", body=r"""SELECT vod_id || '/' || seg_id AS vod_id, CAST(i AS INTEGER) AS seg_id, i * 1e0 AS start, i + 0.5e0 AS "end", line AS text FROM (
+            SELECT *, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM turns)"""),
+)
+def _(t):
+    """A user's recogniser over the content of files: here it hears a line a second."""
+    files = t.turns.select(F.concat_ws("/", "vod_id", "seg_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    heard = artifacts.transcribe(files, lambda path, content: [(i * 1.0, i + 0.5, line, []) for i, line in enumerate(content.decode().split("\n"))])
+    return heard.select("vod_id", F.col("seg_id").cast("int").alias("seg_id"), "start", "end", "text")
+
+
+@query("sink_srt_files", with_("turns", body="SELECT vod_id, seg_id, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS chars FROM turns"))
+def _(t):
+    """SRT blocks written in hashed folders and read back."""
+    path = f"{shared_dir(t.spark)}/srt-{uuid.uuid4().hex}"
+    sinks.write_srt(t.turns, path)
+    shown = F.regexp_extract("block", r"(?s)^\d+\n[^\n]*\n(.*)\n$", 1)
+    return sinks.read_srt(t.spark, path).select("vod_id", "seg_id", F.length(shown).cast("long").alias("chars"))
+
+
 @query(
     "src_chat_dedupe",
     with_("ev", body="SELECT vod_id, min(seq) AS seq, message FROM ev GROUP BY vod_id, author, message, floor(t / 3600)"),
@@ -190,5 +244,6 @@ def _(t):
     path = f"{shared_dir(t.spark)}/history-{uuid.uuid4().hex}"
     counts = t.chat.groupBy("vod_id").agg(F.count(F.lit(1)).alias("messages"))
     for run in (1, 2):
-        sinks.append_history(counts.withColumn("run", F.lit(run)), path)
-    return t.spark.read.schema("vod_id string, run int, messages long").json(path)
+        for _retry in range(run):  # a run that is written again doesn't count twice
+            sinks.append_history(counts.withColumn("run", F.lit(run)), path, f"r{run}")
+    return t.spark.read.schema("vod_id string, run int, messages long, run_id string").json(path).drop("run_id")

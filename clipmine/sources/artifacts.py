@@ -19,7 +19,8 @@ def path_part(depth: int) -> Column:
 
 
 def _documents(spark: SparkSession, path: str, schema, depth: int) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path).select(path_part(depth).alias("vod_id"), "*")
+    # The folders are ids, not partitions: a folder named `vod_id=…` must not add a column.
+    return spark.read.schema(schema).options(multiLine=True, recursiveFileLookup=True).json(path).select(path_part(depth).alias("vod_id"), "*")
 
 
 def read_chat(spark: SparkSession, path: str, *, depth: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmine.functions.spans import py_round
+from clipmine.functions.spans import let, py_round
 from clipmine.functions.text import strip
 from clipmine.sources.artifacts import path_part
 
@@ -18,46 +18,61 @@ def _get(v: Column | str, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v if isinstance(v, Column) else F.col(v), path, kind)
 
 
-def _filled(path: str) -> Column:
+def _filled(doc: Column, path: str) -> Column:
     """The list at `path`; an empty one counts as missing, so that the next place is tried."""
-    found = F.try_variant_get("doc", path, "array<variant>")
+    found = F.try_variant_get(doc, path, "array<variant>")
     return F.when(F.size(found) > 0, found)
 
 
-def read_dump(spark: SparkSession, path: str, *, depth: int = 2) -> DataFrame:
-    """Chat events of every dump below `path`: `vod_id, file, seq, item` (VARIANT).
+def read_dump(spark: SparkSession, path: str, *, depth: int = 2, pattern: str = "*live*chat*") -> DataFrame:
+    """Chat events of every dump below `path`: `vod_id, file, pos, item` (VARIANT).
 
-    A dump is one recording's chat, a few megabytes, and may be one JSON document: it is read whole.
-    When it does not parse as a whole, each line is tried, and lines that are no JSON are skipped.
+    Files are read line by line, large ones split by byte ranges. Most dumps are one object per line and stay so.
     """
-    opts = {"recursiveFileLookup": "true", "pathGlobFilter": "*live*chat*"}
-    vod = path_part(depth).alias("vod_id")
-    whole = spark.read.options(**opts).text(path, wholetext=True).select(vod, F.col("_metadata.file_path").alias("file"), "value")
-    return parse_dumps(whole)
+    opts = {"recursiveFileLookup": "true", "pathGlobFilter": pattern}
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.options(**opts).text(path)
+    return parse_lines(lines.select(path_part(depth).alias("vod_id"), F.col("_metadata.file_path").alias("file"), place.alias("pos"), "value"))
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """Lines of dumps (`vod_id, file, pos, value`; `pos` orders a file's lines) to one row per chat event: `vod_id, file, pos, item`.
+
+    A file whose first line is a whole JSON value, and that has more lines, is read line by line; lines that are no JSON
+    are skipped. Only the other files, documents, are put together. One that doesn't parse is read by lines after all.
+    """
+    filled = lines.where(F.trim("value") != "")
+    files = filled.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min_by("value", "pos").alias("first"))
+    by_line = (F.col("n") > 1) & F.try_parse_json(F.trim("first")).isNotNull()
+    kinds = files.select(F.col("file").alias("_file"), by_line.alias("by_line"))
+    marked = filled.join(kinds, F.col("file") == F.col("_file")).drop("_file")
+    lined = marked.where("by_line").select("vod_id", "file", F.col("pos").alias("at"), F.lit(0).alias("pos"), F.try_parse_json(F.trim("value")).alias("item"))
+    whole = marked.where("not by_line").groupBy("vod_id", "file").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("x"))
+    texts = whole.select("vod_id", "file", F.col("x")[0]["pos"].alias("at"), F.array_join("x.value", "\n").alias("value"))
+    documents = texts.select("vod_id", "file", "at", F.posexplode(_items(F.col("value"), F.lit(False))).alias("pos", "item"))
+    return lined.unionByName(documents).where(F.col("item").isNotNull()).select("vod_id", "file", F.struct("at", "pos").alias("pos"), "item")
 
 
 def parse_dumps(files: DataFrame) -> DataFrame:
-    """`vod_id, file, value` (whole text) to one row per chat event."""
-    doc = files.withColumn("doc", F.try_parse_json("value"))
-    as_list = doc.withColumn("_list", F.try_variant_get("doc", "$", "array<variant>"))
-    lists = F.array(
-        F.coalesce(
-            _filled("$.events"),
-            _filled("$.replayChatEvents"),
-            F.array().cast("array<variant>"),
-        ),
-        F.coalesce(F.try_variant_get("doc", "$.segments", "array<variant>"), F.array().cast("array<variant>")),
-    )
-    filled = F.filter(F.split("value", r"\r?\n"), lambda ln: F.trim(ln) != "")
-    lines = F.transform(filled, lambda ln: F.try_parse_json(F.trim(ln)))
+    """As `parse_lines`, for whole texts (`vod_id, file, value`)."""
+    lines = F.filter(F.split("value", r"\r?\n"), lambda ln: F.trim(ln) != "")
     # The parser stops after the first value: a whole value in the first of several lines means lines.
-    by_line = F.col("doc").isNull() | ((F.size(filled) > 1) & F.try_parse_json(F.trim(F.get(filled, F.lit(0)))).isNotNull())
-    items = (
-        F.when(by_line, lines)
-        .when(F.col("_list").isNotNull(), F.col("_list"))
-        .otherwise(F.flatten(lists))
-    )
-    return as_list.select("vod_id", "file", F.posexplode(items).alias("pos", "item")).where(F.col("item").isNotNull())
+    first = F.try_parse_json(F.trim(F.get(lines, F.lit(0))))
+    by_line = (F.size(lines) > 1) & first.isNotNull()
+    return files.select("vod_id", "file", F.posexplode(_items(F.col("value"), by_line)).alias("pos", "item")).where(F.col("item").isNotNull())
+
+
+def _items(value: Column, by_line: Column) -> Column:
+    """The events of a whole text: of its lines if it says so or is no document; else of the list that it is or holds."""
+    lines = F.filter(F.split(value, r"\r?\n"), lambda ln: F.trim(ln) != "")
+    parsed = F.transform(lines, lambda ln: F.try_parse_json(F.trim(ln)))
+    none = F.array().cast("array<variant>")
+
+    def of(doc: Column) -> Column:
+        lists = F.array(F.coalesce(_filled(doc, "$.events"), _filled(doc, "$.replayChatEvents"), none), F.coalesce(F.try_variant_get(doc, "$.segments", "array<variant>"), none))
+        return F.when(doc.isNull(), parsed).otherwise(F.coalesce(F.try_variant_get(doc, "$", "array<variant>"), F.flatten(lists)))
+
+    return F.when(by_line, parsed).otherwise(let(F.try_parse_json(value), of))
 
 
 def _runs_text(v: Column) -> Column:
@@ -94,46 +109,36 @@ def _flat_time(item: Column) -> Column:
 
 
 def normalise(events: DataFrame) -> DataFrame:
-    """Chat events to `vod_id, seq, t, author, message`; unusable ones are dropped.
+    """Chat events to `vod_id, seq, t, author, message` in one projection; unusable ones are dropped.
 
     A nested replay action gives its first usable message; its time is the action's offset unless the
     renderer has its own.
     """
-    item = F.col("item")
-    nested = _get(item, "$.replayChatItemAction", "variant").isNotNull()
-    flat = events.where(~nested).select(
-        "vod_id", "file", "pos", _flat_time(item).alias("t"), _flat_author(item).alias("author"), strip(_flat_text(item)).alias("message")
-    )
-    action = _get(item, "$.replayChatItemAction", "variant")
-    acts = (
-        events.where(nested)
-        .select(
-            "vod_id", "file", "pos", (_get(action, "$.videoOffsetTimeMsec", "double") / 1000.0).alias("t0"),
-            F.posexplode(F.try_variant_get(action, "$.actions", "array<variant>")).alias("a", "act"),
-        )
-        .select(
-            "vod_id", "file", "pos", "t0", "a",
-            F.posexplode(F.map_entries(F.try_variant_get("act", "$.addChatItemAction.item", "map<string,variant>"))).alias("r", "e"),
-        )
-        .where(F.col("e.key").endswith("Renderer") & ~F.col("e.key").isin(*SKIPPED_RENDERERS))
-    )
-    body = F.col("e.value")
-    runs = F.coalesce(
-        F.nullif(_runs_text(_get(body, "$.message.runs", "variant")), F.lit("")), _runs_text(_get(body, "$.headerSubtext.runs", "variant"))
-    )
-    rendered = (
-        acts.select(
-            "vod_id", "file", "pos", "a", "r",
-            F.coalesce(_get(body, "$.videoOffsetTimeMsec", "double") / 1000.0, "t0").alias("t"),
-            F.coalesce(_get(body, "$.authorName.simpleText"), F.lit("")).alias("author"), strip(runs).alias("message"),
+    usable = lambda m: m["t"].isNotNull() & (m["message"] != "")
+    kind = "struct<t: double, author: string, message: string>"
+    said = lambda t, author, message: F.struct(t.alias("t"), author.alias("author"), strip(message).alias("message")).cast(kind)
+
+    def rendered(action: Column) -> Column:
+        t0 = _get(action, "$.videoOffsetTimeMsec", "double") / 1000.0
+        items = F.transform(
+            F.coalesce(F.try_variant_get(action, "$.actions", "array<variant>"), F.array().cast("array<variant>")),
+            lambda act: F.coalesce(F.map_entries(F.try_variant_get(act, "$.addChatItemAction.item", "map<string,variant>")), F.array().cast("array<struct<key: string, value: variant>>")),
         )
-        .where(F.col("t").isNotNull() & (F.col("message") != ""))
-        .groupBy("vod_id", "file", "pos")
-        .agg(F.min_by(F.struct("t", "author", "message"), F.struct("a", "r")).alias("m"))
-        .select("vod_id", "file", "pos", "m.*")
-    )
-    rows = flat.where(F.col("t").isNotNull() & (F.col("message") != "")).unionByName(rendered)
-    return rows.select("vod_id", F.struct("file", "pos").alias("seq"), "t", "author", "message")
+        shown = F.filter(F.flatten(items), lambda e: e["key"].endswith("Renderer") & ~e["key"].isin(*SKIPPED_RENDERERS))
+
+        def message(e: Column) -> Column:
+            body = e["value"]
+            runs = F.coalesce(F.nullif(_runs_text(_get(body, "$.message.runs", "variant")), F.lit("")), _runs_text(_get(body, "$.headerSubtext.runs", "variant")))
+            return said(F.coalesce(_get(body, "$.videoOffsetTimeMsec", "double") / 1000.0, t0), F.coalesce(_get(body, "$.authorName.simpleText"), F.lit("")), runs)
+
+        return F.get(F.filter(F.transform(shown, message), usable), F.lit(0))
+
+    def read(item: Column) -> Column:
+        action = _get(item, "$.replayChatItemAction", "variant")
+        return F.when(action.isNotNull(), rendered(action)).otherwise(said(_flat_time(item), _flat_author(item), _flat_text(item)))
+
+    rows = events.select("vod_id", F.struct("file", "pos").alias("seq"), let(F.col("item"), read).alias("m"))
+    return rows.where(usable(F.col("m"))).select("vod_id", "seq", "m.t", "m.author", "m.message")
 
 
 def deduplicate(chat: DataFrame) -> DataFrame:

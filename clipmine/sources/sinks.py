@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clipmine.functions.text import strip
@@ -36,15 +36,22 @@ def srt_blocks(segments: DataFrame) -> DataFrame:
     )
 
 
-def write_srt(segments: DataFrame, path: str) -> None:
-    """SRT text, one folder per recording; its part files in name order are the whole file.
+def write_srt(segments: DataFrame, path: str, *, buckets: int = 64) -> None:
+    """SRT text in folders by a hash of the recording, `vod_id` and blocks as JSON lines in order; the number of folders
+    doesn't depend on the number of recordings. `read_srt` gives a recording's blocks in order.
 
     Blocks are range-partitioned by recording and number, so a huge recording spreads over tasks.
     """
-    blocks = srt_blocks(segments).repartitionByRange("vod_id", "seg_id").sortWithinPartitions("vod_id", "seg_id")
-    blocks.select("vod_id", F.col("block").alias("value")).write.mode("overwrite").partitionBy("vod_id").text(path)
+    bucket = F.pmod(F.xxhash64("vod_id"), F.lit(buckets)).cast("int").alias("vod_bucket")
+    blocks = srt_blocks(segments).select(bucket, "vod_id", "seg_id", "block")
+    blocks.repartitionByRange("vod_bucket", "vod_id", "seg_id").sortWithinPartitions("vod_bucket", "vod_id", "seg_id").write.mode("overwrite").partitionBy("vod_bucket").json(path)
 
 
-def append_history(runs: DataFrame, path: str) -> None:
-    """Append run records as JSON lines."""
-    runs.write.mode("append").json(path)
+def read_srt(spark: SparkSession, path: str) -> DataFrame:
+    """`vod_id, seg_id, block` of what `write_srt` wrote."""
+    return spark.read.schema("vod_id string, seg_id long, block string, vod_bucket int").json(path).drop("vod_bucket")
+
+
+def append_history(runs: DataFrame, path: str, run_id: str) -> None:
+    """Add run records as JSON lines under the run's own folder. A run that is written again replaces itself."""
+    runs.write.mode("overwrite").json(f"{path}/run_id={run_id}")

@@ -80,6 +80,51 @@ def test_chat_dump_files(spark, tmp_path):
     assert [(r.vod_id, r.t, r.author, r.message) for r in rows] == [("vod7", 1.5, "A", "hi"), ("vod7", 2.0, "B", "yo")]
 
 
+def test_chat_dump_kinds(spark, tmp_path):
+    import json
+
+    from clipmine.sources import chat
+
+    event = lambda t, text: {"t": t, "author": "B", "text": text}
+    files = {
+        "lines": "\n\n".join(json.dumps(event(i, f"l{i}")) for i in range(5)) + "\n[1, 2]\nnull\n",
+        "list": json.dumps([event(1, "a"), 7, event(2, "b")]),
+        "pretty": json.dumps({"events": [event(3, "c")], "segments": [event(4, "d")]}, indent=2),
+        "empty_events": json.dumps({"events": [], "replayChatEvents": [event(5, "e")]}),
+        "one_object": json.dumps(event(6, "no list")),
+        "garbage_first": "not json\n" + json.dumps(event(7, "f")) + "\n{broken\n",
+        "nothing": "\n \n",
+        "windows": json.dumps(event(8, "g")) + "\r\n" + json.dumps(event(9, "h")) + "\r\n",
+    }
+    for name, text in files.items():
+        d = tmp_path / name / "01"
+        d.mkdir(parents=True)
+        (d / "x.live_chat.json").write_bytes(text.encode())
+    got = chat.normalise(chat.read_dump(spark, str(tmp_path), depth=2)).orderBy("vod_id", "seq").collect()
+    by = {k: [r.message for r in got if r.vod_id == k] for k in files}
+    want = {"lines": [f"l{i}" for i in range(5)], "list": ["a", "b"], "pretty": ["c", "d"], "empty_events": ["e"], "garbage_first": ["f"], "windows": ["g", "h"]}
+    assert by == want | {"one_object": [], "nothing": []}
+    whole = spark.createDataFrame([(k, k, v) for k, v in files.items()], "vod_id string, file string, value string")
+    again = chat.normalise(chat.parse_dumps(whole)).collect()
+    assert sorted((r.vod_id, r.t, r.message) for r in again) == sorted((r.vod_id, r.t, r.message) for r in got)
+
+
+def test_large_dump_is_split(spark, tmp_path):
+    from clipmine.sources import chat
+
+    d = tmp_path / "big" / "01"
+    d.mkdir(parents=True)
+    (d / "x.live_chat.json").write_text("".join(f'{{"t": {i}, "author": "a", "text": "m{i}"}}\n' for i in range(60_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300000")
+    try:
+        events = chat.read_dump(spark, str(tmp_path), depth=2)
+        rows = chat.normalise(events).orderBy("seq").collect()
+        assert spark.read.text(str(d)).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.message for r in rows] == [f"m{i}" for i in range(60_000)]
+
+
 def test_json_artifacts_and_sinks(spark, tmp_path):
     import json
 
@@ -91,10 +136,13 @@ def test_json_artifacts_and_sinks(spark, tmp_path):
     seg = artifacts.read_segments(spark, str(tmp_path / "jobs/*/02/t.json"))
     assert [(r.vod_id, r.end, r.text) for r in seg.collect()] == [("v1", 1.5, "hey")]
     sinks.write_srt(seg, str(tmp_path / "srt"))
-    text = "".join(p.read_text() for p in sorted((tmp_path / "srt/vod_id=v1").glob("part-*")))
-    assert "00:00:00,000 --> 00:00:01,500\nhey" in text
-    sinks.append_history(spark.range(1), str(tmp_path / "hist"))
-    sinks.append_history(spark.range(1), str(tmp_path / "hist"))
+    (block,) = [r.block for r in sinks.read_srt(spark, str(tmp_path / "srt")).collect()]
+    assert "00:00:00,000 --> 00:00:01,500\nhey" in block
+    many = spark.range(300).selectExpr("cast(id as string) vod_id", "id seg_id", "0.0D start", "1.0D end", "'x' text")
+    sinks.write_srt(many, str(tmp_path / "srt2"), buckets=8)
+    assert sum(p.name.startswith("vod_bucket=") for p in (tmp_path / "srt2").iterdir()) <= 8 and sinks.read_srt(spark, str(tmp_path / "srt2")).count() == 300
+    for run in ("a", "b", "b"):  # a run that is tried again replaces what it wrote
+        sinks.append_history(spark.range(1), str(tmp_path / "hist"), run)
     assert spark.read.json(str(tmp_path / "hist")).count() == 2
 
 
