@@ -446,7 +446,25 @@ def _(t):
     return p.select("clip_id", r6("start").alias("start"), r6("end").alias("end"))
 
 
-@query("ev_punch_windows")
+PUNCH = """wc AS (SELECT vod_id, clip_id, greatest(0e0, s - 1800) AS a, e + 1800 AS b FROM clips),
+  pk AS (SELECT c.clip_id, a, b, t, score, least(b, greatest(a, t - 0.4e0) + 0.8e0) AS h FROM wc c JOIN emo ON emo.vod_id = c.vod_id AND t >= a AND t <= b),
+  rk AS (SELECT clip_id, greatest(a, h - 0.8e0) AS s, h AS e, row_number() OVER (PARTITION BY clip_id ORDER BY score DESC, t) AS k FROM pk WHERE h - greatest(a, h - 0.8e0) >= 0.25),
+  pw AS (SELECT clip_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(s DOUBLE, e DOUBLE)[]) AS c FROM rk GROUP BY clip_id
+    UNION ALL SELECT pw.clip_id, rk.k, CASE WHEN len(c) < 3 AND len(list_filter(c, lambda x: NOT (rk.e < x.s - 0.35 OR rk.s > x.e + 0.35))) = 0 THEN list_append(c, {'s': rk.s, 'e': rk.e}) ELSE c END
+    FROM pw JOIN rk ON rk.clip_id = pw.clip_id AND rk.k = pw.k + 1),
+  px AS (SELECT clip_id, unnest(arg_max(c, k)) AS x FROM pw GROUP BY clip_id),
+  pr AS (SELECT wc.clip_id, a, b, arg_max(h, score * 1e6 - t / 1e6) AS h FROM wc LEFT JOIN pk USING (clip_id, a, b) WHERE wc.clip_id NOT IN (SELECT clip_id FROM px) GROUP BY ALL)"""
+
+
+@query(
+    "ev_punch_windows",
+    with_(
+        "clips", "emo",
+        recursive=PUNCH,
+        body="""SELECT clip_id, round(x.s, 6) AS start, round(x.e, 6) AS "end" FROM px
+                UNION ALL SELECT clip_id, round(greatest(a, coalesce(h, b) - 0.8e0), 6), round(coalesce(h, b), 6) FROM pr""",
+    ),
+)
 def _(t):
     return ev.punch_windows(t.emotion, wide_clips(t)).select("clip_id", r6("start").alias("start"), r6("end").alias("end"))
 
@@ -468,16 +486,47 @@ def _(t):
     return ev.plan_shakes(t.emotion, wide_clips(t)).select("clip_id", F.round("t", 3).alias("t"), F.round("score", 3).alias("score"))
 
 
-@query("ev_emphasis_words")
+EMPHASIS = ("tion", "the", "ement", "des")
+FRAG = "CASE " + " ".join(f"WHEN contains({{c}}, '{k}') THEN '{k}'" for k in sorted(EMPHASIS, key=len, reverse=True)) + " END"
+
+
+def limited_sql(gap: str = "false") -> str:
+    """`kept`(c, r): of the rows `hits`(c, r, t) at most two in three seconds and three in any ten; `gap` tells which are too close to the last (`x`)."""
+    return f"""kp AS (SELECT c, CAST(0 AS BIGINT) AS r, -1e0 AS bucket, 0 AS used, CAST([] AS DOUBLE[]) AS times, false AS took FROM hits GROUP BY c
+    UNION ALL SELECT c, r, b, CASE WHEN ok THEN u + 1 ELSE u END, CASE WHEN ok THEN list_append(times[-2:], t) ELSE times END, ok FROM (
+      SELECT *, u < 2 AND len(list_filter(times[-3:], lambda x: t - x < 10)) < 3 AND NOT (len(times) > 0 AND {gap.format(x='times[-1]')}) AS ok FROM (
+        SELECT hits.c, hits.r, hits.t, times, floor(hits.t / 3) AS b, CASE WHEN floor(hits.t / 3) = bucket THEN used ELSE 0 END AS u FROM kp JOIN hits ON hits.c = kp.c AND hits.r = kp.r + 1))),
+  kept AS (SELECT c, r FROM kp WHERE took)"""
+
+
+@query(
+    "ev_emphasis_words",
+    with_(
+        "turns",
+        body="""SELECT c AS vod_id, round_even(t, 3) AS t, round_even(greatest(we, t + 0.25e0), 3) AS "end", frag AS text, 'keyword' AS reason FROM hits JOIN kept USING (c, r)""",
+        recursive=", ".join((WORDS, f"hits AS (SELECT vod_id AS c, ws AS t, we, {FRAG.format(c='w')} AS frag, row_number() OVER (PARTITION BY vod_id ORDER BY ws, seg_id * 10000 + i) AS r FROM tw WHERE {FRAG.format(c='w')} IS NOT NULL)", limited_sql("abs(t - round({x}, 3)) < 0.4"))),
+    ),
+)
 def _(t):
     w = t.turn_words.select("vod_id", F.posexplode("words").alias("pos", "w"), "seg_id").select(
         "vod_id", (F.col("seg_id") * 10000 + F.col("pos")).alias("ord"), "w.start", "w.end", "w.text"
     )
-    return ev.emphasis_from_words(w, ("tion", "the", "ement", "des"), keys=["vod_id"])
+    return ev.emphasis_from_words(w, EMPHASIS, keys=["vod_id"])
 
 
-@query("ev_emphasis_events")
+@query(
+    "ev_emphasis_events",
+    with_(
+        "turns",
+        body=r"""SELECT c AS vod_id, round_even(t, 3) AS t, frag, CASE WHEN off = 0 AND length(plain) > length(frag) THEN 'head' WHEN off > 0 AND off + length(frag) = length(plain) THEN 'tail' ELSE 'mid' END AS span, 'keyword' AS reason,
+                   '{\q2}' || replace(left(text, i1 - 1), chr(10), '\N') || '{\b1}' || replace(substr(text, i1, i2 - i1 + 1), chr(10), '\N') || '{\r}' || replace(substr(text, i2 + 1), chr(10), '\N') AS styled
+                 FROM (SELECT *, shown[off + 1] AS i1, shown[off + length(frag)] AS i2 FROM (SELECT *, instr(plain, frag) - 1 AS off, list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 1) <> chr(10)) AS shown FROM hits JOIN kept USING (c, r)))""",
+        recursive=", ".join((
+            f"""pl AS (SELECT vod_id AS c, seg_id, s AS t, text, {TRIM.format(c="replace(text, chr(10), '')")} AS plain FROM turns),
+            hits AS (SELECT *, {FRAG.format(c='plain')} AS frag, row_number() OVER (PARTITION BY c ORDER BY t, seg_id) AS r FROM pl WHERE {FRAG.format(c='plain')} IS NOT NULL)""", limited_sql())),
+    ),
+)
 def _(t):
     e = t.turns.select("vod_id", F.col("seg_id").alias("ord"), "start", "end", F.concat(F.lit("{\\q2}"), F.replace("text", F.lit("\n"), F.lit("\\N"))).alias("text"))
-    kept = ev.emphasis_from_events(e, ("tion", "the", "ement", "des"), keys=["vod_id"])
+    kept = ev.emphasis_from_events(e, EMPHASIS, keys=["vod_id"])
     return ev.emphasised_text(kept, open_tag="{\\b1}", close_tag="{\\r}").select("vod_id", "t", "frag", "span", "reason", "styled")

@@ -224,7 +224,24 @@ def review_events(t):
     )
 
 
-@query("flow_clip_states")
+#: A reviewer's session event by event: all clip states `st`, the clips scored (`rc`) and dropped (`dr`) last.
+SESSION = """ce AS (SELECT 's' || (doc_id // 100) AS reviewer, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) AS k, CASE WHEN doc_id % 7 = 3 THEN 'drop' WHEN doc_id % 7 = 5 THEN 'undrop' ELSE 'score' END AS kind,
+      'j' || (doc_id % 2) || '|' || ((doc_id % 100) // 7) AS c, coalesce(1 + quality * 3, 0) + 1 + doc_id % 4 + 1 + doc_id % 3 AS total FROM labels),
+  cs AS (SELECT reviewer, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(c VARCHAR, t BIGINT, s VARCHAR, sub BOOLEAN)[]) AS st, CAST([] AS VARCHAR[]) AS rc, CAST([] AS VARCHAR[]) AS dr FROM ce GROUP BY reviewer
+    UNION ALL SELECT reviewer, k, CASE WHEN gone THEN st ELSE list_transform(st1, lambda x: CASE WHEN x.c = coalesce(ro, '') AND x.s <> 'purged' THEN {'c': x.c, 't': x.t, 's': CASE WHEN x.t < 10 THEN 'purged' ELSE 'kept' END, 'sub': true}
+          WHEN x.c = coalesce(d_o, '') AND x.s = 'dropped' THEN {'c': x.c, 't': x.t, 's': 'purged', 'sub': true} ELSE x END) END,
+        CASE WHEN gone OR kind <> 'score' THEN rc WHEN len(rc1) > 3 THEN rc1[2:] ELSE rc1 END, CASE WHEN gone THEN dr WHEN kind = 'drop' AND len(dr1) > 3 THEN dr1[2:] WHEN kind = 'drop' THEN dr1 WHEN kind = 'undrop' AND was = 'dropped' THEN list_filter(dr, lambda x: x <> c) ELSE dr END FROM (
+      SELECT *, CASE WHEN kind = 'score' AND len(rc1) > 3 THEN rc1[1] END AS ro, CASE WHEN kind = 'drop' AND len(dr1) > 3 THEN dr1[1] END AS d_o,
+          list_transform(CASE WHEN was IS NULL THEN list_append(st, {'c': c, 't': 9, 's': 'pending', 'sub': false}) ELSE st END, lambda x: CASE WHEN x.c <> c THEN x
+            WHEN kind = 'score' THEN {'c': x.c, 't': total, 's': CASE WHEN total < 10 THEN 'doomed' ELSE 'kept' END, 'sub': true} WHEN kind = 'drop' THEN {'c': x.c, 't': x.t, 's': 'dropped', 'sub': x.sub}
+            WHEN x.s = 'dropped' THEN {'c': x.c, 't': x.t, 's': 'kept', 'sub': x.sub} ELSE x END) AS st1 FROM (
+        SELECT ce.*, st, rc, dr, list_append(list_filter(rc, lambda x: x <> ce.c), ce.c) AS rc1, list_append(list_filter(dr, lambda x: x <> ce.c), ce.c) AS dr1,
+          list_filter(st, lambda x: x.c = ce.c)[1].s AS was, coalesce(list_filter(st, lambda x: x.c = ce.c)[1].s = 'purged', false) AS gone FROM cs JOIN ce ON ce.reviewer = cs.reviewer AND ce.k = cs.k + 1))),
+  cf AS (SELECT reviewer, unnest(arg_max(st, k)) AS x FROM cs GROUP BY reviewer)"""
+STATES = f"""WITH RECURSIVE {SESSION} SELECT reviewer, split_part(x.c, '|', 1) AS job_id, CAST(split_part(x.c, '|', 2) AS INTEGER) AS n, CAST(x.t AS INTEGER) AS total, x.s AS status, x.sub AS submitted FROM cf WHERE x.s <> 'pending'"""
+
+
+@query("flow_clip_states", STATES)
 def _(t):
     return rv.clip_states(review_events(t))
 
@@ -239,7 +256,15 @@ def _(t):
     return rv.recent_clips(review_events(t), none).select("reviewer", "job_id", "n", "ord")
 
 
-@query("tk_next_pending")
+@query(
+    "tk_next_pending",
+    """WITH e AS (SELECT 's' || (doc_id // 100) AS reviewer, doc_id AS seq, 'j' || (doc_id % 2) AS job_id, CAST((doc_id % 100) // 7 AS INTEGER) AS n FROM labels WHERE doc_id % 7 NOT IN (3, 5)),
+         r AS (SELECT reviewer, job_id, n, row_number() OVER (PARTITION BY reviewer ORDER BY max(seq) DESC) AS rn FROM e GROUP BY reviewer, job_id, n),
+         p AS (SELECT 's' || (doc_id % 5) AS reviewer, source AS job_id, CAST(doc_id AS INTEGER) AS n FROM documents)
+       SELECT reviewer, job_id, n FROM (SELECT p.*, row_number() OVER (PARTITION BY reviewer ORDER BY tired, h, job_id, n) AS k FROM (
+         SELECT p.*, md5('7|' || job_id || '|' || n) AS h, (SELECT count(*) >= 2 FROM r WHERE r.reviewer = p.reviewer AND r.job_id = p.job_id AND rn <= 2) AS tired FROM p
+         WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.reviewer = p.reviewer AND r.job_id = p.job_id AND r.n = p.n AND rn <= 3)) p) WHERE k = 1""",
+)
 def _(t):
     pool = clip_rows(t).withColumns({"reviewer": F.concat(F.lit("s"), (F.col("n") % 5).cast("string")), "status": F.lit("pending"), "submitted": F.lit(False)})
     none = t.spark.createDataFrame([], rv.STATE_SCHEMA)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipmine.catalog import query
-from clipmine.catalog.reports import review_events
+from clipmine.catalog.reports import STATES, STEP_CASE, WEIGHT, review_events
 from clipmine.catalog.tables import DAY, with_
 from clipmine.session import shared_dir
 from clipmine.streaming import chat as sc
@@ -100,17 +100,25 @@ def _rocks(t):
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
-@query("st_burst_seeds")
+@query(
+    "st_burst_seeds",
+    """WITH RECURSIVE bins AS (SELECT strftime(b, '%Y-%m-%d') AS vod_id, (epoch(b) % 86400) * 1e0 AS t, sum(w) AS react FROM (
+           SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS b, CASE event_type WHEN 'purchase' THEN 1e0 WHEN 'error' THEN 0.8e0 WHEN 'signup' THEN 2.5e0 ELSE 0e0 END AS w FROM events) GROUP BY b HAVING sum(w) > 0),
+         nb AS (SELECT *, row_number() OVER o AS k, sum(react) OVER o AS total, round(greatest(0e0, t + 2.5e0 - 30), 1) AS seed FROM bins WINDOW o AS (PARTITION BY vod_id ORDER BY t)),
+         sd AS (SELECT vod_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS DOUBLE) AS last, false AS took FROM nb GROUP BY vod_id
+           UNION ALL SELECT vod_id, k, CASE WHEN ok THEN seed ELSE last END, ok FROM (SELECT nb.*, last, react >= greatest(1.5e0, 1.2e0 * total / nb.k) AND (last IS NULL OR seed - last >= 600) AS ok FROM sd JOIN nb ON nb.vod_id = sd.vod_id AND nb.k = sd.k + 1))
+       SELECT vod_id, seed AS t, round(react, 6) AS react FROM sd JOIN nb USING (vod_id, k) WHERE took""",
+)
 def _(t):
     _rocks(t)
     bins = sc.mark(chat_stream(t), DAY).withWatermark("ts", "10 minutes").groupBy("vod_id", F.window("ts", "5 minutes").alias("w")).agg(
         F.sum(sc._strength()).alias("react")
     )
     rows = bins.select("vod_id", F.window_time("w").alias("ts"), (seconds("w.start") % 86400).cast("double").alias("t"), "react").where(F.col("react") > 0)
-    return drain(stateful.burst_seeds(rows, lag=30.0, gap=600.0))
+    return drain(stateful.burst_seeds(rows, lag=30.0, gap=600.0)).withColumn("react", F.round("react", 6))
 
 
-@query("st_review_states")
+@query("st_review_states", STATES)
 def _(t):
     """The change log of clip states, reduced to the last state per clip."""
     _rocks(t)
@@ -135,7 +143,11 @@ def _(t):
     return last.select("reviewer", "job_id", "n", "s.total", "s.status", "s.submitted")
 
 
-@query("st_job_progress")
+@query(
+    "st_job_progress",
+    f"""SELECT job_id, round(100 * sum(CASE status WHEN 'done' THEN {WEIGHT} * 1e0 ELSE {WEIGHT} * 0.35e0 END) / 100, 6) AS pct FROM (
+          SELECT 'j' || user_id AS job_id, CASE event_id % 8 {STEP_CASE} END AS step, arg_max(CASE event_type WHEN 'purchase' THEN 'done' ELSE 'running' END, event_id) AS status FROM events GROUP BY ALL) GROUP BY job_id""",
+)
 def _(t):
     from clipmine.operators.reports import STEPS
 
@@ -145,7 +157,7 @@ def _(t):
         F.when(F.col("event_type") == "purchase", "done").otherwise("running").alias("status"), F.lit(None).cast("string").alias("error"), F.col("event_id").alias("ts"),
     )
     base = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
-    q = e.writeStream.foreachBatch(progress.upsert_progress(base)).option("checkpointLocation", base + "/cp").trigger(availableNow=True).start()
+    q = e.writeStream.foreachBatch(progress.upsert_progress(base, digits=6)).option("checkpointLocation", base + "/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     last = q.lastProgress["batchId"] if q.lastProgress else 0
     return t.spark.read.parquet(f"{base}/jobs/v{last}")

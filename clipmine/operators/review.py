@@ -75,21 +75,29 @@ class Session:
 def clip_states(events: DataFrame) -> DataFrame:
     """Final state of every clip from its session's events (`reviewer, seq, kind, job_id, n, like, content, visual`).
 
-    One group is one reviewing session of a person; it is read in batches, not as one frame.
+    A session's events stream through one task in order, a batch at a time; what is held are the states of the clips met
+    so far (a purged one has to be remembered), not the log.
     """
 
-    def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(batches, ignore_index=True).sort_values("seq", kind="stable")
-        session, states, changed = Session(), {}, set()
-        for kind, job, n, total in zip(rows["kind"], rows["job_id"], rows["n"], rows["total"]):
-            changed.update(session.apply(kind, (job, int(n)), int(total), states))
-        kept = [(clip, states[clip]) for clip in sorted(changed)]
-        yield pd.DataFrame(
-            [(key[0], job, n, s["total"], s["status"], s["submitted"]) for (job, n), s in kept],
-            columns=["reviewer", "job_id", "n", "total", "status", "submitted"],
-        )
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reviewer, session, states, changed = None, Session(), {}, set()
+
+        def finished() -> pd.DataFrame:
+            rows = [(reviewer, job, n, *(states[job, n][k] for k in ("total", "status", "submitted"))) for job, n in sorted(changed)]
+            return pd.DataFrame(rows, columns=["reviewer", "job_id", "n", "total", "status", "submitted"])
+
+        for batch in batches:
+            for who, kind, job, n, total in zip(batch["reviewer"], batch["kind"], batch["job_id"], batch["n"], batch["total"]):
+                if who != reviewer:
+                    if changed:
+                        yield finished()
+                    reviewer, session, states, changed = who, Session(), {}, set()
+                changed.update(session.apply(kind, (job, int(n)), int(total), states))
+        if changed:
+            yield finished()
 
-    return events.select("reviewer", "seq", "kind", "job_id", "n", total_score().alias("total")).groupBy("reviewer").applyInPandas(fold, STATE_SCHEMA)
+    log = events.where(F.col("reviewer").isNotNull()).select("reviewer", "seq", "kind", "job_id", "n", total_score().alias("total"))
+    return log.repartition("reviewer").sortWithinPartitions("reviewer", "seq").mapInPandas(fold, STATE_SCHEMA)
 
 
 # --- queues --------------------------------------------------------------------------------------
@@ -145,7 +153,7 @@ def next_pending(pool: DataFrame, recent: DataFrame, *, seed: int = 0, reviewer:
         .agg(
             F.min_by(
                 F.struct("job_id", "n"),
-                F.struct(F.coalesce("_tired", F.lit(False)).cast("int"), F.xxhash64(F.lit(seed), "job_id", "n"), "job_id", "n"),
+                F.struct(F.coalesce("_tired", F.lit(False)).cast("int"), F.md5(F.concat_ws("|", F.lit(seed).cast("string"), "job_id", F.col("n").cast("string"))), "job_id", "n"),
             ).alias("_c")
         )
         .select(reviewer, "_c.job_id", "_c.n")

@@ -15,7 +15,7 @@ def latest_steps(events: DataFrame) -> DataFrame:
     ).select("job_id", "step", "s.status", "s.error", "ts")
 
 
-def upsert_progress(path: str):
+def upsert_progress(path: str, *, digits: int = 1):
     """A `foreachBatch` function that keeps step states and job percents under `path`.
 
     Each batch writes a new version folder next to the last one and then its number: a batch run again
@@ -29,6 +29,6 @@ def upsert_progress(path: str):
             fresh = fresh.unionByName(spark.read.parquet(f"{path}/steps/v{batch_id - 1}"))
         latest_steps(fresh).write.mode("overwrite").parquet(f"{path}/steps/v{batch_id}")
         steps = spark.read.parquet(f"{path}/steps/v{batch_id}")
-        step_percent(steps).write.mode("overwrite").parquet(f"{path}/jobs/v{batch_id}")
+        step_percent(steps, digits=digits).write.mode("overwrite").parquet(f"{path}/jobs/v{batch_id}")
 
     return write
