@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clipmine.catalog import query
+from clipmine.catalog.intervals import SUGGEST
 from clipmine.catalog.signals import HIST, THIN
 from clipmine.catalog.tables import DAY, with_
+from clipmine.operators import select as sel
+from clipmine.operators.features import rank_in_hour
 from clipmine.plans import queue as qu
 from clipmine.plans.candidates import enrich_candidates, score_candidates, softban
 
@@ -89,16 +92,64 @@ def _(t):
     return softban(x, DAY, text="text").select("vod_id", "win_id", "is_intro", "is_outro", r6("multiplier").alias("multiplier"))
 
 
-@query("flow_enriched_candidates")
+#: `er`: enriched candidates, numbered by score and ranked in their hour; `sug`: their bounds.
+ENRICHED = f"""cands AS (SELECT vod_id, id AS clip_id, s, e FROM best), {SUGGEST.replace('FROM clips c', 'FROM cands c')},
+  e0 AS (SELECT *, contains(x, 'k12') OR contains(x, 'u33') AS intro, contains(x, 'k9') OR contains(x, 'u44') AS outro FROM best),
+  e1 AS (SELECT e0.*, {ban(0.15, 0.15)} AS mult, CAST(floor(s / 3600) AS INTEGER) AS hour FROM e0),
+  e2 AS (SELECT e1.* EXCLUDE score, score AS raw, round(score * mult, 9) AS score FROM e1),
+  e3 AS (SELECT *, row_number() OVER (PARTITION BY vod_id ORDER BY score DESC, source, key) AS cid, score + (score - avg(score) OVER h) / CASE WHEN var_pop(score) OVER h > 1e-12 THEN stddev_pop(score) OVER h ELSE 1 END AS rank_score FROM e2 WINDOW h AS (PARTITION BY vod_id, hour)),
+  er AS (SELECT * REPLACE (round(rank_score, 9) AS rank_score) FROM e3)"""
+ENRICHED_FROM = ("ev", "loud", "emo", "vods", "speech", "seg", "win")
+
+
+def in_nine_digits(df):
+    """Scores at nine decimals, so that ties are ties."""
+    return df.withColumns({c: F.round(c, 9) for c in ("score", "rank_score") if c in df.columns})
+
+
+@query(
+    "flow_enriched_candidates",
+    with_(
+        *ENRICHED_FROM,
+        recursive=f"{SCORED}, {ENRICHED}",
+        body="""SELECT er.vod_id, CAST(source AS INTEGER) AS source, round(key, 3) AS place, round(er.s, 6) AS start, round(er.e, 6) AS "end", round(score, 6) AS score, round(mult, 6) AS multiplier, intro AS is_intro, outro AS is_outro,
+                round(round_even(a, 3), 1) AS suggested_start, round(round_even(b, 3), 1) AS suggested_end, round(den, 6) AS density, kw AS kw_hits, 'normal' AS strategy FROM er JOIN sug ON sug.clip_id = er.id""",
+    ),
+)
 def _(t):
-    e = enrich_candidates(score_candidates(t.recordings, DAY), t.recordings, DAY)
-    return e.select("vod_id", "source", "place", "start", "end", r6("score").alias("score"), "multiplier", "is_intro", "is_outro", "suggested_start", "suggested_end")
+    e = in_nine_digits(enrich_candidates(score_candidates(t.recordings, DAY), t.recordings, DAY))
+    return e.select(
+        "vod_id", "source", F.round("place", 3).alias("place"), r6("start").alias("start"), r6("end").alias("end"), r6("score").alias("score"), r6("multiplier").alias("multiplier"), "is_intro", "is_outro",
+        F.round("suggested_start", 1).alias("suggested_start"), F.round("suggested_end", 1).alias("suggested_end"), r6("breakdown.chat_density").alias("density"), F.col("breakdown.chat_kw_hits").alias("kw_hits"), "breakdown.strategy",
+    )
+
+
+#: The review queue `qq` of `er`: greedy, diverse, ten at most.
+QUEUE = """rq AS (SELECT *, row_number() OVER (PARTITION BY vod_id ORDER BY rank_score DESC, s, cid) AS k FROM er),
+  dq AS (SELECT vod_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(id BIGINT, s DOUBLE, e DOUBLE, v DOUBLE)[]) AS c FROM rq GROUP BY vod_id
+    UNION ALL SELECT dq.vod_id, rq.k, CASE WHEN len(list_filter(c, lambda y: ((rq.s < y.e AND y.s < rq.e) OR abs((rq.s + rq.e) / 2 - (y.s + y.e) / 2) < 900) AND rq.rank_score < y.v * 1.35e0)) = 0
+        THEN list_append(c, {'id': CAST(rq.id AS BIGINT), 's': rq.s, 'e': rq.e, 'v': rq.rank_score}) ELSE c END
+    FROM dq JOIN rq ON rq.vod_id = dq.vod_id AND rq.k = dq.k + 1 WHERE len(c) < 10),
+  tq AS (SELECT vod_id, unnest(c).id AS id, generate_subscripts(c, 1) AS rank FROM (SELECT vod_id, arg_max(c, k) AS c FROM dq GROUP BY vod_id)),
+  uq AS (SELECT er.*, rank, NOT intro AND NOT outro AND (cue > 0 OR react > 0.08 OR rank_score >= 2.0) AS ok FROM tq JOIN er USING (vod_id, id)),
+  qq AS (SELECT *, CASE WHEN ok AND row_number() OVER (PARTITION BY vod_id, hour, ok ORDER BY rank) <= 4 THEN 'keep' ELSE 'reject' END AS action FROM uq)"""
+
 
+def review_queue_of(t):
+    e = in_nine_digits(enrich_candidates(score_candidates(t.recordings, DAY), t.recordings, DAY))
+    return qu.review_queue(in_nine_digits(rank_in_hour(sel.number_by_score(e))), DAY)
 
-@query("flow_review_queue")
+
+@query(
+    "flow_review_queue",
+    with_(
+        *ENRICHED_FROM,
+        recursive=f"{SCORED}, {ENRICHED}, {QUEUE}",
+        body=r"""SELECT vod_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS start, round(e, 6) AS "end", round(rank_score, 6) AS rank_score, CASE WHEN x = '' THEN '精華片段' ELSE left(regexp_replace(x, '\s+', '', 'g'), 20) END AS title, action FROM qq""",
+    ),
+)
 def _(t):
-    ranked = qu.ranked_candidates(t.recordings, DAY)
-    return qu.review_queue(ranked, DAY).select("vod_id", "rank", "start", "end", r6("rank_score").alias("rank_score"), "title", "action")
+    return review_queue_of(t).select("vod_id", "rank", r6("start").alias("start"), r6("end").alias("end"), r6("rank_score").alias("rank_score"), "title", "action")
 
 
 @query("sink_review_view")
@@ -114,16 +165,34 @@ def _(t):
     return qu.highlights(t.recordings, DAY, auto_arcs=True).select("vod_id", "id", "start", "end", "title", "reason", r6("score").alias("score"), "chapter_id")
 
 
-@query("flow_reviewed_highlights")
+STAMPED = "printf('%02d:%02d:%02d', {m} // 3600000, {m} % 3600000 // 60000, {m} % 60000 // 1000)"
+REVIEWED = """rd AS (SELECT qq.vod_id, rank, round_even(a, 3) AS s, round_even(b, 3) AS e, score, CASE WHEN x = '' THEN '精華片段' ELSE left(regexp_replace(x, '\\s+', '', 'g'), 20) END AS title FROM qq JOIN sug ON sug.clip_id = qq.id WHERE action = 'keep'),
+  ro AS (SELECT *, CAST(floor(s / 3600) AS BIGINT) AS hr, row_number() OVER (PARTITION BY vod_id ORDER BY score DESC, rank) AS k FROM rd WHERE e > s),
+  ap AS (SELECT vod_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(r BIGINT, hr BIGINT, s DOUBLE, e DOUBLE)[]) AS c FROM ro GROUP BY vod_id
+    UNION ALL SELECT ap.vod_id, ro.k, CASE WHEN len(list_filter(c, lambda y: y.hr = ro.hr)) < 4 AND len(list_filter(c, lambda y: y.s < ro.e AND ro.s < y.e)) = 0 THEN list_append(c, {'r': CAST(ro.rank AS BIGINT), 'hr': ro.hr, 's': ro.s, 'e': ro.e}) ELSE c END
+    FROM ap JOIN ro ON ro.vod_id = ap.vod_id AND ro.k = ap.k + 1),
+  hl AS (SELECT ro.*, row_number() OVER (PARTITION BY vod_id ORDER BY s) AS id, CAST(round_even(s * 1000, 0) AS BIGINT) AS m FROM (SELECT vod_id, unnest(arg_max(c, k)).r AS rank FROM ap GROUP BY vod_id) JOIN ro USING (vod_id, rank))"""
+
+
+@query(
+    "flow_reviewed_highlights",
+    with_(
+        *ENRICHED_FROM,
+        recursive=f"{SCORED}, {ENRICHED}, {QUEUE}, {REVIEWED}",
+        body=f"""SELECT vod_id, CAST(id AS INTEGER) AS id, round(s, 1) AS start, round(e, 1) AS "end", title, {STAMPED.format(m='m')} AS start_display FROM hl""",
+    ),
+)
 def _(t):
     """Reviewers follow the suggested actions."""
     from clipmine.session import cut_lineage
 
-    ranked = cut_lineage(qu.ranked_candidates(t.recordings, DAY))
+    e = in_nine_digits(enrich_candidates(score_candidates(t.recordings, DAY), t.recordings, DAY))
+    ranked = cut_lineage(in_nine_digits(rank_in_hour(sel.number_by_score(e))))
     queue = cut_lineage(qu.review_queue(ranked, DAY))
     none = F.lit(None)
     d = queue.select(
         "vod_id", F.col("rank").alias("candidate_id"), "action", F.col("rank").alias("ord"), none.cast("double").alias("start"),
         none.cast("double").alias("end"), none.cast("string").alias("title"), none.cast("string").alias("hook"),
     )
-    return qu.reviewed_highlights(ranked, queue, d, DAY).select("vod_id", "id", "start", "end", "title", "start_display", "end_display")
+    h = qu.reviewed_highlights(ranked, queue, d, DAY)
+    return h.select("vod_id", "id", F.round("start", 1).alias("start"), F.round("end", 1).alias("end"), "title", F.left("start_display", F.lit(8)).alias("start_display"))

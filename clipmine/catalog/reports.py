@@ -142,16 +142,16 @@ def _(t):
 
 @query(
     "ag_mid_word_cuts",
-    r"""WITH d AS (SELECT doc_id, replace(replace(replace(text, '{', '('), ' ', ''), chr(9), '') AS x FROM documents WHERE contains(text, chr(10))),
+    r"""WITH d AS (SELECT doc_id, replace(replace(replace(text, '{', '('), ' ', ''), chr(9), '') AS x FROM documents),
         lines AS (SELECT doc_id, i, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
                     SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(list_transform(p, lambda l: length(l))) AS n FROM (SELECT doc_id, list_filter(string_split(x, chr(10)), lambda l: l <> '') AS p FROM d))),
         inner_stops AS (SELECT doc_id, stop, count(*) OVER (PARTITION BY doc_id) AS lines, max(i) OVER (PARTITION BY doc_id) = i AS last FROM lines)
-        SELECT CAST(doc_id AS VARCHAR) AS vod_id, CAST(count(DISTINCT CASE WHEN stop % 7 <> 0 THEN stop // 7 END) AS BIGINT) AS mid_word_cuts
-        FROM inner_stops WHERE NOT last GROUP BY doc_id""",
+        SELECT CAST(d.doc_id AS VARCHAR) AS vod_id, CAST(count(DISTINCT CASE WHEN NOT last AND stop % 7 <> 0 THEN stop // 7 END) AS BIGINT) AS mid_word_cuts
+        FROM d LEFT JOIN inner_stops i ON i.doc_id = d.doc_id GROUP BY d.doc_id""",
 )
 def _(t):
     """Tokens of seven characters each: a break cuts one unless it falls on a multiple of seven."""
-    d = t.read("documents").where(F.col("text").contains("\n"))
+    d = t.read("documents")
     bare = F.translate("text", "{ \t", "(")
     e = d.select(
         F.col("doc_id").cast("string").alias("vod_id"), F.lit(1).alias("clip_id"), F.replace(bare, F.lit("\n"), F.lit("\\N")).alias("text"),

@@ -303,6 +303,20 @@ def _(t):
     return mi.top_tokens(role_chat(t), pattern="[A-Za-z]{4,8}", max_len=400)
 
 
+@query("ag_all_tokens", with_("turns", body=r"""SELECT vod_id, token, n, CAST(row_number() OVER (PARTITION BY vod_id ORDER BY n DESC, token) AS INTEGER) AS rank FROM (
+              SELECT vod_id, lower(tok) AS token, count(*) AS n FROM (SELECT vod_id, unnest(regexp_extract_all(message, '[A-Za-z]{4,8}')) AS tok FROM msg) GROUP BY vod_id, lower(tok))""", recursive=MSG))
+def _(t):
+    """Every token of every message."""
+    return mi.top_tokens(role_chat(t), pattern="[A-Za-z]{4,8}", max_len=None, n=None)
+
+
+@query("ag_cue_rows", with_("turns", body="""SELECT vod_id, CAST(rn AS INTEGER) AS ord, round_even(s, 1) AS t, message FROM (
+              SELECT *, row_number() OVER (PARTITION BY vod_id ORDER BY seg_id) AS rn FROM msg WHERE contains(message, 'the')) WHERE rn <= 20""", recursive=MSG))
+def _(t):
+    """A report of the first twenty cue messages, whole."""
+    return mi.cue_rows(role_chat(t), "the", n=20, width=None)
+
+
 ALIGN = r"""refs AS (SELECT vod_id, seg_id AS ref_id, text AS rt, e - s AS rd FROM turns WHERE seg_id % 2 = 1),
   bd AS (SELECT vod_id, arg_min(s, seg_id) AS m0, arg_max(e, seg_id) AS m1 FROM turns GROUP BY vod_id),
   ws AS (SELECT * FROM (SELECT r.vod_id, ref_id, rt, m0, m1, greatest(3e0, rd) AS d, unnest(range(CAST(ceil((m1 - m0) / 15) AS BIGINT))) AS i FROM refs r JOIN bd USING (vod_id)) WHERE m0 + i * 15 < m1),

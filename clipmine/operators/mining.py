@@ -23,28 +23,37 @@ def pattern_hits(chat: DataFrame, patterns: Mapping[str, str] = lexicon.MINING_P
 
 
 def pattern_samples(
-    chat: DataFrame, patterns: Mapping[str, str] = lexicon.MINING_PATTERNS, *, n: int = 10, width: int = 100, keys: Sequence[str] = ("vod_id",)
+    chat: DataFrame, patterns: Mapping[str, str] = lexicon.MINING_PATTERNS, *, n: int | None = 10, width: int | None = 100, keys: Sequence[str] = ("vod_id",)
 ) -> DataFrame:
-    """The first `n` matching messages per pattern (by `seq`); a bounded top-k, not a sorted group."""
+    """The first `n` matching messages per pattern (by `seq`); a bounded top-k, not a sorted group. `n` and `width` may be None: all."""
     names = F.filter(
         F.array(*[F.when(F.col("message").rlike(p), F.lit(name)) for name, p in patterns.items()]), lambda x: x.isNotNull()
     )
     hits = _texts(chat).select(
-        *keys, "seq", py_round("t", 1).alias("t"), F.left("message", F.lit(width)).alias("message"), F.explode(names).alias("pattern")
+        *keys, "seq", py_round("t", 1).alias("t"), (F.col("message") if width is None else F.left("message", F.lit(width))).alias("message"), F.explode(names).alias("pattern")
     )
     order = Window.partitionBy(*keys, "pattern").orderBy("seq")
-    return hits.withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= n).drop("seq")
+    numbered = hits.withColumn("ord", F.row_number().over(order)).drop("seq")
+    return numbered if n is None else numbered.where(F.col("ord") <= n)
+
+
+def cue_rows(chat: DataFrame, cue: str = lexicon.CLIP_CUE, *, n: int | None = 20, width: int | None = 120, keys: Sequence[str] = ("vod_id",)) -> DataFrame:
+    """The first `n` messages that ask for a clip: `keys, ord, t, message` (None: all)."""
+    rows = _texts(chat).where(F.col("message").rlike(cue)).withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy("seq")))
+    rows = rows if n is None else rows.where(F.col("ord") <= n)
+    return rows.select(*keys, "ord", py_round("t", 1).alias("t"), (F.col("message") if width is None else F.left("message", F.lit(width))).alias("message"))
 
 
 def top_tokens(
-    chat: DataFrame, *, pattern: str = lexicon.MINING_TOKEN, max_len: int = 40, n: int = 30, keys: Sequence[str] = ("vod_id",)
+    chat: DataFrame, *, pattern: str = lexicon.MINING_TOKEN, max_len: int | None = 40, n: int | None = 30, keys: Sequence[str] = ("vod_id",)
 ) -> DataFrame:
-    """The `n` most frequent tokens of short messages; equal counts in token order."""
-    short = _texts(chat).where(F.length("message") <= max_len)
+    """The `n` most frequent tokens of messages of up to `max_len` characters; equal counts in token order. None: all."""
+    short = _texts(chat) if max_len is None else _texts(chat).where(F.length("message") <= max_len)
     tokens = short.select(*keys, F.explode_outer(F.regexp_extract_all("message", F.lit(pattern), 0)).alias("token")).where(F.col("token").isNotNull())
     counts = tokens.groupBy(*keys, F.lower("token").alias("token")).agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy(*keys).orderBy(F.col("n").desc(), "token")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    ranked = counts.withColumn("rank", F.row_number().over(order))
+    return ranked if n is None else ranked.where(F.col("rank") <= n)
 
 
 def align_reference(

@@ -49,13 +49,14 @@ def subtitle_quality(events: DataFrame, keys: Sequence[str] = ("vod_id", "clip_i
 
 
 def mid_word_cuts(events: DataFrame, tokens: str, keys: Sequence[str] = ("vod_id", "clip_id")) -> DataFrame:
-    """Tokens (of the text without breaks) that a line break falls into, per clip."""
+    """Tokens (of the text without breaks) that a line break falls into, per clip; 0 for a clip without a break."""
     parts = F.filter(F.transform(F.split(tx.strip_tags("text"), r"\\N"), tx.strip), lambda p: p != "")
     ends = lambda arr: F.aggregate(
         arr, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x)))
     )
     words = F.filter(F.col(tokens), lambda t: tx.strip(t) != "")
-    inner = F.slice("_lines", F.lit(2), F.size("_lines") - 2)
+    broken = F.col("text").contains("\\N") & (F.size("_lines") >= 3) & (F.size("_words") >= 2)
+    inner = F.slice("_lines", F.lit(2), F.greatest(F.lit(0), F.size("_lines") - 2))
     cut = F.size(
         F.filter(
             F.sequence(F.lit(0), F.size("_words") - 2),
@@ -63,13 +64,11 @@ def mid_word_cuts(events: DataFrame, tokens: str, keys: Sequence[str] = ("vod_id
         )
     )
     return (
-        events.where(F.col("text").contains("\\N"))
-        .withColumn("_lines", ends(parts))
+        events.withColumn("_lines", ends(parts))
         .withColumn("_words", ends(words))
-        .where((F.size("_lines") >= 3) & (F.size("_words") >= 2))
         .withColumn("_inner", inner)
         .groupBy(*keys)
-        .agg(F.sum(cut).alias("mid_word_cuts"))
+        .agg(F.sum(F.when(broken, cut).otherwise(0)).alias("mid_word_cuts"))
     )
 
 

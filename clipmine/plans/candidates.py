@@ -113,7 +113,7 @@ def softban(candidates: DataFrame, profile: Profile, *, text: str = "_hay") -> D
 
 
 def enrich_candidates(scored: DataFrame, rec: Recordings, profile: Profile) -> DataFrame:
-    """Excerpt, bigrams of the whole text, suggested bounds, intro / outro penalty and the damped score."""
+    """Excerpt, bigrams of the whole text, suggested bounds, intro / outro penalty, the damped score and what it is made of (`breakdown`)."""
     v = rec.vods.select(
         "vod_id", "duration_sec",
         *(["content_type"] if "content_type" in rec.vods.columns else [F.lit(profile.content_type).alias("content_type")]),
@@ -127,6 +127,8 @@ def enrich_candidates(scored: DataFrame, rec: Recordings, profile: Profile) -> D
         .withColumn("strategy", F.when(F.col("chat_weak"), "chat_weak").otherwise("normal"))
         .drop("_hay", "duration_sec", "content_type", "text")
     )
+    parts = ("chat_density", "mean_zscore", "keyword_hits", "chat_kw_hits", "chat_react", "chat_cue", "chat_lag_sec", "emotion_score", "speech_ratio", "strategy")
+    c = c.withColumn("breakdown", F.struct(*parts))
     bounded = suggested_bounds(
         c.select("vod_id", "source", "place", "start", "end", "reaction_peak_t"), rec.speech, rec.segments,
         ids=["source", "place"], ends=profile.sentence_ends, lag=profile.chat_lag_sec,
