@@ -57,7 +57,9 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.array([len(c) for c in codes])
     x = np.concatenate(codes).astype(np.uint64)
     x[_gap(x)] = 32
-    x[1:][(x[1:] == 32) & (x[:-1] == 32)] = 0  # of several gaps one counts
+    again = (x[1:] == 32) & (x[:-1] == 32)
+    again[np.cumsum(counts)[:-1] - 1] = False  # a text begins with a gap, whatever text stands before it
+    x[1:][again] = 0  # of several gaps one counts
     one = mix(x, 1)
     two = mix(one[:-1] * np.uint64(3) + one[1:], 2)
     three = mix(one[:-2] * np.uint64(9) + one[1:-1] * np.uint64(3) + one[2:], 3)

@@ -206,7 +206,7 @@ def measured(reps: DataFrame, shapes: dict[int, Shape], k: int) -> dict[int, Sha
                 score = x @ _matrix(batch.column("vec").take(pa.array(at)).to_pylist(), dim).T
                 score[ids[:, None] == rep[at]] = -np.inf
                 n = min(k, len(at))
-                top = np.argpartition(-score, n - 1, 1)[:, :n]
+                top = largest(score, rep[at], n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),
@@ -279,7 +279,7 @@ def scored(index: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
                 continue
             score = x @ held.T
             n = min(keep, len(ids))
-            top = np.argpartition(-score, n - 1, 1)[:, :n] if n < len(ids) else np.tile(np.arange(n), (len(x), 1))
+            top = largest(score, ids, n)
             best = np.take_along_axis(score, top, 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rep, pa.int64()), pa.array([r.tobytes() for r in ids[top].astype("<i8")], pa.binary()), pa.array([r.tobytes() for r in best.astype("<f8")], pa.binary())],
@@ -289,6 +289,17 @@ def scored(index: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
     return rows.repartition(*_AT).sortWithinPartitions(*keys).mapInArrow(search, "query long, ids binary, scores binary")
 
 
+def largest(score: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Per row the columns of the n largest scores, in any order; of equal ones at the cut those of the smaller ids."""
+    if n >= len(ids):
+        return np.tile(np.arange(len(ids)), (len(score), 1))
+    top = np.argpartition(-score, n - 1, 1)[:, :n]
+    least = np.take_along_axis(score, top, 1).min(1)
+    for row in np.flatnonzero((score >= least[:, None]).sum(1) > n):
+        top[row] = np.lexsort((ids, -score[row]))[:n]
+    return top
+
+
 def _pieces(batches, keys):
     """Rows with equal keys, at most a batch's worth at a time."""
     for batch in batches:

@@ -99,11 +99,11 @@ def runs(hashes: np.ndarray, doc: np.ndarray, n: int, seed: int = 0) -> tuple[np
 
 
 def batches(rows, size: int = 1 << 19):
-    """Groups of rows (tuples that end with a text or None) of about `size` characters; a longer text is alone."""
+    """Groups of up to 65,536 rows (tuples that end with a text or None) of about `size` characters; a longer text is alone."""
     group, held = [], 0
     for row in rows:
         n = len(row[-1] or "")
-        if group and held + n > size:
+        if group and (held + n > size or len(group) == 1 << 16):  # a text's number in its group has 16 bits
             yield group
             group, held = [], 0
         group.append(row)

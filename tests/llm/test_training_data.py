@@ -246,10 +246,42 @@ def test_passages(docs, rows, clashing, empty, spark):
         assert texts[i] == (kept if k else once[i][1], k)
 
 
-def test_passages_do_not_depend_on_chunks(docs):
-    a = sorted(map(tuple, substring_dedup.report(docs.where("doc_id < 70")).collect()))
-    b = sorted(map(tuple, substring_dedup.report(docs.where("doc_id < 70").repartition(5).dropDuplicates()).collect()))
-    assert sorted(set(a)) == sorted(set(b)) or len(a) != len(b)
+def test_passages_do_not_depend_on_chunks(spark, docs, tmp_path):
+    once = docs.join(docs.groupBy("doc_id").count().where("count = 1"), "doc_id").select(*docs.columns)
+    found = []
+    for k, files in enumerate((1, 7)):
+        once.repartition(files).write.parquet(f"file://{tmp_path}/{k}")
+        found.append(sorted(map(tuple, substring_dedup.report(spark.read.parquet(f"file://{tmp_path}/{k}")).collect())))
+    found.append(sorted(map(tuple, substring_dedup.report(once).collect())))  # not from files
+    assert found[0] == found[1] == found[2] and any(r[2] for r in found[0])
+
+
+def test_groups_of_many_short_texts():
+    groups = list(words.batches([("ok",)] * 70_000, 1 << 20))
+    assert [len(g) for g in groups] == [65_536, 4_464]
+    doc, *_ = near_dedup.shingles(["ok"] * 65_536)
+    assert len(doc) == 65_536 and doc[-1] == 65_535
+
+
+def test_long_texts_are_read_in_parts():
+    rng = random.Random(4)
+    text = prose(rng, 120_000)
+    parts = language.pieces(text)
+    assert len(parts) > 1 and "".join(parts) == text and all(len(p) <= 2 * language.PIECE for p in parts)
+    assert language.pieces("x" * (3 * language.PIECE))[0] == "x" * language.PIECE
+    weights = np.zeros((language.WIDTH + 1, 2), np.float32)
+    weights[: language.WIDTH] = np.random.default_rng(1).normal(size=(language.WIDTH, 2))
+    short = [prose(rng, n) for n in (1, 7, 90)]
+    by_vector = np.stack([language.vector(t) @ weights[: language.WIDTH] for t in [*short, text]])
+    assert np.allclose(language.means([*short, text], weights), by_vector, atol=1e-4)
+
+
+def test_equal_scores_at_the_cut_go_to_smaller_ids():
+    rng = np.random.default_rng(2)
+    score, ids = rng.integers(0, 4, (50, 40)).astype(float), rng.permutation(40)
+    for n in (1, 7, 39, 40, 50):
+        for row, top in zip(score, nearest.largest(score, ids, n), strict=True):
+            assert set(top) == set(np.lexsort((ids, -row))[:n])
 
 
 # language
