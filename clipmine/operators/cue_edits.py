@@ -108,7 +108,7 @@ def matches(old: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
     return by_time.unionByName(by_text)
 
 
-def merge_cue_edits(old: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
+def merge_cue_edits(old: DataFrame, fresh: DataFrame, keys: Sequence[str] = ("vod_id", "clip_id")) -> DataFrame:
     """Fresh cues with the edits of the old cues that they replace: flags and colours, edited texts, and style columns
     that only old cues have. A clip without old cues keeps its fresh ones as they are, one without fresh cues its old ones."""
     styles = [c for c in old.columns if c not in fresh.columns]
