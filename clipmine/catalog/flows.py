@@ -152,12 +152,27 @@ def _(t):
     return review_queue_of(t).select("vod_id", "rank", r6("start").alias("start"), r6("end").alias("end"), r6("rank_score").alias("rank_score"), "title", "action")
 
 
-@query("sink_review_view")
+VIEW = """sm AS (SELECT id, string_agg('t=' || CAST(round_even(t, 1) AS VARCHAR) || '「' || message || '」', '; ' ORDER BY seq) AS samples FROM (
+      SELECT qq.id, ev.seq, ev.t, ev.message, row_number() OVER (PARTITION BY qq.id ORDER BY ev.seq) AS n FROM qq JOIN ev ON ev.vod_id = qq.vod_id AND ev.t >= qq.s AND ev.t < qq.e WHERE ev.message IN ('purchase', 'error', 'signup')) WHERE n <= 3 GROUP BY id),
+  vw AS (SELECT qq.*, peak, coalesce(samples, '') AS samples, CASE WHEN x = '' THEN '精華片段' ELSE left(regexp_replace(x, '\\s+', '', 'g'), 20) END AS title FROM qq JOIN sug ON sug.clip_id = qq.id JOIN sp ON sp.clip_id = qq.id LEFT JOIN sm USING (id))"""
+
+
+@query(
+    "sink_review_view",
+    with_(
+        *ENRICHED_FROM,
+        recursive=f"{SCORED}, {ENRICHED}, {QUEUE}, {VIEW}",
+        body="""SELECT vod_id, CAST(cid AS INTEGER) AS candidate_id, round(score, 6) AS score, round(s, 6) AS start, round(e, 6) AS "end", title, '「當' || title || '…」' AS suggested_hook,
+                  concat_ws(',', CASE WHEN outro THEN 'outro' END, CASE WHEN intro THEN 'intro' END, CASE WHEN cue > 0 THEN 'clip_cue' END) AS flags,
+                  concat_ws('；', CASE WHEN cue > 0 THEN '觀眾剪輯 cue' END, CASE WHEN react > 0.05 THEN printf('彈幕反應 %.2f', react) END, CASE WHEN peak IS NOT NULL THEN printf('反應峰 t=%.0f（內容約前推 %.0fs）', peak, 30e0) END,
+                    CASE WHEN hits > 0 THEN printf('字幕關鍵字×%d', hits) END) AS why, samples, left(x, 700) AS transcript FROM vw""",
+    ),
+)
 def _(t):
     from clipmine.operators.reports import review_view
 
-    ranked = qu.ranked_candidates(t.recordings, DAY)
-    return review_view(qu.review_queue(ranked, DAY))
+    v = review_view(review_queue_of(t))
+    return v.select("vod_id", "candidate_id", r6("score").alias("score"), r6("start").alias("start"), r6("end").alias("end"), "title", "suggested_hook", "flags", "why", "samples", "transcript")
 
 
 @query("flow_arc_highlights")
