@@ -60,21 +60,46 @@ def excerpt(text, max_chars: int = 800) -> Column:
     return F.when(F.length(c) > max_chars, F.concat(F.left(c, F.lit(max_chars - 1)), F.lit("…"))).otherwise(c)
 
 
+def fixed(c, digits: int) -> Column:
+    """A number that isn't negative as text, rounded by its exact binary value (a tie to even), as `printf` does.
+
+    `format_string` rounds the shortest decimal instead: 0.015 lies below the tie and is `0.01` here, `0.02` there.
+    """
+    x = col(c).cast("double")
+    unit = F.lit(2**62).cast("decimal(20,0)")
+    # The fraction in units of 2^-62: exact, since scaling by a power of two is.
+    parts = F.struct(F.floor(x).cast("long").alias("whole"), ((x - F.floor(x)) * float(2**62)).cast("long").alias("part"))
+
+    def text(v: Column) -> Column:
+        scaled = v["part"].cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(7,0)")
+        down = F.call_function("div", scaled, unit)
+        twice = (scaled - down.cast("decimal(20,0)") * unit) * F.lit(2).cast("decimal(1,0)")
+        up = (twice > unit) | ((twice == unit) & (down % 2 == 1))
+        n = down + up.cast("long")
+        carry = n >= 10**digits
+        kept = F.when(carry, n - 10**digits).otherwise(n)
+        return F.concat((v["whole"] + carry.cast("long")).cast("string"), F.lit("."), F.lpad(kept.cast("string"), digits, "0"))
+
+    # From 2^53 on there is no fraction.
+    return F.when(x < float(2**53), let(parts, text)).otherwise(F.format_string(f"%.{digits}f", x))
+
+
 def reason(
     *, chat_density, chat_react, chat_cue, mean_zscore, keyword_hits, chat_kw_hits, emotion_score, speech_ratio
 ) -> Column:
     """Why a window scored: the non-zero features, in a fixed order."""
-    part = lambda c, fmt: F.when(col(c) > 0, F.format_string(fmt, col(c)))
+    part = lambda c, name, digits, unit="": F.when(col(c) > 0, F.concat(F.lit(name + " "), fixed(c, digits), F.lit(unit)))
+    count = lambda c, name: F.when(col(c) > 0, F.concat(F.lit(name + " "), col(c).cast("string")))
     return F.concat_ws(
         "、",
-        part(chat_density, "彈幕密度 %.3f/s"),
-        part(chat_react, "彈幕反應 %.2f"),
-        part(chat_cue, "剪輯 cue %.1f"),
-        part(mean_zscore, "音量 z %.2f"),
-        part(keyword_hits, "字幕關鍵字 %d"),
-        part(chat_kw_hits, "彈幕關鍵字 %d"),
-        part(emotion_score, "情緒峰值 %.2f"),
-        F.format_string("語音占比 %.2f", col(speech_ratio)),
+        part(chat_density, "彈幕密度", 3, "/s"),
+        part(chat_react, "彈幕反應", 2),
+        part(chat_cue, "剪輯 cue", 1),
+        part(mean_zscore, "音量 z", 2),
+        count(keyword_hits, "字幕關鍵字"),
+        count(chat_kw_hits, "彈幕關鍵字"),
+        part(emotion_score, "情緒峰值", 2),
+        F.concat(F.lit("語音占比 "), fixed(speech_ratio, 2)),
     )
 
 

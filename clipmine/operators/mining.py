@@ -98,13 +98,15 @@ def align_reference(
 
 
 def nearest_highlight(aligned: DataFrame, highlights: DataFrame, *, tolerance: float) -> DataFrame:
-    """The highlight whose bounds are closest to the aligned window, and whether both are within tolerance."""
+    """The highlight whose bounds are closest to the aligned window, and whether both are within tolerance.
+
+    Distances count at nine decimals, so that equal ones tie; the smaller id wins."""
     h = highlights.select("vod_id", F.col("id").alias("highlight_id"), F.col("start").alias("h0"), F.col("end").alias("h1"))
     ds, de = F.abs(F.col("h0") - F.col("start")), F.abs(F.col("h1") - F.col("end"))
     return (
         aligned.join(h, "vod_id")
         .groupBy("vod_id", "ref_id", "start", "end", "score")
-        .agg(F.min_by(F.struct("highlight_id", ds.alias("delta_start"), de.alias("delta_end")), F.struct(ds + de, "highlight_id")).alias("h"))
+        .agg(F.min_by(F.struct("highlight_id", ds.alias("delta_start"), de.alias("delta_end")), F.struct(F.round(ds + de, 9), "highlight_id")).alias("h"))
         .select("vod_id", "ref_id", "start", "end", "score", "h.*")
         .withColumn("pass", (F.col("delta_start") <= tolerance) & (F.col("delta_end") <= tolerance))
     )

@@ -205,7 +205,7 @@ def review_view(queue: DataFrame) -> DataFrame:
     why = F.concat_ws(
         "；",
         F.when(F.col("chat_cue") > 0, F.lit("觀眾剪輯 cue")),
-        F.when(F.col("chat_react") > 0.05, F.format_string("彈幕反應 %.2f", "chat_react")),
+        F.when(F.col("chat_react") > 0.05, F.concat(F.lit("彈幕反應 "), tx.fixed("chat_react", 2))),
         F.when(F.col("reaction_peak_t").isNotNull(), F.format_string("反應峰 t=%.0f（內容約前推 %.0fs）", "reaction_peak_t", "chat_lag_sec")),
         F.when(F.col("keyword_hits") > 0, F.format_string("字幕關鍵字×%d", "keyword_hits")),
     )

@@ -47,4 +47,4 @@ def balanced_join(
         .withColumn(SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1)))
         .drop("_splits")
     )
-    return left.join(right, [*keys, SALT]).drop(SALT)
+    return left.join(right.hint("merge"), [*keys, SALT]).drop(SALT)
