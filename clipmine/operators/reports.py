@@ -112,6 +112,7 @@ def job_progress(jobs: DataFrame, steps: DataFrame, highlights: DataFrame, outpu
     """Live status, percent done and remaining seconds per job.
 
     `jobs`: `job_id, status, duration_sec, allow_cpu, last_activity` (seconds); `now` is a parameter.
+    The seconds are rounded at six decimals before they are made whole, so that a sum's order can't move a half.
     """
     idle = F.lit(float(now)) - F.col("last_activity")
     live = (
@@ -147,7 +148,7 @@ def job_progress(jobs: DataFrame, steps: DataFrame, highlights: DataFrame, outpu
         .withColumn("live", live)
         .select(
             "job_id", F.col("live").alias("status"), F.coalesce("pct", F.lit(0.0)).alias("pct"),
-            F.when(F.col("live") == "running", F.rint(eta)).alias("eta_sec"),
+            F.when(F.col("live") == "running", F.rint(F.round(eta, 6))).alias("eta_sec"),
             F.when(F.col("live") == "running", F.col("running_step"))
             .when(F.col("live") == "failed", F.left(F.coalesce("error", F.lit("failed")), F.lit(160)))
             .otherwise(F.concat(F.col("steps_done").cast("string"), F.lit("/8"))).alias("detail"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clipmine.functions import text as tx
 from clipmine.operators import events as ev
 from clipmine.operators import mining as mi
+from clipmine.operators import reports as rp
 from clipmine.operators.joins import points_in_windows
 
 EMOTION = "vod_id string, peak_id long, t double, score double, kind string"
@@ -93,3 +94,13 @@ def test_equal_distances_take_the_smaller_id(spark):
     h = spark.createDataFrame([("v", 2, 0.3, 0.3), ("v", 0, 0.1, 0.5)], "vod_id string, id long, start double, end double")
     assert abs(0.1 + abs(0.5 - 0.3)) != 0.3
     assert mi.nearest_highlight(aligned, h, tolerance=1.0).select(F.col("highlight_id")).first()[0] == 0
+
+
+def test_halves_of_seconds_left_are_exact(spark):
+    jobs = spark.createDataFrame([("a", "running", 10.0, False, 0.0)], "job_id string, status string, duration_sec double, allow_cpu boolean, last_activity double")
+    done = spark.createDataFrame([("a", s, "done", None) for s in rp.STEPS[:3]], "job_id string, step string, status string, error string")
+    # 350 s in all, times 2.15: 752.5; the sum in doubles lies above it in every order of the steps.
+    lengths = [152.83, 133.88, 63.29]
+    clips = spark.createDataFrame([("a", i, 0.0, x) for i, x in enumerate(lengths)], "job_id string, id long, start double, end double").coalesce(1)
+    none = spark.createDataFrame([], "job_id string, step string")
+    assert rp.job_progress(jobs, done, clips, none, now=0.0).first().eta_sec == 752.0
