@@ -22,8 +22,9 @@ EPOCH = "TIMESTAMP '1970-01-01 00:00:00'"
 
 
 def source(t, name: str = "events") -> DataFrame:
-    schema = t.read(name).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.dir)
+    """The table as a stream, be it one file or a folder of files: a pattern that matches either, since a plain path of a
+    stream has to be a folder."""
+    return t.spark.readStream.schema(t.read(name).schema).parquet(f"{t.dir}/{name}.parque[t]")
 
 
 def chat_stream(t, *, ends: bool = True) -> DataFrame:
@@ -136,7 +137,10 @@ def _(t):
         # Rows arrive in change order within a reviewer's partition.
         batch.withColumn("change", F.monotonically_increasing_id()).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{base}/out/b={batch_id}")
 
-    q = stateful.review_states(e).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", base + "/cp").trigger(availableNow=True).start()
+    changes = stateful.review_states(e)
+    # An empty table starts no batch; the log is there all the same.
+    t.spark.createDataFrame([], changes.schema).withColumn("change", F.lit(0).cast("long")).withColumn("batch", F.lit(0)).write.parquet(f"{base}/out/b=-1")
+    q = changes.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", base + "/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     log = t.spark.read.parquet(base + "/out")
     last = log.groupBy("reviewer", "job_id", "n").agg(F.max_by(F.struct("total", "status", "submitted"), F.struct("batch", "change")).alias("s"))
