@@ -28,7 +28,7 @@ def _(t):
     ),
 )
 def _(t):
-    return jn.window_text(t.segments, t.clips, ids=["clip_id"], min_rows=2, share=1e-5).select("clip_id", "text")
+    return jn.window_text(t.segments, t.clips, ids=["clip_id"]).select("clip_id", "text")
 
 
 @query(

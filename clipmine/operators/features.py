@@ -117,7 +117,7 @@ def score_windows(
     """
     p = profile
     w = windows.select(*IDS, "start", "end")
-    text = window_text(segments, w, ids=["win_id"], **kw)
+    text = window_text(segments, w, ids=["win_id"])
     out = (
         speech_coverage(speech, windows, ids=["win_id"])
         .join(chat_features(marked, w, **kw), list(IDS), "left")
