@@ -7,9 +7,11 @@ A conversation is written once, turn after turn:
 Inside role and text the characters of the marks are escaped: `\\` as `\\\\`, `#` as `\\h`, `<` as `\\l`, and in the
 role also `:` as `\\c`; no mark can then occur in a text, and the escape is undone exactly. Every assistant turn
 becomes an example: all that stands before its text in the conversation is the context, the escaped text the only
-trainable part. An example is given as positions in the conversation (`context_chars`, `target_start`,
-`target_chars`), because writing out the contexts of one conversation with n turns takes n^2 text; `examples`
-writes them out.
+trainable part. `formatted` gives examples as positions in the conversation (`context_chars`, `target_start`,
+`target_chars`), `written` writes them out, each with its whole context, and `read_examples` rebuilds the conversations from
+nothing but the written examples. Contexts of one conversation with n turns take n^2 text, so they are written in pieces of
+`PIECE` characters from a file that holds the conversation so far: a task's memory doesn't grow with the conversation, its
+time does.
 
 Turns are taken in order of turn, role, text. Defined cases: a null text is empty; a null role is empty; null turns
 come first; a conversation without an assistant has no example; a null conv_id is a conversation of its own;
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,6 +33,10 @@ OPEN, CLOSE = "### ", " </turn>\n"
 TURNS = "conv_id long, place long, segment string, start long, example long, context_chars long, target_start long, target_chars long"
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, example_chars long"
 
+#: Characters of an example's context in one row, and in one batch of rows.
+PIECE, BATCH = 1 << 16, 1 << 21
+WRITTEN = "conv_id long, example long, part string, text string"
+
 _ESCAPES = {"\\": "\\\\", "#": "\\h", "<": "\\l", ":": "\\c"}
 _BACK = {v[1]: k for k, v in _ESCAPES.items()}
 _TEXT = str.maketrans({k: v for k, v in _ESCAPES.items() if k != ":"})
@@ -77,6 +84,129 @@ def formatted(turns: DataFrame) -> DataFrame:
     return in_order(turns).mapInArrow(write, TURNS)
 
 
+def written(output: DataFrame) -> DataFrame:
+    """The examples of `formatted` (a conversation's rows together and in order) written out, part by part.
+
+    `part` is `context` (all that stands before the target, in rows of at most `PIECE` characters), `target` (the trained
+    text, escaped) or, once at the end of each conversation and of no example, `rest`: what follows its last target.
+    """
+
+    def write(batches):
+        conv, text, done, rows, size = object(), None, 0, [], 0
+
+        def pieces(start: int):
+            text.seek(start)
+            return iter(lambda: text.read(PIECE), "")
+
+        def parts():
+            nonlocal conv, text, done
+            for batch in batches:
+                names = ("conv_id", "segment", "start", "example", "target_start", "target_chars")
+                for cid, segment, start, example, at, n in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                    if text is None or cid != conv:
+                        if text is not None:
+                            yield from rest()
+                        conv, done = cid, 0
+                        text = tempfile.SpooledTemporaryFile(1 << 20, "w+", encoding="utf-8", newline="")
+                    text.seek(0, 2)
+                    if example is None:
+                        text.write(segment)
+                        continue
+                    head = segment[: at - start]
+                    text.write(head)
+                    for piece in pieces(0):
+                        yield conv, example, "context", piece
+                    yield conv, example, "target", segment[at - start : at - start + n]
+                    text.seek(0, 2)
+                    text.write(segment[at - start : at - start + n])
+                    done = text.tell()
+                    text.write(segment[at - start + n :])
+            if text is not None:
+                yield from rest()
+
+        def rest():
+            for piece in pieces(done):
+                yield conv, None, "rest", piece
+            text.close()
+
+        for row in parts():
+            rows.append(row)
+            size += len(row[3])
+            if size >= BATCH or len(rows) >= 4096:
+                yield _batch(rows, schema)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows, schema)
+
+    schema = _arrow(WRITTEN)
+    return output.mapInArrow(write, WRITTEN)
+
+
+def read_examples(examples_: DataFrame) -> DataFrame:
+    """The columns of `read_back`, from examples as `written` leaves them.
+
+    A conversation is put together from what each context adds to the example before it, from targets and the rest; that a
+    context begins with the whole example before it is checked by its digest.
+    """
+    mark = re.compile(rf"{OPEN}([^:]*): (.*){CLOSE}", re.S)
+
+    class Conversation:
+        def __init__(self):
+            self.turns, self.loss, self.known = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+            self.n = self.chars = self.loss_chars = self.examples = self.example_chars = 0
+            self.open, self.context = "", None
+
+        def add(self, text: str) -> None:
+            """More of the conversation's text; whole turns are parsed and forgotten."""
+            self.chars += len(text)
+            self.known.update(text.encode())
+            *whole, self.open = (self.open + text).split(CLOSE)
+            for segment in whole:
+                role, said = mark.fullmatch(segment + CLOSE).groups()
+                self.n += 1
+                self.turns.update(f"{unescape(role)}\n{unescape(said)}\n".encode())
+
+        def take(self, part: str, text: str) -> None:
+            if part == "rest":
+                return self.add(text)
+            if self.context is None:  # an example begins
+                self.context = [0, self.chars, hashlib.sha256(), self.known.digest()]
+            at, before, seen, want = self.context
+            self.context[0] += len(text)
+            if part == "context":
+                old = text[: max(0, before - at)]
+                seen.update(old.encode())
+                return self.add(text[len(old) :])
+            if seen.digest() != want:
+                raise ValueError("an example's context doesn't begin with the example before it")
+            self.examples, self.example_chars, self.context = self.examples + 1, self.example_chars + self.context[0], None
+            reply = unescape(text)
+            self.loss_chars += len(reply)
+            self.loss.update(reply.encode())
+            self.add(text)
+
+        def row(self, conv) -> tuple:
+            return (conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.examples, self.example_chars)
+
+    def read(batches):
+        conv, state = None, None
+        for batch in batches:
+            out = []
+            for cid, part, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "part", "text")), strict=True):
+                if state is None or cid != conv:
+                    if state is not None:
+                        out.append(state.row(conv))
+                    conv, state = cid, Conversation()
+                state.take(part, text)
+            if out:
+                yield _batch(out, schema)
+        if state is not None:
+            yield _batch([state.row(conv)], schema)
+
+    schema = _arrow(READ)
+    return examples_.mapInArrow(read, READ)
+
+
 def examples(output: DataFrame) -> DataFrame:
     """Every example written out: conv_id, example, context, reply (texts as formatted)."""
     targets = output.where(F.col("example").isNotNull()).select("conv_id", "example", F.col("place").alias("at"), "target_start", "target_chars", F.col("start").alias("seg_start"), F.col("segment").alias("own"))

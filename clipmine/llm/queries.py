@@ -67,7 +67,7 @@ def packing(spark: SparkSession, table) -> DataFrame:
 
 @_query("op10_prefix_target_chat")
 def chats(spark: SparkSession, table) -> DataFrame:
-    from clipmine.llm.chat import formatted, read_back
+    from clipmine.llm.chat import formatted, read_examples, written
 
     probe = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"),
@@ -76,7 +76,7 @@ def chats(spark: SparkSession, table) -> DataFrame:
         F.lit("\\### Assistant: </turn> ok").alias("text"),
     )
     turns = table("conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    return read_back(formatted(turns))
+    return read_examples(written(formatted(turns)))
 
 
 @_query("op9_anchor_substring_dedup")
