@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipmine.functions import text as tx
 from clipmine.functions.spans import col, let, overlap_len
-from clipmine.operators.joins import overlapping_spans
+from clipmine.operators.cues import fresh_words, shown_text
 
 # Fixed values, begin: when a cue is the same one, and when its text was edited.
 MIN_SHARED_SEC = 0.15
@@ -18,6 +18,9 @@ EDIT_SHARE = 3
 # Fixed values, end.
 
 
+WORDS = "array<struct<text: string, is_kw: boolean, color: string>>"
+
+
 def shown(words) -> Column:
     """The text of words without line breaks."""
     return F.replace(tx.words_text(words), F.lit("\n"), F.lit(""))
@@ -77,35 +80,81 @@ def _timed(cues: DataFrame) -> Column:
     return F.coalesce(~F.isnan(a) & ~F.isnan(b) & (b > a), F.lit(False))
 
 
-def matches(old: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """`keys, cue_id, old_id`: the old cue that each fresh one takes over; an old cue serves once.
+def _old_arrays(old: DataFrame, keys: Sequence[str], styles: Sequence[str]) -> DataFrame:
+    """`old`: a clip's old cues as an array. An old cue without words is read from its text, marks included."""
+    words = F.col("words") if "words" in old.columns else F.lit(None).cast(WORDS)
+    given = F.coalesce(F.size(words), F.lit(0)) > 0
+    kept = [F.when(given, words).alias("words")] if "words" in old.columns else []
+    lists = old.groupBy(*keys).agg(F.collect_list(F.struct("cue_id", "start", "end", "vod_start", "vod_end", "text", *kept, *styles)).alias("old"))
+
+    def whole(o: Column) -> Column:
+        w = o["words"] if kept else F.lit(None).cast(WORDS)
+        marked = F.when(w.isNotNull(), F.exists(w, lambda x: x["is_kw"] | x["color"].isNotNull())).otherwise(F.coalesce(o["text"], F.lit("")).contains("**"))
+        plain = F.when(w.isNotNull(), shown(w)).otherwise(shown_text(o["text"]))
+        return F.struct(*[o[c].alias(c) for c in ("cue_id", "start", "end", "vod_start", "vod_end", "text")], w.alias("words"), plain.alias("plain"), F.coalesce(marked, F.lit(False)).alias("marked"), *[o[c].alias(c) for c in styles])
+
+    return lists.withColumn("old", F.transform("old", whole))
+
 
-    In order of start and id a fresh cue takes the free old one that it shares the most recording time with. Shared
-    times come from an interval join; only the choice among them is a fold over a clip's cues. Cues without
-    recording times are matched by equal text, the k-th with the k-th.
+def _timed(c: Column) -> Column:
+    a, b = c["vod_start"], c["vod_end"]
+    return F.coalesce(~F.isnan(a) & ~F.isnan(b) & (b > a), F.lit(False))
+
+
+def paired(fresh: Column, old: Column, plain: Callable[[Column], Column]) -> Column:
+    """An array of `f`, the fresh cues in order of start and id, and `o`, the old cue that each takes over; an old cue serves once.
+
+    A fresh cue takes the free old one that it shares the most recording time with. Cues without recording times are
+    matched by equal text (`plain` gives a fresh cue's), the k-th with the k-th.
     """
-    span = lambda df: df.where(_timed(df)).select(*keys, "cue_id", F.col("start").alias("at"), F.col("vod_start").alias("start"), F.col("vod_end").alias("end"))
-    pairs = overlapping_spans(span(old), span(fresh), keys=keys)
-    shared = overlap_len("start", "end", "w_start", "w_end")
-    wanted = pairs.withColumn("_n", shared).where(F.col("_n") >= MIN_SHARED_SEC).groupBy(*keys, F.col("w_at").alias("at"), F.col("w_cue_id").alias("cue_id")).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("less"), "at", F.col("cue_id").alias("id")))).alias("wanted")
-    )
-    clips = wanted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "cue_id", F.col("wanted.id").alias("ids")))).alias("x"))
-    taken = "struct<used: array<string>, pairs: array<struct<cue_id: string, old_id: string>>>"
-
-    def choose(state: Column, f: Column) -> Column:
-        def take(o: Column) -> Column:
-            pair = F.struct(f["cue_id"].alias("cue_id"), o.alias("old_id"))
-            return F.when(o.isNull(), state).otherwise(F.struct(F.concat(state["used"], F.array(o)).alias("used"), F.concat(state["pairs"], F.array(pair)).alias("pairs")).cast(taken))
-
-        return let(F.get(F.filter(f["ids"], lambda i: ~F.array_contains(state["used"], i)), F.lit(0)), take)
-
-    none = F.struct(F.array().alias("used"), F.array().alias("pairs")).cast(taken)
-    by_time = clips.select(*keys, F.explode(F.aggregate("x", none, choose, lambda s: s["pairs"])).alias("p")).select(*keys, "p.cue_id", "p.old_id")
-    nth = F.row_number().over(Window.partitionBy(*keys, "_text").orderBy("start", "cue_id"))
-    ranked = lambda df, name: df.where(~_timed(df)).withColumn("_text", shown("words")).where(F.col("_text") != "").select(*keys, "_text", nth.alias("_nth"), F.col("cue_id").alias(name))
-    by_text = ranked(fresh, "cue_id").join(ranked(old, "old_id"), [*keys, "_text", "_nth"]).select(*keys, "cue_id", "old_id")
-    return by_time.unionByName(by_text)
+    order = F.array_sort(F.transform(fresh, lambda f, i: F.struct(f["start"].alias("at"), f["cue_id"].alias("id"), i.alias("i"))))
+
+    def choose(state: Column, v: Column, f: Column) -> Column:
+        text = F.when(~_timed(f), plain(f))
+
+        def wish(o: Column, k: Column) -> Column:
+            n = overlap_len(f["vod_start"], f["vod_end"], o["vod_start"], o["vod_end"])
+            shares = F.when(_timed(f), _timed(o) & (n >= MIN_SHARED_SEC)).otherwise(~_timed(o) & (text != "") & (o["plain"] == text))
+            return F.when(shares, F.struct(F.when(_timed(f), -n).otherwise(0.0).alias("less"), o["start"].alias("at"), o["cue_id"].alias("id"), k.alias("k")))
+
+        free = F.filter(F.transform(v["old"], wish), lambda w: w.isNotNull() & ~F.array_contains(state, w["k"]))
+        return F.concat(state, F.array(F.coalesce(F.array_min(free)["k"], F.lit(-1))))
+
+    def all_of(v: Column) -> Column:
+        taken = F.aggregate(v["order"], F.array().cast("array<int>"), lambda s, x: let(F.get(v["fresh"], x["i"]), lambda f: choose(s, v, f)))
+        pair = lambda t: F.transform(t, lambda k, j: F.struct(F.get(v["fresh"], F.get(v["order"], j)["i"]).alias("f"), F.get(v["old"], k).alias("o")))
+        return let(taken, pair)
+
+    return let(F.struct(fresh.alias("fresh"), old.alias("old"), order.alias("order")), all_of)
+
+
+def _pairs(clips: DataFrame, keys: Sequence[str], plain: Callable[[Column], Column]) -> DataFrame:
+    """Clips with the arrays `fresh` and `old` to rows `f, o, known`; a clip without fresh cues gives its old ones."""
+    both = lambda: paired(F.col("fresh"), F.col("old"), plain)
+    none = clips.select(both().alias("p")).schema["p"].dataType.elementType
+    as_is = F.transform("old", lambda o: F.struct(F.lit(None).cast(none["f"].dataType).alias("f"), o.alias("o")))
+    p = F.when(F.coalesce(F.size("fresh"), F.lit(0)) <= 0, as_is).when(F.coalesce(F.size("old"), F.lit(0)) <= 0, F.transform("fresh", lambda f: F.struct(f.alias("f"), F.lit(None).cast(none["o"].dataType).alias("o")))).otherwise(both())
+    rest = [c for c in clips.columns if c not in (*keys, "fresh", "old")]
+    rows = clips.select(*keys, *rest, (F.size("old") > 0).alias("known"), F.explode_outer(p).alias("p")).where(F.col("p").isNotNull())
+    return rows.select(*keys, *rest, F.coalesce("known", F.lit(False)).alias("known"), "p.f", "p.o")
+
+
+def matches(old: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`keys, cue_id, old_id`: the old cue that each fresh one takes over (see `paired`). Cues come together once a clip."""
+    new = fresh.withColumn("plain", shown("words")).groupBy(*keys).agg(F.collect_list(F.struct("cue_id", "start", "vod_start", "vod_end", "plain")).alias("fresh"))
+    clips = new.join(_old_arrays(old, keys, []), list(keys))
+    rows = _pairs(clips, keys, lambda f: f["plain"]).where(F.col("f").isNotNull() & F.col("o").isNotNull())
+    return rows.select(*keys, "f.cue_id", F.col("o.cue_id").alias("old_id"))
+
+
+def _edits(rows: DataFrame, words: Column, plain: Column) -> tuple[Column, Column, Column]:
+    """Of rows `f, o`: whether the text was edited, the old cue's words, and the fresh ones with its marks."""
+    before, now = F.length("o.plain"), F.length(plain)
+    edited = F.col("f").isNotNull() & (before > 0) & (F.col("o.plain") != plain) & (F.abs(before - now) <= F.greatest(F.lit(EDIT_CHARS), F.floor(now / EDIT_SHARE)))
+    own = F.coalesce(F.col("o.words"), tx.parse_markup("o.text").cast(WORDS))
+    # Bound, as both are made from texts and read several times.
+    carried = let(F.struct(words.alias("base"), own.alias("old")), lambda v: carried_marks(v["base"], v["old"]))
+    return F.coalesce(edited, F.lit(False)), own, carried
 
 
 def merge_cue_edits(old: DataFrame, fresh: DataFrame, keys: Sequence[str] = ("vod_id", "clip_id")) -> DataFrame:
@@ -113,18 +162,31 @@ def merge_cue_edits(old: DataFrame, fresh: DataFrame, keys: Sequence[str] = ("vo
     that only old cues have. A clip without old cues keeps its fresh ones as they are, one without fresh cues its old ones."""
     styles = [c for c in old.columns if c not in fresh.columns]
     types = dict(fresh.dtypes)
-    # An old cue without words is read from its text, marks included.
-    old = old.withColumn("words", F.coalesce(F.when(F.size("words") > 0, F.col("words")), tx.parse_markup("text").cast(types["words"])))
-    taken = old.select(*keys, F.col("cue_id").alias("old_id"), F.col("words").alias("_words"), F.col("text").alias("_text"), *styles)
-    known = old.select(*keys, F.lit(True).alias("_known")).distinct()
-    rows = fresh.join(matches(old, fresh, keys), [*keys, "cue_id"], "left").join(taken, [*keys, "old_id"], "left").join(known, list(keys), "left")
-    before, now = F.length(shown("_words")), F.length(shown("words"))
-    edited = (before > 0) & (shown("_words") != shown("words")) & (F.abs(before - now) <= F.greatest(F.lit(EDIT_CHARS), F.floor(now / EDIT_SHARE)))
-    edited = F.coalesce(edited, F.lit(False))
-    words = F.when(edited, F.col("_words")).when(F.col("old_id").isNotNull(), carried_marks("words", "_words")).otherwise(F.col("words"))
-    out = rows.withColumn("_edited", edited).withColumn("words", words.cast(types["words"]))
-    own = F.when(F.col("_known"), tx.to_markup("words")).otherwise(F.col("text"))
-    text = F.when(F.col("_edited"), F.coalesce(F.nullif(F.col("_text"), F.lit("")), "text")).otherwise(own)
-    merged = out.withColumn("text", text).select(*fresh.columns, *styles)
-    alone = old.join(fresh.select(*keys).distinct(), list(keys), "left_anti").select(*fresh.columns, *styles)
-    return merged.unionByName(alone)
+    lone = [c for c in fresh.columns if c not in keys and c not in ("cue_id", "start", "end", "vod_start", "vod_end", "text", "words")]
+    cue = F.struct(*[c for c in fresh.columns if c not in keys], shown("words").alias("plain"))
+    clips = fresh.groupBy(*keys).agg(F.collect_list(cue).alias("fresh")).join(_old_arrays(old, keys, [*lone, *styles]), list(keys), "full")
+    rows = _pairs(clips, keys, lambda f: f["plain"])
+    edited, own, carried = _edits(rows, F.col("f.words").cast(WORDS), F.col("f.plain"))
+    alone = F.col("f").isNull()
+    words = F.when(alone | edited, own).when(F.col("o.marked"), carried).otherwise(F.col("f.words").cast(WORDS))
+    out = rows.withColumns({"_words": words, "_edited": edited})
+    kept = F.when(F.col("known"), tx.to_markup("_words")).otherwise(F.col("f.text"))
+    text = F.when(alone, F.col("o.text")).when(F.col("_edited"), F.coalesce(F.nullif(F.col("o.text"), F.lit("")), "f.text")).otherwise(kept)
+    made = {"words": F.col("_words").cast(types["words"]), "text": text}
+    pick = lambda c: made.get(c, F.when(alone, F.col("o")[c]).otherwise(F.col("f")[c])).alias(c)
+    return out.select(*[c if c in keys else pick(c) for c in fresh.columns], *[F.col("o")[c].alias(c) for c in styles])
+
+
+def rebuilt_cues(old: DataFrame, clips: DataFrame, keywords: Sequence[str], keys: Sequence[str] = ("vod_id", "clip_id")) -> DataFrame:
+    """As `merge_cue_edits` for the clips of `cues.transcript_of_clips`, with their `longest`. Words are made from the text where
+    they are needed only, so that what is shuffled and what most rows cost is their text."""
+    columns = ["cue_id", "start", "end", "vod_start", "vod_end"]
+    styles = [c for c in old.columns if c not in (*keys, *columns, "words", "text")]
+    rows = _pairs(clips.drop("_axis").join(_old_arrays(old, keys, styles), list(keys), "left"), keys, lambda f: shown_text(f["raw"]))
+    fresh = fresh_words("f.raw", keywords).cast(WORDS)
+    edited, own, carried = _edits(rows, fresh, shown_text("f.raw"))
+    alone, same = F.col("f").isNull(), ~F.coalesce(F.col("o.marked"), F.lit(False))
+    words = F.when(alone | edited, own).when(same, fresh).otherwise(carried)
+    text = F.when(alone, F.col("o.text")).when(edited, F.coalesce(F.nullif(F.col("o.text"), F.lit("")), "f.text")).when(same, F.col("f.text")).otherwise(tx.to_markup(carried))
+    pick = lambda c: F.when(alone, F.col("o")[c]).otherwise(F.col("f")[c]).alias(c)
+    return rows.select(*keys, "longest", *[pick(c) for c in columns], words.alias("words"), text.alias("text"), *[F.col("o")[c].alias(c) for c in styles])
