@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from clipmine.catalog import query
 from clipmine.catalog.tables import DAY, merge_sql, with_
+from clipmine.functions.spans import let
 from clipmine.operators import edit as ed
 from clipmine.operators import intervals as iv
 from clipmine.operators import joins as jn
@@ -325,13 +326,16 @@ def trims(t):
         F.when(F.col("clip_id") % 2 == 0, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(0), F.lit(0))).alias("play_order"),
     )
     w = iv.padded_window(c)
-    inside = jn.points_in_windows(
-        t.events.where(F.col("message") == "error").select("vod_id", "seq", "t", "value"),
-        w.select("vod_id", "clip_id", F.col("win_start").alias("start"), F.col("win_end").alias("end")),
-    )
-    at = F.col("t") - F.col("w_start")
-    cuts = inside.select("vod_id", F.col("w_clip_id").alias("clip_id"), at.alias("start"), (at + F.col("value") / 10.0).alias("end"))
-    return c, cuts
+    errors = t.events.where(F.col("message") == "error").select("vod_id", "seq", F.col("t").alias("start"), (F.col("t") + F.col("value") / 10.0).alias("end"), "value")
+    near = jn.near_spans(w.drop("start", "end").withColumnsRenamed({"win_start": "start", "win_end": "end"}), errors, order=["seq"])
+    at = lambda x: x["start"] - F.col("start")
+    cuts = F.transform(F.filter("_near", lambda x: x["start"] >= F.col("start")), lambda x: F.struct(at(x).alias("start"), (at(x) + x["value"] / 10.0).alias("end")))
+    return c, near.withColumn("_cuts", cuts).drop("_near")
+
+
+def pieces(w):
+    """What the cuts leave of each padded window: cuts come as an array of the window, so no pair of both is shuffled."""
+    return w.withColumn("_pieces", let(iv.clamped_spans(F.col("_cuts"), F.col("dur")), lambda m: iv.remaining(m, F.col("dur"))))
 
 
 TRIM = """pw AS (SELECT vod_id, clip_id, s, e, least(60, clip_id % 90, s) AS pb, least(60, clip_id % 70, greatest(0e0, 86400 - e)) AS pa FROM clips),
@@ -360,10 +364,8 @@ def _(t):
     with_("clips", "ev", body='SELECT clip_id, round(s, 6) AS start, round(e, 6) AS "end" FROM piece', recursive=TRIM),
 )
 def _(t):
-    c, cuts = trims(t)
-    w = iv.padded_window(c)
-    keys = ["vod_id", "clip_id"]
-    return iv.complement(w, iv.clamp_cuts(cuts, w, keys), keys).select("clip_id", r6("start").alias("start"), r6("end").alias("end"))
+    p = pieces(trims(t)[1]).select("clip_id", F.explode_outer("_pieces").alias("p")).where(F.col("p").isNotNull())
+    return p.select("clip_id", r6("p.start").alias("start"), r6("p.end").alias("end"))
 
 
 @query(
@@ -375,14 +377,8 @@ def _(t):
     ),
 )
 def _(t):
-    from pyspark.sql import Window
-
-    c, cuts = trims(t)
-    w = iv.padded_window(c)
-    keys = ["vod_id", "clip_id"]
-    o = iv.play_order(iv.complement(w, iv.clamp_cuts(cuts, w, keys), keys), c)
-    piece = F.row_number().over(Window.partitionBy(*keys).orderBy("start")) - 1
-    return o.select("clip_id", piece.alias("piece"), "ord")
+    p = pieces(trims(t)[1]).select("clip_id", "play_order", F.size("_pieces").alias("n"), F.posexplode_outer("_pieces").alias("piece", "p")).where(F.col("p").isNotNull())
+    return p.select("clip_id", "piece", iv.place_of(F.col("piece"), F.col("n"), F.col("play_order")).alias("ord"))
 
 
 # --- suggested bounds ----------------------------------------------------------------------------

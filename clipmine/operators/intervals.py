@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipmine.functions.spans import py_round
+from clipmine.functions.spans import let, py_round
 from clipmine.operators.joins import overlapping_spans, points_in_windows
 
 
@@ -43,30 +43,54 @@ def merge_intervals(iv: DataFrame, gap: float, keys: Sequence[str] = ("vod_id",)
     )
 
 
+SPANS = "array<struct<start: double, end: double>>"
+
+
+def merged_spans(spans: Column) -> Column:
+    """The spans of an array, in order of their starts, joined where they meet: as `merge_intervals` without a gap."""
+    kind = f"struct<done: {SPANS}, start: double, end: double>"
+    state = lambda done, a, b: F.struct(done.alias("done"), a.alias("start"), b.alias("end")).cast(kind)
+    grown = lambda s: F.concat(s["done"], F.array(_span(s["start"], s["end"])))
+
+    def step(s: Column, x: Column) -> Column:
+        return (
+            F.when(s["end"].isNull(), state(s["done"], x["start"], x["end"]))
+            .when(x["start"] - s["end"] > 0, state(grown(s), x["start"], x["end"]))
+            .otherwise(state(s["done"], s["start"], F.greatest(s["end"], x["end"])))
+        )
+
+    none = F.lit(None).cast("double")
+    return F.aggregate(F.array_sort(spans), state(F.array().cast(SPANS), none, none), step, lambda s: F.when(s["end"].isNull(), s["done"]).otherwise(grown(s)))
+
+
+def remaining(cuts: Column, dur: Column, *, min_len: float = 0.05) -> Column:
+    """What is left of `[0, dur)` without the merged spans of an array, as an array."""
+    at = F.concat(F.array(F.lit(0.0)), F.transform(cuts, lambda x: x["end"]))
+    upto = F.concat(F.transform(cuts, lambda x: F.least(x["start"], dur)), F.array(dur.cast("double")))
+    return F.filter(F.zip_with(at, upto, _span), lambda p: p["end"] - p["start"] >= min_len)
+
+
+def clamped_spans(cuts: Column, dur: Column) -> Column:
+    """Spans clamped into `[0, dur]`, tiny ones dropped, at three decimals, merged where they touch."""
+    inside = lambda t: F.least(F.greatest(F.lit(0.0), t), dur)
+    kept = F.filter(F.transform(cuts, lambda x: _span(inside(x["start"]), inside(x["end"]))), lambda x: x["end"] - x["start"] >= 0.05)
+    return merged_spans(F.transform(kept, lambda x: _span(py_round(x["start"], 3), py_round(x["end"], 3))))
+
+
+def _cuts_of(windows: DataFrame, cuts: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Each window's `dur` and its cuts, as an array `_c`."""
+    lists = cuts.groupBy(*keys).agg(F.collect_list(_span(F.col("start"), F.col("end"))).alias("_c"))
+    return windows.select(*keys, "dur").join(lists, list(keys), how).withColumn("_c", F.coalesce("_c", F.array().cast(SPANS)))
+
+
+def _rows(df: DataFrame, keys: Sequence[str], spans: Column) -> DataFrame:
+    return df.select(*keys, F.explode_outer(spans).alias("p")).where(F.col("p").isNotNull()).select(*keys, "p.start", "p.end")
+
+
 def complement(windows: DataFrame, cuts: DataFrame, keys: Sequence[str], *, min_len: float = 0.05) -> DataFrame:
     """What is left of each window `[0, dur)` after removing its cuts; pieces of at least `min_len`."""
-    merged = merge_intervals(cuts.where(F.col("end") > F.col("start")), 0.0, keys)
-    order = Window.partitionBy(*keys).orderBy("start")
-    last = F.lead("start").over(order).isNull()
-    gaps = (
-        merged.withColumn("_prev", F.coalesce(F.lag("end").over(order), F.lit(0.0)))
-        .withColumn("_last", last)
-        .join(windows.select(*keys, "dur"), list(keys))
-        .select(
-            *keys,
-            F.explode(
-                F.when(
-                    F.col("_last"),
-                    F.array(_span(F.col("_prev"), F.least("start", "dur")), _span(F.col("end"), F.col("dur"))),
-                ).otherwise(F.array(_span(F.col("_prev"), F.least("start", "dur"))))
-            ).alias("p"),
-        )
-        .select(*keys, "p.start", "p.end")
-    )
-    untouched = windows.join(merged, list(keys), "left_anti").select(
-        *keys, F.lit(0.0).alias("start"), F.col("dur").cast("double").alias("end")
-    )
-    return gaps.unionByName(untouched).where(F.col("end") - F.col("start") >= min_len)
+    c = _cuts_of(windows, cuts.where(F.col("end") > F.col("start")), keys, "left")
+    return _rows(c, keys, let(merged_spans(F.col("_c")), lambda m: remaining(m, F.col("dur"), min_len=min_len)))
 
 
 def _span(a: Column, b: Column) -> Column:
@@ -97,11 +121,13 @@ def play_order(pieces: DataFrame, orders: DataFrame, keys: Sequence[str] = ("vod
     idx = F.row_number().over(by_time) - 1
     n = F.count(F.lit(1)).over(whole)
     p = pieces.withColumn("_idx", idx).withColumn("_n", n).join(orders.select(*keys, "play_order"), list(keys), "left")
-    valid = F.coalesce(
-        F.sort_array("play_order") == F.sequence(F.lit(0), F.col("_n").cast("int") - 1), F.lit(False)
-    )
-    pos = F.when(valid, F.array_position("play_order", F.col("_idx")).cast("int") - 1).otherwise(F.col("_idx"))
-    return p.withColumn("ord", pos.cast("int")).drop("_idx", "_n", "play_order")
+    return p.withColumn("ord", place_of(F.col("_idx"), F.col("_n"), F.col("play_order"))).drop("_idx", "_n", "play_order")
+
+
+def place_of(idx: Column, n: Column, order: Column) -> Column:
+    """Where the piece `idx` of `n` is played; an `order` that isn't a permutation means in order of time."""
+    valid = F.coalesce(F.sort_array(order) == F.sequence(F.lit(0), n.cast("int") - 1), F.lit(False))
+    return F.when(valid, F.array_position(order, idx).cast("int") - 1).otherwise(idx).cast("int")
 
 
 def cut_offsets(cuts: DataFrame, keys: Sequence[str] = ("vod_id", "clip_id")) -> DataFrame:
@@ -258,9 +284,4 @@ def padded_window(spans: DataFrame, *, pad_max: float = 60.0) -> DataFrame:
 
 def clamp_cuts(cuts: DataFrame, windows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cuts clamped into their window (`dur`), tiny ones dropped, three decimals, merged when touching."""
-    inside = lambda c: F.least(F.greatest(F.lit(0.0), F.col(c)), F.col("dur"))
-    c = cuts.join(windows.select(*keys, "dur"), list(keys)).select(*keys, inside("start").alias("start"), inside("end").alias("end"))
-    c = c.where(F.col("end") - F.col("start") >= 0.05).select(
-        *keys, py_round("start", 3).alias("start"), py_round("end", 3).alias("end")
-    )
-    return merge_intervals(c, 0.0, keys)
+    return _rows(_cuts_of(windows, cuts, keys, "inner"), keys, clamped_spans(F.col("_c"), F.col("dur")))
