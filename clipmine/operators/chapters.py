@@ -25,10 +25,10 @@ def _blocks(vods: DataFrame, block_sec: float) -> DataFrame:
 
 
 def _span_pairs(segments: DataFrame, spans: DataFrame, span_id: str, char_class: str) -> DataFrame:
-    """Character pairs of the text of each span: `vod_id, span_id, gram, ord`.
+    """Character pairs of the segments of each span: `vod_id, span_id, grams, at`.
 
     The pair across two neighbouring segments is found from the previous segment's last character,
-    so no span's text is ever put together in one place. `ord` orders the pairs.
+    so no span's text is ever put together in one place. `at` is a number below which all pairs of earlier segments have theirs.
     """
     s = segments.select("vod_id", "seg_id", "start", "end", tx.only_chars("text", char_class).alias("chars"))
     s = s.where(F.col("chars") != "")
@@ -36,13 +36,11 @@ def _span_pairs(segments: DataFrame, spans: DataFrame, span_id: str, char_class:
     flat = pairs.select("vod_id", F.col("w_" + span_id).alias(span_id), "seg_id", "chars")
     order = Window.partitionBy("vod_id", span_id).orderBy("seg_id")
     lead_in = F.coalesce(F.right(F.lag("chars").over(order), F.lit(1)), F.lit(""))
-    text = flat.withColumn("chars", tx.characters(F.concat(lead_in, "chars"))).where(F.size("chars") >= 2)
-    grams = F.transform(
-        F.sequence(F.lit(0), F.size("chars") - 2), lambda i: F.concat(F.get("chars", i), F.get("chars", i + 1))
-    )
-    return text.select("vod_id", span_id, "seg_id", F.posexplode_outer(grams).alias("pos", "gram")).where(F.col("gram").isNotNull()).select(
-        "vod_id", span_id, "gram", F.struct("seg_id", "pos").alias("ord")
-    )
+    before = F.coalesce(F.sum(F.length("chars")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    text = flat.select("vod_id", span_id, F.concat(lead_in, "chars").alias("chars"), before.alias("at")).where(F.length("chars") >= 2)
+    # A look-ahead takes a pair at every character, in one pass of the pattern engine.
+    grams = F.regexp_extract_all("chars", F.lit("(?s)(?=(..))"), F.lit(1))
+    return text.select("vod_id", span_id, grams.alias("grams"), "at")
 
 
 def topic_chapters(
@@ -57,7 +55,9 @@ def topic_chapters(
     blocks = _blocks(vods, block_sec)
     # The rows of a block are together already (for the pair across segments), so its set needs no
     # further shuffle; a set is bounded by the alphabet's pairs, not by the rows.
-    sets = _span_pairs(segments, blocks, "block", char_class).groupBy("vod_id", "block").agg(F.collect_set("gram").alias("g"))
+    sets = _span_pairs(segments, blocks, "block", char_class).groupBy("vod_id", "block").agg(
+        F.array_distinct(F.flatten(F.collect_list(F.array_distinct("grams")))).alias("g")
+    )
     order = Window.partitionBy("vod_id").orderBy("block")
     steps = sets.withColumn("_prev", F.lag("g").over(order)).withColumn("_sim", tx.jaccard("g", "_prev"))
     cuts = steps.where(F.col("_prev").isNotNull() & (F.col("_sim") < threshold)).select("vod_id", "block", F.lit(1).alias("cut"))
@@ -107,8 +107,9 @@ def chapter_titles(
         .agg(F.array_sort(F.collect_list(F.struct("seg_id", "text"))).alias("_p"))
         .select("vod_id", "id", F.left(F.array_join(F.transform("_p", lambda p: p["text"]), ""), F.lit(max_chars)).alias("_head"))
     )
-    grams = _span_pairs(segments, chapters, "id", char_class)
-    counts = grams.groupBy("vod_id", "id", "gram").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
+    grams = _span_pairs(segments, chapters, "id", char_class).select("vod_id", "id", "at", F.posexplode_outer("grams").alias("pos", "gram")).where(F.col("gram").isNotNull())
+    # Places are numbers, not structs, so that they are counted by hash and never sorted.
+    counts = grams.groupBy("vod_id", "id", "gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("at") + F.col("pos")).alias("first"))
     top = counts.groupBy("vod_id", "id").agg(
         F.sum("n").alias("_total"),
         F.min_by(F.struct("gram", "n"), F.struct(-F.col("n"), F.col("first"))).alias("_g"),
