@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clipmine import lexicon
 from clipmine.functions import text as tx
+from clipmine.functions.spans import let
 from clipmine.functions.spans import py_round
 
 
@@ -61,8 +62,8 @@ def align_reference(
 ) -> DataFrame:
     """Slide each reference text (`vod_id, ref_id, ref_text, ref_dur`) over its recording's transcript.
 
-    Returns the first best window by bigram Jaccard. Shared pairs are found by an equi-join on the
-    pair itself, so windows that share nothing with the reference never meet it.
+    Returns the first best window by bigram Jaccard. Pairs of characters are compared where a window's text is put together;
+    none is ever shuffled.
     """
     from clipmine.operators.joins import window_text
 
@@ -72,23 +73,20 @@ def align_reference(
     starts = (
         references.join(bounds, "vod_id")
         .where(F.col("m1") > F.col("m0"))
-        .select("vod_id", "ref_id", "m0", "m1", dur.alias("dur"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+        .select("vod_id", "ref_id", "ref_text", "m0", "m1", dur.alias("dur"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
         .withColumn("start", F.col("m0") + F.col("i") * step)
         .where(F.col("start") < F.col("m1"))
         .withColumn("end", F.least("m1", F.col("start") + F.col("dur")))
     )
-    text = window_text(segments, starts, ids=["ref_id", "i"])
-    grams = text.select("vod_id", "ref_id", "i", tx.alignment_bigrams("text").alias("g"))
-    sized = grams.select("vod_id", "ref_id", "i", F.size("g").alias("size"), F.explode_outer("g").alias("gram")).where(F.col("gram").isNotNull())
-    ref = references.select("vod_id", "ref_id", tx.alignment_bigrams("ref_text").alias("g"))
-    ref = ref.select("vod_id", "ref_id", F.size("g").alias("ref_size"), F.explode_outer("g").alias("gram")).where(F.col("gram").isNotNull())
-    shared = (
-        sized.join(ref, ["vod_id", "ref_id", "gram"])
-        .groupBy("vod_id", "ref_id", "i", "size", "ref_size")
-        .agg(F.count(F.lit(1)).alias("both"))
-        .select("vod_id", "ref_id", "i", (F.col("both") / (F.col("size") + F.col("ref_size") - F.col("both"))).alias("score"))
-    )
-    best = shared.groupBy("vod_id", "ref_id").agg(F.max_by(F.struct("i", "score"), F.struct("score", -F.col("i"))).alias("b"))
+    # A window belongs to one reference, so it takes that text along and both sets of pairs meet within its row.
+    rows = starts.select("vod_id", "ref_id", "i", "ref_text", "start", "end")
+    text = window_text(segments, rows, ids=["ref_id", "i", "ref_text"])
+    # Bound, so that both sets are made once a row.
+    sets = F.struct(tx.alignment_bigrams("text").alias("a"), tx.alignment_bigrams("ref_text").alias("b"))
+    score = let(sets, lambda v: let(F.size(F.array_intersect(v["a"], v["b"])), lambda n: F.try_divide(n, F.size(v["a"]) + F.size(v["b"]) - n)))
+    scored = text.select("vod_id", "ref_id", "i", score.alias("score"))
+    # A window that shares nothing isn't the best one of any reference.
+    best = scored.groupBy("vod_id", "ref_id").agg(F.max_by(F.struct("i", "score"), F.when(F.col("score") > 0, F.struct("score", -F.col("i")))).alias("b"))
     first = starts.where("i = 0").select("vod_id", "ref_id", "m0", "m1", "dur")
     start = F.col("m0") + F.coalesce("b.i", F.lit(0)) * step
     return first.join(best, ["vod_id", "ref_id"], "left").select(
