@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from clipmine.functions import text as tx
 from clipmine.functions.spans import py_round
@@ -48,27 +51,28 @@ def subtitle_quality(events: DataFrame, keys: Sequence[str] = ("vod_id", "clip_i
     )
 
 
+@F.pandas_udf(LongType())
+def cut_tokens(lines: pd.Series, tokens: pd.Series) -> pd.Series:
+    """How many tokens the end of a line, but the last one, falls into. Lines and tokens are given by their lengths."""
+
+    def one(a, b):
+        inner, ends = np.cumsum(a)[:-1], np.cumsum(b)
+        at = np.searchsorted(ends, inner)
+        at = at[at < len(ends)] if len(ends) == 0 else at[(at < len(ends)) & (ends[np.minimum(at, len(ends) - 1)] != inner)]
+        return len(np.unique(at))
+
+    return pd.Series([0 if a is None or b is None else one(a, b) for a, b in zip(lines, tokens)], dtype="int64")
+
+
 def mid_word_cuts(events: DataFrame, tokens: str, keys: Sequence[str] = ("vod_id", "clip_id")) -> DataFrame:
     """Tokens (of the text without breaks) that a line break falls into, per clip; 0 for a clip without a break."""
     parts = F.filter(F.transform(F.split(tx.strip_tags("text"), r"\\N"), tx.strip), lambda p: p != "")
-    ends = lambda arr: F.aggregate(
-        arr, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x)))
-    )
     words = F.filter(F.col(tokens), lambda t: tx.strip(t) != "")
-    broken = F.col("text").contains("\\N") & (F.size("_lines") >= 3) & (F.size("_words") >= 2)
-    inner = F.slice("_lines", F.lit(2), F.greatest(F.lit(0), F.size("_lines") - 2))
-    cut = F.size(
-        F.filter(
-            F.sequence(F.lit(0), F.size("_words") - 2),
-            lambda i: F.exists("_inner", lambda b: (b > F.get("_words", i)) & (b < F.get("_words", i + 1))),
-        )
-    )
+    sizes = lambda arr: F.transform(arr, lambda x: F.length(x))
     return (
-        events.withColumn("_lines", ends(parts))
-        .withColumn("_words", ends(words))
-        .withColumn("_inner", inner)
+        events.select(*keys, F.col("text").contains("\\N").alias("_has"), cut_tokens(sizes(parts), sizes(words)).alias("_cut"))
         .groupBy(*keys)
-        .agg(F.sum(F.when(broken, cut).otherwise(0)).alias("mid_word_cuts"))
+        .agg(F.sum(F.when(F.col("_has"), F.col("_cut")).otherwise(0)).alias("mid_word_cuts"))
     )
 
 
