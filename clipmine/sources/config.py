@@ -57,8 +57,9 @@ def alias_of(urls: DataFrame, aliases: DataFrame, *, url: str = "url") -> DataFr
     """Add `alias`: the first known video id contained in the URL (`aliases`: `ord, video_id, alias`).
 
     Ids are looked up by equality after cutting the URL into its id-like pieces, not by testing every
-    id against every URL.
+    id against every URL. Each id keeps its first alias before that, so an id listed many times meets a URL once.
     """
+    first = aliases.groupBy("video_id").agg(F.min("ord").alias("ord"), F.min_by("alias", "ord").alias("alias"))
     pieces = urls.select(url, F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(url), F.lit("")), F.lit(r"[A-Za-z0-9_-]{6,}"), 0))).alias("video_id"))
-    hit = pieces.distinct().join(aliases, "video_id").groupBy(url).agg(F.min_by("alias", "ord").alias("alias"))
+    hit = pieces.distinct().join(first, "video_id").groupBy(url).agg(F.min_by("alias", "ord").alias("alias"))
     return urls.join(hit, url, "left")
