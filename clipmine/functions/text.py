@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import partial, reduce
 from typing import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
@@ -266,39 +266,42 @@ def _mark(text, is_kw, color=None) -> Column:
 def parse_markup(text) -> Column:
     """`a**bc**` to one element per character, `bc` flagged; a break is never flagged."""
     raw = F.replace(F.coalesce(col(text), F.lit("")), F.lit("\\n"), F.lit("\n"))
-    tokens = F.regexp_extract_all(raw, F.lit(r"(?s)(\*\*[^\n]+?\*\*|.)"), 1)
-    marked = lambda t: (F.length(t) > 4) & t.startswith("**") & t.endswith("**")
-    chars = F.flatten(
-        F.transform(
-            tokens,
-            lambda t: F.when(
-                marked(t),
-                F.transform(characters(F.substr(t, F.lit(3), F.length(t) - 4)), lambda ch: _mark(ch, F.lit(True))),
-            ).otherwise(F.array(_mark(t, F.lit(False)))),
+    marked = lambda t: (F.length(t) > 4) & t.startswith("**") & t.endswith("**")
+
+    def with_marks(r):
+        tokens = F.regexp_extract_all(r, F.lit(r"(?s)(\*\*[^\n]+?\*\*|.)"), 1)
+        return F.flatten(
+            F.transform(
+                tokens,
+                lambda t: F.when(
+                    marked(t),
+                    F.transform(characters(F.substr(t, F.lit(3), F.length(t) - 4)), lambda ch: _mark(ch, F.lit(True))),
+                ).otherwise(F.array(_mark(t, F.lit(False)))),
+            )
         )
-    )
-    return F.filter(chars, lambda w: w["text"] != "\r")
+
+    def parse(r):
+        chars = F.when(r.contains("**"), with_marks(r)).otherwise(F.transform(F.split(r, ""), lambda ch: _mark(ch, F.lit(False))))
+        return F.when(r.contains("\r"), F.filter(chars, lambda w: w["text"] != "\r")).when(r == "", F.slice(chars, 1, 0)).otherwise(chars)
+
+    return let(raw, parse)
 
 
 def to_markup(words) -> Column:
     """Inverse of `parse_markup`: `**` around each run of flagged words."""
     kept = F.filter(F.coalesce(col(words), F.array()), lambda w: F.coalesce(w["text"], F.lit("")) != "")
 
+    shown = lambda w: F.when(w["text"] == "\n", F.lit("\\n")).otherwise(w["text"])
+
     def render(ws):
-        flagged = lambda i: F.coalesce(F.get(ws, i)["is_kw"] & (F.get(ws, i)["text"] != "\n"), F.lit(False))
-        return F.array_join(
-            F.transform(
-                ws,
-                lambda w, i: F.when(w["text"] == "\n", F.lit("\\n")).otherwise(
-                    F.concat(
-                        F.when(flagged(i) & ((i == 0) | ~flagged(i - 1)), F.lit("**")).otherwise(""),
-                        w["text"],
-                        F.when(flagged(i) & ~flagged(i + 1), F.lit("**")).otherwise(""),
-                    )
-                ),
-            ),
-            "",
-        )
+        flags = F.transform(ws, lambda w: F.coalesce(w["is_kw"] & (w["text"] != "\n"), F.lit(False)))
+        at = lambda fs, i: F.coalesce(F.get(fs, i), F.lit(False))
+
+        def word(fs, w, i):
+            return F.when(at(fs, i), F.concat(F.when(at(fs, i - 1), "").otherwise(F.lit("**")), w["text"], F.when(at(fs, i + 1), "").otherwise(F.lit("**")))).otherwise(shown(w))
+
+        marked = let(flags, lambda fs: F.array_join(F.transform(ws, lambda w, i: word(fs, w, i)), ""))
+        return F.when(F.exists(ws, lambda w: F.coalesce(w["is_kw"], F.lit(False))), marked).otherwise(F.array_join(F.transform(ws, shown), ""))
 
     return let(kept, render)
 
@@ -313,13 +316,21 @@ def mark_keywords(words, keywords: Sequence[str]) -> Column:
     if not needles:
         return col(words)
 
-    def mark(ws):
-        plain = words_text(ws)
-        # One character per position: U+0001 where any keyword occurrence lies, else a blank.
-        masks = F.array(*[characters(F.replace(plain, F.lit(k), F.lit("\u0001" * len(k)))) for k in needles])
-        # Bound, as the lambda would build the masks again for every character.
-        hits = let(masks, lambda ms: F.transform(F.get(ms, F.lit(0)), lambda ch, i: F.exists(ms, lambda m: F.get(m, i) == "\u0001")))
-        size = lambda w: F.length(F.coalesce(w["text"], F.lit("")))
+    def hits(plain):
+        """A character per position: U+0001 where any keyword occurrence lies."""
+        masks = characters(F.replace(plain, F.lit(needles[0]), F.lit("\u0001" * len(needles[0]))))
+        def with_other(m, k):
+            other = characters(F.replace(plain, F.lit(k), F.lit("\u0001" * len(k))))
+            return F.when(plain.contains(k), F.zip_with(m, other, lambda a, b: F.when(b == "\u0001", b).otherwise(a))).otherwise(m)
+
+        for k in needles[1:]:
+            both = partial(with_other, k=k)
+            masks = let(masks, lambda m: both(m))
+        return masks
+
+    size = lambda w: F.length(F.coalesce(w["text"], F.lit("")))
+
+    def by_slots(ws, found):
         # A word fills its characters and one slot more; its first slot, less the words before, is where it starts.
         slots = F.flatten(F.transform(ws, lambda w, i: F.array_repeat(i, size(w) + 1)))
         starts = let(
@@ -328,18 +339,22 @@ def mark_keywords(words, keywords: Sequence[str]) -> Column:
                 F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda p: (p == 0) | (F.get(o, p) != F.get(o, p - 1))), lambda p, i: p - i
             )).otherwise(F.array().cast("array<int>")),
         )
+        touched = lambda v, w, i: F.exists(F.slice(v["hits"], F.get(v["starts"], i) + 1, size(w)), lambda h: h == "\u0001")
         return let(
-            F.struct(hits.alias("hits"), starts.alias("starts")),
-            lambda v: F.transform(
-                ws,
-                lambda w, i: _mark(
-                    w["text"],
-                    w["is_kw"] | F.exists(F.slice(v["hits"], F.get(v["starts"], i) + 1, size(w)), lambda h: h),
-                    w["color"],
-                ),
-            ),
+            F.struct(found.alias("hits"), starts.alias("starts")),
+            lambda v: F.transform(ws, lambda w, i: _mark(w["text"], w["is_kw"] | touched(v, w, i), w["color"])),
         )
 
+    def mark(ws):
+        def marked(plain):
+            # Words of one character each, as parsed texts have them, stand at their own places.
+            single = lambda m: (F.size(m) == F.size(ws)) & ~F.exists(ws, lambda w: size(w) != 1)
+            at_place = lambda m: F.zip_with(ws, m, lambda w, h: _mark(w["text"], w["is_kw"] | (h == "\u0001"), w["color"]))
+            some = _any(plain.contains(k) for k in [*needles, "\u0001"])
+            return F.when(~some, ws).otherwise(let(hits(plain), lambda m: F.when(single(m), at_place(m)).otherwise(by_slots(ws, m))))
+
+        return let(words_text(ws), marked)
+
     return let(col(words), mark)
 
 
