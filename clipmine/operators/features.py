@@ -11,6 +11,7 @@ from clipmine.functions import text as tx
 from clipmine.functions.spans import hour_of, py_round
 from clipmine.lexicon import Profile
 from clipmine.operators.joins import points_in_windows, speech_coverage, window_text
+from clipmine.session import cut_lineage
 
 IDS = ("vod_id", "win_id")
 
@@ -118,10 +119,11 @@ def score_windows(
     p = profile
     w = windows.select(*IDS, "start", "end")
     text = window_text(segments, w, ids=["win_id"])
+    # A row for each window, written once: the driver never holds all range joins in one plan.
     out = (
         speech_coverage(speech, windows, ids=["win_id"])
-        .join(chat_features(marked, w, **kw), list(IDS), "left")
-        .join(signal_features(loudness, emotion, w, **kw), list(IDS), "left")
+        .join(cut_lineage(chat_features(marked, w, **kw)), list(IDS), "left")
+        .join(cut_lineage(signal_features(loudness, emotion, w, **kw)), list(IDS), "left")
         .join(text, list(IDS), "left")
     )
     if weak is None:

@@ -66,7 +66,8 @@ def finish_arcs(arcs: DataFrame, chapters_df: DataFrame, marked: DataFrame, rec:
     )
     placed = chapter_of(arcs, chapters_df, ids=["id"]).join(peaks, ["vod_id", "id"], "left")
     b = suggested_bounds(placed, rec.speech, rec.segments, ids=["id"], ends=profile.sentence_ends, lag=profile.chat_lag_sec)
-    b = b.drop("start", "end").withColumnsRenamed({"suggested_start": "start", "suggested_end": "end"})
+    # The clamps below name the bounds many times: written once, their formulas don't multiply.
+    b = cut_lineage(b.drop("start", "end").withColumnsRenamed({"suggested_start": "start", "suggested_end": "end"}))
     clamp = lambda df: clamp_to_sentence(df, rec.segments, ids=["id"], max_sec=profile.story_max_sec, ends=profile.sentence_ends)
     b = clamp(b).join(rec.vods.select("vod_id", "duration_sec"), "vod_id")
     short = (F.col("end") - F.col("start") < min(profile.story_min_sec, profile.clip_min_sec)) & (F.col("duration_sec") >= profile.story_min_sec)
@@ -81,13 +82,15 @@ def finish_arcs(arcs: DataFrame, chapters_df: DataFrame, marked: DataFrame, rec:
 
 def highlights(rec: Recordings, profile: Profile, decisions: DataFrame | None = None, *, auto_arcs: bool = False) -> DataFrame:
     """Reviewed highlights; recordings without any fall back to story arcs when `auto_arcs`."""
+    if decisions is None and not auto_arcs:
+        raise ValueError("no decisions given: pass them, or set auto_arcs")
     ranked = cut_lineage(ranked_candidates(rec, profile))
-    queue = cut_lineage(review_queue(ranked, profile))
-    done = None if decisions is None else reviewed_highlights(ranked, queue, decisions, profile)
-    if not auto_arcs:
-        if done is None:
-            raise ValueError("no decisions given: pass them, or set auto_arcs")
-        return done
+    done = None
+    if decisions is not None:
+        done = reviewed_highlights(ranked, cut_lineage(review_queue(ranked, profile)), decisions, profile)
+        if not auto_arcs:
+            return done
     open_ = ranked if done is None else ranked.join(done.select("vod_id").distinct(), "vod_id", "left_anti")
-    arcs = arc_highlights(open_, chapters(rec), rec, profile)
+    # Arcs need no titles; four joins below read the chapters.
+    arcs = arc_highlights(open_, cut_lineage(topic_chapters(rec.segments, rec.vods)), rec, profile)
     return arcs if done is None else done.unionByName(arcs)
