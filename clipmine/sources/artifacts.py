@@ -1,6 +1,7 @@
 """JSON documents of recording jobs, all jobs in one scan.
 
-One document per file with arrays inside; the recording id is a directory name in the path.
+One document per file with arrays inside; the recording id is a directory name in the path. Transcripts of very many
+recordings may also be one document a line, with the id in it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ def path_part(depth: int) -> Column:
     return F.url_decode(F.element_at(parts, F.lit(-1 - depth)))
 
 
-def _documents(spark: SparkSession, path: str, schema, depth: int) -> DataFrame:
+def _documents(spark: SparkSession, path: str, schema, depth: int | None) -> DataFrame:
+    if depth is None:  # a document a line, many in a file
+        return spark.read.schema("vod_id STRING, " + schema).json(path)
     # The folders are ids, not partitions: a folder named `vod_id=…` must not add a column.
     return spark.read.schema(schema).options(multiLine=True, recursiveFileLookup=True).json(path).select(path_part(depth).alias("vod_id"), "*")
 
@@ -32,7 +35,8 @@ def read_chat(spark: SparkSession, path: str, *, depth: int = 2) -> tuple[DataFr
     return chat, docs.select("vod_id", F.coalesce("available", F.lit(True)).alias("available"), F.col("error_reason").alias("chat_error"))
 
 
-def read_segments(spark: SparkSession, path: str, *, depth: int = 2) -> DataFrame:
+def read_segments(spark: SparkSession, path: str, *, depth: int | None = 2) -> DataFrame:
+    """Segments of transcript documents. `depth` None: documents are lines and hold their `vod_id`."""
     docs = _documents(spark, path, S.TRANSCRIPT_DOC, depth)
     return docs.select("vod_id", F.posexplode("segments").alias("pos", "s")).select(
         "vod_id", F.col("pos").cast("long").alias("seg_id"), "s.start", "s.end", "s.text",
