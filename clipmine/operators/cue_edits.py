@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clipmine.functions import text as tx
 from clipmine.functions.spans import col, let, overlap_len
 from clipmine.operators.cues import fresh_words, shown_text
+from clipmine.operators.laid import chosen
 
 # Fixed values, begin: when a cue is the same one, and when its text was edited.
 MIN_SHARED_SEC = 0.15
@@ -75,11 +76,6 @@ def carried_marks(base, old) -> Column:
     return let(let(both, lambda v: F.struct(v["base"].alias("base"), placed(v).alias("runs"))), mark)
 
 
-def _timed(cues: DataFrame) -> Column:
-    a, b = F.col("vod_start"), F.col("vod_end")
-    return F.coalesce(~F.isnan(a) & ~F.isnan(b) & (b > a), F.lit(False))
-
-
 def _old_arrays(old: DataFrame, keys: Sequence[str], styles: Sequence[str]) -> DataFrame:
     """`old`: a clip's old cues as an array. An old cue without words is read from its text, marks included."""
     words = F.col("words") if "words" in old.columns else F.lit(None).cast(WORDS)
@@ -101,46 +97,55 @@ def _timed(c: Column) -> Column:
     return F.coalesce(~F.isnan(a) & ~F.isnan(b) & (b > a), F.lit(False))
 
 
-def paired(fresh: Column, old: Column, plain: Callable[[Column], Column]) -> Column:
-    """An array of `f`, the fresh cues in order of start and id, and `o`, the old cue that each takes over; an old cue serves once.
+def _ordered(c: str) -> Column:
+    """An array of cues in order of start and id."""
+    order = F.array_sort(F.transform(c, lambda x, i: F.struct(x["start"].alias("at"), x["cue_id"].alias("id"), i.alias("i"))))
+    return F.transform(order, lambda x: F.get(c, x["i"]))
+
+
+def _taken(clips: DataFrame, plain: Callable[[Column], Column]) -> Column:
+    """For each of the ordered `fresh` cues the index of the old one that it takes, in Arrow batches."""
+    at = lambda c, x: F.transform(c, lambda f: F.when(_timed(f), f[x]))
+    texts = lambda c, text: F.transform(c, lambda f: F.when(~_timed(f), text(f)))
+    old_text = lambda o: o["plain"]
+    return chosen(at("fresh", "vod_start"), at("fresh", "vod_end"), texts("fresh", plain), at("old", "vod_start"), at("old", "vod_end"), texts("old", old_text), F.lit(MIN_SHARED_SEC))
 
-    A fresh cue takes the free old one that it shares the most recording time with. Cues without recording times are
-    matched by equal text (`plain` gives a fresh cue's), the k-th with the k-th.
-    """
-    order = F.array_sort(F.transform(fresh, lambda f, i: F.struct(f["start"].alias("at"), f["cue_id"].alias("id"), i.alias("i"))))
 
-    def choose(state: Column, v: Column, f: Column) -> Column:
+def _taken_by_columns(clips: DataFrame, plain: Callable[[Column], Column]) -> Column:
+    """As `_taken`, without Python: a fold in which each cue looks at all old ones of its clip, for clips of few cues."""
+
+    def choose(state: Column, old: Column, f: Column) -> Column:
         text = F.when(~_timed(f), plain(f))
 
         def wish(o: Column, k: Column) -> Column:
             n = overlap_len(f["vod_start"], f["vod_end"], o["vod_start"], o["vod_end"])
             shares = F.when(_timed(f), _timed(o) & (n >= MIN_SHARED_SEC)).otherwise(~_timed(o) & (text != "") & (o["plain"] == text))
-            return F.when(shares, F.struct(F.when(_timed(f), -n).otherwise(0.0).alias("less"), o["start"].alias("at"), o["cue_id"].alias("id"), k.alias("k")))
+            return F.when(shares, F.struct(F.when(_timed(f), -n).otherwise(0.0).alias("less"), k.alias("k")))
 
-        free = F.filter(F.transform(v["old"], wish), lambda w: w.isNotNull() & ~F.array_contains(state, w["k"]))
+        free = F.filter(F.transform(old, wish), lambda w: w.isNotNull() & ~F.array_contains(state, w["k"]))
         return F.concat(state, F.array(F.coalesce(F.array_min(free)["k"], F.lit(-1))))
 
-    def all_of(v: Column) -> Column:
-        taken = F.aggregate(v["order"], F.array().cast("array<int>"), lambda s, x: let(F.get(v["fresh"], x["i"]), lambda f: choose(s, v, f)))
-        pair = lambda t: F.transform(t, lambda k, j: F.struct(F.get(v["fresh"], F.get(v["order"], j)["i"]).alias("f"), F.get(v["old"], k).alias("o")))
-        return let(taken, pair)
+    return let(F.struct("fresh", "old"), lambda v: F.aggregate(v["fresh"], F.array().cast("array<int>"), lambda s, f: choose(s, v["old"], f)))
 
-    return let(F.struct(fresh.alias("fresh"), old.alias("old"), order.alias("order")), all_of)
 
+def _pairs(clips: DataFrame, keys: Sequence[str], plain: Callable[[Column], Column], taken: Callable = _taken) -> DataFrame:
+    """Clips with the arrays `fresh` and `old` to rows `f, o, known`; a clip without fresh cues gives its old ones.
 
-def _pairs(clips: DataFrame, keys: Sequence[str], plain: Callable[[Column], Column]) -> DataFrame:
-    """Clips with the arrays `fresh` and `old` to rows `f, o, known`; a clip without fresh cues gives its old ones."""
-    both = lambda: paired(F.col("fresh"), F.col("old"), plain)
-    none = clips.select(both().alias("p")).schema["p"].dataType.elementType
-    as_is = F.transform("old", lambda o: F.struct(F.lit(None).cast(none["f"].dataType).alias("f"), o.alias("o")))
-    p = F.when(F.coalesce(F.size("fresh"), F.lit(0)) <= 0, as_is).when(F.coalesce(F.size("old"), F.lit(0)) <= 0, F.transform("fresh", lambda f: F.struct(f.alias("f"), F.lit(None).cast(none["o"].dataType).alias("o")))).otherwise(both())
+    In order of start and id a fresh cue takes the free old one that it shares the most recording time with; an old cue serves once.
+    Cues without recording times are matched by equal text (`plain` gives a fresh cue's), the k-th with the k-th.
+    """
+    clips = clips.withColumns({"fresh": _ordered("fresh"), "old": _ordered("old")})
+    kinds = clips.schema
+    as_is = F.transform("old", lambda o: F.struct(F.lit(None).cast(kinds["fresh"].dataType.elementType).alias("f"), o.alias("o")))
+    both = F.transform("fresh", lambda f, j: F.struct(f.alias("f"), F.get("old", F.get("_taken", j)).alias("o")))
+    p = F.when(F.coalesce(F.size("fresh"), F.lit(0)) <= 0, as_is).otherwise(both)
     rest = [c for c in clips.columns if c not in (*keys, "fresh", "old")]
-    rows = clips.select(*keys, *rest, (F.size("old") > 0).alias("known"), F.explode_outer(p).alias("p")).where(F.col("p").isNotNull())
+    rows = clips.withColumn("_taken", taken(clips, plain)).select(*keys, *rest, (F.size("old") > 0).alias("known"), F.explode_outer(p).alias("p")).where(F.col("p").isNotNull())
     return rows.select(*keys, *rest, F.coalesce("known", F.lit(False)).alias("known"), "p.f", "p.o")
 
 
 def matches(old: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """`keys, cue_id, old_id`: the old cue that each fresh one takes over (see `paired`). Cues come together once a clip."""
+    """`keys, cue_id, old_id`: the old cue that each fresh one takes over (see `_pairs`). Cues come together once a clip."""
     new = fresh.withColumn("plain", shown("words")).groupBy(*keys).agg(F.collect_list(F.struct("cue_id", "start", "vod_start", "vod_end", "plain")).alias("fresh"))
     clips = new.join(_old_arrays(old, keys, []), list(keys))
     rows = _pairs(clips, keys, lambda f: f["plain"]).where(F.col("f").isNotNull() & F.col("o").isNotNull())
@@ -157,6 +162,23 @@ def _edits(rows: DataFrame, words: Column, plain: Column) -> tuple[Column, Colum
     return F.coalesce(edited, F.lit(False)), own, carried
 
 
+#: Text without marks, breaks or escapes; and such a text with one flagged run.
+_BARE = r"[^*\\\r\n]*"
+_ONE_RUN = rf"^{_BARE}\*\*[^*\\\r\n]+\*\*{_BARE}\z"
+
+
+def carried_text(general: Column) -> Column:
+    """Of rows `f, o`: the marked-up text of a fresh cue with the old one's marks, `general`. A bare text that meets one flagged run
+    isn't taken apart: it is the old text if both read the same, else the run is marked where it first stands."""
+    run = F.regexp_extract("o.text", r"\*\*([^*]+)\*\*", 1)
+    at = F.position(run, F.col("f.raw"))
+    marked = F.concat(F.substr("f.raw", F.lit(1), at - 1), F.lit("**"), run, F.lit("**"), F.substr("f.raw", at + F.length(run)))
+    simple = F.col("o.words").isNull() & (F.col("f.text") == F.col("f.raw")) & F.col("f.raw").rlike(rf"^{_BARE}\z") & F.col("o.text").rlike(_ONE_RUN)
+    same = F.replace("o.text", F.lit("**"), F.lit("")) == F.col("f.raw")
+    short = F.when(same, F.col("o.text")).when(at > 0, marked).otherwise(F.col("f.text"))
+    return F.when(F.coalesce(simple, F.lit(False)), short).otherwise(general)
+
+
 def merge_cue_edits(old: DataFrame, fresh: DataFrame, keys: Sequence[str] = ("vod_id", "clip_id")) -> DataFrame:
     """Fresh cues with the edits of the old cues that they replace: flags and colours, edited texts, and style columns
     that only old cues have. A clip without old cues keeps its fresh ones as they are, one without fresh cues its old ones."""
@@ -165,7 +187,7 @@ def merge_cue_edits(old: DataFrame, fresh: DataFrame, keys: Sequence[str] = ("vo
     lone = [c for c in fresh.columns if c not in keys and c not in ("cue_id", "start", "end", "vod_start", "vod_end", "text", "words")]
     cue = F.struct(*[c for c in fresh.columns if c not in keys], shown("words").alias("plain"))
     clips = fresh.groupBy(*keys).agg(F.collect_list(cue).alias("fresh")).join(_old_arrays(old, keys, [*lone, *styles]), list(keys), "full")
-    rows = _pairs(clips, keys, lambda f: f["plain"])
+    rows = _pairs(clips, keys, lambda f: f["plain"], _taken_by_columns)
     edited, own, carried = _edits(rows, F.col("f.words").cast(WORDS), F.col("f.plain"))
     alone = F.col("f").isNull()
     words = F.when(alone | edited, own).when(F.col("o.marked"), carried).otherwise(F.col("f.words").cast(WORDS))
@@ -187,6 +209,6 @@ def rebuilt_cues(old: DataFrame, clips: DataFrame, keywords: Sequence[str], keys
     edited, own, carried = _edits(rows, fresh, shown_text("f.raw"))
     alone, same = F.col("f").isNull(), ~F.coalesce(F.col("o.marked"), F.lit(False))
     words = F.when(alone | edited, own).when(same, fresh).otherwise(carried)
-    text = F.when(alone, F.col("o.text")).when(edited, F.coalesce(F.nullif(F.col("o.text"), F.lit("")), "f.text")).when(same, F.col("f.text")).otherwise(tx.to_markup(carried))
+    text = F.when(alone, F.col("o.text")).when(edited, F.coalesce(F.nullif(F.col("o.text"), F.lit("")), "f.text")).when(same, F.col("f.text")).otherwise(carried_text(tx.to_markup(carried)))
     pick = lambda c: F.when(alone, F.col("o")[c]).otherwise(F.col("f")[c]).alias(c)
     return rows.select(*keys, "longest", *[pick(c) for c in columns], words.alias("words"), text.alias("text"), *[F.col("o")[c].alias(c) for c in styles])
