@@ -54,3 +54,33 @@ def test_a_clip_with_many_cues(spark):
     got = ce.matches(old, fresh, ["vod_id", "clip_id"]).collect()
     assert time.time() - started < 30
     assert {(r.cue_id, r.old_id) for r in got} == {(f"f{i}", f"o{i}") for i in range(n)}
+
+
+def test_missing_cues_of_arrays(spark):
+    """Clips that have their cues as arrays keep them in their rows: nothing is shuffled, and it is what rows of cues give."""
+    from clipmine.operators import cues as cu
+
+    rng = random.Random(3)
+    cue = "array<struct<cue_id:string,vod_start:double,vod_end:double,text:string>>"
+
+    def some(p, n):
+        out = []
+        for i in range(n):
+            a = rng.uniform(0, 60)
+            out.append((f"{p}{i}", *((a, a + rng.uniform(-1, 9)) if i % 3 else (None, None)), rng.choice(["a", "b", "**a**", "c", "", "d"])))
+        return out
+
+    clips = spark.createDataFrame([("v", i, some("f", rng.randint(0, 12)), some("o", rng.randint(0, 5))) for i in range(60)], f"vod_id string, clip_id long, fresh {cue}, old {cue}")
+    got = cu.missing_in_clips(clips, "fresh", "old")
+    rows = lambda c: clips.select("vod_id", "clip_id", F.explode(c).alias("c")).select("vod_id", "clip_id", "c.*")
+    want = cu.missing_cues(rows("fresh"), rows("old"))
+    ids = lambda df: sorted((r.clip_id, r.cue_id) for r in df.collect())
+    assert ids(got) == ids(want) and len(ids(got)) > 50
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cu_missing_shuffles_no_pairs(spark):
+    from __spark_entry__ import queries
+
+    plan = queries()["cu_missing"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "clip_id" not in "".join(line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Aggregate"))
